@@ -6,20 +6,66 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brickwise.llm import simhash
+from brickwise.llm import bpe, ebm, mixing, pii, simhash
 from brickwise.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that a mix of all documents takes of each."""
+    return mixing.Mix(table(spark, folder, "documents")).plan()
+
+
+OP1_SQL = """
+WITH docs AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources
+), summed AS (
+  SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio,
+    coalesce(sum(3 * source_size) OVER before, 0) AS limits, coalesce(sum(weight) OVER before, 0) AS weights,
+    sum(source_size) OVER () AS total, sum(weight) OVER () AS everything
+  FROM weighed
+  WINDOW before AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), levels AS (
+  SELECT *, CAST(total - limits AS DOUBLE) / CAST(everything - weights AS DOUBLE) AS level FROM summed
+), common AS (
+  SELECT arg_min(level, ratio) AS level FROM levels WHERE ratio > level
+), targets AS (
+  SELECT l.source, l.source_size, coalesce(least(CAST(3 * l.source_size AS DOUBLE), c.level * l.weight), CAST(3 * l.source_size AS DOUBLE)) AS target
+  FROM levels l CROSS JOIN common c
+)
+SELECT d.doc_id, d.size, t.source_size, t.target FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts and digests of all documents, encoded and decoded again."""
+    return bpe.bpe_digests(table(spark, folder, "documents"))
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents: counts, the digest of the base spans, all spans."""
+    return pii.pii_report(table(spark, folder, "documents"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels."""
+    return ebm.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and the components of their links at 3 bits at most."""
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_simhash,)}
+    return {f.__name__: f for f in (op1_mixing, op3_byte_bpe, op4_pii, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Where SQL can express a query. The key of the mix's order isn't portable, so ``taken`` is tested on its own."""
     return {}
