@@ -11,7 +11,7 @@ from brickwise.operators.prefix import running_sums
 from brickwise.runtime import materialize
 
 SPACE = "\\x20\\x09-\\x0D"
-SEED = 20240229
+SALT = ":mix"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 
@@ -24,7 +24,7 @@ def word_count(text: Column | str) -> Column:
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
     """The id, the source as a pair without nulls that sorts nulls last, the hash-random key and the size."""
-    key = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED)).alias("_bw_key")
+    key = F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(SALT)).cast("binary")), 1, 16).alias("_bw_key")
     return [F.col(id_col).alias("_bw_id"), F.col(source_col).isNull().alias("_bw_none"), F.coalesce(source_col, F.lit("")).alias("_bw_source"), key, word_count(text_col).alias("_bw_size")]
 
 

@@ -36,9 +36,16 @@ WITH docs AS (
   SELECT arg_min(level, ratio) AS level FROM levels WHERE ratio > level
 ), targets AS (
   SELECT l.source, l.source_size, coalesce(least(CAST(3 * l.source_size AS DOUBLE), c.level * l.weight), CAST(3 * l.source_size AS DOUBLE)) AS target
-  FROM levels l CROSS JOIN common c
+  FROM levels l LEFT JOIN common c ON true
+), placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(md5(CAST(d.doc_id AS VARCHAR) || ':mix'), 1, 16), d.doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT d.doc_id, d.size, t.source_size, t.target FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - ahead)) END AS BIGINT) AS taken
+FROM placed
 """
 
 
@@ -67,5 +74,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Where SQL can express a query. The key of the mix's order isn't portable, so ``taken`` is tested on its own."""
-    return {}
+    """Where SQL can express a query."""
+    return {"op1_mixing": OP1_SQL}
