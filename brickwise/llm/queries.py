@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brickwise.llm import bpe, ebm, mixing, pii, simhash
+from brickwise.llm import bpe, chat, ebm, mixing, pii, simhash, url_rules
 from brickwise.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,50 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(table(spark, folder, "documents"))
 
 
+def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one more whose texts hold control strings, formatted and read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    trap = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
+    return chat.digests(chat.format_records(chat.records_of(rows.unionByName(trap))))
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|turn|><|text|><|end|>') + length(replace(replace(role, '\', '\e'), '<|', '\l|')) + length(replace(replace(text, '\', '\e'), '<|', '\l|'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_rules.judge(table(spark, folder, "pages"), url_rules.rule_table(spark, url_rules.RULES))
+
+
+OP7_SQL = r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+  SELECT page_id, host, path, max({'n': length(rule_host || rule_path), 'rule': rule_host || rule_path, 'verdict': verdict}) FILTER (WHERE rule_host IS NOT NULL) AS best
+  FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id, host, path
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM fits
+"""
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality scores of all documents, learnt from the labels."""
     return ebm.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -70,9 +115,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_byte_bpe, op4_pii, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op3_byte_bpe, op4_pii, op6_chat, op7_url_rules, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query."""
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op6_chat": OP6_SQL, "op7_url_rules": OP7_SQL}

@@ -148,3 +148,14 @@ def simhash_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     rows = documents.select(F.col(id_col), fingerprint(text_col, words).alias("fp"))
     grouped = group_by_fingerprint(materialize(rows, "simhash"), id_col)
     return grouped.select(id_col, as_hex("fp").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """``documents`` without near copies: of each group the rows with its smallest id stay, one row of each such id.
+
+    Rows with a null id stay. All columns stay.
+    """
+    grouped = simhash_components(documents, id_col, text_col, words)
+    kept = grouped.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_bw_id")).distinct()
+    found = documents.join(kept, documents[id_col] == kept["_bw_id"], "left_semi")
+    return found.dropDuplicates([id_col]).unionByName(documents.where(F.col(id_col).isNull()))
