@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwise.llm import bpe, chat, ebm, mixing, pii, simhash, url_rules
+from brickwise.llm import bpe, chat, ebm, embed_dedup, imatch, mixing, pii, sharding, simhash, url_rules
+from brickwise.runtime import scratch_root
 from brickwise.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +52,11 @@ FROM placed
 """
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, components and representatives of all embeddings at a cosine of 0.9."""
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of all documents, encoded and decoded again."""
     return bpe.bpe_digests(table(spark, folder, "documents"))
@@ -60,6 +67,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(table(spark, folder, "documents"))
 
 
+def op5_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with likenesses."""
+    return imatch.fingerprints(table(spark, folder, "documents"))
+
+
 def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one more whose texts hold control strings, formatted and read back."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -104,6 +116,16 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') A
 """
 
 
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as read from a store that took them in as arrivals and compacted them."""
+    return sharding.shard_documents(table(spark, folder, "documents"), f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}")
+
+
+OP8_SQL = """
+SELECT doc_id, CAST(doc_id % 32 AS BIGINT) AS arrival, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality scores of all documents, learnt from the labels."""
     return ebm.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -115,9 +137,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_byte_bpe, op4_pii, op6_chat, op7_url_rules, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_byte_bpe, op4_pii, op5_imatch, op6_chat, op7_url_rules, op8_sharding, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query."""
-    return {"op1_mixing": OP1_SQL, "op6_chat": OP6_SQL, "op7_url_rules": OP7_SQL}
+    return {"op1_mixing": OP1_SQL, "op6_chat": OP6_SQL, "op7_url_rules": OP7_SQL, "op8_sharding": OP8_SQL}
