@@ -6,18 +6,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_ORDER = Window.partitionBy("ray_id").orderBy("k")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("ray_id").orderBy("k")
 
 
 def unwrap(samples: DataFrame, angle: str) -> DataFrame:
     """``samples`` with ``wraps``, the turns to add to each angle so that no step exceeds half a turn, and ``unwrapped``, zero at the first."""
-    step = F.col(angle) - F.lag(angle).over(_ORDER)
+    step = F.col(angle) - F.lag(angle).over(_order())
     wrap = F.when(step > math.pi, -1).when(step < -math.pi, 1).otherwise(0)
-    out = samples.withColumn("_wrap", wrap).withColumn("wraps", F.sum("_wrap").over(_ORDER)).drop("_wrap")
-    return out.withColumn("unwrapped", F.col(angle) + 2 * math.pi * F.col("wraps") - F.first(angle).over(_ORDER))
+    out = samples.withColumn("_wrap", wrap).withColumn("wraps", F.sum("_wrap").over(_order())).drop("_wrap")
+    return out.withColumn("unwrapped", F.col(angle) + 2 * math.pi * F.col("wraps") - F.first(angle).over(_order()))
 
 
 def runs(samples: DataFrame, member: Column) -> DataFrame:
@@ -32,7 +34,7 @@ def runs(samples: DataFrame, member: Column) -> DataFrame:
 
 def local_maxima(samples: DataFrame, least: float) -> DataFrame:
     """Samples not below the one before, above the one after, and at least ``least``; the ends of a ray are none."""
-    out = samples.withColumn("_before", F.lag("v").over(_ORDER)).withColumn("_after", F.lead("v").over(_ORDER))
+    out = samples.withColumn("_before", F.lag("v").over(_order())).withColumn("_after", F.lead("v").over(_order()))
     return out.where((F.col("v") >= F.col("_before")) & (F.col("v") > F.col("_after")) & (F.col("v") >= least)).drop("_before", "_after")
 
 
