@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from collections import ChainMap
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker remembers, and the longest one it does, in characters: 256 bytes each or so.
 MEMORY, LONGEST = 400_000, 64
+#: Characters of the texts whose new pre-tokens are merged in one call.
+GROUP = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -82,25 +86,36 @@ class Codec:
         raw = [x.encode() for x in new]
         whole = [self.ranks.get(x) for x in raw]  # a pre-token that is a token needs no merges
         parts = [x.decode("latin-1").translate(self.mapping) for x, w in zip(raw, whole, strict=True) if w is None]
-        merged = iter(self.model.encode(parts, out_type=int) if parts else [])
+        merged = iter(self.model.encode(parts, out_type=int, num_threads=1) if parts else [])
         return {x: (w,) if w is not None else tuple(i - 1 for i in next(merged)) for x, w in zip(new, whole, strict=True)}
 
+    def encode_many(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of whole texts, without special tokens; pre-tokens that are new are merged together for ``GROUP`` characters or so."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append(self.split(text))
+            size += len(text)
+            if size >= GROUP:
+                yield from self._encode_group(group)
+                group, size = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, group: list[list[str]]) -> Iterator[list[int]]:
+        needed = set().union(*group)
+        learned = self._learn([w for w in needed if w not in self.known])
+        if len(self.known) + len(learned) > MEMORY:
+            learned |= {w: self.known[w] for w in needed if w in self.known}
+            self.known = {}
+        look = ChainMap(self.known, learned).__getitem__ if any(len(w) > LONGEST for w in learned) else None
+        self.known |= {w: ids for w, ids in learned.items() if len(w) <= LONGEST}
+        look = look or self.known.__getitem__
+        for words in group:
+            yield list(chain.from_iterable(map(look, words)))
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, without special tokens."""
-        words = self.split(text)
-        new = list({w for w in words if w not in self.known})
-        learned = self._learn(new) if new else {}
-        short = {k: v for k, v in learned.items() if len(k) <= LONGEST}
-        if len(self.known) + len(short) > MEMORY:
-            gone, self.known = self.known, {}
-            learned |= {w: gone[w] for w in set(words) if w in gone}
-        if len(short) < len(learned) or len(short) > MEMORY:
-            look = lambda w: learned[w] if w in learned else self.known[w]
-            ids = list(chain.from_iterable(map(look, words)))
-            self.known |= short if len(short) <= MEMORY else {}
-            return ids
-        self.known |= short
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+        """Ids of one whole text."""
+        return next(self.encode_many([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -125,7 +140,9 @@ class ByteBpe:
         @F.arrow_udf("array<int>")
         def of(texts: pa.Array) -> pa.Array:
             codec = _codec(packed, pattern)
-            return pa.array([None if x is None else codec.encode(x) for x in texts.to_pylist()], pa.list_(pa.int32()))
+            known = texts.is_valid().to_pylist()
+            found = codec.encode_many(x.as_py() for x in texts if x.is_valid)
+            return pa.array([next(found) if k else None for k in known], pa.list_(pa.int32()))
 
         return of(text)
 
@@ -152,8 +169,7 @@ class ByteBpe:
             codec = _codec(packed, pattern)
             digits = [str(i) for i in range(len(codec.tokens))]
             counts, encoded, decoded = [], [], []
-            for x in texts:
-                ids = codec.encode(x.as_py() or "")
+            for ids in codec.encode_many(x.as_py() or "" for x in texts):
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
