@@ -66,3 +66,30 @@ def dominant_period(samples: DataFrame, least: float, most: float) -> DataFrame:
         return pd.DataFrame({"ray_id": [frame["ray_id"].iloc[0]], "period": [period]}).astype({"period": "float64"})
 
     return samples.select("ray_id", "k", "v").groupBy("ray_id").applyInPandas(peak, "ray_id long, period double")
+
+
+def autocorrelation_length(samples: DataFrame) -> DataFrame:
+    """(ray_id, lag): the first lag at which the normalised autocorrelation is below 1/e; null for constant rays and if there is none."""
+
+    def length(frame: pd.DataFrame) -> pd.DataFrame:
+        v = frame.sort_values("k")["v"].fillna(0.0).to_numpy(dtype=float)
+        v = v - v.mean()
+        power = float(v @ v)
+        lag = next((k for k in range(1, len(v)) if v[:-k] @ v[k:] / power < 1 / math.e), None) if power > 0 else None
+        return pd.DataFrame({"ray_id": [frame["ray_id"].iloc[0]], "lag": [lag]}).astype({"lag": "float64"})
+
+    return samples.select("ray_id", "k", "v").groupBy("ray_id").applyInPandas(length, "ray_id long, lag double")
+
+
+def per_period(samples: DataFrame, window: int, step: int, least: float, most: float, valid_share: float = 0.95) -> DataFrame:
+    """(ray_id, start, amount): for each window with enough valid samples the mean value times the dominant period.
+
+    Samples are handed to the windows that hold them, so that windows, not rays, are the unit of work.
+    """
+    starts = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("k") - window + 1) / step)).cast("int"), F.floor(F.col("k") / step).cast("int"))
+    spread = samples.select("ray_id", "k", "v", "valid", F.explode(starts).alias("start")).withColumn("start", F.col("start") * step)
+    full = spread.groupBy("ray_id", "start").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("valid").cast("double")).alias("share"), F.avg("v").alias("mean")).where((F.col("n") == window) & (F.col("share") >= valid_share))
+    keyed = spread.join(full.select("ray_id", "start", "mean"), ["ray_id", "start"]).withColumn("ray", F.xxhash64("ray_id", "start"))
+    period = dominant_period(keyed.select(F.col("ray").alias("ray_id"), "k", "v"), least, most)
+    named = keyed.select("ray", "ray_id", "start", "mean").distinct()
+    return named.join(period.withColumnRenamed("ray_id", "ray"), "ray").select("ray_id", "start", F.round(F.col("mean") * F.col("period"), 6).alias("amount"))
