@@ -47,3 +47,8 @@ def range_table(df: DataFrame, order_by: list[str], label: str, part: str = "_bw
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in order_by])
     return materialize(ranged.withColumn(part, F.spark_partition_id()), label)
+
+
+def broadcast_if_small(keys: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """``keys`` (a narrow table that is cheap to count) marked for broadcast if it has few enough rows; else as it is, for a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= most_rows else keys
