@@ -1,0 +1,382 @@
+"""Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import base64
+import hashlib
+import json
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brickwise.llm import bpe, chat, ebm, embed_dedup, imatch, mixing, pii, queries, sharding, simhash, url_rules
+
+DOCS = "doc_id long, text string, source string, component_id int, fingerprint string, score string"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, s, 7, "x", "y") for i, t, s in rows], DOCS)
+
+
+WORDS = [f"w{i}" for i in range(400)]
+MIXED = [
+    (1, "the quick brown fox jumps over the lazy dog " * 4, "a"),
+    (2, None, "a"),
+    (3, "", None),
+    (4, "  \t\n", "b"),
+    (5, "one", "b"),
+    (5, "one", "b"),
+    (6, "mail me.at@x.org or 10.0.0.1, card 4111 1111 1111 1111, +1 (234) 567-8901 é日本𝒳", "c"),
+    (None, "no id here", "c"),
+    (7, " ".join(WORDS), "a"),
+    (8, " ".join(WORDS[:200]) + " changed " + " ".join(WORDS[201:]), "a"),
+    (9, "x" * 50_000, None),
+]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return documents(spark, MIXED).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return documents(spark, [(1, "a", "b")]).limit(0)
+
+
+def roots(n, links):
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+# --- SimHash
+
+
+def test_golay_keys_meet_at_distance_one():
+    nearest, around = simhash.golay_tables()
+    words = np.random.default_rng(1).integers(0, 65536, 500)
+    for bit in range(16):
+        assert (around[words] == nearest[words ^ (1 << bit)][:, None]).any(axis=1).all()
+
+
+def test_near_pairs_match_brute_force(spark):
+    random = np.random.default_rng(2)
+    base = random.integers(-(2**63), 2**63 - 1, 60)
+    near = [int(b) ^ sum(1 << int(k) for k in random.choice(63, n, replace=False)) for b in base for n in (1, 2, 3, 4)]
+    values = sorted({*map(int, base), *near})
+    found = {tuple(r) for r in simhash.near_pairs(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
+    mask = (1 << 64) - 1
+    assert found == {(a, b) for a in values for b in values if a < b and bin((a ^ b) & mask).count("1") <= 3}
+
+
+def test_fingerprint_is_the_majority_of_shingle_hashes(spark):
+    text = "A b\tC d e f g"
+    shingles = [" ".join(text.lower().split()[i : i + 3]) for i in range(5)]
+    hashes = [r[0] for r in spark.createDataFrame([(s,) for s in shingles], "s string").select(F.xxhash64("s")).collect()]
+    ones = [sum(h >> b & 1 for h in hashes) for b in range(64)]
+    expected = sum(1 << b for b, n in enumerate(ones) if 2 * n > 5)
+    assert simhash.fingerprint_bytes(text.encode()) & ((1 << 64) - 1) == expected
+    assert simhash.fingerprint_bytes(b"") == simhash.fingerprint_bytes(b" \n") == 0
+
+
+def test_simhash_components(spark, mixed, empty):
+    found = sorted((tuple(r) for r in simhash.simhash_components(mixed).collect()), key=str)
+    assert len(found) == len(MIXED)
+    by_id = {r[0]: r for r in found}
+    assert by_id[2][1] == "0" * 16 and by_id[2][2] == by_id[3][2] == by_id[4][2] == 2
+    assert by_id[5][2] == 5 and by_id[None][2] is None
+    assert simhash.simhash_components(empty).count() == 0
+
+
+def test_keep_one_of_each_group(spark, mixed):
+    kept = [r["doc_id"] for r in simhash.keep_one_of_each_group(mixed).collect()]
+    assert sorted(kept, key=str) == sorted([1, 2, 5, 6, 7, None, 9] + ([8] if 8 in kept else []), key=str)
+
+
+# --- quality
+
+
+def test_additive_model_learns_an_interaction():
+    random = np.random.default_rng(3)
+    x = random.random((3000, len(ebm.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = ebm.fit(x[:2000], y[:2000])
+    assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
+
+
+def test_quality_held_out_accuracy(spark, sf_dir):
+    folder = sf_dir.replace("0.001", "0.01")
+    rows = queries.op9_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
+
+
+def test_quality_edge_cases(spark, mixed, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (7, 0, None), (5, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = ebm.quality_scores(mixed, labels).collect()
+    assert len(rows) == len(MIXED) and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["held_out"] == (r["doc_id"] is None or ebm.crc_remainder(r["doc_id"]) == 2) for r in rows)
+    assert ebm.quality_scores(empty, labels).count() == 0
+    assert {r["score"] for r in ebm.quality_scores(mixed, labels.limit(0)).collect()} == {0.5}
+
+
+# --- personal data
+
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def base_spans(text):
+    def valid(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "phone":
+            return 10 <= len(digits) <= 15
+        if kind == "card":
+            doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            return 14 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+        return True
+
+    spans = sorted((m.start(), i, k, m.end()) for i, (k, p) in enumerate(BASE) for m in re.finditer(p, text) if valid(k, m.group()))
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+
+
+TRICKY = ["x@a.b_c@d.ef .@a.b", "1.2.3.4.5.6.7.8 999.1.1.1 01.02.03.0004", "4111-1111-1111-1111 4111  1111 1111 1111 1", "+12 345 678 90 1+(234)", "a@b" + ".c" * 3000, "1." * 3000, "1" * 20000, "4 " * 9000, "𝒳é a@b.c 𝒳 10.0.0.1"]
+
+
+def test_base_spans_match_brute_force(spark, mixed, empty):
+    rows = MIXED + [(100 + i, t, None) for i, t in enumerate(TRICKY)]
+    found = {(r["doc_id"], r["base_sha256"]) for r in pii.pii_report(documents(spark, rows)).collect()}
+    assert found == {(i, hashlib.sha256(base_spans(t or "").encode()).hexdigest()) for i, t, _ in rows}
+    assert pii.pii_report(empty).count() == 0
+
+
+def test_checksums_and_context_add_spans_and_redact(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00, not DE88 3704 0044 0532 0130 00; ssn 123-45-6789 but 123-45-6789" + " " * 60 + "then 123-45-6780"
+    docs = documents(spark, [(1, text, None), (2, None, None)])
+    assert pii.pii_report(docs).where("doc_id = 1").first()["spans"] == "iban:5:32,ssn:71:82,ssn:87:98"
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[2] is None and clean[1].startswith("IBAN <IBAN>, not DE88") and clean[1].endswith("123-45-6780")
+    assert pii.redact(docs).columns == docs.columns
+
+
+# --- mixing
+
+
+def test_mix_matches_sql_and_rows(spark, mixed, empty):
+    import duckdb
+
+    frame = mixed.select("doc_id", "text", "source").where("doc_id is not null").dropDuplicates(["doc_id"]).toPandas()
+    connection = duckdb.connect()
+    connection.register("documents", frame)
+    expected = sorted(connection.sql(queries.OP1_SQL).fetchall())
+    mix = mixing.Mix(spark.createDataFrame(frame))
+    found = sorted(tuple(r) for r in mix.plan().select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert [f[:3] + f[4:] for f in found] == [e[:3] + e[4:] for e in expected] and np.allclose([f[3] for f in found], [e[3] for e in expected])
+    words = {}
+    for r in mix.rows().collect():
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    assert words == {f[0]: f[4] for f in found if f[4]}
+    assert mixing.Mix(empty).plan().count() == 0 and mixing.Mix(empty).rows().count() == 0
+
+
+def test_mix_caps_and_reshares(spark):
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 10), ("b", 1000), ("b", 500), ("c", 3), (None, 700), ("d", 0)])]
+    plan = mixing.Mix(documents(spark, rows)).plan().collect()
+    target = {r["source_size"]: r["target"] for r in plan}
+    assert target[10] == 30 and target[3] == 9 and abs(sum(target.values()) - 2213) < 1e-6
+    assert all(r["taken"] <= 3 * r["size"] for r in plan)
+    for size, t in target.items():
+        assert abs(sum(r["taken"] for r in plan if r["source_size"] == size) - t) <= 1
+
+
+def test_mix_counts_rows_of_one_id_as_one_place(spark, mixed):
+    plan = mixing.Mix(mixed.unionByName(mixed)).plan().collect()
+    assert len(plan) == 2 * len(MIXED) and all(r["taken"] <= 3 * r["size"] for r in plan)
+
+
+# --- byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_matches_the_ranks(spark, mixed, empty, encoding):
+    rows = [*MIXED, (200, "▁ ▁a<unk></s>\x00\x01 <|endoftext|>", None), (201, " " * 3000 + "x\n\n\t y", None), (202, "=-" * 2000 + "ééé日本語🙂", None)]
+    for r in bpe.bpe_digests(documents(spark, rows)).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"]) or ""
+        ids = encoding.encode_ordinary(text)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert bpe.bpe_digests(empty).count() == 0
+
+
+def test_bpe_columns_round_trip_and_memory_is_bounded(spark, mixed, encoding, monkeypatch):
+    codec = bpe.ByteBpe()
+    back = mixed.select("text", codec.decode(codec.encode("text")).cast("string").alias("back")).collect()
+    assert all(r["text"] == r["back"] for r in back)
+    monkeypatch.setattr(bpe, "MEMORY", 3)
+    small = bpe.Codec(bpe.read_ranks(__import__("public_tokenizers").path(bpe.VOCABULARY)), codec.pattern)
+    texts = ["the quick brown fox", "x" * 100 + " the fox", "", "another brown fox and another"]
+    assert list(small.encode_many(texts)) == [encoding.encode_ordinary(t) for t in texts] and len(small.known) <= 20
+
+
+# --- I-Match
+
+
+def test_imatch_edits_and_neighbours(spark, mixed, empty):
+    rows = imatch.fingerprints(mixed).collect()
+    assert len(rows) == len(MIXED)
+    ordered = sorted(MIXED, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    for k, (i, text, _) in enumerate(ordered):
+        text, after = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert (i, len(text), hashlib.sha256(edited.encode()).hexdigest()) in {(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows}
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("near_edited", "near_next"))
+    assert len({r["fingerprint"] for r in rows if r["doc_id"] == 5}) == 1
+    by_id = {r["doc_id"]: r["fingerprint"] for r in rows}
+    assert by_id[2] == by_id[3] == by_id[4] != by_id[5]
+    assert imatch.fingerprints(empty).count() == 0
+
+
+# --- chat
+
+
+RECORDS = [
+    ('{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"</s>[INST] ok [/INST]"}]}', [("user", "hi"), ("assistant", "</s>[INST] ok [/INST]")]),
+    ('{"conversations":[{"from":"human","value":"a<|end|>b"},{"from":"gpt","value":"\\\\e<|text|>"}]}', [("user", "a<|end|>b"), ("assistant", "\\e<|text|>")]),
+    ('{"instruction":"do","input":"this","output":"done"}', [("user", "do\n\nthis"), ("assistant", "done")]),
+    ('{"output":"done","instruction":"do"}', [("user", "do"), ("assistant", "done")]),
+    ('{"prompt":"p","completion":null}', [("user", "p"), ("assistant", "")]),
+    ('{"system":"s","prompt":"p","response":"r"}', [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    ('{"unknown":1}', None),
+    ("not json", None),
+    (None, None),
+]
+
+
+def test_layouts_become_turns_that_read_back(spark):
+    frame = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(RECORDS)], "conv_id long, record string")
+    rows = chat.format_records(frame).withColumn("back", chat.read_back(F.col("formatted"))).orderBy("conv_id").collect()
+    for r, (_, turns) in zip(rows, RECORDS, strict=True):
+        assert (None if r["back"] is None else [tuple(t) for t in r["back"]]) == turns
+        if turns:
+            masked = [r["formatted"][m["start"] : m["end"]] for m in r["loss_mask"]]
+            plain = [t for role, t in turns if role == "assistant"]
+            assert [m.replace("\\l|", "<|").replace("\\e", "\\") for m in masked] == plain
+
+
+def test_conversation_rows_with_nulls_and_ties(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (None, None, None, "x"), (2, 0, "assistant", "y" * 30_000)]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    found = {r["conv_id"]: r for r in chat.digests(chat.format_records(chat.records_of(frame))).collect()}
+    assert found[1]["n_turns"] == 3 and found[1]["loss_sha256"] == hashlib.sha256(b"ab").hexdigest()
+    assert found[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\na\nassistant\nb\n").hexdigest()
+    assert found[2]["loss_chars"] == 30_000 and found[None]["n_turns"] == 1
+    assert chat.records_of(frame.limit(0)).count() == 0
+
+
+# --- URL rules
+
+
+def test_rules_match_brute_force(spark):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x", "block"), ("a.example.net", "", "allow"), ("org", "/fr/", "allow"), ("org", "/fr/", "block")]
+    hosts = ["net", "example.net", "a.example.net", "b.a.example.net", "xexample.net", "org", "x.org", "", "com"]
+    paths = ["", "/", "/en/", "/en/xy", "/en", "/fr/", "/fr/é\U0010ffff", "/en/x\U0010ffff"]
+    urls = [f"http://{h.upper()}{p}?q#f" for h in hosts for p in paths] + ["nothing", None, "://", "x://y://z/q", "http://net/"]
+    rows = [(i, u, "clash", "clash") for i, u in enumerate([*urls, *urls[:5]])] + [(None, "http://net/", "a", "b")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    found = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judge(frame, url_rules.rule_table(spark, rules)).collect()}
+
+    def judged(i, url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits)[:2] if fits else None
+        verdict = min(v for _, r, v in fits if r == best[1]) if best else "allow"
+        return i, host, path, best[1] if best else None, verdict
+
+    assert found == {judged(i, u) for i, u, _, _ in rows}
+    assert url_rules.judge(frame.limit(0), url_rules.rule_table(spark, rules)).count() == 0
+
+
+# --- embeddings
+
+
+def brute_embeddings(rows):
+    usable = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v) and len(v) == 8]
+    x = np.array([rows[i][1] for i in usable], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    pairs = [(usable[a], usable[b]) for a, b in zip(*np.nonzero(near), strict=True) if a != b]
+    links = [sum(a == i for a, _ in pairs) for i in range(len(rows))]
+    root = roots(len(rows), pairs)
+    ids = [r[0] for r in rows]
+    return {(ids[i], links[i], min(ids[j] for j in range(len(rows)) if root[j] == root[i])) for i in range(len(rows))}
+
+
+def test_embeddings_match_brute_force(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    centres = random.normal(size=(12, 8))
+    rows = [(i, [float(np.float32(v)) for v in centres[i % 12] + random.normal(scale=0.12, size=8)]) for i in range(500)]
+    rows += [(600, None), (601, [0.0] * 8), (602, [1.0] * 7 + [None]), (603, [1.0] * 7 + [float("nan")]), (604, [1.0] * 9), (605, rows[0][1]), (606, [x * 3 for x in rows[1][1]]), (607, [])]
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, n_links int, id int")
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
+    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(embed_dedup, "MARGIN", 0.44)  # in few dimensions a border is no obstacle to a link: the exact bound
+    found = [tuple(r) for r in embed_dedup.near_duplicates(frame).collect()]
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert {r[:3] for r in found} == brute_embeddings(rows) and len(found) == len(rows)
+    assert all(r[3] == (r[0] == r[2]) for r in found)
+    assert embed_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+# --- shards
+
+
+def test_plan_merges_by_tiers():
+    shards = [sharding.Shard(f"s{i:02d}", size) for i, size in enumerate([10] * 9 + [40] * 3 + [200])]
+    groups = sharding.plan_merges(shards, target=160, fanout=4)
+    merged = [sum(s.bytes for s in g) for g in groups]
+    assert sorted(merged) == [40, 160] or all(m >= 40 for m in merged)
+    assert all(s.bytes < 160 for g in groups for s in g)
+    assert sharding.plan_merges(shards[:3], 160, 4) == []
+
+
+def test_store_versions_conflicts_and_reads(spark, mixed, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    assert store.read() is None and store.compact() is None
+    for k in range(4):
+        store.append(mixed.withColumn("arrival", F.lit(k)), "arrival")
+    assert store.versions() == [1, 2, 3, 4]
+    with pytest.raises(sharding.Conflict):
+        store.commit(3, [])
+    before = store.read().count()
+    version = store.compact(target=1 << 20)
+    assert version == 5 and len(store.manifest()[1]) == 1 and store.manifest()[1][0].arrivals == 4
+    assert store.read().count() == before == 4 * len(MIXED) and store.read(2).count() == 2 * len(MIXED)
+    assert store.vacuum() == 4 and store.read().count() == before
+    json.loads((tmp_path / "store/manifests/000000000005.json").read_text())
+
+
+def test_sharded_documents(spark, mixed, empty, tmp_path):
+    rows = sharding.shard_documents(mixed, f"file://{tmp_path}/a", arrivals=3, target=1 << 20).collect()
+    want = sorted((i is not None, i or 0, (i or 0) % 3, len((t or "").encode()), None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t, _ in MIXED)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["arrival"], r["n_bytes"], r["text_sha256"]) for r in rows) == want
+    assert sharding.shard_documents(empty, f"file://{tmp_path}/b").count() == 0
