@@ -114,7 +114,7 @@ d AS (SELECT u.member, degrees(acos(greatest(-1.0, least(1.0, (a*ma + b*mb + c*m
 SELECT member, round(avg(angle), 5) AS mean_angle, count(*) AS n FROM d GROUP BY member""")
 def angle_to_mean_member(spark: SparkSession, folder: str) -> DataFrame:
     """Angle between each member's unit vector and the members' mean."""
-    rows = voxels(spark, folder).where("z < 24").withColumn("member", F.floor(F.col("z") / 8))
+    rows = voxels(spark, folder).where("z < 24").withColumn("member", F.floor(F.col("z") / 8).cast("int"))
     part = lambda k: F.avg(F.when(F.col("z") % 3 == k, F.col("v")))
     m = rows.groupBy("y", "x", "member").agg(*[part(k).alias(n) for k, n in enumerate("abc")])
     u = m.select("y", "x", "member", *[c.alias(n) for n, c in zip("abc", vectors.unit((F.col("a"), F.col("b"), F.col("c")), 1e-12), strict=True)])

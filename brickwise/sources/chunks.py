@@ -70,10 +70,19 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def array_metadata(spark: SparkSession, path: str) -> dict:
-    """Shape, chunk shape, fill and key rule of an uncompressed byte array, from its version 2 or 3 metadata file, read by Spark."""
+    """Shape, chunk shape, fill and key rule of an uncompressed byte array, from its version 2 or 3 metadata file on any file system Spark reaches."""
+    jvm = spark.sparkContext._jvm  # Spark's own readers skip files whose names begin with a dot
+
     def load(name: str) -> dict | None:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(path).select("content").head(1)
-        return json.loads(bytes(found[0][0])) if found else None
+        file = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(file):
+            return None
+        stream = system.open(file)
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     two, three = load(".zarray"), None
     if two is None:
