@@ -69,23 +69,21 @@ def nearest_fill(spark: SparkSession, folder: str) -> DataFrame:
     return filled.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.sum("near_u").alias("total"))
 
 
-@register("upsample_masked_trilinear", f"""WITH {VOXELS_SQL}, c AS (SELECT z, y, x, v, valid FROM coded WHERE z < 6 AND y < 10 AND x < 10),
-g AS (SELECT CAST(a.i AS INT) AS z, CAST(b.i AS INT) AS y, CAST(d.i AS INT) AS x, (a.i + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS pz, (b.i + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS py, (d.i + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS px FROM range(20) a(i), range(36) b(i), range(36) d(i)), o(n) AS (VALUES (0), (1)),
-w AS (SELECT g.z AS gz, g.y AS gy, g.x AS gx, CAST(floor(pz) AS INT) + a.n AS z, CAST(floor(py) AS INT) + b.n AS y, CAST(floor(px) AS INT) + d.n AS x,
-  (CASE a.n WHEN 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END) * (CASE b.n WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE d.n WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM g, o a, o b, o d),
-s AS (SELECT gz, gy, gx, sum(CASE WHEN valid = 1 THEN w * v ELSE 0 END) AS top, sum(CASE WHEN valid = 1 THEN w ELSE 0 END) AS part FROM w JOIN c USING (z, y, x) GROUP BY 1, 2, 3)
-SELECT gz AS z, count(*) FILTER (WHERE part >= 0.5) AS n, round(sum(top / part) FILTER (WHERE part >= 0.5), 5) AS total FROM s GROUP BY gz""")
+@register("upsample_masked_trilinear", f"""WITH {VOXELS_SQL}, h AS (SELECT unnest(range(2)) AS d), g AS (SELECT c.z * 2 + a.d AS z, c.y * 2 + b.d AS y, c.x * 2 + e.d AS x FROM coded c, h a, h b, h e), q AS (SELECT *, (z + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS pz, (y + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS py, (x + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS px FROM g), o(n) AS (VALUES (0), (1)),
+w AS (SELECT q.z AS gz, q.y AS gy, q.x AS gx, CAST(floor(pz) AS INT) + a.n AS z, CAST(floor(py) AS INT) + b.n AS y, CAST(floor(px) AS INT) + d.n AS x,
+  (CASE a.n WHEN 1 THEN pz - floor(pz) ELSE 1 - (pz - floor(pz)) END) * (CASE b.n WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE d.n WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM q, o a, o b, o d),
+s AS (SELECT gz, gy, gx, sum(CASE WHEN valid = 1 THEN w * v ELSE 0 END) AS top, sum(CASE WHEN valid = 1 THEN w ELSE 0 END) AS part FROM w JOIN coded USING (z, y, x) GROUP BY 1, 2, 3)
+SELECT CAST(gz AS INT) AS z, count(*) AS n, round(sum(top / part), 5) AS total FROM s WHERE part > 0.4 GROUP BY gz""")
 def upsample_masked_trilinear(spark: SparkSession, folder: str) -> DataFrame:
-    """Coarse values at the centres of four times finer voxels, between valid voxels only, where these make up half of the weight."""
-    coarse = coded_voxels(spark, folder).where(grid.inside((0, 0, 0), (6, 10, 10)))
-    fine = grid.box_grid(spark, (0, 0, 0), (20, 36, 36)).withColumn("id", F.struct(*AXES))
-    points = fine.select("id", *[((F.col(a) + 0.5) / 4 - 0.5).alias(f"p{a}") for a in AXES])
+    """Values at the centres of twice finer voxels, between valid voxels only, where these make up over 0.4 of the weight."""
+    coarse = coded_voxels(spark, folder)
+    fine = grid.refined(coarse.select(*AXES), 2)
+    points = fine.select(F.struct(*AXES).alias("id"), *[((F.col(a) + 0.5) / 2 - 0.5).alias(f"p{a}") for a in AXES])
     one = F.when(F.col("valid") == 1, 1.0).otherwise(0.0)
     top = joins.trilinear(points, coarse.withColumn("t", one * F.col("v")), "t")
     part = joins.trilinear(points, coarse.withColumn("p", one), "p")
-    both = top.join(part, "id").where("p >= 0.5")
-    counted = both.groupBy(F.col("id.z").alias("z")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") / F.col("p")), 5).alias("total"))
-    return fine.select("z").distinct().join(counted, "z", "left").select("z", F.coalesce("n", F.lit(0)).alias("n"), "total")
+    both = top.join(part, "id").where("p > 0.4")
+    return both.groupBy(F.col("id.z").alias("z")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") / F.col("p")), 5).alias("total"))
 
 
 @register("export_pooled_bytes", f"""WITH {VOXELS_SQL}, p AS (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, sum(CASE WHEN valid > 0 THEN v ELSE 0 END) / greatest(sum(CASE WHEN valid > 0 THEN 1 ELSE 0 END), 1.0::DOUBLE) AS v, sum(CASE WHEN valid > 0 THEN 1 ELSE 0 END) / 8.0 AS cover FROM coded GROUP BY 1, 2, 3)
@@ -96,25 +94,27 @@ def export_pooled_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return pooled.groupBy(F.when(F.col("cover") < 0.5, 0).otherwise(codec.encode_signed(F.col("v"))).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("radial_rays", f"""WITH {VOXELS_SQL}, r AS (SELECT CAST(a.i * 4 AS INT) AS z, CAST(b.i AS INT) AS angle, CAST(k.i AS INT) AS k, 15.5::DOUBLE + k.i * sin(radians(b.i * 30)) AS py, 15.5::DOUBLE + k.i * cos(radians(b.i * 30)) AS px FROM range(7) a(i), range(12) b(i), range(14) k(i)), o(n) AS (VALUES (0), (1)),
+@register("radial_rays", f"""WITH {VOXELS_SQL}, l AS (SELECT DISTINCT z FROM vox WHERE z % 4 = 0), r AS (SELECT a.z, CAST(b.i AS INT) AS angle, CAST(k.i AS INT) AS k, 15.5::DOUBLE + k.i * sin(radians(b.i * 30)) AS py, 15.5::DOUBLE + k.i * cos(radians(b.i * 30)) AS px FROM l a, range(12) b(i), range(14) k(i)), o(n) AS (VALUES (0), (1)),
 w AS (SELECT r.z, angle, k, CAST(floor(py) AS INT) + b.n AS y, CAST(floor(px) AS INT) + c.n AS x, (CASE b.n WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE c.n WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM r, o b, o c)
 SELECT z, angle, round(sum(w * coalesce(v, 0)), 4) AS total FROM w LEFT JOIN vox USING (z, y, x) GROUP BY z, angle""")
 def radial_rays(spark: SparkSession, folder: str) -> DataFrame:
     """Samples along rays from the middle of every fourth layer, twelve angles, fourteen steps."""
-    steps = spark.range(7 * 12 * 14).select((F.floor(F.col("id") / 168) * 4).cast("int").alias("z"), (F.floor(F.col("id") / 14) % 12).cast("int").alias("angle"), (F.col("id") % 14).cast("int").alias("k"))
+    rows = voxels(spark, folder)
+    layers = rows.select("z").where("z % 4 = 0").distinct()
+    steps = layers.select("z", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("angle")).select("*", F.explode(F.sequence(F.lit(0), F.lit(13))).alias("k"))
     turn = F.radians(F.col("angle") * 30)
     points = steps.select(F.struct("z", "angle", "k").alias("id"), F.col("z").cast("double").alias("pz"), (15.5 + F.col("k") * F.sin(turn)).alias("py"), (15.5 + F.col("k") * F.cos(turn)).alias("px"))
-    found = joins.trilinear(points, voxels(spark, folder), "v")
+    found = joins.trilinear(points, rows, "v")
     return found.groupBy(F.col("id.z").alias("z"), F.col("id.angle").alias("angle")).agg(F.round(F.sum("v"), 4).alias("total"))
 
 
-@register("angle_to_mean_member", f"""WITH {VOXELS_SQL}, m AS (SELECT y, x, z // 8 AS member, avg(CASE z % 3 WHEN 0 THEN v END) AS a, avg(CASE z % 3 WHEN 1 THEN v END) AS b, avg(CASE z % 3 WHEN 2 THEN v END) AS c FROM vox WHERE z < 24 GROUP BY 1, 2, 3),
+@register("angle_to_mean_member", f"""WITH {VOXELS_SQL}, m AS (SELECT y, x, z // 8 AS member, avg(CASE z % 3 WHEN 0 THEN v END) AS a, avg(CASE z % 3 WHEN 1 THEN v END) AS b, avg(CASE z % 3 WHEN 2 THEN v END) AS c FROM vox GROUP BY 1, 2, 3),
 u AS (SELECT y, x, member, a / sqrt(a*a+b*b+c*c) AS a, b / sqrt(a*a+b*b+c*c) AS b, c / sqrt(a*a+b*b+c*c) AS c FROM m), g AS (SELECT y, x, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM u GROUP BY y, x),
 d AS (SELECT u.member, degrees(acos(greatest(-1.0, least(1.0, (a*ma + b*mb + c*mc) / greatest(sqrt(ma*ma + mb*mb + mc*mc), 1e-9::DOUBLE))))) AS angle FROM u JOIN g USING (y, x))
 SELECT member, round(avg(angle), 5) AS mean_angle, count(*) AS n FROM d GROUP BY member""")
 def angle_to_mean_member(spark: SparkSession, folder: str) -> DataFrame:
     """Angle between each member's unit vector and the members' mean."""
-    rows = voxels(spark, folder).where("z < 24").withColumn("member", F.floor(F.col("z") / 8).cast("int"))
+    rows = voxels(spark, folder).withColumn("member", F.floor(F.col("z") / 8).cast("int"))
     part = lambda k: F.avg(F.when(F.col("z") % 3 == k, F.col("v")))
     m = rows.groupBy("y", "x", "member").agg(*[part(k).alias(n) for k, n in enumerate("abc")])
     u = m.select("y", "x", "member", *[c.alias(n) for n, c in zip("abc", vectors.unit((F.col("a"), F.col("b"), F.col("c")), 1e-12), strict=True)])

@@ -167,10 +167,10 @@ def robust_normalise(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("orientation48_invert")
 def orientation48_invert(spark: SparkSession, folder: str) -> DataFrame:
-    """For each of the 48 orientations: places of a cube that come back to themselves, and the vectors that do."""
-    cube = voxels(spark, folder).where(grid.inside((0, 0, 0), (8, 8, 8))).select(*AXES, "v")
+    """For each of the 48 orientations: places within a brick that come back to themselves, and the places they take."""
+    cube = voxels(spark, folder).select("v", *[(F.col(a) % 4).alias(a) for a in AXES])
     turns = spark.createDataFrame([(i, list(axes), list(signs)) for i, axes, signs in vectors.orientations()], "element int, axes array<int>, signs array<int>")
-    c = [F.col(a) - 3.5 for a in AXES]
+    c = [F.col(a) - 1.5 for a in AXES]
     spread = cube.join(F.broadcast(turns))  # 48 rows
     place = F.array(*c)
     turned = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get(place, F.get("axes", k)) * F.get("signs", k))

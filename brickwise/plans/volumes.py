@@ -185,11 +185,12 @@ def coarse_fine_join(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.count("top").alias("n_joined"), F.sum(F.col("top") - F.col("u")).alias("gap"))
 
 
-@register("upsample_nearest", f"""WITH {VOXELS_SQL}, c AS (SELECT z, y, x, u FROM coded WHERE z < 4 AND y < 8 AND x < 8), g AS (SELECT CAST(a.i AS INT) AS z, CAST(b.i AS INT) AS y, CAST(d.i AS INT) AS x FROM range(12) a(i), range(24) b(i), range(24) d(i))
-SELECT g.z, CAST(sum(u) AS BIGINT) AS total, count(*) AS n FROM g JOIN c ON c.z = g.z // 3 AND c.y = g.y // 3 AND c.x = g.x // 3 GROUP BY g.z""")
+@register("upsample_nearest", f"""WITH {VOXELS_SQL}, s AS (SELECT unnest(range(3)) AS d), f AS (SELECT CAST(c.z * 3 + a.d AS INT) AS z, u FROM coded c, s a, s b, s e)
+SELECT z, CAST(sum(u) AS BIGINT) AS total, count(*) AS n FROM f GROUP BY z""")
 def upsample_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    coarse = coded_voxels(spark, folder).where(grid.inside((0, 0, 0), (4, 8, 8))).select(*AXES, "u")
-    fine = joins.coarse_join(grid.box_grid(spark, (0, 0, 0), (12, 24, 24)), coarse, 3, how="inner")
+    """Every voxel of a three times finer grid with the value of the voxel that covers it."""
+    coarse = coded_voxels(spark, folder).select(*AXES, "u")
+    fine = joins.coarse_join(grid.refined(coarse.select(*AXES), 3), coarse, 3, how="inner")
     return fine.groupBy("z").agg(F.sum("u").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
