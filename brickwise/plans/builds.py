@@ -228,8 +228,8 @@ def ray_autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("windings_per_period")
 def windings_per_period(spark: SparkSession, folder: str) -> DataFrame:
-    """Per ray and window of 32 samples: mean value times the dominant period."""
-    return rays.per_period(event_rays(spark, folder), 32, 16, 3.0, 16.0)
+    """Per ray and window of sixteen samples, four fifths of them valid: mean value times the dominant period."""
+    return rays.per_period(event_rays(spark, folder), 16, 8, 3.0, 8.0, 0.8)
 
 
 @register("ray_gate", """WITH ray AS (SELECT user_id AS ray_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, value AS v FROM events), s AS (SELECT ray_id, v, lag(v) OVER (PARTITION BY ray_id ORDER BY k) AS b FROM ray), r AS (SELECT ray_id, bool_and(isfinite(v)) AS finite, avg(CASE WHEN v >= b THEN 1.0 ELSE 0.0 END) FILTER (WHERE b IS NOT NULL) AS rising, median(v) AS mid FROM s GROUP BY ray_id)

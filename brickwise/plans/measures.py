@@ -30,7 +30,7 @@ def average_precision(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("auroc", f"""WITH {_SCORES_SQL}, r AS (SELECT lang, positive, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS rk FROM s)
-SELECT lang, round((sum(rk) FILTER (WHERE positive) - count(*) FILTER (WHERE positive) * (count(*) FILTER (WHERE positive) + 1) / 2) / (count(*) FILTER (WHERE positive) * count(*) FILTER (WHERE NOT positive)), 6) AS auroc FROM r GROUP BY lang""")
+SELECT lang, round(CASE WHEN count(*) FILTER (WHERE positive) > 0 AND count(*) FILTER (WHERE NOT positive) > 0 THEN (sum(rk) FILTER (WHERE positive) - count(*) FILTER (WHERE positive) * (count(*) FILTER (WHERE positive) + 1) / 2) / (count(*) FILTER (WHERE positive) * count(*) FILTER (WHERE NOT positive)) END, 6) AS auroc FROM r GROUP BY lang""")
 def auroc(spark: SparkSession, folder: str) -> DataFrame:
     return aggregates.auroc(_scores(spark, folder), "score", "positive", ["lang"]).select("lang", F.round("auroc", 6).alias("auroc"))
 

@@ -56,11 +56,12 @@ def gradient_ridge(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("turns", stencil.ridge("gx", "x")).where("turns").groupBy("z").agg(F.count(F.lit(1)).alias("n_ridge"))
 
 
-@register("box_filter_3", f"""WITH {VOXELS_SQL}, m AS (SELECT a.z, a.y, a.x, sum(b.u) / 27.0 AS m FROM coded a JOIN coded b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3)
-SELECT z, round(avg(m), 6) AS mean_box, round(max(m), 6) AS max_box FROM m GROUP BY z""")
+@register("box_filter_3", f"""WITH {VOXELS_SQL}, m AS (SELECT a.z, a.y, a.x, sum(b.u) AS s FROM coded a JOIN coded b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3)
+SELECT z, CAST(sum(s) AS BIGINT) AS sum_box, CAST(max(s) AS BIGINT) AS max_box FROM m GROUP BY z""")
 def box_filter_3(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stencil.box_mean(coded_voxels(spark, folder).select(*grid.AXES, "u"), "u", 1, "m")
-    return rows.groupBy("z").agg(F.round(F.avg("m"), 6).alias("mean_box"), F.round(F.max("m"), 6).alias("max_box"))
+    """Sums of the 27 codes around each voxel, by layer."""
+    rows = stencil.box_mean(coded_voxels(spark, folder).select(*grid.AXES, "u"), "u", 1, "m").withColumn("s", F.rint(F.col("m") * 27).cast("long"))
+    return rows.groupBy("z").agg(F.sum("s").alias("sum_box"), F.max("s").alias("max_box"))
 
 
 @register("medial_ridge_max26", f"""WITH {VOXELS_SQL}, m AS (SELECT a.z, a.y, a.x, a.u, max(b.u) AS top FROM coded a JOIN coded b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3, 4)

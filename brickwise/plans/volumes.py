@@ -342,7 +342,7 @@ def holdout_box_anti(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("exclusion_islands", """WITH i AS (SELECT l_suppkey, l_quantity AS lo, l_quantity + l_tax * 10 AS hi FROM lineitem WHERE l_linenumber = 1 AND l_discount > 0.05),
 s AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM i),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY l_suppkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM s)
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY l_suppkey ORDER BY lo, hi) AS island FROM s)
 SELECT l_suppkey, count(DISTINCT island) AS islands, round(sum(w), 4) AS covered FROM (SELECT l_suppkey, island, max(hi) - min(lo) AS w FROM g GROUP BY 1, 2) JOIN (SELECT DISTINCT l_suppkey FROM g) USING (l_suppkey) GROUP BY l_suppkey""")
 def exclusion_islands(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").where("l_linenumber = 1 and l_discount > 0.05").select("l_suppkey", F.col("l_quantity").alias("lo"), (F.col("l_quantity") + F.col("l_tax") * 10).alias("hi"))
