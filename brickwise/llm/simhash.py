@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickwise.operators.components import connected_components
-from brickwise.runtime import materialize
+from brickwise.runtime import broadcast_if_small, materialize
 
 SEED = 42
 #: Generator polynomial of the binary Golay code, fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -57,7 +57,7 @@ def fingerprint(text: Column | str, words: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_bytes(x or b"", words) for x in texts.cast(pa.large_binary()).to_pylist()], pa.int64())
+        return pa.array((fingerprint_bytes(x.as_py() or b"", words) for x in texts.cast(pa.large_binary())), pa.int64(), size=len(texts))
 
     return of(text)
 
@@ -166,7 +166,7 @@ class NearCopies:
     passage_words: int = 12
     least_words: int = 6
     #: Texts of the similarity differ in 10 bits on average, with a deviation of 3.
-    most_bits: int = 26
+    most_bits: int = 22
 
 
 def _shingle_hashes(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +214,8 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Copies have the same words (A-Z in either case, whatever the white space). In a passage's bucket each text meets the text that shares most of its own
     passages, the one with the smallest id, and its neighbour by size; a group is what verified pairs connect. So buckets of
-    any size cost as much as they have rows. Texts without words are copies of each other. Null ids are ignored.
+    any size cost as much as they have rows. Texts without words are copies of each other. Null ids are ignored; an id with
+    several texts is linked if one of them is.
     """
     rule = rule or NearCopies()
 
@@ -254,8 +255,8 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     met = starred.unionByName(chained).unionByName(alike).unionByName(linked).where("a <> b").where(close)
     pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     # verified on the whole sets of shingles
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = known.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+    texts = known.join(broadcast_if_small(involved), "id", "left_semi")
     sets = materialize(texts.select("id", shingles("text").alias("s")), "shingle-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -271,7 +272,8 @@ def keep_one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_co
     Rows with a null id stay. All columns stay.
     """
     gone = materialize(near_copy_groups(documents, id_col, text_col, rule).select(F.col("id").alias("_bw_id")).distinct(), "gone")
-    rest = documents.join(gone, documents[id_col] == gone["_bw_id"], "left_anti")
+    rest = documents.join(broadcast_if_small(gone), documents[id_col] == gone["_bw_id"], "left_anti")
     again = materialize(documents.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_bw_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_bw_id"), "repeated")
-    once = rest.join(again, rest[id_col] == again["_bw_id"], "left_anti")
-    return once.unionByName(rest.join(again, rest[id_col] == again["_bw_id"], "left_semi").dropDuplicates([id_col]))
+    few = broadcast_if_small(again)
+    once = rest.join(few, rest[id_col] == few["_bw_id"], "left_anti")
+    return once.unionByName(rest.join(few, rest[id_col] == few["_bw_id"], "left_semi").dropDuplicates([id_col]))
