@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a worker remembers, and the longest one it does, in characters: 256 bytes each or so.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 150_000, 64
 #: Characters of the texts whose new pre-tokens are merged in one call.
 GROUP = 400_000
 
