@@ -339,7 +339,6 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, n_links int, id int")
     monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
     monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(embed_dedup, "MARGIN", 0.44)  # in few dimensions a border is no obstacle to a link: the exact bound
     found = [tuple(r) for r in embed_dedup.near_duplicates(frame).collect()]
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert {r[:3] for r in found} == brute_embeddings(rows) and len(found) == len(rows)
