@@ -195,7 +195,7 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def sketch_bytes(text: bytes, rule: NearCopies) -> tuple[int, int, int, list[int]]:
-    """(digest of the words, fingerprint, number of shingles, distinct fingerprints of the passages) of a text."""
+    """(digest of the words, fingerprint and number of the distinct shingles, distinct fingerprints of the passages) of a text."""
     hashes, mark = _shingle_hashes(text, rule.words)
     if not len(hashes):
         return 0, 0, 0, []
@@ -205,8 +205,9 @@ def sketch_bytes(text: bytes, rule: NearCopies) -> tuple[int, int, int, list[int
     for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(mark)], strict=True):
         if end - start >= max(rule.least_words, rule.words):
             found.add(_majority(hashes[start : end - rule.words + 1]))
-    fp = _majority(hashes)
-    return content - (1 << 63), fp, len(hashes), sorted(found or {fp})
+    distinct = np.unique(hashes)  # what similarity is defined on
+    fp = _majority(distinct)
+    return content - (1 << 63), fp, len(distinct), sorted(found or {fp})
 
 
 def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: NearCopies | None = None) -> DataFrame:

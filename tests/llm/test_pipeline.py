@@ -62,6 +62,30 @@ def test_near_copies_of_every_kind(spark):
     assert simhash.keep_one_of_each_group(docs.limit(0)).count() == 0
 
 
+def lowest_of_groups(texts):
+    """Brute force: by id, the smallest id that near copies can reach."""
+    ids, sets = sorted(texts), {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def groups_found(spark, texts):
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    return {i: i for i in texts} | {r.id: r.root for r in simhash.near_copy_groups(docs).collect()}
+
+
+def test_near_copies_that_repeat_themselves(spark):
+    base = " ".join(f"w{i * i % 1009}" for i in range(200))
+    line = "all rights reserved by the makers of this page "
+    texts = {1: base, 2: f"{base} {base}", 3: "x y z " + line * 10 + base[:600], 4: "x y z " + line * 90 + base[:600]}
+    assert groups_found(spark, texts) == lowest_of_groups(texts) == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_no_personal_data_is_left(stages):
     assert pii.pii_report(stages[3]).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert stages[3].count() == stages[2].count()
