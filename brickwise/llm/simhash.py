@@ -10,6 +10,7 @@ distance (one to six of them), so that words at distance one always meet. Key ma
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,118 +154,128 @@ def simhash_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
 @dataclass(frozen=True)
 class NearCopies:
-    """When two texts are near copies, and where they are looked for.
+    """When two texts are near copies: they share ``similarity`` of their distinct ``words``-word shingles (Jaccard).
 
-    Near copies share ``similarity`` of their distinct ``words``-word shingles (Jaccard). They are candidates if their whole
-    fingerprints link, or if they hold a passage with the same fingerprint: a passage ends where a word's ends and length say so, so
-    an edit changes one or two passages only. A document is looked up under its ``passages`` rarest passages that occur elsewhere.
+    Candidates have a guarantee: put the n shingles of each text in one order that is the same for all texts. Two texts of the similarity
+    share one of their first n - ceil(similarity n) + 1, and what follows the first one they share is long enough on either side.
+    Any order is right; rare shingles first makes it fast. So shingles that a sample of about ``sampled`` rows repeats come last, by their
+    counts there, ``listed`` of them at most.
     """
 
     words: int = 5
     similarity: float = 0.8
-    passages: int = 8
-    passage_words: int = 12
-    least_words: int = 6
-    #: Texts of the similarity differ in 10 bits on average, with a deviation of 3.
-    most_bits: int = 22
+    sampled: int = 20_000
+    listed: int = 200_000
 
+    def prefix(self, n: int) -> int:
+        return n - math.ceil(self.similarity * n - 1e-9) + 1 if n else 0
 
-def _shingle_hashes(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word shingles of a text in order, and for each word whether a passage ends with it."""
+    def fits(self, na: Column, ia: Column, nb: Column, ib: Column) -> Column:
+        """Whether sizes ``na``, ``nb`` allow the similarity if the first common shingles are at places ``ia``, ``ib``."""
+        sizes = F.least(na, nb) >= self.similarity * F.greatest(na, nb) - 1e-6
+        return sizes & (F.least(na - ia, nb - ib) >= self.similarity / (1 + self.similarity) * (na + nb) - 1e-6)
+
+
+#: Members of a bucket that meet the whole bucket in one task.
+CHUNK = 256
+
+
+def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the distinct word shingles of a text, sorted."""
     tokens = text.lower().split()
     if not tokens:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    letters = np.frombuffer(joined, dtype=np.uint8)
-    mark = letters[starts].astype(np.int64) * 31 + letters[ends - 1].astype(np.int64) * 7 + sizes * 13
     count = max(1, len(tokens) - words + 1)
     last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:count].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=count)
-    return hashes, mark
-
-
-def _majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, dtype=np.int64)
-    for part in np.array_split(hashes, len(hashes) // 65536 + 1):
-        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:count].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=count))
 
 
-def sketch_bytes(text: bytes, rule: NearCopies) -> tuple[int, int, int, list[int]]:
-    """(digest of the words, fingerprint and number of the distinct shingles, distinct fingerprints of the passages) of a text."""
-    hashes, mark = _shingle_hashes(text, rule.words)
+def sketch_bytes(text: bytes, rule: NearCopies, common: np.ndarray, counts: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(digest and number of the distinct shingles, those that come first) of a text; ``common`` are the sorted hashes that come last, by ``counts``."""
+    hashes = _shingle_hashes(text, rule.words)
     if not len(hashes):
-        return 0, 0, 0, []
+        return 0, 0, hashes.view(np.int64)
     content = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-    cuts = np.nonzero(mark % rule.passage_words == 0)[0] + 1
-    found = set()
-    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(mark)], strict=True):
-        if end - start >= max(rule.least_words, rule.words):
-            found.add(_majority(hashes[start : end - rule.words + 1]))
-    distinct = np.unique(hashes)  # what similarity is defined on
-    fp = _majority(distinct)
-    return content - (1 << 63), fp, len(distinct), sorted(found or {fp})
+    often = np.zeros(len(hashes), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = np.where(common[at] == hashes, counts[at], 0)
+    first = hashes[np.argsort(often, kind="stable")][: rule.prefix(len(hashes))]
+    return content - (1 << 63), len(hashes), first.view(np.int64)
 
 
 def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: NearCopies | None = None) -> DataFrame:
     """(id, root): every id that isn't the smallest of its group of copies and near copies, with that smallest id.
 
-    Copies have the same words (A-Z in either case, whatever the white space). In a passage's bucket each text meets the text that shares most of its own
-    passages, the one with the smallest id, and its neighbour by size; a group is what verified pairs connect. So buckets of
-    any size cost as much as they have rows. Texts without words are copies of each other. Null ids are ignored; an id with
-    several texts is linked if one of them is.
+    Copies have the same shingles (A-Z in either case, whatever the white space). A bucket holds the texts with one shingle among their first.
+    There each text first meets the text that shares most of its own first shingles, the one with the smallest id, and its neighbour by size; then
+    all texts of a bucket that aren't grouped yet meet, in chunks. So a bucket of one group costs as much as it has rows, and no pair is missed.
+    Texts without words are copies of each other. Null ids are ignored; an id with several texts is linked if one of them is.
     """
     rule = rule or NearCopies()
 
-    @F.arrow_udf("content long, fp long, n long, passages array<long>")
-    def sketch(texts: pa.Array) -> pa.Array:
-        rows = [sketch_bytes(x.as_py() or b"", rule) for x in texts.cast(pa.large_binary())]
-        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-        return pa.StructArray.from_arrays([*columns, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["content", "fp", "n", "passages"])
-
     @F.arrow_udf("array<long>")
     def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(_shingle_hashes(x.as_py() or b"", rule.words)[0]).view(np.int64) for x in texts.cast(pa.large_binary())], pa.list_(pa.int64()))
+        return pa.array([_shingle_hashes(x.as_py() or b"", rule.words).view(np.int64) for x in texts.cast(pa.large_binary())], pa.list_(pa.int64()))
 
     known = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    every = max(1, math.ceil(known.count() / rule.sampled))
+    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode(shingles("text")).alias("p"))
+    top = drawn.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 2").orderBy(F.desc("c"), "p").limit(rule.listed).toArrow()
+    common, counts = (top.column(k).to_numpy().astype(np.int64) for k in ("p", "c"))
+    sort = np.argsort(common.view(np.uint64))
+    common, counts = common.view(np.uint64)[sort], counts[sort]
+
+    @F.arrow_udf("content long, n int, first array<long>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        rows = [sketch_bytes(x.as_py() or b"", rule, common, counts) for x in texts.cast(pa.large_binary())]
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))]
+        return pa.StructArray.from_arrays(columns, ["content", "n", "first"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose whole sets of shingles have the similarity."""
+        involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+        sets = materialize(known.join(broadcast_if_small(involved), "id", "left_semi").select("id", shingles("text").alias("s")), "shingle-sets")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return both.where(common >= rule.similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
     rows = materialize(known.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketches")
-    same = ["content", "fp", "n"]
-    nodes = materialize(rows.groupBy(*same).agg(F.min("id").alias("node"), F.first("passages").alias("passages")), "texts")
-    # candidates by passage
-    spread = nodes.select("node", "fp", "n", F.size("passages").alias("k"), F.explode("passages").alias("p"))
-    often = spread.groupBy("p").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = spread.join(often, "p")
-    own = Window.partitionBy("node")
-    ranked = shared.withColumn("share", F.count(F.lit(1)).over(own) / F.col("k")).withColumn("r", F.row_number().over(own.orderBy("df", "p")))
-    buckets = materialize(ranked.where(F.col("r") <= rule.passages).select("p", "node", "fp", "n", "share"), "buckets")
-    member = F.struct("node", "fp", "n")
+    same = ["content", "n"]
+    nodes = materialize(rows.groupBy(*same).agg(F.min("id").alias("node"), F.first("first").alias("first")), "texts")
+    spread = nodes.select("node", "n", F.size("first").alias("k"), F.posexplode("first").alias("i", "p"))
+    often = spread.groupBy("p").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("p")
+    shared = spread.join(often, "p").withColumn("share", F.count(F.lit(1)).over(Window.partitionBy("node")) / F.col("k"))
+    buckets = materialize(shared.select("p", "node", "n", "i", "share"), "buckets")
+    # each text with a few of its bucket
+    member = F.struct("node", "n", "i")
     hubs = buckets.groupBy("p").agg(F.max_by(member, F.struct("share", -F.col("node"))).alias("central"), F.min(member).alias("lowest"))
-    pair = lambda other: F.struct(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), other["node"].alias("b"), other["fp"].alias("fb"), other["n"].alias("nb"))
-    starred = buckets.join(hubs, "p").select(F.explode(F.array(pair(F.col("central")), pair(F.col("lowest")))).alias("x")).select("x.*")
+    starred = buckets.join(hubs, "p").select("node", "n", "i", F.explode(F.array("central", "lowest")).alias("other"))
     beside = F.lag(member).over(Window.partitionBy("p").orderBy("n", "node"))
-    chained = buckets.withColumn("other", beside).where("other is not null").select(pair(F.col("other")).alias("x")).select("x.*")
-    # candidates by whole fingerprint
-    firsts = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"))
-    alike = nodes.join(firsts.select("fp", F.col("node").alias("b"), F.col("n").alias("nb")), "fp").select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("n").alias("na"), "b", F.col("fp").alias("fb"), "nb")
-    linked = near_pairs(nodes.select("fp").distinct()).withColumnRenamed("a", "fa").withColumnRenamed("b", "fb")
-    linked = linked.join(firsts.select(F.col("fp").alias("fa"), F.col("node").alias("a"), F.col("n").alias("na")), "fa").join(firsts.select(F.col("fp").alias("fb"), F.col("node").alias("b"), F.col("n").alias("nb")), "fb").select("a", "fa", "na", "b", "fb", "nb")
-    close = (F.bit_count(F.expr("fa ^ fb")) <= rule.most_bits) & (F.least("na", "nb") >= rule.similarity * F.greatest("na", "nb"))
-    met = starred.unionByName(chained).unionByName(alike).unionByName(linked).where("a <> b").where(close)
-    pairs = materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    # verified on the whole sets of shingles
-    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
-    texts = known.join(broadcast_if_small(involved), "id", "left_semi")
-    sets = materialize(texts.select("id", shingles("text").alias("s")), "shingle-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    edges = both.where(common >= rule.similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    roots = connected_components(materialize(edges, "near-copies"))
+    chained = buckets.select("node", "n", "i", beside.alias("other")).where("other is not null")
+    met = starred.unionByName(chained).where(F.col("node") != F.col("other.node")).where(rule.fits(F.col("n"), F.col("i"), F.col("other.n"), F.col("other.i")))
+    pairs = materialize(met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct(), "candidates")
+    roots = materialize(connected_components(materialize(verified(pairs), "near-copies")), "roots")
+    # whatever isn't of the largest group of its bucket with the rest of the bucket
+    grouped = buckets.select("p", "node", "n", "i").join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = materialize(grouped, "grouped")
+    sizes = grouped.groupBy("p", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = sizes.groupBy("p").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.ceil((F.sum("c") - F.max("c")) / CHUNK).cast("int").alias("chunks")).where("chunks > 0")
+    mixed = materialize(grouped.join(split, "p"), "mixed")
+    left = mixed.where("root <> major").select("p", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), *[F.col(c).alias(f"l{c}") for c in ("node", "n", "i", "root")])
+    right = mixed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    apart = (F.col("lroot") != F.col("root")) & ((F.col("root") == F.col("major")) | (F.col("lnode") < F.col("node")))
+    rest = left.join(right, ["p", "chunk"]).where(apart & rule.fits(F.col("ln"), F.col("li"), F.col("n"), F.col("i")))
+    rest = rest.select(F.least("lnode", "node").alias("a"), F.greatest("lnode", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = verified(materialize(rest, "other-candidates"))
+    roots = connected_components(materialize(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "all-near-copies"))
     placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*same, F.coalesce("root", "node").alias("root"))
-    return rows.join(placed, same).where("id <> root").select("id", "root").distinct()
+    return rows.select("id", *same).join(placed, same).where("id <> root").select("id", "root").distinct()
 
 
 def keep_one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: NearCopies | None = None) -> DataFrame:

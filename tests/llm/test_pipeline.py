@@ -86,6 +86,14 @@ def test_near_copies_that_repeat_themselves(spark):
     assert groups_found(spark, texts) == lowest_of_groups(texts) == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
+def test_near_copies_that_share_rare_passages_with_others(spark):
+    base = [f"w{i}" for i in range(1500)]
+    edited = lambda name, places: [f"{name}{i}" if i in places else w for i, w in enumerate(base)]
+    first, second = edited("a", range(50, 1450, 100)), edited("b", range(100, 1450, 100))
+    texts = {i: " ".join(t) for i, t in enumerate([first, [*first, "more"], second, [*second, "end"]])}
+    assert groups_found(spark, texts) == lowest_of_groups(texts) == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
 def test_no_personal_data_is_left(stages):
     assert pii.pii_report(stages[3]).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert stages[3].count() == stages[2].count()
