@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest tables, each held against its own input."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,19 @@ def test_near_copies_that_share_rare_passages_with_others(spark):
     assert groups_found(spark, texts) == lowest_of_groups(texts) == {0: 0, 1: 0, 2: 0, 3: 0}
 
 
+def test_near_copies_of_few_words(spark):
+    random = np.random.default_rng(4)
+    texts = {}
+    for size in range(6, 41):
+        words = [f"s{size}w{i}" for i in range(size)]
+        at = int(random.integers(1, size))
+        for kind in ([*words], [*words, "after"], ["before", *words], words[1:], words[:-1], [*words[:at], *words[at + 1 :]], [*words[:at], "within", *words[at:]]):
+            texts[len(texts)] = " ".join(kind)
+    expected = lowest_of_groups(texts)
+    assert len(set(expected.values())) < len(texts)
+    assert groups_found(spark, texts) == expected
+
+
 def test_no_personal_data_is_left(stages):
     assert pii.pii_report(stages[3]).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert stages[3].count() == stages[2].count()
