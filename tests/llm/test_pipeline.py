@@ -108,6 +108,11 @@ def test_near_copies_of_few_words(spark):
     assert groups_found(spark, texts) == expected
 
 
+def test_near_copies_whose_fingerprints_differ_in_23_bits(spark):
+    words = [f"v53x{i}" for i in range(9)]
+    assert groups_found(spark, {1: " ".join(words[:8]), 2: " ".join(words)}) == {1: 1, 2: 1}
+
+
 def test_no_personal_data_is_left(stages):
     assert pii.pii_report(stages[3]).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert stages[3].count() == stages[2].count()
