@@ -22,10 +22,6 @@ from brickwise.runtime import materialize
 THRESHOLD = 0.9
 #: Vectors of a cell on average, and cells at most; the centroids are fitted on SAMPLE_PER_CELL vectors for each cell.
 CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL, ROUNDS = 256, 4096, 16, 8
-#: A vector is a guest of a cell if it is no farther from the border to it than this many deviations of a linked vector's
-#: part along the border's direction. Only one of two linked vectors needs to be a guest of the other's cell, so a pair is
-#: missed if it spans twice that: four deviations.
-BORDER_DEVIATIONS = 2.0
 #: Rows on either side of a block.
 BLOCK_ROWS = 2048
 
@@ -49,11 +45,10 @@ def _units(arrays: pa.Array, size: int) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def border_margin(dimension: int, threshold: float) -> float:
-    """How far from a border a vector is a guest behind it: a linked vector is sin(angle) off, in a direction that is random to
-    the border's. In few dimensions this is the whole of it, and no link is missed."""
-    off = float(np.sqrt(1 - threshold * threshold))
-    return off * min(1.0, BORDER_DEVIATIONS / np.sqrt(max(1, dimension - 1)))
+def border_margin(threshold: float) -> float:
+    """How far from a border a vector is a guest behind it. Two linked vectors on either side are sqrt(2 - 2 threshold) apart at most and
+    their distances to the border add up to no more, so one of them is within half of it: no link is missed in any dimension."""
+    return float(np.sqrt((1 - threshold) / 2)) + 1e-9
 
 
 def assign_cells(vectors: DataFrame, centroids: np.ndarray, margin: float) -> DataFrame:
@@ -126,7 +121,7 @@ def links(vectors: DataFrame, dimension: int, total: int, threshold: float = THR
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CELL * k).select("vector").toArrow()
     column = sample.column("vector").combine_chunks()
     centroids = spherical_kmeans(_units(column, dimension), min(k, len(column)))
-    placed = materialize(assign_cells(vectors, centroids, border_margin(dimension, threshold)), "cells")
+    placed = materialize(assign_cells(vectors, centroids, border_margin(threshold)), "cells")
     every = placed.select("*", F.posexplode("cells").alias("nth", "cell"))
     counts = every.groupBy("cell").agg(F.count(F.when(F.col("nth") == 0, 1)).alias("residents"), F.count(F.lit(1)).alias("members"))
     chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")

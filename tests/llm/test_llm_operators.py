@@ -346,6 +346,17 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embed_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_links_across_borders_in_few_directions_of_64(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    x = random.normal(size=(600, 64)) * np.array([1.0] * 3 + [0.02] * 61)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    expected = (x @ x.T >= 0.9).sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(frame).collect()}
+    assert found == dict(enumerate(expected.tolist()))
+
+
 # --- shards
 
 
