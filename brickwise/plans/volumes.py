@@ -226,7 +226,8 @@ def axis_asof_lerp(spark: SparkSession, folder: str) -> DataFrame:
 SELECT z, count(*) AS n FROM a WHERE sqrt((y - ay)**2 + (x - ax)**2) <= 6 GROUP BY z""")
 def axis_core_mask(spark: SparkSession, folder: str) -> DataFrame:
     rows = voxels(spark, folder).select(*AXES)
-    axis = spark.range(2).select((F.col("id") * 64).cast("double").alias("z"), (10 + F.col("id") * 16.0).alias("ay"), (20 - F.col("id") * 8.0).alias("ax"))
+    last = rows.agg(F.max("z").alias("z")).first()["z"] or 0
+    axis = spark.range(last // 64 + 2).select((F.col("id") * 64).cast("double").alias("z"), (10 + F.col("id") * 16.0).alias("ay"), (20 - F.col("id") * 8.0).alias("ax"))
     layers = joins.as_of_interpolated(rows.select("z").distinct(), axis.withColumn("z", F.col("z").cast("int")), "z", ["ay", "ax"])
     near = F.hypot(F.col("y") - F.col("ay"), F.col("x") - F.col("ax")) <= 6
     return rows.join(F.broadcast(layers), "z").where(near).groupBy("z").agg(F.count(F.lit(1)).alias("n"))

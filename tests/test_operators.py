@@ -244,3 +244,13 @@ def test_pending_counts_only_marks_of_the_writer(spark):
     done = spark.createDataFrame([(0, mine), (1, "other")], "z0 long, fingerprint string")
     assert [r.z0 for r in incremental.pending(plan, done, ["z0"], mine).orderBy("z0").collect()] == [1, 2, 3]
     assert not incremental.is_complete(plan, done, ["z0"])
+
+
+def test_core_axis_goes_on_beyond_its_first_points(spark, tmp_path):
+    from brickwise.plans import volumes
+
+    rows = [(i, 0, [0.0] * 64) for i in range(1280, 1344)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {r.z: r.n for r in volumes.axis_core_mask(spark, str(tmp_path)).collect()}
+    inside = lambda z: sum((y - 10 - z / 4) ** 2 + (x - 20 + z / 8) ** 2 <= 36 for y in range(32) for x in range(32))
+    assert found == {z: inside(z) for z in range(80, 84)}
