@@ -338,7 +338,8 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     rows += [(600, None), (601, [0.0] * 8), (602, [1.0] * 7 + [None]), (603, [1.0] * 7 + [float("nan")]), (604, [1.0] * 9), (605, rows[0][1]), (606, [x * 3 for x in rows[1][1]]), (607, [])]
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, n_links int, id int")
     monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
-    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(embed_dedup, "BLOCK_RESIDENTS", 16)
+    monkeypatch.setattr(embed_dedup, "BLOCK_MEMBERS", 24)
     found = [tuple(r) for r in embed_dedup.near_duplicates(frame).collect()]
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     assert {r[:3] for r in found} == brute_embeddings(rows) and len(found) == len(rows)
@@ -346,15 +347,26 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embed_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_links_across_borders_in_few_directions_of_64(spark, monkeypatch):
+@pytest.mark.parametrize("rank", [4, 8, 64])
+def test_links_across_borders_in_64_dimensions(spark, monkeypatch, rank):
     random = np.random.default_rng(6)
-    x = random.normal(size=(600, 64)) * np.array([1.0] * 3 + [0.02] * 61)
+    base = random.normal(size=(2500, rank)) @ np.linalg.qr(random.normal(size=(64, rank)))[0].T
+    x = np.concatenate([base, base[:300] + random.normal(scale=0.4 * rank**0.5 / 8, size=(300, 64))])
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 100)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    expected = (x @ x.T >= 0.9).sum(axis=1) - 1
-    found = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(frame).collect()}
-    assert found == dict(enumerate(expected.tolist()))
+    near = x @ x.T >= 0.9
+    root = roots(len(x), zip(*np.nonzero(near), strict=True))
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(frame).collect()}
+    assert near.sum() > len(x)
+    assert found == {i: (int(n) - 1, root[i]) for i, n in enumerate(near.sum(axis=1))}
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (8, [1.0, 0.1]), (None, [0.1, 1.0]), (9, [-1.0, 0.0]), (9, [-0.95, 0.31]), (9, [-0.95, 0.31])]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, weight int")
+    found = sorted(((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(frame).collect()), key=str)
+    assert found == sorted([(5, 1, 5), (5, 1, 5), (8, 1, 5), (None, 1, 5), (9, 2, 9), (9, 2, 9), (9, 2, 9)], key=str)
 
 
 # --- shards
