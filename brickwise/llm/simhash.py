@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickwise.llm.embed_dedup import joined_labels
 from brickwise.operators.components import connected_components
 from brickwise.runtime import broadcast_if_small, materialize
 
@@ -113,18 +114,48 @@ def _keys(fingerprints: DataFrame, probe: bool) -> DataFrame:
     return fingerprints.select("fp").mapInArrow(of, "key long, fp long")
 
 
-def near_pairs(fingerprints: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints in column ``fp`` at 1 to 3 differing bits, each once.
+#: Fingerprints under a key that the join compares with each probe; keys of more are compared in blocks of BLOCK_ROWS by BLOCK_ROWS.
+FEW, BLOCK_ROWS, TILE_ROWS = 64, 8192, 512
 
-    A pair meets under several keys; only the first of the combinations that its own errors allow emits it.
+
+def _block_stars(block: pa.Table) -> pa.Table:
+    """(a, b): a star for all that links of MAX_DISTANCE bits between the two sides of one block connect, never all pairs."""
+    fp, side = block.column("fp").to_numpy(), block.column("side").to_numpy()
+    left, right = np.unique(fp[side == 0]), np.unique(fp[side == 1])
+    nodes = np.union1d(left, right)
+    labels = np.arange(len(nodes))
+    left_node, right_node = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+    for i in range(0, len(left), TILE_ROWS):
+        differing = np.bitwise_count(left[i : i + TILE_ROWS, None].view(np.uint64) ^ right[None, :].view(np.uint64))
+        p, q = np.nonzero(differing <= MAX_DISTANCE)
+        labels = joined_labels(labels, left_node[p + i], right_node[q])
+    moved = np.nonzero(labels != np.arange(len(nodes)))[0]
+    return pa.table({"a": nodes[labels[moved]], "b": nodes[moved]})
+
+
+def near_links(fingerprints: DataFrame) -> DataFrame:
+    """(a, b): links of the distinct fingerprints in column ``fp`` whose components are those of all pairs at 1 to 3 differing bits.
+
+    Under a key of a few fingerprints the join emits the pairs, FEW for a probe at most. Crowded keys are dealt out in
+    blocks of bounded size, each of which gives stars. So links grow with the fingerprints, also in a ball of many near ones.
     """
-    x = F.expr("a ^ b")
-    segment = [F.bit_count(F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
-    claims = F.coalesce(*[F.when((segment[i] == 0) & (segment[j] <= 1), F.lit(c)) for c, (i, j) in enumerate(COMBINATIONS)])
-    index = _keys(fingerprints, probe=False).withColumnRenamed("fp", "a")
-    probe = _keys(fingerprints, probe=True).withColumnRenamed("fp", "b")
-    met = (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_DISTANCE) & (claims == F.shiftright(index["key"], 28))
-    return index.join(probe, (index["key"] == probe["key"]) & met).select("a", "b")
+    index = _keys(fingerprints, probe=False)
+    probe = _keys(fingerprints, probe=True)
+    crowded = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW), "crowded-keys")
+    known = broadcast_if_small(crowded.select("key"))
+    few = index.join(known, "key", "left_anti").withColumnRenamed("fp", "a").join(probe.withColumnRenamed("fp", "b"), "key")
+    few = few.where((F.col("a") < F.col("b")) & (F.bit_count(F.expr("a ^ b")) <= MAX_DISTANCE)).select("a", "b")
+    chunks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    asked = probe.join(known, "key", "left_semi")
+    probes = asked.groupBy("key").agg(F.count(F.lit(1)).alias("probes"))
+    split = materialize(crowded.join(probes, "key").select("key", chunks(F.col("n")).alias("rows_n"), chunks(F.col("probes")).alias("columns_n")), "key-blocks")
+    split = broadcast_if_small(split)
+    number = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = index.join(split, "key").select("key", "fp", F.lit(0).alias("side"), number("rows_n").alias("i"), upto("columns_n").alias("j"))
+    columns = asked.join(split, "key").select("key", "fp", F.lit(1).alias("side"), upto("rows_n").alias("i"), number("columns_n").alias("j"))
+    stars = rows.unionByName(columns).groupBy("key", "i", "j").applyInArrow(_block_stars, "a long, b long")
+    return few.unionByName(stars)
 
 
 def group_by_fingerprint(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
@@ -133,7 +164,7 @@ def group_by_fingerprint(rows: DataFrame, id_col: str = "doc_id", fp_col: str =
     Copies (equal fingerprints) are one node, whatever their number: groups of copies are never expanded.
     """
     nodes = materialize(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("low")), "fingerprints")
-    roots = connected_components(near_pairs(nodes))
+    roots = connected_components(near_links(nodes))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "low", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(lowest, "root").select(F.col("fp").alias("_bw_fp"), "component_id")

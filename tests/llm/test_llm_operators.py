@@ -68,14 +68,36 @@ def test_golay_keys_meet_at_distance_one():
         assert (around[words] == nearest[words ^ (1 << bit)][:, None]).any(axis=1).all()
 
 
-def test_near_pairs_match_brute_force(spark):
-    random = np.random.default_rng(2)
-    base = random.integers(-(2**63), 2**63 - 1, 60)
-    near = [int(b) ^ sum(1 << int(k) for k in random.choice(63, n, replace=False)) for b in base for n in (1, 2, 3, 4)]
-    values = sorted({*map(int, base), *near})
-    found = {tuple(r) for r in simhash.near_pairs(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
+def components_of(values):
     mask = (1 << 64) - 1
-    assert found == {(a, b) for a in values for b in values if a < b and bin((a ^ b) & mask).count("1") <= 3}
+    near = [(i, j) for i, a in enumerate(values) for j, b in enumerate(values[:i]) if ((a ^ b) & mask).bit_count() <= 3]
+    return [values[r] for r in roots(len(values), near)]
+
+
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_near_links_have_the_components_of_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 5)
+    random = np.random.default_rng(2)
+    flipped = lambda b, n: int(np.int64(b) ^ np.bitwise_or.reduce(np.array([1 << int(k) for k in random.choice(64, n, replace=False)], dtype=np.uint64)).view(np.int64))
+    values = {int(b) for b in random.integers(-(2**63), 2**63 - 1, 40)}
+    for b in list(values):
+        values |= {flipped(b, n) for n in (1, 2, 3, 4)}
+    values |= {flipped(min(values), n) for n in (1, 2, 3) for _ in range(40)}
+    values = sorted(values)
+    expected = components_of(values)
+    links = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()]
+    place = {v: i for i, v in enumerate(values)}
+    assert [values[r] for r in roots(len(values), [(place[a], place[b]) for a, b in links])] == expected
+    assert len(set(expected)) < len(values)
+
+
+def test_links_of_one_ball_grow_with_its_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 8)
+    ball = [0, *(1 << i for i in range(63)), *(1 << i | 1 << j for i in range(63) for j in range(i))]
+    count = lambda values: simhash.near_links(spark.createDataFrame([(v,) for v in values], "fp long")).count()
+    part, whole = count(ball[::4]), count(ball)
+    assert whole < 5 * part and whole < 60 * len(ball)
 
 
 def test_fingerprint_is_the_majority_of_shingle_hashes(spark):
