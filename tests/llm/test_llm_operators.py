@@ -190,6 +190,32 @@ def test_checksums_and_context_add_spans_and_redact(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_context_on_both_sides_and_overlaps(spark):
+    texts = ["123-45-6789 is a social security number", "123-45-6789" + " " * 49 + "ssn", "ssn " + "123-45-6789 " * 9, "call:555-123-4567", "ssn 123-45-6789@x.org a@b.c ssn 123-45-6789"]
+    found = {r["doc_id"]: r["spans"] for r in pii.pii_report(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    within = [4 + 12 * i for i in range(9) if 12 * i + 1 <= 48]
+    assert found[0] == "ssn:0:11" and found[1] == "" and found[3] == "localphone:5:17"
+    assert found[2] == ",".join(f"ssn:{a}:{a + 11}" for a in within)
+    assert found[4] == "email:4:21,email:22:27,ssn:32:43"
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    def seconds(n):
+        text = "".join(f"mail a{i}@b{i}.org, ssn 123-45-{1000 + i % 9000}; " for i in range(n))
+        docs = documents(spark, [(1, text, None)])
+        began = time.perf_counter()
+        report, clean = pii.pii_report(docs).first(), pii.redact(docs).first()["text"]
+        assert report["n_email"] == n and report["spans"].count("ssn:") == n
+        assert report["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+        assert clean == "mail <EMAIL>, ssn <SSN>; " * n
+        return time.perf_counter() - began
+
+    few = seconds(2000)
+    assert seconds(20_000) < 3 * few + 20
+
+
 # --- mixing
 
 
