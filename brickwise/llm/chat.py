@@ -1,37 +1,54 @@
 """Chat formatting: records of many layouts become canonical turns, and turns one marked-up text with a loss mask.
 
 A record's layout is known by its schema fingerprint, the hash of its nested field paths; each known fingerprint
-selects a declarative mapping to turns. The template escapes the escape sign and the opening of its control strings
+selects a declarative mapping to turns. Records are JSON texts or typed columns: the paths of a typed column are those of its type, and its
+values are taken as they are, whatever their size. The template escapes the escape sign and the opening of its control strings
 inside texts and roles, so that a text that holds control strings can neither end a turn nor start one, and reads back as it was.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+
+from brickwise.functions.arrays import cut, let, running_totals
 
 TURNS = "array<struct<role:string,text:string>>"
 TURN, TEXT, END, OPENING = "<|turn|>", "<|text|>", "<|end|>", "<|"
+#: Names of roles in layouts of other makers.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
+#: Bytes of a JSON record that the parser surely holds; a larger one that it doesn't parse fails the query instead of becoming null.
+SURE_BYTES = 16_000_000
 
 
 @dataclass(frozen=True)
 class Messages:
-    """A layout with a list of turns: an example record, and the names of the list, the role, the text and the order (or None)."""
+    """A layout with a list of turns: an example record, the names of the list, the role, the text and the order (or None), and whether roles have other names."""
 
     example: str
     items: str
     role: str
     text: str
     order: str | None = None
+    renamed: bool = True
 
     def turns(self, record: Column) -> Column:
         names = [*([f"{self.order}: bigint"] if self.order else []), f"{self.role}: string", f"{self.text}: string"]
-        items = f"array<struct<{', '.join(names)}>>"
-        found = F.try_variant_get(record, f"$.{self.items}", items)
-        return F.transform(F.array_sort(found) if self.order else found, lambda x: _turn(_role(x[self.role]), x[self.text]))
+        return self._canonical(F.try_variant_get(record, f"$.{self.items}", f"array<struct<{', '.join(names)}>>"))
+
+    def typed_turns(self, record: Column) -> Column:
+        names = [*([(self.order, "long")] if self.order else []), (self.role, "string"), (self.text, "string")]
+        return self._canonical(F.transform(record[self.items], lambda x: F.struct(*[x[n].cast(t).alias(n) for n, t in names])))
+
+    def _canonical(self, found: Column) -> Column:
+        role = _role if self.renamed else (lambda x: x)
+        return F.transform(F.array_sort(found) if self.order else found, lambda x: _turn(role(x[self.role]), x[self.text]))
 
 
 @dataclass(frozen=True)
@@ -42,13 +59,19 @@ class Fields:
     parts: tuple[tuple[str, tuple[str, ...]], ...]
 
     def turns(self, record: Column) -> Column:
-        get = lambda name: F.coalesce(F.try_variant_get(record, f"$.{name}", "string"), F.lit(""))
+        return self._canonical(lambda name: F.try_variant_get(record, f"$.{name}", "string"))
+
+    def typed_turns(self, record: Column) -> Column:
+        return self._canonical(lambda name: record[name].cast("string"))
+
+    def _canonical(self, field: Callable[[str], Column]) -> Column:
+        get = lambda name: F.coalesce(field(name), F.lit(""))
         texts = [(role, F.array_join(F.filter(F.array(*map(get, names)), lambda x: x != ""), "\n\n")) for role, names in self.parts]
         return F.array(*[_turn(F.lit(role), text) for role, text in texts])
 
 
 LAYOUTS: tuple[Messages | Fields, ...] = (
-    Messages('{"turns":[{"turn":0,"role":"","text":""}]}', "turns", "role", "text", "turn"),
+    Messages('{"turns":[{"turn":0,"role":"","text":""}]}', "turns", "role", "text", "turn", renamed=False),
     Messages('{"messages":[{"role":"","content":""}]}', "messages", "role", "content"),
     Messages('{"conversations":[{"from":"","value":""}]}', "conversations", "from", "value"),
     Fields('{"prompt":"","completion":""}', (("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -78,17 +101,38 @@ def schema_fingerprint(record: Column) -> Column:
     return F.when(record.isNotNull(), F.xxhash64(paths))
 
 
-def canonical_turns(record: Column) -> Column:
-    """Turns (role, text) of a JSON record of a known layout; null for malformed records and unknown layouts.
+def type_fingerprint(example: object) -> str:
+    """Hash of the nested field paths of a record's type, or of an example record in JSON."""
 
-    Null roles and texts become empty.
+    def paths(x: object, at: str) -> set[str]:
+        if isinstance(x, StructType):
+            return set().union(*(paths(f.dataType, f"{at}.{f.name}") for f in x.fields))
+        if isinstance(x, dict):
+            return set().union(*(paths(v, f"{at}.{k}") for k, v in x.items()))
+        if isinstance(x, ArrayType | list):
+            return paths(x.elementType if isinstance(x, ArrayType) else x[0], f"{at}[]")
+        return {at}
+
+    return hashlib.sha256("\n".join(sorted(paths(example, "$"))).encode()).hexdigest()
+
+
+def canonical_turns(record: Column, kind: DataType | None = None) -> Column:
+    """Turns (role, text) of a record of a known layout, a JSON text or a column of the type ``kind``.
+
+    Null for malformed records and unknown layouts; null roles and texts become empty. A JSON text of over ``SURE_BYTES`` bytes that can't be
+    parsed fails the query, as it may be too large for the parser rather than malformed: pass such records as typed columns.
     """
+    if kind is not None and not isinstance(kind, StringType):
+        known = {type_fingerprint(json.loads(layout.example)): layout for layout in LAYOUTS}
+        layout = known.get(type_fingerprint(kind))
+        return F.when(record.isNotNull(), layout.typed_turns(record)) if layout else F.lit(None).cast(TURNS)
     parsed = F.try_parse_json(record)
     print_ = schema_fingerprint(parsed)
     out = F.lit(None).cast(TURNS)
     for layout in reversed(LAYOUTS):
         out = F.when(print_ == schema_fingerprint(F.parse_json(F.lit(layout.example))), layout.turns(parsed)).otherwise(out)
-    return out
+    lost = parsed.isNull() & (F.octet_length(record) > SURE_BYTES)
+    return F.when(lost, F.raise_error(F.lit("a JSON record is too large to parse, or malformed")).cast(TURNS)).otherwise(out)
 
 
 def escape(text: Column) -> Column:
@@ -106,15 +150,16 @@ def render(turns: Column) -> Column:
 
 def loss_mask(turns: Column) -> Column:
     """Array of (start, end) in code points of the rendered text: the texts of the assistant's turns."""
+    fixed = len(TURN) + len(TEXT) + len(END)
+    sizes = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("learnt"), F.length(escape(t["role"])).alias("role"), F.length(escape(t["text"])).alias("text")))
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + len(TURN) + F.length(escape(t["role"])) + len(TEXT)
-        end = start + F.length(escape(t["text"]))
-        span = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct((end + len(END)).cast("long").alias("at"), F.when(t["role"] == "assistant", F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(sized: Column) -> Column:
+        before = running_totals(F.transform(sized, lambda s: (s["role"] + s["text"] + fixed).cast("long")))
+        start = lambda s, at: at + len(TURN) + s["role"] + len(TEXT)
+        placed = F.zip_with(sized, before, lambda s, at: F.struct(start(s, at).cast("long").alias("start"), (start(s, at) + s["text"]).cast("long").alias("end"), s["learnt"].alias("learnt")))
+        return F.transform(F.filter(placed, lambda p: p["learnt"]), lambda p: F.struct(p["start"], p["end"]))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("out"))
-    return F.aggregate(turns, begin, step, lambda acc: acc["out"])
+    return F.when(turns.isNotNull(), let(sizes, spans))
 
 
 def read_back(formatted: Column) -> Column:
@@ -125,18 +170,18 @@ def read_back(formatted: Column) -> Column:
 
 
 def records_of(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, record): the turn rows of each conversation as one JSON record of the layout ``turns``.
+    """(id, record): the turn rows of each conversation as one record of the layout ``turns``, a typed column.
 
-    Turns that tie are ordered by role, then text; nulls come first and become empty.
+    Roles stay as they are. Turns that tie are ordered by role, then text; nulls come first and become empty. A conversation is one row, of any
+    size that a row may have.
     """
     item = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    grouped = conversations.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(item)).alias("turns"))
-    return grouped.select(id_col, F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))
+    return conversations.groupBy(F.col(id_col)).agg(F.struct(F.collect_list(item).alias("turns")).alias("record"))
 
 
 def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
     """``records`` with ``formatted`` (the marked-up text) and ``loss_mask``; both are null for unknown layouts."""
-    turned = records.withColumn("_bw_turns", canonical_turns(F.col(record_col)))
+    turned = records.withColumn("_bw_turns", canonical_turns(F.col(record_col), records.schema[record_col].dataType))
     return turned.withColumn("formatted", render(F.col("_bw_turns"))).withColumn("loss_mask", loss_mask(F.col("_bw_turns"))).drop("_bw_turns")
 
 
@@ -144,7 +189,7 @@ def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Per record, read back from its output: number and digest of the turns, size and digest of the text under the loss mask, size of the output."""
     turns = read_back(F.col("formatted"))
     whole = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learnt = F.array_join(F.transform("loss_mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"]))), "")
+    learnt = F.array_join(F.transform(cut(F.col("formatted"), F.col("loss_mask")), unescape), "")
     return formatted.select(
         id_col, F.size(turns).cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
         F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),

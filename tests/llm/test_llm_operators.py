@@ -340,6 +340,37 @@ def test_conversation_rows_with_nulls_and_ties(spark):
     assert chat.records_of(frame.limit(0)).count() == 0
 
 
+def test_roles_of_table_rows_stay_and_those_of_other_layouts_are_renamed(spark):
+    frame = spark.createDataFrame([(1, 0, "gpt", "x"), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    found = chat.digests(chat.format_records(chat.records_of(frame))).first()
+    assert found["turns_sha256"] == hashlib.sha256(b"gpt\nx\nassistant\ny\n").hexdigest() and found["loss_sha256"] == hashlib.sha256(b"y").hexdigest()
+
+
+def test_typed_records_of_other_layouts(spark):
+    frame = spark.createDataFrame([(1, ("do", None, "done")), (2, None)], "conv_id long, record struct<instruction:string,input:string,output:string>")
+    rows = {r["conv_id"]: r for r in chat.format_records(frame).withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    assert [tuple(t) for t in rows[1]["back"]] == [("user", "do"), ("assistant", "done")] and rows[2]["formatted"] is None
+    other = spark.createDataFrame([(1, ("a",))], "conv_id long, record struct<unknown:string>")
+    assert chat.format_records(other).first()["formatted"] is None
+
+
+def test_long_conversations_are_formatted_whole(spark):
+    row = "CAST({} AS BIGINT) AS conv_id, CAST({} AS BIGINT) AS turn, '{}' AS role, repeat('{}', {}) AS text"
+    frame = spark.sql("SELECT " + row.format(1, 0, "user", "<|a", 10_000_000) + " UNION ALL SELECT " + row.format(1, 1, "assistant", "b", 5))
+    found = chat.digests(chat.format_records(chat.records_of(frame))).first()
+    assert (found["n_turns"], found["loss_chars"], found["formatted_chars"]) == (2, 5, 40_000_000 + 5 + 13 + 2 * len("<|turn|><|text|><|end|>"))
+    assert found["turns_sha256"] == hashlib.sha256(b"user\n" + b"<|a" * 10_000_000 + b"\nassistant\nbbbbb\n").hexdigest()
+    many = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("some words").alias("text"))
+    found = chat.digests(chat.format_records(chat.records_of(many))).first()
+    assert found["n_turns"] == 20_000 and found["loss_sha256"] == hashlib.sha256(b"some words" * 20_000).hexdigest()
+
+
+def test_json_records_too_large_to_parse_fail_loudly(spark):
+    record = spark.sql("""SELECT concat('{"prompt":"', repeat('x', 25000000), '","completion":"y"}') AS record""")
+    with pytest.raises(Exception, match="too large to parse"):
+        chat.format_records(record).select(F.length("formatted")).collect()
+
+
 # --- URL rules
 
 
