@@ -38,13 +38,16 @@ def _key(host: Column, path: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """(host, path, verdict) of rules given in the program, as literals of the plan; longer lists are read from a table."""
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _with_parents(rules: DataFrame) -> DataFrame:
     """Rules (key, path, rule, verdict) with the struct of the innermost rule around each: the longest proper prefix of its path that is a rule of its host."""
     named = rules.select("host", "path", "verdict", F.concat("host", "path").alias("rule")).groupBy("host", "path", "rule").agg(F.min("verdict").alias("verdict"))
-    inside = named.select("host", F.col("path").alias("whole"), F.explode(F.sequence(F.lit(0), F.length("path") - 1)).alias("n")).where("n >= 0 and n < length(whole)")
+    lengths = named.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))  # only lengths that the host's rules have
+    inside = named.join(lengths, "host").select("host", F.col("path").alias("whole"), F.explode("lengths").alias("n")).where("n < length(whole)")
     prefixes = inside.select("host", "whole", F.expr("substring(whole, 1, n)").alias("path"), "n")
     found = prefixes.join(named, ["host", "path"]).groupBy("host", "whole").agg(F.max_by(F.struct("rule", "verdict"), "n").alias("parent"))
     return named.join(found.withColumnRenamed("whole", "path"), ["host", "path"], "left").select(_key(F.col("host"), F.col("path")).alias("key"), F.struct("rule", "verdict").alias("self"), "parent")
@@ -53,11 +56,12 @@ def _with_parents(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """Per row: id, host, path, the longest rule that fits (null without one) and its verdict, or the default.
 
-    A rule fits its host and all subdomains if the path starts with its path; of two rules of a row the longer one wins.
+    A rule fits its host (not an empty one) and all subdomains if the path starts with its path; of two rules of a row the longer one wins.
     A null URL, or one without ``://``, has an empty host and path, which no rule fits. Where one host and path has several verdicts, ``allow`` wins.
     Ids may be null or repeated: each row is judged on its own. Other columns are ignored; empty tables give no rows.
     """
-    rows = pages.select(F.col(id_col).alias("_bw_id"), host_of(url_col).alias("host"), path_of(url_col).alias("path"))
+    judged = pages.select(F.col(id_col).alias("_bw_id"), host_of(url_col).alias("host"), path_of(url_col).alias("path"))
+    rows, hostless = judged.where("host <> ''"), judged.where("host = ''")
     # one look-up for each distinct host and path, however often it is repeated
     urls = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_bw_n")).select("host", "path")
     labels = F.split("host", r"\.", -1)
@@ -79,4 +83,6 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     fits = topped.select("host", "path", F.coalesce("seen", "begin").alias("fit"))
     best = fits.groupBy("host", "path").agg(F.max(F.when(F.col("fit.rule").isNotNull(), F.struct(F.length("fit.rule").alias("n"), "fit.rule", "fit.verdict"))).alias("best"))
     best = materialize(best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-verdicts")
-    return rows.join(best, ["host", "path"]).select(F.col("_bw_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    found = rows.join(best, ["host", "path"]).select("_bw_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    found = found.unionByName(hostless.withColumn("rule", none).withColumn("verdict", F.lit(default)))
+    return found.withColumnRenamed("_bw_id", id_col)
