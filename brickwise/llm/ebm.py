@@ -176,7 +176,8 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Fit on the labelled rows that aren't held out, ``sample_rows`` at most (those with the lowest hashes of their ids).
 
     Labels that are null are ignored; of several labels of one id their mean decides, 0.5 counting as 1; of several texts
-    of one id each is a row. Without usable rows the model is the constant 0.5.
+    of one id the one with the lowest hash is learnt from, so that an id is one row, however often it occurs. Without usable rows
+    the model is the constant 0.5.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_bw_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_bw_label"))
     chosen = known.orderBy(F.xxhash64("_bw_id"), "_bw_id").limit(sample_rows)  # 16 bytes a row: small enough to broadcast
@@ -185,8 +186,10 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def numbers(texts: pa.Array) -> pa.Array:
         return pa.array(list(_matrix(texts)), pa.list_(pa.float64()))
 
-    rows = documents.join(F.broadcast(chosen), documents[id_col] == chosen["_bw_id"]).select("_bw_id", F.xxhash64(text_col).alias("_bw_tie"), "_bw_label", numbers(text_col).alias("_bw_x"))
-    found = rows.toPandas().sort_values(["_bw_id", "_bw_tie"]).head(2 * sample_rows)
+    joined = documents.join(F.broadcast(chosen), documents[id_col] == chosen["_bw_id"])
+    seen = joined.select("_bw_id", "_bw_label", F.xxhash64(text_col).alias("_bw_tie"), numbers(text_col).alias("_bw_x"))
+    rows = seen.groupBy("_bw_id").agg(F.first("_bw_label").alias("_bw_label"), F.min(F.struct("_bw_tie", "_bw_x")).alias("_bw_low"))
+    found = rows.select("_bw_id", "_bw_label", F.col("_bw_low._bw_x").alias("_bw_x")).toPandas().sort_values("_bw_id")  # sample_rows at most
     return fit(np.array(found["_bw_x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES)), found["_bw_label"].to_numpy(dtype=np.float64))
 
 
