@@ -1,7 +1,8 @@
 """Sharding: arrivals become small immutable shards, similarly sized runs are merged into target-sized files.
 
 A store is a folder of shards (folders of Parquet files, never changed once written) and of manifests. A manifest
-is one small file that lists the live shards of a version. It is written beside and then renamed to its version's name, which
+is one small file that lists the live shards of a version and the merged schema of all arrivals, so that a column that only some
+arrivals have is kept, null in the others. It is written beside and then renamed to its version's name, which
 fails if that version exists: readers see a whole version or the one before, and of two writers one has to plan again.
 """
 
@@ -14,8 +15,10 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SHARD = "_bw_shard"
 TARGET_BYTES, FANOUT = 64 << 20, 4
@@ -36,6 +39,16 @@ class Shard:
     arrivals: int = 1
 
 
+def merged_schema(known: StructType, new: StructType) -> StructType:
+    """``known`` with the columns that only ``new`` has, all nullable. A column of another type than before raises ValueError."""
+    fields = {f.name: StructField(f.name, f.dataType, True) for f in known.fields}
+    for f in new.fields:
+        if f.name in fields and fields[f.name].dataType != f.dataType:
+            raise ValueError(f"column {f.name} is {fields[f.name].dataType.simpleString()} in the store and {f.dataType.simpleString()} in the arrival")
+        fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+    return StructType(list(fields.values()))
+
+
 def tier(size: int, target: int, fanout: int) -> int:
     """How often a run of this size must grow by ``fanout`` to reach the target; 0 for shards of the target's size."""
     return 0 if size >= target else math.ceil(math.log(target / max(1, size), fanout) - 1e-9)
@@ -81,22 +94,23 @@ class ShardStore:
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
-        """Version and live shards; version 0 without shards for a new store."""
+    def manifest(self, version: int | None = None) -> tuple[int, list[Shard], StructType]:
+        """Version, live shards and schema; version 0 without shards for a new store."""
         known = self.versions()
         if version is None:
             version = known[-1] if known else 0
         if not version:
-            return 0, []
+            return 0, [], StructType()
         text = self.spark.read.text(f"{self.root}/manifests/{version:012d}.json", wholetext=True).first()[0]
-        return version, [Shard(**s) for s in json.loads(text)["shards"]]
+        held = json.loads(text)
+        return version, [Shard(**s) for s in held["shards"]], StructType.fromJson(held["schema"])
 
-    def commit(self, version: int, shards: list[Shard]) -> int:
-        """Write the manifest of ``version``; raises :class:`Conflict` if there is one."""
+    def commit(self, version: int, shards: list[Shard], schema: StructType) -> int:
+        """Write the manifest of ``version``; raises :class:`Conflict` if there is one, and any other failure as it is."""
         hadoop = self._jvm.org.apache.hadoop.fs
         name, beside = self._path(f"manifests/{version:012d}.json"), self._path(f"manifests/.{uuid.uuid4().hex}")
         out = self._fs.create(beside, False)
-        out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards], "schema": schema.jsonValue()}).encode()))
         out.close()
         context = hadoop.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         rename = getattr(hadoop, "Options$Rename")
@@ -104,59 +118,88 @@ class ShardStore:
         options[0] = rename.NONE
         try:
             context.rename(beside, name, options)
-        except Exception as e:
+        except Py4JJavaError as e:
             self._fs.delete(beside, False)
-            raise Conflict(f"version {version} exists") from e
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {version} exists") from e
+            raise
         return version
 
-    def _update(self, change: Callable[[list[Shard]], list[Shard]]) -> int:
-        """Commit a change of the newest version, again on the newer one if another writer was first."""
-        for _ in range(20):
-            version, shards = self.manifest()
-            try:
-                return self.commit(version + 1, change(shards))
-            except Conflict:
-                continue
-        raise Conflict("the store changes too often")
+    def _update(self, change: Callable[[list[Shard], StructType], tuple[list[Shard], StructType]], written: list[str]) -> int:
+        """Commit a change of the newest version, again on the newer one if another writer was first; if it fails, the folders it has ``written`` go."""
+        try:
+            for _ in range(20):
+                version, shards, schema = self.manifest()
+                try:
+                    return self.commit(version + 1, *change(shards, schema))
+                except Conflict:
+                    continue
+            raise Conflict("the store changes too often")
+        except Exception:
+            self._discard(written)
+            raise
+
+    def _discard(self, folders: list[str]) -> None:
+        for folder in folders:
+            self._fs.delete(self._path(f"data/{folder}"), True)
 
     def _written(self, folder: str, arrivals: dict[str, int] | None = None) -> list[Shard]:
-        """The shards in a folder that was just written, with the sizes of their files."""
-        base = f"data/{folder}"
-        found = [f.getPath().getName() for f in self._fs.listStatus(self._path(base)) if f.isDirectory()] if self._fs.exists(self._path(base)) else []
-        size = lambda name: self._fs.getContentSummary(self._path(f"{base}/{name}")).getLength()
-        return [Shard(f"{base}/{name}", size(name), (arrivals or {}).get(name.partition("=")[2], 1)) for name in sorted(found)]
+        """The shards in a folder that was just written, with the sizes of their files, by one listing of the folder."""
+        sizes: dict[str, int] = {}
+        base = self._path(f"data/{folder}")
+        files = self._fs.listFiles(base, True) if self._fs.exists(base) else None
+        while files is not None and files.hasNext():
+            file = files.next()
+            name = file.getPath().getParent().getName()
+            if name.startswith(f"{SHARD}="):
+                sizes[name] = sizes.get(name, 0) + file.getLen()
+        return [Shard(f"data/{folder}/{name}", size, (arrivals or {}).get(name.partition("=")[2], 1)) for name, size in sorted(sizes.items())]
 
     def append(self, rows: DataFrame, arrival_col: str) -> int:
-        """One immutable shard per value of ``arrival_col`` (null is one), written where the rows are, without a shuffle."""
+        """One immutable shard per value of ``arrival_col`` (null is one), written where the rows are, without a shuffle.
+
+        Columns that are new to the store are added to its schema; a column of another type than before raises ValueError and nothing is stored.
+        """
         folder = uuid.uuid4().hex
-        rows.withColumn(SHARD, F.coalesce(F.col(arrival_col).cast("string"), F.lit("none"))).write.partitionBy(SHARD).parquet(f"{self.root}/data/{folder}")
+        merged_schema(self.manifest()[2], rows.schema)
+        try:
+            rows.withColumn(SHARD, F.coalesce(F.col(arrival_col).cast("string"), F.lit("none"))).write.partitionBy(SHARD).parquet(f"{self.root}/data/{folder}")
+        except Exception:
+            self._discard([folder])
+            raise
         new = self._written(folder)
-        return self._update(lambda shards: shards + new)
+        return self._update(lambda shards, schema: (shards + new, merged_schema(schema, rows.schema)), [folder])
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> int | None:
         """Merge what :func:`plan_merges` says and commit; the new version, or None if there is nothing to merge.
 
         Each merged shard is one file written by one task that reads about the target's size: no shuffle, and a lost task
-        is one file to write again. If a shard was merged by another writer meanwhile, nothing is committed.
+        is one file to write again. If a shard was merged by another writer meanwhile, nothing is committed and the written files go.
         """
-        groups = plan_merges(self.manifest()[1], target, fanout)
+        _, live, schema = self.manifest()
+        groups = plan_merges(live, target, fanout)
         if not groups:
             return None
         new: list[Shard] = []
-        for at in range(0, len(groups), JOB_SHARDS):
-            part, folder = groups[at : at + JOB_SHARDS], uuid.uuid4().hex
-            schema = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in part[0]]).schema
-            frames = [self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in group]).coalesce(1).withColumn(SHARD, F.lit(f"m{i}")) for i, group in enumerate(part)]
-            reduce(DataFrame.union, frames).write.partitionBy(SHARD).parquet(f"{self.root}/data/{folder}")
-            new += self._written(folder, {f"m{i}": sum(s.arrivals for s in group) for i, group in enumerate(part)})
+        written: list[str] = []
+        try:
+            for at in range(0, len(groups), JOB_SHARDS):
+                part = groups[at : at + JOB_SHARDS]
+                written.append(uuid.uuid4().hex)
+                frames = [self._rows(group, schema).coalesce(1).withColumn(SHARD, F.lit(f"m{i}")) for i, group in enumerate(part)]
+                reduce(DataFrame.union, frames).write.partitionBy(SHARD).parquet(f"{self.root}/data/{written[-1]}")
+                new += self._written(written[-1], {f"m{i}": sum(s.arrivals for s in group) for i, group in enumerate(part)})
+        except Exception:
+            self._discard(written)
+            raise
         gone = {s.path for group in groups for s in group}
 
-        def change(shards: list[Shard]) -> list[Shard]:
+        def change(shards: list[Shard], now: StructType) -> tuple[list[Shard], StructType]:
             if not gone <= {s.path for s in shards}:
                 raise RuntimeError("shards of the plan are gone: plan again")
-            return [s for s in shards if s.path not in gone] + new
+            return [s for s in shards if s.path not in gone] + new, now
 
-        return self._update(change)
+        return self._update(change, written)
 
     def vacuum(self, versions: int = 1) -> int:
         """Delete the shards that none of the newest ``versions`` lists; the number of deleted shards."""
@@ -167,11 +210,13 @@ class ShardStore:
             self._fs.delete(self._path(path), True)
         return len(past - live)
 
+    def _rows(self, shards: list[Shard], schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in shards])
+
     def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version, None if it has no shards."""
-        shards = self.manifest(version)[1]
-        paths = [f"{self.root}/{s.path}" for s in shards]
-        return self.spark.read.parquet(*paths) if paths else None
+        """The rows of a version in the store's schema, None if it has no shards."""
+        _, shards, schema = self.manifest(version)
+        return self._rows(shards, schema) if shards else None
 
 
 def shard_documents(documents: DataFrame, root: str, arrivals: int = 32, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:

@@ -141,6 +141,43 @@ def test_quality_held_out_accuracy(spark, sf_dir):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
 
 
+def test_score_is_the_sum_of_looked_up_values():
+    random = np.random.default_rng(8)
+    x = random.random((400, len(ebm.FEATURES)))
+    model = ebm.fit(x, ((x[:, 0] + x[:, 1] * x[:, 2]) > 0.8).astype(float), rounds=5, pair_rounds=3)
+    for row, found in zip(x[:60], model.score(x[:60]), strict=True):
+        total = model.intercept
+        for f, table in enumerate(model.tables):
+            total += table[sum(e <= row[f] for e in model.edges[f])]
+        for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[sum(e <= row[a] for e in model.coarse[a])][sum(e <= row[b] for e in model.coarse[b])]
+        assert abs(found - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def test_a_tree_of_two_leaves_is_the_best_split():
+    random = np.random.default_rng(9)
+    for _ in range(20):
+        g, h = random.normal(size=12), random.random(12) * 4
+        gain = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1)
+        fits = [c for c in range(1, 12) if min(h[:c].sum(), h[c:].sum()) >= 2]
+        best = max(fits, key=lambda c: gain(slice(0, c)) + gain(slice(c, 12)))
+        expected = np.zeros(12)
+        for s in (slice(0, best), slice(best, 12)) if gain(slice(0, best)) + gain(slice(best, 12)) - gain(slice(0, 12)) > 1e-9 else (slice(0, 12),):
+            expected[s] = g[s].sum() / (h[s].sum() + 1)
+        assert np.allclose(ebm._tree(g, h, 2, 2.0), expected)
+
+
+def test_an_id_is_learnt_from_once(spark, monkeypatch):
+    docs = documents(spark, [(i % 7, f"words {i} and more", None) for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(ebm, "fit", lambda x, y: seen.append((x, y)) or ebm.AdditiveModel())
+    ebm.learn(docs, labels)
+    ebm.learn(docs.repartition(5), labels)
+    allowed = [i for i in range(7) if ebm.crc_remainder(i) != 2]
+    assert len(seen[0][1]) == len(allowed) and np.array_equal(seen[0][0], seen[1][0])
+
+
 def test_quality_edge_cases(spark, mixed, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (7, 0, None), (5, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = ebm.quality_scores(mixed, labels).collect()
@@ -467,7 +504,7 @@ def test_store_versions_conflicts_and_reads(spark, mixed, tmp_path):
         store.append(mixed.withColumn("arrival", F.lit(k)), "arrival")
     assert store.versions() == [1, 2, 3, 4]
     with pytest.raises(sharding.Conflict):
-        store.commit(3, [])
+        store.commit(3, [], mixed.schema)
     before = store.read().count()
     version = store.compact(target=1 << 20)
     assert version == 5 and len(store.manifest()[1]) == 1 and store.manifest()[1][0].arrivals == 4
@@ -476,6 +513,37 @@ def test_store_versions_conflicts_and_reads(spark, mixed, tmp_path):
     json.loads((tmp_path / "store/manifests/000000000005.json").read_text())
 
 
+def test_columns_of_some_arrivals_are_kept(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    for k in range(4):
+        rows = spark.range(3).withColumn("arrival", F.lit(k))
+        store.append(rows.withColumn("late", F.concat(F.lit("v"), "id")) if k == 2 else rows, "arrival")
+    expected = sorted((i, k, f"v{i}" if k == 2 else None) for i in range(3) for k in range(4))
+    values = lambda: sorted(((r["id"], r["arrival"], r["late"]) for r in store.read().collect()), key=lambda r: r[:2])
+    assert values() == expected
+    store.compact(target=1 << 20)
+    assert store.vacuum() == 4 and len(store.manifest()[1]) == 1 and values() == expected
+    files = lambda: sorted(str(f) for f in (tmp_path / "store/data").rglob("*.parquet"))
+    before = files()
+    with pytest.raises(ValueError, match="late"):
+        store.append(spark.range(1).withColumn("arrival", F.lit(9)).withColumn("late", F.lit(1)), "arrival")
+    with pytest.raises(RuntimeError, match="gone"):
+        store._update(lambda shards, schema: (_ for _ in ()).throw(RuntimeError("gone")), [])
+    assert files() == before and values() == expected
+
+
+def test_a_failed_commit_is_no_conflict_and_leaves_no_files(spark, mixed, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+
+    def fail(*_):
+        raise OSError("no space")
+
+    monkeypatch.setattr(store, "commit", fail)
+    with pytest.raises(OSError, match="no space"):
+        store.append(mixed.withColumn("arrival", F.lit(0)), "arrival")
+    assert not list((tmp_path / "store").rglob("*.parquet"))
+
+
 def test_sharded_documents(spark, mixed, empty, tmp_path):
     rows = sharding.shard_documents(mixed, f"file://{tmp_path}/a", arrivals=3, target=1 << 20).collect()
     want = sorted((i is not None, i or 0, (i or 0) % 3, len((t or "").encode()), None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t, _ in MIXED)
