@@ -8,14 +8,20 @@ of those in which either has a term, that give equal hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickwise.functions.arrays import let
+
 #: Terms that are in a share of the documents within these bounds; at most terms-per-document / LEAST_SHARE terms have
 #: the lower one, whatever the number of documents, which bounds the lexicon.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.1
 #: Of every so many terms one is kept, for each subset.
 RATES = (1, 8, *[32] * 4, *[64] * 8, *[128] * 8, *[256] * 8, *[512] * 8, *[1024] * 10)
+#: Subsets of a lower rate than one term in so many are looked for among the terms that are in one of them.
+RARE = 128
 #: A lexicon of more terms than this is joined by a shuffle instead of a broadcast.
 BROADCAST_TERMS = 1_000_000
 
@@ -26,20 +32,31 @@ def terms(text: Column) -> Column:
     return F.transform(F.array_distinct(words), lambda t: F.xxhash64(t))
 
 
+def subset_mask(term: Column) -> Column:
+    """A bit for each subset of the lexicon that keeps a term."""
+    kept = [F.when(F.pmod(F.xxhash64(term, F.lit(k)), F.lit(rate)) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, rate in enumerate(RATES) if rate > 1]
+    return reduce(lambda a, b: a.bitwiseOR(b), kept, F.lit(1).cast("long"))
+
+
 def lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term): hashes of the terms in the band. In a small table a term of one document is always in it."""
+    """(term, mask): hashes of the terms in the band, with their subsets. In a small table a term of one document is always in it."""
     rows = texts.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
     counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = texts.count()
-    return counts.where((F.col("df") >= n * LEAST_SHARE) & (F.col("df") <= max(1, int(n * MOST_SHARE)))).select("term")
+    return counts.where((F.col("df") >= n * LEAST_SHARE) & (F.col("df") <= max(1, int(n * MOST_SHARE)))).select("term", subset_mask(F.col("term")).alias("mask"))
 
 
 def subset_hashes(found: Column, fallback: Column) -> Column:
-    """Array with one hash for each subset of a sorted array of terms, 0 where it keeps none; only the fallback's without terms."""
-    kept = lambda k, rate: F.filter(found, lambda t: F.pmod(F.xxhash64(t, F.lit(k)), F.lit(rate)) == 0) if rate > 1 else found
+    """Array with one hash for each subset of a sorted array of (term, mask), 0 where it keeps none; only the fallback's without terms."""
     digest = lambda a: F.when(F.size(a) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(a).bitwiseAND(F.lit(0xFFFFFFFF)))
+    has = lambda x, bits: x["mask"].bitwiseAND(F.lit(bits)) != 0
+    term = lambda x: x["term"]
+    kept = lambda s, k: s["all"] if RATES[k] == 1 else F.filter(s["some"] if RATES[k] < RARE else s["few"], lambda x: has(x, 1 << k))
+    of_rates = lambda least: F.filter(found, lambda x: has(x, sum(1 << k for k, r in enumerate(RATES) if r >= least)))
+    sets = F.struct(found.alias("all"), of_rates(2).alias("some"), of_rates(RARE).alias("few"))
     none = F.array(fallback.bitwiseAND(F.lit(0xFFFFFFFF)), *[F.lit(0).cast("long")] * (len(RATES) - 1))
-    return F.when(F.size(found) == 0, none).otherwise(F.array(*[digest(kept(k, rate)) for k, rate in enumerate(RATES)]))
+    whole = let(sets, lambda s: F.array(*[digest(F.transform(kept(s, k), term)) for k in range(len(RATES))]))
+    return F.when(F.size(found) == 0, none).otherwise(whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -92,17 +109,24 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
     both = lined.select("_bw_range", "_bw_copy", "place", "id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    # the first element of a row carries its facts, the others one term each, of the text or of the edited text
-    facts = F.struct("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "_bw_copy")
-    item = lambda of, term, fact: F.struct(F.lit(of).alias("of"), term.alias("term"), fact.alias("facts"))
-    kind = "struct<id:bigint,n_chars:bigint,edited_sha256:string,_bw_copy:int>"
-    listed = lambda v, c: F.transform(terms(F.col(c)), lambda t: item(v, t, F.lit(None).cast(kind)))
-    items = F.concat(F.array(item(0, F.lit(None).cast("long"), facts)), *[listed(v, c) for v, c in enumerate(("text", "edited"))])
-    spread = both.select("_bw_range", "place", F.explode(items).alias("item")).select("_bw_range", "place", "item.*")
-    marked = spread.join(words.withColumnRenamed("term", "known"), F.col("term") == F.col("known"), "left")
-    per = lambda v: [F.array_sort(F.collect_set(F.when(F.col("of") == v, F.col("known")))).alias(f"found{v}"), F.coalesce(F.bit_xor(F.when(F.col("of") == v, F.xxhash64("term"))), F.lit(1)).alias(f"all{v}")]
-    grouped = marked.groupBy("_bw_range", "place").agg(F.first("facts", ignorenulls=True).alias("facts"), *per(0), *per(1))
-    hashed = grouped.select("_bw_range", "place", "facts.*", subset_hashes(F.col("found0"), F.col("all0")).alias("own"), subset_hashes(F.col("found1"), F.col("all1")).alias("other"))
+    # the first element of a row carries its facts, the others one term each, of the text or of the edited text; terms out of the band
+    # count for the set of all terms only, which is hashed in the row
+    every = lambda found: F.aggregate(found, F.lit(1).cast("long"), lambda acc, t: acc.bitwiseXOR(F.xxhash64(t)))
+    kind = "struct<id:bigint,n_chars:bigint,edited_sha256:string,_bw_copy:int,all0:bigint,all1:bigint>"
+
+    def items(s: Column) -> Column:
+        facts = F.struct("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "_bw_copy", every(s["t0"]).alias("all0"), every(s["t1"]).alias("all1"))
+        item = lambda of, term, fact: F.struct(F.lit(of).alias("of"), term.alias("term"), fact.alias("facts"))
+        listed = lambda v: F.transform(s[f"t{v}"], lambda t: item(v, t, F.lit(None).cast(kind)))
+        return F.concat(F.array(item(0, F.lit(None).cast("long"), facts.cast(kind))), listed(0), listed(1))
+
+    both = both.withColumn("items", let(F.struct(terms(F.col("text")).alias("t0"), terms(F.col("edited")).alias("t1")), items))
+    spread = both.select("_bw_range", "place", F.explode("items").alias("item")).select("_bw_range", "place", "item.*")
+    marked = spread.join(words.withColumnRenamed("term", "known"), F.col("term") == F.col("known"), "left").where("known is not null or facts is not null")
+    # terms are distinct within a text, so that a list of them is a set
+    per = lambda v: F.array_sort(F.collect_list(F.when((F.col("of") == v) & F.col("known").isNotNull(), F.struct(F.col("known").alias("term"), "mask")))).alias(f"found{v}")
+    grouped = marked.groupBy("_bw_range", "place").agg(F.first("facts", ignorenulls=True).alias("facts"), per(0), per(1))
+    hashed = grouped.select("_bw_range", "place", "facts.*", subset_hashes(F.col("found0"), F.col("facts.all0")).alias("own"), subset_hashes(F.col("found1"), F.col("facts.all1")).alias("other"))
     after = Window.partitionBy("_bw_range").orderBy("place")
     led = hashed.withColumn("next", F.lead("own").over(after)).where("_bw_copy = 0")
     return led.select(

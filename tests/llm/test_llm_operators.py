@@ -340,6 +340,52 @@ def test_imatch_edits_and_neighbours(spark, mixed, empty):
     assert imatch.fingerprints(empty).count() == 0
 
 
+def brute_imatch(texts):
+    """Fingerprints of texts (all of one table, in order) and of their edited texts, as lists of numbers, from the definition."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    longs = lambda values, seed=42: [seed := xxhash.xxh64_intdigest(int(v).to_bytes(8, "little", signed=True), seed) for v in values][-1]
+    split = lambda text: {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\W_]+", text.lower())}
+    counts = {}
+    for t in texts:
+        for term in split(t):
+            counts[term] = counts.get(term, 0) + 1
+    band = {t for t, c in counts.items() if len(texts) * imatch.LEAST_SHARE <= c <= max(1, int(len(texts) * imatch.MOST_SHARE))}
+
+    def fingerprint(text):
+        found = sorted(split(text) & band)
+        if not found:
+            every = 1
+            for t in split(text):
+                every ^= signed(longs([t]))
+            return [every & 0xFFFFFFFF] + [0] * (len(imatch.RATES) - 1)
+        out = []
+        for k, rate in enumerate(imatch.RATES):
+            kept = [t for t in found if rate == 1 or signed(xxhash.xxh64_intdigest(k.to_bytes(4, "little"), longs([t]))) % rate == 0]
+            out.append(longs(kept) & 0xFFFFFFFF if kept else 0)
+        return out
+
+    edited = []
+    for i, t in enumerate(texts):
+        half, after = len(t) // 2, texts[(i + 1) % len(texts)]
+        edited.append(t[: len(t) - half] + after[:half])
+    return [fingerprint(t) for t in texts], [fingerprint(t) for t in edited]
+
+
+def test_imatch_fingerprints_and_likenesses_match_brute_force(spark):
+    random = np.random.default_rng(11)
+    texts = [" ".join(f"t{int(w)}" for w in random.zipf(1.3, int(random.integers(1, 120))) % 700) for _ in range(120)] + ["", "é—Ü ß1 _x_", "t0", "t0"]
+    own, other = brute_imatch(texts)
+    alike = lambda a, b: (sum(x == y != 0 for x, y in zip(a, b, strict=True)) / n) if (n := sum(x != 0 or y != 0 for x, y in zip(a, b, strict=True))) else 1.0
+    text = lambda values: "".join(f"{v:08x}" for v in values)
+    found = {r["doc_id"]: r for r in imatch.fingerprints(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    for i in range(len(texts)):
+        r = found[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (text(own[i]), text(other[i]))
+        assert abs(r["near_edited"] - alike(own[i], other[i])) < 1e-12 and abs(r["near_next"] - alike(own[i], own[(i + 1) % len(texts)])) < 1e-12
+
+
 # --- chat
 
 
