@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickwise.runtime import materialize
+from brickwise.runtime import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Alternates two contractions: every node hands its larger neighbours to its smallest neighbour,
     then every node hands its smaller neighbours to the smallest of them. Both keep components as they are
     and end in stars around the smallest node. Work per round is linear in the edges; the number of rounds
-    grows with the logarithm of the longest path. Each round is written to the shared folder.
+    grows with the logarithm of the longest path. Each round is written to the shared folder and
+    the one before deleted.
 
     Self-loops, repeated edges and edges with a null end are ignored; no edges give no rows.
     """
@@ -24,7 +25,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        current = materialize(_small_star(_large_star(current)), "components")
+        last, current = current, materialize(_small_star(_large_star(current)), "components")
+        discard(last)
         after = _signature(current)
         if after == before:
             break

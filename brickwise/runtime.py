@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (tests, a laptop) a temporary folder is made, once for each application.
+    Only where it is unset and all tasks run in this machine's JVM (tests, a laptop) a temporary folder is made, once for each
+    application. On a cluster without the setting each executor would write to its own disk: that raises RuntimeError.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/") + "/brickwise"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = "file://" + tempfile.mkdtemp(prefix="brickwise-")
@@ -30,12 +36,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Later jobs read the table instead of recomputing the plan, see one fixed set of rows even if
     ``df`` isn't deterministic across runs (range bounds, partition ids), and survive the loss of
-    any executor. The folder may be emptied once the session has ended.
+    any executor. The folder may be emptied once the session has ended; :func:`discard` deletes a table before.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _written[read] = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and that nothing will read again; others are left alone."""
+    for df in tables:
+        if path := _written.pop(df, None):
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def range_table(df: DataFrame, order_by: list[str], label: str, part: str = "_bw_part") -> DataFrame:
