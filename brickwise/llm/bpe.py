@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -157,23 +158,30 @@ class ByteBpe:
 
         return of(ids)
 
-    def round_trip(self, text: Column | str) -> Column:
+    def round_trip(self, text: Column | str, with_ids: bool = False) -> Column:
         """Struct (n_tokens, ids_sha256, decoded_sha256) of a text encoded and decoded again; null counts as empty.
 
-        One pass in the worker, so that the ids of large tables don't travel between the JVM and Python.
+        One pass in the worker, so that the ids don't travel from Python to the JVM and back; with ``with_ids`` they are a
+        further field ``ids``.
         """
         packed, pattern = self.packed, self.pattern
 
-        @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
         def of(texts: pa.Array) -> pa.Array:
             codec = _codec(packed, pattern)
             digits = [str(i) for i in range(len(codec.tokens))]
-            counts, encoded, decoded = [], [], []
+            counts, encoded, decoded, kept = [], [], [], []
             for ids in codec.encode_many(x.as_py() or "" for x in texts):
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    kept.append(np.array(ids, dtype=np.int32))
+            arrays = [pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+            return pa.StructArray.from_arrays(arrays, names)
 
         return of(text)
 

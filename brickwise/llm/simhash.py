@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from brickwise.llm.embed_dedup import joined_labels
 from brickwise.operators.components import connected_components
-from brickwise.runtime import broadcast_if_small, materialize
+from brickwise.runtime import broadcast_if_small, discard, materialize
 
 SEED = 42
 #: Generator polynomial of the binary Golay code, fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -48,6 +48,11 @@ def fingerprint_bytes(text: bytes, words: int = 3) -> int:
         shingles = [joined[s:e] for s, e in zip(starts, ends[words - 1 :], strict=True)]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles))
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for part in np.array_split(hashes, len(hashes) // 65536 + 1):
         ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -226,24 +231,25 @@ def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:count].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=count))
 
 
-def sketch_bytes(text: bytes, rule: NearCopies, common: np.ndarray, counts: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """(digest and number of the distinct shingles, those that come first) of a text; ``common`` are the sorted hashes that come last, by ``counts``."""
+def sketch_bytes(text: bytes, rule: NearCopies, common: np.ndarray, counts: np.ndarray) -> tuple[int, int, int, np.ndarray]:
+    """(digest, number and fingerprint of the distinct shingles, those that come first) of a text; ``common`` are the sorted hashes that come last, by ``counts``."""
     hashes = _shingle_hashes(text, rule.words)
     if not len(hashes):
-        return 0, 0, hashes.view(np.int64)
+        return 0, 0, 0, hashes.view(np.int64)
     content = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
     often = np.zeros(len(hashes), dtype=np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         often = np.where(common[at] == hashes, counts[at], 0)
     first = hashes[np.argsort(often, kind="stable")][: rule.prefix(len(hashes))]
-    return content - (1 << 63), len(hashes), first.view(np.int64)
+    return content - (1 << 63), len(hashes), _majority(hashes), first.view(np.int64)
 
 
 def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: NearCopies | None = None) -> DataFrame:
     """(id, root): every id that isn't the smallest of its group of copies and near copies, with that smallest id.
 
-    Copies have the same shingles (A-Z in either case, whatever the white space). A bucket holds the texts with one shingle among their first.
+    Copies have the same shingles (A-Z in either case, whatever the white space). Texts whose fingerprints differ in ``MAX_DISTANCE`` bits at
+    most meet first, found by their Golay keys. Near copies of more bits are found by buckets; a bucket holds the texts with one shingle among their first.
     There each text first meets the text that shares most of its own first shingles, the one with the smallest id, and its neighbour by size; then
     all texts of a bucket that aren't grouped yet meet, in chunks. So a bucket of one group costs as much as it has rows, and no pair is missed.
     Texts without words are copies of each other. Null ids are ignored; an id with several texts is linked if one of them is.
@@ -262,11 +268,11 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sort = np.argsort(common.view(np.uint64))
     common, counts = common.view(np.uint64)[sort], counts[sort]
 
-    @F.arrow_udf("content long, n int, first array<long>")
+    @F.arrow_udf("content long, n int, fp long, first array<long>")
     def sketch(texts: pa.Array) -> pa.Array:
         rows = [sketch_bytes(x.as_py() or b"", rule, common, counts) for x in texts.cast(pa.large_binary())]
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))]
-        return pa.StructArray.from_arrays(columns, ["content", "n", "first"])
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))]
+        return pa.StructArray.from_arrays(columns, ["content", "n", "fp", "first"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` whose whole sets of shingles have the similarity."""
@@ -274,15 +280,27 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
         sets = materialize(known.join(broadcast_if_small(involved), "id", "left_semi").select("id", shingles("text").alias("s")), "shingle-sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common >= rule.similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        found = materialize(both.where(common >= rule.similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-copies")
+        discard(involved, sets)
+        return found
 
-    rows = materialize(known.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketches")
+    sketches = materialize(known.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketches")
     same = ["content", "n"]
-    nodes = materialize(rows.groupBy(*same).agg(F.min("id").alias("node"), F.first("first").alias("first")), "texts")
-    spread = nodes.select("node", "n", F.size("first").alias("k"), F.posexplode("first").alias("i", "p"))
+    texts = materialize(sketches.groupBy(*same).agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("first").alias("first")), "texts")
+    rows = materialize(sketches.select("id", *same), "rows")
+    nodes = materialize(texts.select("node", "fp", *same), "nodes")
+    discard(sketches)
+    # by fingerprint: copies of one with the lowest of them, and these with each other
+    prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
+    equal = nodes.join(prints, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    named = lambda end: prints.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_low"))
+    ends = near_links(prints).join(named("a"), "a").join(named("b"), "b")
+    by_print = equal.unionByName(ends.select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b")))
+    spread = texts.select("node", "n", F.size("first").alias("k"), F.posexplode("first").alias("i", "p"))
     often = spread.groupBy("p").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("p")
     shared = spread.join(often, "p").withColumn("share", F.count(F.lit(1)).over(Window.partitionBy("node")) / F.col("k"))
     buckets = materialize(shared.select("p", "node", "n", "i", "share"), "buckets")
+    discard(texts)
     # each text with a few of its bucket
     member = F.struct("node", "n", "i")
     hubs = buckets.groupBy("p").agg(F.max_by(member, F.struct("share", -F.col("node"))).alias("central"), F.min(member).alias("lowest"))
@@ -290,14 +308,17 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     beside = F.lag(member).over(Window.partitionBy("p").orderBy("n", "node"))
     chained = buckets.select("node", "n", "i", beside.alias("other")).where("other is not null")
     met = starred.unionByName(chained).where(F.col("node") != F.col("other.node")).where(rule.fits(F.col("n"), F.col("i"), F.col("other.n"), F.col("other.i")))
-    pairs = materialize(met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct(), "candidates")
-    roots = materialize(connected_components(materialize(verified(pairs), "near-copies")), "roots")
+    met = met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
+    pairs = materialize(met.unionByName(by_print).distinct(), "candidates")
+    roots = materialize(connected_components(verified(pairs)), "roots")
     # whatever isn't of the largest group of its bucket with the rest of the bucket
     grouped = buckets.select("p", "node", "n", "i").join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = materialize(grouped, "grouped")
+    discard(buckets)
     sizes = grouped.groupBy("p", "root").agg(F.count(F.lit(1)).alias("c"))
     split = sizes.groupBy("p").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.ceil((F.sum("c") - F.max("c")) / CHUNK).cast("int").alias("chunks")).where("chunks > 0")
     mixed = materialize(grouped.join(split, "p"), "mixed")
+    discard(grouped)
     left = mixed.where("root <> major").select("p", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), *[F.col(c).alias(f"l{c}") for c in ("node", "n", "i", "root")])
     right = mixed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     apart = (F.col("lroot") != F.col("root")) & ((F.col("root") == F.col("major")) | (F.col("lnode") < F.col("node")))

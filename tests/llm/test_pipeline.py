@@ -113,6 +113,24 @@ def test_near_copies_whose_fingerprints_differ_in_23_bits(spark):
     assert groups_found(spark, {1: " ".join(words[:8]), 2: " ".join(words)}) == {1: 1, 2: 1}
 
 
+def test_near_copies_of_a_larger_table_match_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    sets = {r.doc_id: shingles(r.text or "") for r in docs.collect()}
+    holders, pairs = {}, {}
+    for i, s in sorted(sets.items()):
+        for x in s:
+            for j in holders.setdefault(x, []):
+                pairs[j, i] = pairs.get((j, i), 0) + 1
+            holders[x].append(i)
+    root = {i: i for i in sets}
+    for (a, b), n in pairs.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    found = {i: i for i in sets} | {r.id: r.root for r in simhash.near_copy_groups(docs).collect()}
+    assert found == root and len(set(root.values())) < len(root)
+
+
 def test_no_personal_data_is_left(stages):
     assert pii.pii_report(stages[3]).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert stages[3].count() == stages[2].count()
