@@ -17,6 +17,7 @@ BATCH_ROWS = 1000
 
 
 def _small_batches(spark: SparkSession) -> None:
+    """For the session from here on, as stages are run after they return."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
@@ -44,9 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's id, source, number of tokens and digests of its ids and of their decoded bytes."""
+    """Each row's id, source, token ids, their number, and digests of the ids and of their decoded bytes."""
     _small_batches(spark)
-    return docs.select("doc_id", "source", bpe.ByteBpe().round_trip("text").alias("coded")).select("doc_id", "source", "coded.*")
+    return docs.select("doc_id", "source", bpe.ByteBpe().round_trip("text", with_ids=True).alias("coded")).select("doc_id", "source", "coded.*")
 
 
 STAGES: list[tuple[str, Stage]] = [
