@@ -146,11 +146,17 @@ def test_sources_come_near_their_targets(stages):
     assert all(abs(r.n - targets[r.source]) <= 1 for r in words)
 
 
+def bpe_tokens(ids):
+    tokens = bpe.read_ranks(__import__("public_tokenizers").path(bpe.VOCABULARY))
+    return b"".join(tokens[i] for i in ids)
+
+
 def test_every_row_is_encoded(spark, sf_dir, stages):
     assert stages[5].count() == stages[4].count()
     first = stages[4].orderBy("doc_id").first()
     found = stages[5].where(F.col("doc_id") == first.doc_id).first()
     codec = bpe.ByteBpe()
     size = spark.createDataFrame([(first.text,)], "t string").select(F.size(codec.encode("t"))).first()[0]
-    assert found.n_tokens == size
-    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(tuple(r) for r in stages[5].collect())
+    assert found.n_tokens == size == len(found.ids) and bytes(bpe_tokens(found.ids)).decode() == first.text
+    facts = lambda rows: sorted((r.doc_id, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows.collect())
+    assert facts(corpus_pipeline.run(spark, sf_dir)) == facts(stages[5])
