@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickwise.functions.vectors import affine
-from brickwise.operators.grid import AXES, around, ball
+from brickwise.operators.grid import AXES, _all
+from brickwise.runtime import materialize, range_table
 
 
 def priority_merge(first: DataFrame, second: DataFrame, values: list[str], keys: list[str], valid: str = "valid") -> DataFrame:
@@ -57,14 +58,26 @@ def as_of_interpolated(probes: DataFrame, points: DataFrame, at: str, values: li
     """``probes`` with each value interpolated linearly between the control points before and after, held at the ends.
 
     One sorted pass over probes and points together (the last point so far, the next one to come), not a range join. Of
-    points at the same place, any may serve. Without a ``group`` column the order is total: give one for large inputs.
+    points at the same place, any may serve. Without a ``group`` column the rows are dealt into ordered ranges, each of which is
+    passed on its own and told the last point of the ranges before it and the first of those after.
     """
     part = [group] if group else []
     tagged = points.select(*part, at, F.struct(F.col(at).cast("double").alias("at"), *[F.col(v).cast("double").alias(v) for v in values]).alias("_point"))
     rows = probes.withColumn("_probe", F.struct(*probes.columns)).select(*part, at, "_probe").unionByName(tagged.withColumn("_probe", F.lit(None)), allowMissingColumns=True)
-    order = Window.partitionBy(*(part or [F.lit(0)])).orderBy(at, F.col("_probe").isNotNull())
-    before = F.last("_point", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_point", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    if not group:
+        rows = range_table(rows, [at], "as-of")
+        ends = rows.groupBy("_bw_part").agg(F.max("_point").alias("_last"), F.min("_point").alias("_first"))
+        over = Window.orderBy("_bw_part")  # a row per range
+        ends = ends.select(
+            "_bw_part", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+            F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+        )
+        rows = rows.join(F.broadcast(ends), "_bw_part")
+    else:
+        rows = rows.withColumns({"_earlier": F.lit(None).cast(tagged.schema["_point"].dataType), "_later": F.lit(None).cast(tagged.schema["_point"].dataType)})
+    order = Window.partitionBy(group or "_bw_part").orderBy(at, F.col("_probe").isNotNull())
+    before = F.coalesce(F.last("_point", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_earlier"))
+    after = F.coalesce(F.first("_point", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.col("_later"))
     out = rows.withColumn("_lo", F.coalesce(before, after)).withColumn("_hi", F.coalesce(after, before)).where("_probe is not null")
     gap = F.col("_hi.at") - F.col("_lo.at")
     share = F.when(gap > 0, (F.col(at) - F.col("_lo.at")) / gap).otherwise(0.0)
@@ -75,14 +88,19 @@ def as_of_interpolated(probes: DataFrame, points: DataFrame, at: str, values: li
 def nearest(rows: DataFrame, targets: DataFrame, radius: int, keep: list[str], value: list[str]) -> DataFrame:
     """``rows`` with ``d2`` and the values of the nearest target within ``radius``, nulls beyond; of equals the lowest z, y, x.
 
-    Targets are handed to the places of the ball around them and combined before they meet the rows: an equi-join, never a product.
+    Targets are handed along one axis after the other, 2 radius + 1 copies each, and the nearest so far is kept at every place on the way: of the targets
+    of one line the nearest is the nearest for all places across it. So the cost of a target is linear in the radius, and the rows meet theirs in an equi-join.
     """
-    offsets = [(0, 0, 0), *ball(radius)]
-    tagged = targets.select(*AXES, F.struct(*[F.col(a).alias(f"t{a}") for a in AXES], *[F.col(v).alias(v) for v in value]).alias("_t"))
-    spread = around(tagged, offsets, ("_t",))
-    d2 = sum(((F.col(a) - F.col(f"_t.t{a}")) * (F.col(a) - F.col(f"_t.t{a}")) for a in AXES[1:]), (F.col("z") - F.col("_t.tz")) * (F.col("z") - F.col("_t.tz")))
-    best = spread.groupBy(*AXES).agg(F.min(F.struct(d2.alias("d2"), "_t.*")).alias("_best"))
-    return rows.select(*AXES, *keep).join(best, list(AXES), "left").select(*AXES, *keep, F.col("_best.d2").alias("d2"), *[F.col(f"_best.{v}").alias(f"near_{v}") for v in value])
+    best = F.struct(F.lit(0).alias("d2"), *[F.col(a).alias(f"t{a}") for a in AXES], *[F.col(v).alias(v) for v in value])
+    near = targets.select(*AXES, best.alias("_best"))
+    for axis in reversed(AXES):
+        step = F.col("_step")
+        moved = near.withColumn("_step", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+        further = F.struct((F.col("_best.d2") + step * step).alias("d2"), *[F.col(f"_best.{c}").alias(c) for c in [*(f"t{a}" for a in AXES), *value]])
+        places = [(F.col(a) + step).cast("int").alias(a) if a == axis else a for a in AXES]
+        near = moved.select(*places, further.alias("_best")).where(F.col("_best.d2") <= radius * radius).groupBy(*AXES).agg(F.min("_best").alias("_best"))
+    found = rows.select(*AXES, *keep).join(near, list(AXES), "left")
+    return found.select(*AXES, *keep, F.col("_best.d2").alias("d2"), *[F.col(f"_best.{v}").alias(f"near_{v}") for v in value])
 
 
 def march(rows: DataFrame, body: DataFrame, direction: tuple[Column, Column, Column], steps: int, id_cols: list[str]) -> DataFrame:
@@ -114,8 +132,21 @@ def box_overlap(boxes: DataFrame, others: DataFrame, size: int, cell: int, anti:
 
 
 def merge_intervals(rows: DataFrame, low: str, high: str, group: list[str] | None = None) -> DataFrame:
-    """Maximal unions of closed intervals that touch or overlap."""
-    part = Window.partitionBy(*(group or [F.lit(0)])).orderBy(low, high)
-    reach = F.max(high).over(part.rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.withColumn("_new", F.when(F.col(low) <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(part))
-    return starts.groupBy(*(group or []), "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")
+    """Maximal unions of closed intervals that touch or overlap.
+
+    The rows are dealt into ordered ranges of group and low end; what reaches into a range from those before it, and how many unions
+    have begun there, comes from a row per range and group.
+    """
+    keys = list(group or [])
+    dealt = range_table(rows.select(*keys, low, high), [*keys, low], "intervals")
+    earlier = Window.partitionBy(*keys).orderBy("_bw_part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_bw_part", *keys).orderBy(low, high)
+    far = dealt.groupBy("_bw_part", *keys).agg(F.max(high).alias("_far")).withColumn("_far", F.max("_far").over(earlier))
+    reach = F.greatest(F.max(high).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    met = dealt.join(far.withColumnsRenamed({"_bw_part": "_p", **{k: f"_k_{k}" for k in keys}}), _all(F.col("_bw_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]))
+    marked = materialize(met.withColumn("_new", F.when(F.col(low) <= reach, 0).otherwise(1)).select("_bw_part", *keys, low, high, "_new"), "interval-starts")
+    begun = marked.groupBy("_bw_part", *keys).agg(F.sum("_new").alias("_begun")).withColumn("_begun", F.coalesce(F.sum("_begun").over(earlier), F.lit(0)))
+    begun = begun.withColumnsRenamed({"_bw_part": "_p", **{k: f"_k_{k}" for k in keys}})
+    numbered = marked.join(begun, _all(F.col("_bw_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]))
+    numbered = numbered.withColumn("_island", F.sum("_new").over(within) + F.col("_begun"))
+    return numbered.groupBy(*keys, "_island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_island")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from brickwise.runtime import discard, materialize
+
 
 def _order() -> WindowSpec:
     return Window.partitionBy("ray_id").orderBy("k")
@@ -39,19 +42,22 @@ def local_maxima(samples: DataFrame, least: float) -> DataFrame:
 
 
 def spaced_peaks(peaks: DataFrame, distance: int) -> DataFrame:
-    """(ray_id, k, v): greedily the highest peaks with none closer than ``distance`` to one taken before; ties by place.
+    """(ray_id, k, v): the highest peaks, none closer than ``distance`` to a higher one that is taken; of equal ones the first in place counts as higher.
 
-    Sequential within a ray by nature; rays are independent.
+    In rounds: a peak that is the highest of all open ones closer than the distance is taken, and closes these. Each round looks at neighbours
+    only, and every ray's highest open peak is taken in it.
     """
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        for k in frame.sort_values(["v", "k"], ascending=[False, True])["k"]:
-            if all(abs(k - t) >= distance for t in taken):
-                taken.append(k)
-        return frame[frame["k"].isin(taken)][["ray_id", "k", "v"]].sort_values("k")
-
-    return peaks.select("ray_id", F.col("k").cast("long"), "v").groupBy("ray_id").applyInPandas(greedy, "ray_id long, k long, v double")
+    near = Window.partitionBy("ray_id").orderBy("k").rangeBetween(-(distance - 1), distance - 1)
+    rank = F.struct(F.col("v"), -F.col("k"))
+    still = materialize(peaks.select("ray_id", F.col("k").cast("long").alias("k"), "v"), "open-peaks")
+    taken: list[DataFrame] = []
+    while not still.isEmpty():
+        judged = still.withColumn("_top", F.max(rank).over(near) == rank).withColumn("_closed", F.max("_top").over(near))
+        judged = materialize(judged, "peaks")
+        discard(still)
+        taken.append(judged.where("_top").select("ray_id", "k", "v"))
+        still = materialize(judged.where("not _closed").select("ray_id", "k", "v"), "open-peaks")
+    return reduce(DataFrame.unionByName, taken, still)
 
 
 def dominant_period(samples: DataFrame, least: float, most: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brickwise.operators.prefix import running_sums
+
 
 def hash_unit(*keys: Column | str, salt: str = "") -> Column:
     """A number in [0, 1) from the first 13 hex digits of the keys' md5."""
@@ -31,10 +33,14 @@ def weighted_choice(rows: DataFrame, keys: list[str], weights: dict[str, float],
 
 
 def best_per_bin(rows: DataFrame, bins: int, order: str, score: str, ties: str) -> DataFrame:
-    """The row with the highest score in each of ``bins`` equal runs of the order; ties by the lowest ``ties``."""
-    binned = rows.withColumn("_bin", F.ntile(bins).over(Window.partitionBy(F.lit(0)).orderBy(order, ties)))
-    best = F.row_number().over(Window.partitionBy("_bin").orderBy(F.desc(score), ties))
-    return binned.withColumn("_best", best).where("_best = 1").drop("_bin", "_best")
+    """The row with the highest score in each of ``bins`` equal runs of the order (the first ones a row longer if they can't be equal); ties by the lowest ``ties``."""
+    numbered = running_sums(rows.withColumn("_bw_one", F.lit(1).cast("long")), [order, ties], {"_bw_one": "_bw_place"}, "bin-places")
+    total = rows.count()
+    short, longer = total // bins, total % bins
+    place, first = F.col("_bw_place"), longer * (short + 1)
+    number = F.when(place < first, F.floor(place / (short + 1))).otherwise(longer + F.floor((place - first) / max(1, short)))
+    best = numbered.groupBy(number.alias("_bw_bin")).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(score), -F.col(ties))).alias("_bw_best"))
+    return best.select("_bw_best.*")
 
 
 def spread_top(rows: DataFrame, n: int, size: int, score: str, axes: tuple[str, ...], pool: int | None = None) -> list[dict]:

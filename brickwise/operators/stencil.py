@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from brickwise.operators.grid import AXES, FACES, around, cube
+from brickwise.operators.grid import AXES, FACES, around
 
 
 def line(axis: str) -> WindowSpec:
@@ -94,8 +94,11 @@ def ridge(gradient: str, axis: str) -> Column:
 
 
 def dilate(rows: DataFrame, radius: int = 1, within: DataFrame | None = None) -> DataFrame:
-    """Places of ``rows`` and all in the cube around each, kept to the places of ``within``."""
-    grown = rows.select(*AXES).union(around(rows, cube(radius))).distinct()
+    """Places of ``rows`` and all in the cube around each, kept to the places of ``within``; one axis after the other, 2 radius + 1 copies each."""
+    grown = rows.select(*AXES)
+    for axis in AXES:
+        steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+        grown = grown.withColumn("_step", steps).select(*[(F.col(a) + F.col("_step")).alias(a) if a == axis else a for a in AXES]).distinct()
     return grown.join(within.select(*AXES), list(AXES), "left_semi") if within is not None else grown
 
 

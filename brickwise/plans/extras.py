@@ -25,7 +25,19 @@ def component_stats(spark: SparkSession, folder: str) -> DataFrame:
     return stats.crossJoin(F.broadcast(top))  # one row each
 
 
-@register("grey_modes")
+def _two_means_sql(rounds: int) -> str:
+    """Rounds of two-means on the histogram ``h``; the nearer mode takes a code, the lower one if both are as near."""
+    out = "m0 AS (SELECT min(u)::DOUBLE AS low, max(u)::DOUBLE AS high FROM h)"
+    near = "abs(u - low) <= abs(u - high)"
+    for k in range(rounds):
+        mean = lambda w: f"sum(n * u) FILTER (WHERE {w})::DOUBLE / sum(n) FILTER (WHERE {w})"  # noqa: B023, E731
+        out += f", m{k + 1} AS (SELECT {mean(near)} AS low, coalesce({mean(f'NOT ({near})')}, max(high)) AS high FROM h, m{k})"
+    return out
+
+
+@register("grey_modes", f"""WITH {VOXELS_SQL}, h AS (SELECT u, count(*) AS n FROM coded GROUP BY u), {_two_means_sql(10)}
+SELECT 'low' AS mode, round(m10.low, 6) AS value, CAST((SELECT sum(n) FROM h, m9 WHERE abs(u - low) <= abs(u - high)) AS BIGINT) AS n FROM m10
+UNION ALL SELECT 'high', round(m10.high, 6), CAST((SELECT sum(n) FROM h, m9 WHERE abs(u - low) > abs(u - high)) AS BIGINT) FROM m10""")
 def grey_modes(spark: SparkSession, folder: str) -> DataFrame:
     """Two modes of the codes by ten rounds of two-means on their histogram of 256 bins at most."""
     hist = coded_voxels(spark, folder).groupBy("u").agg(F.count(F.lit(1)).alias("n")).orderBy("u").collect()

@@ -114,7 +114,12 @@ def best_start_per_bin(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.best_per_bin(c, 8, "start", "score", "start")
 
 
-@register("topk_nonoverlap_candidates")
+@register("topk_nonoverlap_candidates", f"""WITH RECURSIVE {VOXELS_SQL}, b AS (SELECT z // 4 * 4 AS z, y // 4 * 4 AS y, x // 4 * 4 AS x, CAST(sum(u) AS DOUBLE) AS score FROM coded GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, z, y, x) AS r FROM b),
+g AS (SELECT 0::BIGINT AS r, []::STRUCT(z INT, y INT, x INT, score DOUBLE)[] AS taken
+  UNION ALL SELECT r.r, CASE WHEN len(list_filter(g.taken, lambda t: abs(t.z - r.z) < 8 AND abs(t.y - r.y) < 8 AND abs(t.x - r.x) < 8)) = 0
+    THEN list_append(g.taken, {{'z': r.z, 'y': r.y, 'x': r.x, 'score': r.score}}) ELSE g.taken END FROM g JOIN r ON r.r = g.r + 1 WHERE len(g.taken) < 12)
+SELECT t.z, t.y, t.x, t.score FROM (SELECT unnest(arg_max(taken, r)) AS t FROM g)""")
 def topk_nonoverlap_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The twelve densest blocks of which no two cubes of eight voxels overlap."""
     blocks = coded_voxels(spark, folder).groupBy(*[(F.floor(F.col(a) / 4) * 4).cast("int").alias(a) for a in AXES]).agg(F.sum("u").cast("double").alias("score"))
@@ -165,7 +170,8 @@ def robust_normalise(spark: SparkSession, folder: str) -> DataFrame:
     return aggregates.robust_normalise(voxels(spark, folder), "v", ["label"]).groupBy("label").agg(F.round(F.avg("normalised"), 6).alias("mean"), F.round(F.max("normalised"), 6).alias("top"))
 
 
-@register("orientation48_invert")
+@register("orientation48_invert", f"""WITH {VOXELS_SQL}, s AS (SELECT count(*) AS n, count(DISTINCT z % 4 * 16 + y % 4 * 4 + x % 4) AS places FROM vox)
+SELECT CAST(e.i AS INT) AS element, n AS n_home, n, places AS n_places FROM range(48) e(i), s""")
 def orientation48_invert(spark: SparkSession, folder: str) -> DataFrame:
     """For each of the 48 orientations: places within a brick that come back to themselves, and the places they take."""
     cube = voxels(spark, folder).select("v", *[(F.col(a) % 4).alias(a) for a in AXES])

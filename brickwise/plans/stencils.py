@@ -110,7 +110,19 @@ def distance_to_surface(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("d2 is not null").groupBy(F.col("d2").cast("long").alias("d2")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("smoothed_threshold_mask")
+def _smoothed_sql(source: str, axis: str, value: str) -> str:
+    """One pass of a gaussian of sigma 1 along an axis, over places within three of each, their weights made to add up to one."""
+    rest = [a for a in grid.AXES if a != axis]
+    same = " AND ".join(f"b.{a} = a.{a}" for a in rest)
+    return (
+        f"SELECT a.z, a.y, a.x, sum(exp(-0.5::DOUBLE * (b.{axis} - a.{axis})**2) * b.{value}) / sum(exp(-0.5::DOUBLE * (b.{axis} - a.{axis})**2)) AS s "
+        f"FROM {source} a JOIN {source} b ON {same} AND b.{axis} BETWEEN a.{axis} - 3 AND a.{axis} + 3 GROUP BY 1, 2, 3"
+    )
+
+
+@register("smoothed_threshold_mask", f"""WITH {VOXELS_SQL}, {_STEPS_SQL}, sz AS ({_smoothed_sql("coded", "z", "u")}), sy AS ({_smoothed_sql("sz", "y", "s")}), sx AS ({_smoothed_sql("sy", "x", "s")}),
+m AS (SELECT z, y, x FROM sx WHERE s > 140), t AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c, steps d, m WHERE m.z = c.z + d.dz AND m.y = c.y + d.dy AND m.x = c.x + d.dx)
+SELECT z, count(*) AS n FROM (SELECT * FROM m UNION SELECT * FROM t) GROUP BY z""")
 def smoothed_threshold_mask(spark: SparkSession, folder: str) -> DataFrame:
     """Voxels whose gaussian-smoothed code passes a threshold, dilated by a face, by layer."""
     rows = coded_voxels(spark, folder).select(*grid.AXES, F.col("u").cast("double").alias("u"))
@@ -156,7 +168,11 @@ def local_maxima(spark: SparkSession, folder: str) -> DataFrame:
     return rays.local_maxima(event_rays(spark, folder), 60.0).groupBy("ray_id").agg(F.count(F.lit(1)).alias("peaks"), F.max("v").alias("highest"))
 
 
-@register("spaced_peaks")
+@register("spaced_peaks", f"""WITH RECURSIVE {_RAY_SQL}, w AS (SELECT *, lag(v) OVER o AS before, lead(v) OVER o AS after FROM ray WINDOW o AS (PARTITION BY ray_id ORDER BY k)),
+p AS (SELECT ray_id, k, v, row_number() OVER (PARTITION BY ray_id ORDER BY v DESC, k) AS r FROM w WHERE v >= before AND v > after AND v >= 40),
+g AS (SELECT DISTINCT ray_id, 0::BIGINT AS r, []::BIGINT[] AS taken FROM p
+  UNION ALL SELECT g.ray_id, p.r, CASE WHEN len(list_filter(g.taken, lambda t: abs(t - p.k) < 3)) = 0 THEN list_append(g.taken, p.k) ELSE g.taken END FROM g JOIN p ON p.ray_id = g.ray_id AND p.r = g.r + 1)
+SELECT p.ray_id, p.k, p.v FROM p JOIN (SELECT ray_id, arg_max(taken, r) AS taken FROM g GROUP BY ray_id) t ON t.ray_id = p.ray_id AND list_contains(t.taken, p.k)""")
 def spaced_peaks(spark: SparkSession, folder: str) -> DataFrame:
     """Peaks of each ray, highest first, none within three samples of a higher one that was taken."""
     return rays.spaced_peaks(rays.local_maxima(event_rays(spark, folder), 40.0), 3)

@@ -9,6 +9,7 @@ from brickwise.functions.vectors import circular_mean_turns
 from brickwise.operators import aggregates, grid, joins, stencil
 from brickwise.operators.components import connected_components
 from brickwise.plans.catalog import register
+from brickwise.runtime import broadcast_if_small
 from brickwise.sources.tables import table
 from brickwise.sources.voxels import VOXELS_SQL, coded_voxels, voxels
 
@@ -22,20 +23,23 @@ def read_box_zero_padded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("read_box_edge_padded", f"""WITH {VOXELS_SQL}, g AS (SELECT CAST(a.i - 2 AS INT) AS z, CAST(b.i + 20 AS INT) AS y, CAST(c.i + 25 AS INT) AS x FROM range(10) a(i), range(16) b(i), range(12) c(i))
-SELECT g.z, g.y, g.x, coalesce(u, 0) AS u FROM g LEFT JOIN coded v ON v.z = greatest(0, least(27, g.z)) AND v.y = greatest(0, least(31, g.y)) AND v.x = greatest(0, least(31, g.x))""")
+SELECT g.z, g.y, g.x, coalesce(u, 0) AS u FROM g LEFT JOIN coded v ON v.z = greatest(0, least((SELECT max(z) FROM coded), g.z)) AND v.y = greatest(0, least(31, g.y)) AND v.x = greatest(0, least(31, g.x))""")
 def read_box_edge_padded(spark: SparkSession, folder: str) -> DataFrame:
-    return grid.read_box(coded_voxels(spark, folder), (-2, 20, 25), (10, 16, 12), "u", edge=True, extent=(28, 32, 32))
+    layers = (voxels(spark, folder).agg(F.max("z").alias("z")).first()["z"] or 0) + 1
+    return grid.read_box(coded_voxels(spark, folder), (-2, 20, 25), (10, 16, 12), "u", edge=True, extent=(layers, 32, 32))
 
 
-@register("halo_bricks", f"""WITH {VOXELS_SQL}, b AS (SELECT i.i AS bz, j.i AS by_, k.i AS bx FROM range(4) i(i), range(4) j(i), range(4) k(i))
+@register("halo_bricks", f"""WITH {VOXELS_SQL}, b AS (SELECT i.i AS bz, j.i AS by_, k.i AS bx FROM (SELECT DISTINCT z // 8 AS i FROM coded) i, range(4) j(i), range(4) k(i))
 SELECT CAST(bz AS INT) AS bz, CAST(by_ AS INT) AS by, CAST(bx AS INT) AS bx, count(*) AS n, count(*) FILTER (WHERE z // 8 = bz AND y // 8 = by_ AND x // 8 = bx) AS n_core, CAST(sum(u) AS BIGINT) AS sum_code
 FROM b JOIN coded ON z BETWEEN bz * 8 - 2 AND bz * 8 + 9 AND y BETWEEN by_ * 8 - 2 AND by_ * 8 + 9 AND x BETWEEN bx * 8 - 2 AND bx * 8 + 9 GROUP BY 1, 2, 3""")
 def halo_bricks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = grid.with_halo(coded_voxels(spark, folder), 8, 2, (0, 0, 0), (4, 4, 4))
+    layers = (voxels(spark, folder).agg(F.max("z").alias("z")).first()["z"] or 0) + 1
+    rows = grid.with_halo(coded_voxels(spark, folder), 8, 2, (0, 0, 0), (-(-layers // 8), 4, 4))
     return rows.groupBy("bz", "by", "bx").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("core"), 1)).alias("n_core"), F.sum("u").alias("sum_code"))
 
 
-@register("window_plan_weights")
+@register("window_plan_weights", f"""WITH {VOXELS_SQL}, s(start) AS (VALUES (0), (5), (10), (15), (20))
+SELECT x, count(DISTINCT start) AS n_windows, round(sum(least(least(x - start + 1, 12 - (x - start)) / 7.0::DOUBLE, 1.0::DOUBLE)), 6) AS weight FROM vox, s WHERE x >= start AND x < start + 12 GROUP BY x""")
 def window_plan_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Voxels covered by evenly spaced windows along x, with the number of windows and their total ramp weight."""
     starts = grid.even_window_starts(32, 12, 6)
@@ -230,7 +234,7 @@ def axis_core_mask(spark: SparkSession, folder: str) -> DataFrame:
     axis = spark.range(last // 64 + 2).select((F.col("id") * 64).cast("double").alias("z"), (10 + F.col("id") * 16.0).alias("ay"), (20 - F.col("id") * 8.0).alias("ax"))
     layers = joins.as_of_interpolated(rows.select("z").distinct(), axis.withColumn("z", F.col("z").cast("int")), "z", ["ay", "ax"])
     near = F.hypot(F.col("y") - F.col("ay"), F.col("x") - F.col("ax")) <= 6
-    return rows.join(F.broadcast(layers), "z").where(near).groupBy("z").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(broadcast_if_small(layers), "z").where(near).groupBy("z").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("nn_distance_two_way_censored", f"""WITH {VOXELS_SQL}, a AS (SELECT z, y, x FROM coded WHERE u > 225), b AS (SELECT z, y, x FROM coded WHERE u < 30),

@@ -100,6 +100,19 @@ def array_metadata(spark: SparkSession, path: str) -> dict:
     return {"shape": three["shape"], "chunks": three["chunk_grid"]["configuration"]["chunk_shape"], "fill": three["fill_value"], "prefix": f"c{separator}" if key["name"] == "default" else "", "separator": separator}
 
 
+#: Chunk names that one look-up asks the file system for.
+NAMES = 256
+
+
+def _existing(spark: SparkSession, path: str, names: list[str]) -> list[str]:
+    """Those of the named files under a folder that exist: the names are asked for, nothing else is listed."""
+    jvm, out = spark.sparkContext._jvm, []
+    for i in range(0, len(names), NAMES):
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{{{','.join(names[i : i + NAMES])}}}")
+        out += [s.getPath().toString() for s in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []]
+    return out
+
+
 def read_array(spark: SparkSession, path: str, low: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
     """(z, y, x, u) of a box of an uncompressed chunked byte array: only the chunk files that the box touches are opened.
 
@@ -110,9 +123,11 @@ def read_array(spark: SparkSession, path: str, low: tuple[int, int, int], size:
     shape, edges = meta["shape"][lead:], meta["chunks"][lead:]
     ranges = [range(max(0, lo) // e, (min(n, lo + s) - 1) // e + 1) for lo, s, n, e in zip(low, size, shape, edges, strict=True)]
     keys = [meta["prefix"] + meta["separator"].join(["0"] * lead + [str(c) for c in (z, y, x)]) for z in ranges[0] for y in ranges[1] for x in ranges[2]]
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    found = _existing(spark, path, keys)
+    if not found:
+        return spark.range(0).select(*[F.col("id").cast("int").alias(c) for c in (*AXES, "u")])
     pattern = rf"/({meta['prefix'] and 'c[./]'}(?:[0-9]+[./])*[0-9]+)$"
-    named = files.withColumn("key", F.regexp_extract("path", pattern, 1)).join(F.broadcast(spark.createDataFrame([(k,) for k in keys] or [("",)], "key string")), "key")  # the box's chunks
+    named = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(found).select(F.regexp_extract("path", pattern, 1).alias("key"), "content")
     place = np.indices(edges).reshape(3, -1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,10 +56,11 @@ def test_max_eigenvalue(spark):
 def test_window_rules():
     assert grid.even_window_starts(10, 4, 4) == [0, 3, 6]
     assert grid.even_window_starts(4, 4, 2) == [0]
-    assert grid.stride_window_starts(10, 4, 1) == [0, 3, 6]
-    assert grid.stride_window_starts(11, 4, 1) == [0, 3, 6, 7]
+    assert grid.fixed_stride_starts(10, 4, 3) == [0, 3, 6]
+    assert grid.fixed_stride_starts(11, 4, 3) == [0, 3, 6, 7]
+    assert grid.fixed_stride_starts(3, 4, 3) == [0] and grid.even_edges(0, 5) == [0, 0]
     for extent in range(5, 40):
-        cores = grid.core_intervals(extent, 12, 3)
+        cores = grid.partition_by_cores(extent, 12, 3)
         assert cores[0][1] == 0 and cores[-1][2] == extent
         assert all(a[2] == b[1] for a, b in zip(cores, cores[1:], strict=False)) and all(s <= lo <= hi <= s + 12 for s, lo, hi in cores)
     with pytest.raises(ValueError, match="no window"):

@@ -55,6 +55,15 @@ def test_chunk_files_of_both_versions(spark, block, tmp_path, version):
     assert as_dict(chunks.read_array(spark, str(tmp_path), low, size)) == box_of(block, low, size)
 
 
+def test_only_the_chunks_of_a_box_are_opened(spark, tmp_path):
+    (tmp_path / ".zarray").write_text(json.dumps({"shape": (2, 2, 8), "chunks": (2, 2, 2), "dtype": "|u1", "compressor": None, "fill_value": 0, "order": "C"}))
+    (tmp_path / "0.0.0").write_bytes(bytes(range(8)))
+    with open(tmp_path / "0.0.1", "wb") as far:
+        far.truncate(3 << 30)  # more than one row holds: reading it would fail
+    assert chunks.read_array(spark, str(tmp_path), (0, 0, 0), (2, 2, 2)).count() == 8
+    assert chunks.read_array(spark, str(tmp_path), (0, 0, 4), (2, 2, 4)).count() == 0
+
+
 def test_unsupported_arrays_are_refused(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         (tmp_path / "other").write_text("x")
