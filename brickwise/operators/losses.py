@@ -55,3 +55,46 @@ def axial(dot: Column, weight: Column) -> Column:
 def swap_invariant(straight: Column, swapped: Column) -> Column:
     """The cheaper of two assignments of two faces."""
     return F.least(straight, swapped)
+
+
+#: Weight that the surface terms give to the target's zero set beyond 1, and the width of the gaussian around it, in voxels. Fixed values.
+PEAK, WIDTH = 8.0, 4.0
+
+
+def peaked_l1(prediction: Column, target: Column, mask: Column) -> Column:
+    """Masked mean of the absolute difference, weighted most where the target's distance is near zero."""
+    weight = 1 + PEAK * F.exp(-(target * target) / (2 * WIDTH * WIDTH))
+    return masked_mean(weight * F.abs(prediction - target), mask)
+
+
+def surface_terms(prediction: Column, target: Column, logit: Column, valid: Column) -> dict[str, Column]:
+    """Terms of one signed distance: weighted L1 and band Dice where supervised, and the validity's cross entropy where it isn't ignored."""
+    supervised, known = (valid == 1).cast("double"), (valid != 2).cast("double")
+    return {"sdf_l1": peaked_l1(prediction, target, supervised), "band_dice": band_dice(prediction, target, supervised), "valid_bce": bce(logit, supervised, known)}
+
+
+def sides_terms(distance: Column, body_logit: Column, valid_logit: Column, target: Column, body: Column, valid: Column) -> dict[str, Column]:
+    """Terms of an unsigned distance to the nearest face and of the side: weighted L1, band Dice, and cross entropy and soft Dice of the body."""
+    supervised, known = (valid == 1).cast("double"), (valid != 2).cast("double")
+    share = 1 / (1 + F.exp(-body_logit))
+    return {
+        "sdf_l1": peaked_l1(distance, target, supervised), "band_dice": band_dice(distance, target, supervised), "body_bce": bce(body_logit, body, supervised),
+        "body_dice": soft_dice(share, body, supervised), "valid_bce": bce(valid_logit, supervised, known),
+    }
+
+
+def descriptor_terms(offset: list[tuple[Column, Column]], thickness: tuple[Column, Column], logit: Column, incoherence: Column, valid: Column, limit: float = 20.0) -> dict[str, Column]:
+    """Terms of local shape: L1 of offsets and thickness in shares of the limit, and of the incoherence's sigmoid."""
+    mask = (valid == 1).cast("double")
+    apart = sum((F.abs(p - t) for p, t in offset), F.lit(0.0)) / len(offset)
+    return {"off_l1": masked_mean(apart / limit, mask), "thick_l1": l1(*thickness, mask, limit), "ncov_l1": masked_mean(F.abs(1 / (1 + F.exp(-logit)) - incoherence), mask)}
+
+
+def far_term(prediction: Column, target: Column, mask: Column, margin: float) -> Column:
+    """How far predictions come below half the margin where the target is at least the margin from zero."""
+    return masked_mean(F.greatest(F.lit(0.0), margin / 2 - F.abs(prediction)), mask * (F.abs(target) >= margin).cast("double"))
+
+
+def shell_term(prediction: Column, target: Column, shell: Column, mask: Column, margin: float) -> Column:
+    """How far predictions come below the margin in the shell around the target's zero set, where the target itself doesn't."""
+    return masked_mean(F.greatest(F.lit(0.0), margin - F.abs(prediction)), mask * shell * (F.abs(target) >= margin).cast("double"))

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "surface_zero_crossing"
 #: Modules of this package that register queries on import.
-MODULES: list[str] = ["encoding", "stencils", "volumes", "measures", "increments", "builds", "extras", "fields"]
+MODULES: list[str] = ["encoding", "stencils", "volumes", "measures", "increments", "builds", "extras", "fields", "reports", "composites"]
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
