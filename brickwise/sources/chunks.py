@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +141,34 @@ def read_array(spark: SparkSession, path: str, low: tuple[int, int, int], size:
 
     rows = named.select("key", "content").mapInArrow(spread, "z int, y int, x int, u int")
     return rows.where(inside(low, size)).where(inside((0, 0, 0), tuple(shape)))
+
+
+def write_array(packed: DataFrame, path: str, shape: tuple[int, int, int], edge: int) -> None:
+    """Chunk rows (cz, cy, cx, data) as the files of an uncompressed version 2 byte array, written by the tasks that hold them.
+
+    The path is a URI of a file system that Arrow knows and all executors share. Each file is written beside and then moved to its name, so that a
+    task that is run again gives the same files and no reader sees a part of one.
+    """
+    spark = packed.sparkSession
+    named = packed.select(F.concat_ws(".", *[F.col(f"c{a}").cast("string") for a in AXES]).alias("name"), "data")
+    _write_metadata(spark, path, {"zarr_format": 2, "shape": list(shape), "chunks": [edge] * 3, "dtype": "|u1", "compressor": None, "fill_value": 0, "order": "C", "filters": None})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                beside = f"{root}/.{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(beside) as out:
+                    out.write(data)
+                system.move(beside, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    named.mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+def _write_metadata(spark: SparkSession, path: str, metadata: dict) -> None:
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(f"{path}/.zarray")
+    out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
+    out.write(bytearray(json.dumps(metadata).encode()))
+    out.close()
