@@ -151,12 +151,14 @@ def render(turns: Column) -> Column:
 def loss_mask(turns: Column) -> Column:
     """Array of (start, end) in code points of the rendered text: the texts of the assistant's turns."""
     fixed = len(TURN) + len(TEXT) + len(END)
-    sizes = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("learnt"), F.length(escape(t["role"])).alias("role"), F.length(escape(t["text"])).alias("text")))
+    sizes = F.transform(turns, lambda t: F.struct((t["role"] == "assistant").alias("learnt"), F.length(escape(t["role"])).alias("role"),
+        F.length(escape(t["text"])).alias("text")))
 
     def spans(sized: Column) -> Column:
         before = running_totals(F.transform(sized, lambda s: (s["role"] + s["text"] + fixed).cast("long")))
         start = lambda s, at: at + len(TURN) + s["role"] + len(TEXT)
-        placed = F.zip_with(sized, before, lambda s, at: F.struct(start(s, at).cast("long").alias("start"), (start(s, at) + s["text"]).cast("long").alias("end"), s["learnt"].alias("learnt")))
+        placed = F.zip_with(sized, before, lambda s, at: F.struct(start(s, at).cast("long").alias("start"), (start(s,
+            at) + s["text"]).cast("long").alias("end"), s["learnt"].alias("learnt")))
         return F.transform(F.filter(placed, lambda p: p["learnt"]), lambda p: F.struct(p["start"], p["end"]))
 
     return F.when(turns.isNotNull(), let(sizes, spans))
@@ -166,7 +168,8 @@ def read_back(formatted: Column) -> Column:
     """The turns of a marked-up text."""
     pieces = F.split(formatted, r"<\|end\|>", -1)
     fields = lambda p: F.split(F.substring(p, F.lit(len(TURN) + 1), F.length(p)), r"<\|text\|>", 2)
-    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(unescape(F.get(fields(p), F.lit(0))).alias("role"), unescape(F.get(fields(p), F.lit(1))).alias("text")))
+    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(unescape(F.get(fields(p), F.lit(0))).alias("role"),
+        unescape(F.get(fields(p), F.lit(1))).alias("text")))
 
 
 def records_of(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -175,7 +178,8 @@ def records_of(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     Roles stay as they are. Turns that tie are ordered by role, then text; nulls come first and become empty. A conversation is one row, of any
     size that a row may have.
     """
-    item = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    item = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col),
+        F.lit("")).alias("text"))
     return conversations.groupBy(F.col(id_col)).agg(F.struct(F.collect_list(item).alias("turns")).alias("record"))
 
 
@@ -192,5 +196,6 @@ def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     learnt = F.array_join(F.transform(cut(F.col("formatted"), F.col("loss_mask")), unescape), "")
     return formatted.select(
         id_col, F.size(turns).cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
-        F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
     )

@@ -29,7 +29,8 @@ FEATURES = [
     "distinct_words", "distinct_pairs", "top_word", "distinct_lines", "words_per_line", "capitalised", "odd_ends", "longest_word",
 ]
 
-_UPPER, _DIGIT, _COMMON = bytes(range(65, 91)), b"0123456789", b" \t\n\r\v\f.,;:'\"?()-" + bytes(range(65, 91)) + bytes(range(97, 123)) + b"0123456789" + bytes(range(128, 256))
+_UPPER, _DIGIT, _COMMON = bytes(range(65, 91)), b"0123456789", b" \t\n\r\v\f.,;:'\"?()-" + bytes(range(65, 91)) + bytes(range(97,
+    123)) + b"0123456789" + bytes(range(128, 256))
 _NON_ASCII = bytes(range(128, 256))
 _CAPITAL = re.compile(rb"(?:^|[\s])[A-Z][a-z]")
 
@@ -50,7 +51,8 @@ def features(text: bytes) -> list[float]:
         float(np.log1p(count)), letters / count, without(_UPPER) / letters, without(_DIGIT) / letters, len(text.translate(None, _COMMON)) / n,
         text.count(b"|") / count, text.count(b"!") / count, text.count(b".") / count, text.count(b",") / count, without(_NON_ASCII) / n,
         len(tally) / count, len(set(zip(words, words[1:], strict=False))) / max(1, count - 1), max(tally.values()) / count,
-        len(set(lines)) / len(lines), float(np.log1p(count / len(lines))), len(_CAPITAL.findall(text)) / count, ends / count, float(np.log1p(max(map(len, tally)))),
+        len(set(lines)) / len(lines), float(np.log1p(count / len(lines))), len(_CAPITAL.findall(text)) / count, ends / count, float(np.log1p(max(map(len,
+            tally)))),
     ]
 
 
@@ -126,7 +128,8 @@ def _cross_tree(gradient: np.ndarray, hessian: np.ndarray, least: float) -> tupl
     return best
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 20, pairs: int = 4, bins: int = 32, rate: float = 0.15, leaves: int = 3) -> AdditiveModel:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 20, pairs: int = 4, bins: int = 32, rate: float = 0.15,
+    leaves: int = 3) -> AdditiveModel:
     """Fit by cyclic boosting of the logistic loss. Without rows, or with one label only, the model is its (smoothed) prior."""
     model = AdditiveModel(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0)
     if len(np.unique(y)) < 2:
@@ -172,7 +175,8 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(True))
 
 
-def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
+def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """Fit on the labelled rows that aren't held out, ``sample_rows`` at most (those with the lowest hashes of their ids).
 
     Labels that are null are ignored; of several labels of one id their mean decides, 0.5 counting as 1; of several texts

@@ -115,7 +115,8 @@ def assign_cells(vectors: DataFrame, centroids: np.ndarray, margins: np.ndarray)
                 guest[np.arange(len(near)), home] = False
                 cells += [[h, *np.nonzero(g)[0].tolist()] for h, g in zip(home.tolist(), guest, strict=True)]
             packed = pa.array([r.tobytes() for r in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), packed, pa.array(cells, pa.list_(pa.int32()))], ["id", "weight", "packed", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), packed, pa.array(cells, pa.list_(pa.int32()))], ["id", "weight",
+                "packed", "cells"])
 
     return vectors.select("id", "weight", "vector").mapInArrow(of, "id long, weight long, packed binary, cells array<int>")
 
@@ -204,7 +205,8 @@ def links(vectors: DataFrame, dimension: int, total: int, threshold: float = THR
     counts = placed.select(F.posexplode("cells").alias("nth", "cell")).groupBy("cell")
     counts = counts.agg(F.count(F.when(F.col("nth") == 0, 1)).alias("residents"), F.count(F.lit(1)).alias("members"))
     chunks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int")
-    split = F.broadcast(counts.select("cell", chunks("residents", BLOCK_RESIDENTS).alias("rows_n"), chunks("members", BLOCK_MEMBERS).alias("columns_n")))  # a row per cell
+    split = F.broadcast(counts.select("cell", chunks("residents", BLOCK_RESIDENTS).alias("rows_n"), chunks("members",
+        BLOCK_MEMBERS).alias("columns_n")))  # a row per cell
     dealt = every.join(split, "cell")
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

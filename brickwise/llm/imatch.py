@@ -43,7 +43,8 @@ def lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
     rows = texts.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
     counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = texts.count()
-    return counts.where((F.col("df") >= n * LEAST_SHARE) & (F.col("df") <= max(1, int(n * MOST_SHARE)))).select("term", subset_mask(F.col("term")).alias("mask"))
+    return counts.where((F.col("df") >= n * LEAST_SHARE) & (F.col("df") <= max(1, int(n * MOST_SHARE)))).select("term",
+        subset_mask(F.col("term")).alias("mask"))
 
 
 def subset_hashes(found: Column, fallback: Column) -> Column:
@@ -74,7 +75,8 @@ def as_text(hashes: Column) -> Column:
 def in_ranges(documents: DataFrame, id_col: str, ranges: int) -> DataFrame:
     """``documents`` with ``_bw_range``, ascending with the id, and copies of each range's first rows (``_bw_copy`` 1) at the
     end of the range before, of the very first ones (``_bw_copy`` 2) at the end of the last range. Null ids come first."""
-    known = documents.agg(F.percentile_approx(id_col, [i / ranges for i in range(ranges)], 20 * ranges).alias("cuts"), F.min(id_col).alias("low"), F.count(F.when(F.col(id_col).isNull(), 1)).alias("nulls")).first()
+    known = documents.agg(F.percentile_approx(id_col, [i / ranges for i in range(ranges)], 20 * ranges).alias("cuts"), F.min(id_col).alias("low"),
+        F.count(F.when(F.col(id_col).isNull(), 1)).alias("nulls")).first()
     cuts = sorted({known["low"], *(known["cuts"] or [])} - {None}) or [0]
     step = max(1, int(len(cuts) ** 0.5))
     up_to = lambda values: F.size(F.filter(values, lambda c: c <= F.col(id_col)))
@@ -85,7 +87,9 @@ def in_ranges(documents: DataFrame, id_col: str, ranges: int) -> DataFrame:
     lowest = F.col(id_col).isNull() if known["nulls"] else F.coalesce(F.col(id_col) == F.lit(cuts[0]), F.lit(False))
     place = lambda number, copy: F.struct(number.cast("int").alias("_bw_range"), F.lit(copy).alias("_bw_copy"))
     own, here = place(F.col("_bw_range"), 0), F.col("_bw_range")
-    places = F.concat(F.array(own), F.when(first & (here > 0), F.array(place(here - 1, 1))).otherwise(F.array().cast("array<struct<_bw_range:int,_bw_copy:int>>")), F.when(lowest, F.array(place(F.lit(len(cuts) - 1), 2))).otherwise(F.array().cast("array<struct<_bw_range:int,_bw_copy:int>>")))
+    places = F.concat(F.array(own), F.when(first & (here > 0), F.array(place(here - 1,
+        1))).otherwise(F.array().cast("array<struct<_bw_range:int,_bw_copy:int>>")), F.when(lowest, F.array(place(F.lit(len(cuts) - 1),
+            2))).otherwise(F.array().cast("array<struct<_bw_range:int,_bw_copy:int>>")))
     dealt = documents.withColumn("_bw_range", number).withColumn("_bw_place", F.explode(places)).drop("_bw_range")
     return dealt.select("*", "_bw_place.*").drop("_bw_place")
 
@@ -105,7 +109,8 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = F.broadcast(words) if size <= BROADCAST_TERMS else words
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = Window.partitionBy("_bw_range").orderBy(F.col("_bw_copy") == 2, F.col("id").asc_nulls_first(), "text", "_bw_copy")
-    lined = in_ranges(docs, "id", 4 * n).select("*", F.row_number().over(ordered).alias("place"), F.coalesce(F.lead("text").over(ordered), F.lit("")).alias("next"))
+    lined = in_ranges(docs, "id", 4 * n).select("*", F.row_number().over(ordered).alias("place"), F.coalesce(F.lead("text").over(ordered),
+        F.lit("")).alias("next"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
     both = lined.select("_bw_range", "_bw_copy", "place", "id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
@@ -115,7 +120,8 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = "struct<id:bigint,n_chars:bigint,edited_sha256:string,_bw_copy:int,all0:bigint,all1:bigint>"
 
     def items(s: Column) -> Column:
-        facts = F.struct("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "_bw_copy", every(s["t0"]).alias("all0"), every(s["t1"]).alias("all1"))
+        facts = F.struct("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "_bw_copy", every(s["t0"]).alias("all0"),
+            every(s["t1"]).alias("all1"))
         item = lambda of, term, fact: F.struct(F.lit(of).alias("of"), term.alias("term"), fact.alias("facts"))
         listed = lambda v: F.transform(s[f"t{v}"], lambda t: item(v, t, F.lit(None).cast(kind)))
         return F.concat(F.array(item(0, F.lit(None).cast("long"), facts.cast(kind))), listed(0), listed(1))
@@ -124,9 +130,11 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     spread = both.select("_bw_range", "place", F.explode("items").alias("item")).select("_bw_range", "place", "item.*")
     marked = spread.join(words.withColumnRenamed("term", "known"), F.col("term") == F.col("known"), "left").where("known is not null or facts is not null")
     # terms are distinct within a text, so that a list of them is a set
-    per = lambda v: F.array_sort(F.collect_list(F.when((F.col("of") == v) & F.col("known").isNotNull(), F.struct(F.col("known").alias("term"), "mask")))).alias(f"found{v}")
+    per = lambda v: F.array_sort(F.collect_list(F.when((F.col("of") == v) & F.col("known").isNotNull(), F.struct(F.col("known").alias("term"),
+        "mask")))).alias(f"found{v}")
     grouped = marked.groupBy("_bw_range", "place").agg(F.first("facts", ignorenulls=True).alias("facts"), per(0), per(1))
-    hashed = grouped.select("_bw_range", "place", "facts.*", subset_hashes(F.col("found0"), F.col("facts.all0")).alias("own"), subset_hashes(F.col("found1"), F.col("facts.all1")).alias("other"))
+    hashed = grouped.select("_bw_range", "place", "facts.*", subset_hashes(F.col("found0"), F.col("facts.all0")).alias("own"), subset_hashes(F.col("found1"),
+        F.col("facts.all1")).alias("other"))
     after = Window.partitionBy("_bw_range").orderBy("place")
     led = hashed.withColumn("next", F.lead("own").over(after)).where("_bw_copy = 0")
     return led.select(

@@ -25,7 +25,8 @@ def word_count(text: Column | str) -> Column:
 def _keyed(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
     """The id, the source as a pair without nulls that sorts nulls last, the hash-random key and the size."""
     key = F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(SALT)).cast("binary")), 1, 16).alias("_bw_key")
-    return [F.col(id_col).alias("_bw_id"), F.col(source_col).isNull().alias("_bw_none"), F.coalesce(source_col, F.lit("")).alias("_bw_source"), key, word_count(text_col).alias("_bw_size")]
+    return [F.col(id_col).alias("_bw_id"), F.col(source_col).isNull().alias("_bw_none"), F.coalesce(source_col, F.lit("")).alias("_bw_source"), key,
+        word_count(text_col).alias("_bw_size")]
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
@@ -35,16 +36,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) ->
     ``max_epochs`` times its source's size, and what they leave goes to the others by weight: source i is full if its limit is
     below the common level, and the level is found where the sources, by limit over weight, stop being full.
     """
-    sources = materialize(sizes.groupBy("_bw_none", "_bw_source").agg(F.sum("_bw_size").alias("source_size")).withColumn("_bw_one", F.lit(1).cast("long")), "sources")
+    sources = materialize(sizes.groupBy("_bw_none", "_bw_source").agg(F.sum("_bw_size").alias("source_size")).withColumn("_bw_one", F.lit(1).cast("long")),
+        "sources")
     ranked = running_sums(sources, ["_bw_none", "_bw_source"], {"_bw_one": "_bw_rank"}, "source-ranks")
     cycle = F.array(*[F.lit(int(w)).cast("long") for w in weights])
     weighed = ranked.select("_bw_none", "_bw_source", "source_size", F.get(cycle, (F.col("_bw_rank") % len(weights)).cast("int")).alias("_bw_weight"))
-    weighed = materialize(weighed.withColumn("_bw_limit", F.col("source_size") * max_epochs).withColumn("_bw_ratio", F.col("_bw_limit") / F.col("_bw_weight")), "source-weights")
+    weighed = materialize(weighed.withColumn("_bw_limit", F.col("source_size") * max_epochs).withColumn("_bw_ratio",
+        F.col("_bw_limit") / F.col("_bw_weight")), "source-weights")
     summed = running_sums(weighed, ["_bw_ratio", "_bw_none", "_bw_source"], {"_bw_limit": "_bw_limits", "_bw_weight": "_bw_weights"}, "source-limits")
     whole = weighed.agg(F.sum("source_size").alias("_bw_total"), F.sum("_bw_weight").alias("_bw_all"))
     level = (F.col("_bw_total") - F.col("_bw_limits")) / (F.col("_bw_all") - F.col("_bw_weights"))
     levels = summed.crossJoin(F.broadcast(whole)).withColumn("_bw_level", level)  # one row
-    common = levels.agg(F.min(F.when(F.col("_bw_ratio") > F.col("_bw_level"), F.struct("_bw_ratio", "_bw_none", "_bw_source", "_bw_level")))["_bw_level"].alias("_bw_level"))
+    common = levels.agg(F.min(F.when(F.col("_bw_ratio") > F.col("_bw_level"), F.struct("_bw_ratio", "_bw_none", "_bw_source",
+        "_bw_level")))["_bw_level"].alias("_bw_level"))
     limit = F.col("_bw_limit").cast("double")
     target = F.coalesce(F.least(limit, F.col("_bw_level") * F.col("_bw_weight")), limit)
     return weighed.crossJoin(F.broadcast(common)).select("_bw_none", "_bw_source", "source_size", target.alias("target"))
@@ -58,7 +62,8 @@ class Mix:
     Rows that share source and id form one place in the order; at the cut they share its words by size.
     """
 
-    def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS):
+    def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS,
+        max_epochs: int = MAX_EPOCHS):
         self.documents, self.columns = documents, (id_col, text_col, source_col)
         self.sizes = materialize(documents.select(*_keyed(documents, *self.columns)), "sizes")
         targets = materialize(source_targets(self.sizes, weights, max_epochs), "source-targets")
@@ -68,8 +73,10 @@ class Mix:
         rest = F.when(F.col("source_size") > 0, budget % F.col("source_size")).otherwise(0)
         epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
         parts = targets.select("*", epochs.alias("_bw_epochs"), rest.alias("_bw_rest"))
-        at = summed.join(parts.select("_bw_none", "_bw_source", "_bw_rest"), ["_bw_none", "_bw_source"]).where("_bw_before <= _bw_rest and _bw_rest < _bw_before + _bw_words")
-        cut = at.select("_bw_none", "_bw_source", F.struct("_bw_key", "_bw_id").alias("_bw_cut"), "_bw_words", (F.col("_bw_rest") - F.col("_bw_before")).alias("_bw_left"))
+        at = summed.join(parts.select("_bw_none", "_bw_source", "_bw_rest"), ["_bw_none",
+            "_bw_source"]).where("_bw_before <= _bw_rest and _bw_rest < _bw_before + _bw_words")
+        cut = at.select("_bw_none", "_bw_source", F.struct("_bw_key", "_bw_id").alias("_bw_cut"), "_bw_words",
+            (F.col("_bw_rest") - F.col("_bw_before")).alias("_bw_left"))
         self.sources = materialize(parts.join(cut, ["_bw_none", "_bw_source"], "left"), "source-cuts")
 
     def _partial(self) -> Column:
@@ -98,6 +105,7 @@ class Mix:
         counted = keyed.withColumn("_bw_part", self._partial())
         copies = F.col("_bw_epochs") * (F.col("_bw_size") > 0).cast("long") + (F.col("_bw_part") > 0).cast("long")
         spread = counted.where(copies > 0).withColumn("_bw_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-        first = F.call_function("regexp_extract", F.col(text_col), F.concat(F.lit(f"^(?:[{SPACE}]*+[^{SPACE}]++){{"), F.col("_bw_part").cast("string"), F.lit("}+")), F.lit(0))
+        first = F.call_function("regexp_extract", F.col(text_col), F.concat(F.lit(f"^(?:[{SPACE}]*+[^{SPACE}]++){{"), F.col("_bw_part").cast("string"),
+            F.lit("}+")), F.lit(0))
         cut = (F.col("_bw_copy") > F.col("_bw_epochs")) & (F.col("_bw_part") < F.col("_bw_size"))
         return spread.withColumn(text_col, F.when(cut, first).otherwise(F.col(text_col))).select(*kept)

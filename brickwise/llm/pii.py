@@ -97,7 +97,8 @@ def _proposed(text: Column, rank: int, kind: Kind) -> Column:
         score = F.lit(kind.prior) + F.when(near.rlike(kind.context), CONTEXT_SCORE).otherwise(0.0)
         ok = (score >= THRESHOLD) & (kind.valid(match) if kind.valid else F.lit(True))
         end = start + F.length(match)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), match.alias("match"), score.alias("score"))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), match.alias("match"),
+            score.alias("score"))
         return F.struct(ok.alias("ok"), span.alias("span"))
 
     def placed(s: Column) -> Column:
@@ -120,7 +121,8 @@ def _proposed(text: Column, rank: int, kind: Kind) -> Column:
 
 def _apart(spans: Column, base: Column) -> Column:
     """Those of ``spans`` that overlap none of ``base``, whose ends grow with their starts. Both are looked through together, in order."""
-    place = lambda x, own: F.struct(x["start"].alias("start"), F.when(F.lit(own), F.lit(None).cast("long")).otherwise(x["end"]).alias("reach"), F.lit(own).alias("own"), x.alias("span"))
+    place = lambda x, own: F.struct(x["start"].alias("start"), F.when(F.lit(own), F.lit(None).cast("long")).otherwise(x["end"]).alias("reach"),
+        F.lit(own).alias("own"), x.alias("span"))
     both = F.array_sort(F.concat(F.transform(base, lambda x: place(x, False)), F.transform(spans, lambda x: place(x, True))))
     largest, least = (lambda a, b: F.greatest(a, b)), (lambda a, b: F.least(a, b))
 
@@ -145,7 +147,8 @@ def find_spans(documents: DataFrame, text_col: str = "text", base_col: str = "_b
     of = lambda base: F.array_sort(F.concat(*[_proposed(text, i, k) for i, k in enumerate(KINDS) if k.base is base]))
     both = documents.withColumn(base_col, of(True)).withColumn("_bw_more", of(False))
     added = F.when(F.size(base_col) == 0, F.col("_bw_more")).otherwise(_apart(F.col("_bw_more"), F.col(base_col)))
-    return both.withColumn(spans_col, F.when(F.size("_bw_more") == 0, F.col(base_col)).otherwise(F.array_sort(F.concat(F.col(base_col), added)))).drop("_bw_more")
+    return both.withColumn(spans_col, F.when(F.size("_bw_more") == 0, F.col(base_col)).otherwise(F.array_sort(F.concat(F.col(base_col),
+        added)))).drop("_bw_more")
 
 
 def _listed(spans: str) -> Column:
@@ -160,7 +163,8 @@ def pii_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = find_spans(documents.select(F.col(id_col), F.col(text_col)), text_col)
     count = lambda kind: F.size(F.filter("_bw_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(id_col, *[count(k.name) for k in KINDS if k.base], F.sha2(_listed("_bw_base").cast("binary"), 256).alias("base_sha256"), _listed("_bw_spans").alias("spans"))
+    return found.select(id_col, *[count(k.name) for k in KINDS if k.base], F.sha2(_listed("_bw_base").cast("binary"), 256).alias("base_sha256"),
+        _listed("_bw_spans").alias("spans"))
 
 
 def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -173,7 +177,8 @@ def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
     def clean(spans: Column) -> Column:
         reached = running(F.transform(spans, lambda x: x["end"]), F.lit(0).cast("long"), longest)
-        opened = F.filter(F.zip_with(spans, reached, lambda x, at: F.struct(at.alias("start"), x["start"].alias("end"), x["kind"].alias("kind"))), lambda x: x["end"] >= x["start"])
+        opened = F.filter(F.zip_with(spans, reached, lambda x, at: F.struct(at.alias("start"), x["start"].alias("end"), x["kind"].alias("kind"))),
+            lambda x: x["end"] >= x["start"])
         tagged = lambda o: F.zip_with(cut(text, o), o, lambda piece, x: F.concat(piece, F.lit("<"), F.upper(x["kind"]), F.lit(">")))
         rest = F.array_max(F.transform(spans, lambda x: x["end"])).cast("int")
         return F.concat(F.array_join(let(opened, tagged), ""), F.substring(text, rest + 1, F.length(text)))

@@ -219,7 +219,8 @@ class ShardStore:
         return self._rows(shards, schema) if shards else None
 
 
-def shard_documents(documents: DataFrame, root: str, arrivals: int = 32, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET_BYTES, fanout: int = FANOUT) -> DataFrame:
+def shard_documents(documents: DataFrame, root: str, arrivals: int = 32, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET_BYTES,
+    fanout: int = FANOUT) -> DataFrame:
     """Append ``documents`` to a store in ``arrivals`` shards (by id), compact it, and return each row as read from the manifest: id, arrival, n_bytes and text_sha256.
 
     Ids may be null (arrival 0) or repeated; null texts stay null and count 0 bytes, their digest is null. An empty table gives no rows. Other
@@ -234,4 +235,5 @@ def shard_documents(documents: DataFrame, root: str, arrivals: int = 32, id_col:
     rows = store.read()
     rows = stored.limit(0) if rows is None else rows
     text = F.col(text_col)
-    return rows.select(F.col(id_col), "arrival", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    return rows.select(F.col(id_col), "arrival", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"),
+        256).alias("text_sha256"))

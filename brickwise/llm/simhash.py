@@ -228,7 +228,8 @@ def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
     count = max(1, len(tokens) - words + 1)
     last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:count].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=count))
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:count].tolist(), last.tolist(), strict=True)), dtype=np.uint64,
+        count=count))
 
 
 def sketch_bytes(text: bytes, rule: NearCopies, common: np.ndarray, counts: np.ndarray) -> tuple[int, int, int, np.ndarray]:
@@ -278,7 +279,8 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
         """Those of ``pairs`` whose whole sets of shingles have the similarity."""
         involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
         sets = materialize(known.join(broadcast_if_small(involved), "id", "left_semi").select("id", shingles("text").alias("s")), "shingle-sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")),
+            "b")
         common = F.size(F.array_intersect("sa", "sb"))
         found = materialize(both.where(common >= rule.similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-copies")
         discard(involved, sets)
@@ -316,10 +318,12 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     grouped = materialize(grouped, "grouped")
     discard(buckets)
     sizes = grouped.groupBy("p", "root").agg(F.count(F.lit(1)).alias("c"))
-    split = sizes.groupBy("p").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.ceil((F.sum("c") - F.max("c")) / CHUNK).cast("int").alias("chunks")).where("chunks > 0")
+    split = sizes.groupBy("p").agg(F.max_by("root", F.struct("c", "root")).alias("major"),
+        F.ceil((F.sum("c") - F.max("c")) / CHUNK).cast("int").alias("chunks")).where("chunks > 0")
     mixed = materialize(grouped.join(split, "p"), "mixed")
     discard(grouped)
-    left = mixed.where("root <> major").select("p", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), *[F.col(c).alias(f"l{c}") for c in ("node", "n", "i", "root")])
+    left = mixed.where("root <> major").select("p", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"),
+        *[F.col(c).alias(f"l{c}") for c in ("node", "n", "i", "root")])
     right = mixed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     apart = (F.col("lroot") != F.col("root")) & ((F.col("root") == F.col("major")) | (F.col("lnode") < F.col("node")))
     rest = left.join(right, ["p", "chunk"]).where(apart & rule.fits(F.col("ln"), F.col("li"), F.col("n"), F.col("i")))

@@ -45,12 +45,14 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
 
 def _with_parents(rules: DataFrame) -> DataFrame:
     """Rules (key, path, rule, verdict) with the struct of the innermost rule around each: the longest proper prefix of its path that is a rule of its host."""
-    named = rules.select("host", "path", "verdict", F.concat("host", "path").alias("rule")).groupBy("host", "path", "rule").agg(F.min("verdict").alias("verdict"))
+    named = rules.select("host", "path", "verdict", F.concat("host", "path").alias("rule")).groupBy("host", "path",
+        "rule").agg(F.min("verdict").alias("verdict"))
     lengths = named.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))  # only lengths that the host's rules have
     inside = named.join(lengths, "host").select("host", F.col("path").alias("whole"), F.explode("lengths").alias("n")).where("n < length(whole)")
     prefixes = inside.select("host", "whole", F.expr("substring(whole, 1, n)").alias("path"), "n")
     found = prefixes.join(named, ["host", "path"]).groupBy("host", "whole").agg(F.max_by(F.struct("rule", "verdict"), "n").alias("parent"))
-    return named.join(found.withColumnRenamed("whole", "path"), ["host", "path"], "left").select(_key(F.col("host"), F.col("path")).alias("key"), F.struct("rule", "verdict").alias("self"), "parent")
+    return named.join(found.withColumnRenamed("whole", "path"), ["host", "path"], "left").select(_key(F.col("host"), F.col("path")).alias("key"),
+        F.struct("rule", "verdict").alias("self"), "parent")
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
@@ -65,13 +67,16 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     # one look-up for each distinct host and path, however often it is repeated
     urls = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_bw_n")).select("host", "path")
     labels = F.split("host", r"\.", -1)
-    lookups = urls.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("suffix"))
-    asked = lookups.select(_key(F.col("suffix"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("struct<rule:string,verdict:string>").alias("top"))
+    lookups = urls.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i,
+        F.size(labels)), "."))).alias("suffix"))
+    asked = lookups.select(_key(F.col("suffix"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "host", "path",
+        F.lit(None).cast("struct<rule:string,verdict:string>").alias("top"))
     nested = _with_parents(rules)
     none = F.lit(None).cast("string")
     absent = F.struct(none.alias("rule"), none.alias("verdict"))
     starts = nested.select("key", F.lit(0).alias("kind"), none.alias("host"), none.alias("path"), F.col("self").alias("top"))
-    ends = nested.select(F.concat("key", F.lit(bytearray(b"\xff"))).alias("key"), F.lit(0).alias("kind"), none.alias("host"), none.alias("path"), F.coalesce("parent", absent).alias("top"))
+    ends = nested.select(F.concat("key", F.lit(bytearray(b"\xff"))).alias("key"), F.lit(0).alias("kind"), none.alias("host"), none.alias("path"),
+        F.coalesce("parent", absent).alias("top"))
     swept = range_table(asked.unionByName(starts).unionByName(ends), ["key", "kind", "host", "path"], "url-sweep")
     # the top of the stack where each range begins: the last start or end before it
     last = swept.where("kind = 0").groupBy("_bw_part").agg(F.max_by("top", "key").alias("last"))
@@ -81,7 +86,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     sofar = Window.partitionBy("_bw_part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     topped = swept.withColumn("seen", F.last("top", ignorenulls=True).over(sofar)).where("kind = 1").join(begins, "_bw_part")
     fits = topped.select("host", "path", F.coalesce("seen", "begin").alias("fit"))
-    best = fits.groupBy("host", "path").agg(F.max(F.when(F.col("fit.rule").isNotNull(), F.struct(F.length("fit.rule").alias("n"), "fit.rule", "fit.verdict"))).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.max(F.when(F.col("fit.rule").isNotNull(), F.struct(F.length("fit.rule").alias("n"), "fit.rule",
+        "fit.verdict"))).alias("best"))
     best = materialize(best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "url-verdicts")
     found = rows.join(best, ["host", "path"]).select("_bw_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
     found = found.unionByName(hostless.withColumn("rule", none).withColumn("verdict", F.lit(default)))

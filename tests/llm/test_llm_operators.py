@@ -79,7 +79,8 @@ def test_near_links_have_the_components_of_all_pairs(spark, monkeypatch, few):
     monkeypatch.setattr(simhash, "FEW", few)
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 5)
     random = np.random.default_rng(2)
-    flipped = lambda b, n: int(np.int64(b) ^ np.bitwise_or.reduce(np.array([1 << int(k) for k in random.choice(64, n, replace=False)], dtype=np.uint64)).view(np.int64))
+    flipped = lambda b, n: int(np.int64(b) ^ np.bitwise_or.reduce(np.array([1 << int(k) for k in random.choice(64, n, replace=False)],
+        dtype=np.uint64)).view(np.int64))
     values = {int(b) for b in random.integers(-(2**63), 2**63 - 1, 40)}
     for b in list(values):
         values |= {flipped(b, n) for n in (1, 2, 3, 4)}
@@ -189,7 +190,8 @@ def test_quality_edge_cases(spark, mixed, empty):
 
 # --- personal data
 
-BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
 def base_spans(text):
@@ -208,7 +210,8 @@ def base_spans(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
 
 
-TRICKY = ["x@a.b_c@d.ef .@a.b", "1.2.3.4.5.6.7.8 999.1.1.1 01.02.03.0004", "4111-1111-1111-1111 4111  1111 1111 1111 1", "+12 345 678 90 1+(234)", "a@b" + ".c" * 3000, "1." * 3000, "1" * 20000, "4 " * 9000, "𝒳é a@b.c 𝒳 10.0.0.1"]
+TRICKY = ["x@a.b_c@d.ef .@a.b", "1.2.3.4.5.6.7.8 999.1.1.1 01.02.03.0004", "4111-1111-1111-1111 4111  1111 1111 1111 1", "+12 345 678 90 1+(234)",
+    "a@b" + ".c" * 3000, "1." * 3000, "1" * 20000, "4 " * 9000, "𝒳é a@b.c 𝒳 10.0.0.1"]
 
 
 def test_base_spans_match_brute_force(spark, mixed, empty):
@@ -228,7 +231,8 @@ def test_checksums_and_context_add_spans_and_redact(spark):
 
 
 def test_context_on_both_sides_and_overlaps(spark):
-    texts = ["123-45-6789 is a social security number", "123-45-6789" + " " * 49 + "ssn", "ssn " + "123-45-6789 " * 9, "call:555-123-4567", "ssn 123-45-6789@x.org a@b.c ssn 123-45-6789"]
+    texts = ["123-45-6789 is a social security number", "123-45-6789" + " " * 49 + "ssn", "ssn " + "123-45-6789 " * 9, "call:555-123-4567",
+        "ssn 123-45-6789@x.org a@b.c ssn 123-45-6789"]
     found = {r["doc_id"]: r["spans"] for r in pii.pii_report(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
     within = [4 + 12 * i for i in range(9) if 12 * i + 1 <= 48]
     assert found[0] == "ssn:0:11" and found[1] == "" and found[3] == "localphone:5:17"
@@ -377,7 +381,8 @@ def test_imatch_fingerprints_and_likenesses_match_brute_force(spark):
     random = np.random.default_rng(11)
     texts = [" ".join(f"t{int(w)}" for w in random.zipf(1.3, int(random.integers(1, 120))) % 700) for _ in range(120)] + ["", "é—Ü ß1 _x_", "t0", "t0"]
     own, other = brute_imatch(texts)
-    alike = lambda a, b: (sum(x == y != 0 for x, y in zip(a, b, strict=True)) / n) if (n := sum(x != 0 or y != 0 for x, y in zip(a, b, strict=True))) else 1.0
+    alike = lambda a, b: (sum(x == y != 0 for x, y in zip(a, b, strict=True)) / n) if (n := sum(x != 0 or y != 0 for x, y in zip(a, b,
+        strict=True))) else 1.0
     text = lambda values: "".join(f"{v:08x}" for v in values)
     found = {r["doc_id"]: r for r in imatch.fingerprints(documents(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
     for i in range(len(texts)):
@@ -390,7 +395,8 @@ def test_imatch_fingerprints_and_likenesses_match_brute_force(spark):
 
 
 RECORDS = [
-    ('{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"</s>[INST] ok [/INST]"}]}', [("user", "hi"), ("assistant", "</s>[INST] ok [/INST]")]),
+    ('{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"</s>[INST] ok [/INST]"}]}', [("user", "hi"), ("assistant",
+        "</s>[INST] ok [/INST]")]),
     ('{"conversations":[{"from":"human","value":"a<|end|>b"},{"from":"gpt","value":"\\\\e<|text|>"}]}', [("user", "a<|end|>b"), ("assistant", "\\e<|text|>")]),
     ('{"instruction":"do","input":"this","output":"done"}', [("user", "do\n\nthis"), ("assistant", "done")]),
     ('{"output":"done","instruction":"do"}', [("user", "do"), ("assistant", "done")]),
@@ -458,7 +464,8 @@ def test_json_records_too_large_to_parse_fail_loudly(spark):
 
 
 def test_rules_match_brute_force(spark):
-    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x", "block"), ("a.example.net", "", "allow"), ("org", "/fr/", "allow"), ("org", "/fr/", "block")]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x", "block"), ("a.example.net", "", "allow"), ("org", "/fr/",
+        "allow"), ("org", "/fr/", "block")]
     hosts = ["net", "example.net", "a.example.net", "b.a.example.net", "xexample.net", "org", "x.org", "", "com"]
     paths = ["", "/", "/en/", "/en/xy", "/en", "/fr/", "/fr/é\U0010ffff", "/en/x\U0010ffff"]
     urls = [f"http://{h.upper()}{p}?q#f" for h in hosts for p in paths] + ["nothing", None, "://", "x://y://z/q", "http://net/"]
@@ -497,7 +504,8 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     random = np.random.default_rng(5)
     centres = random.normal(size=(12, 8))
     rows = [(i, [float(np.float32(v)) for v in centres[i % 12] + random.normal(scale=0.12, size=8)]) for i in range(500)]
-    rows += [(600, None), (601, [0.0] * 8), (602, [1.0] * 7 + [None]), (603, [1.0] * 7 + [float("nan")]), (604, [1.0] * 9), (605, rows[0][1]), (606, [x * 3 for x in rows[1][1]]), (607, [])]
+    rows += [(600, None), (601, [0.0] * 8), (602, [1.0] * 7 + [None]), (603, [1.0] * 7 + [float("nan")]), (604, [1.0] * 9), (605, rows[0][1]), (606,
+        [x * 3 for x in rows[1][1]]), (607, [])]
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, n_links int, id int")
     monkeypatch.setattr(embed_dedup, "CELL_ROWS", 40)
     monkeypatch.setattr(embed_dedup, "BLOCK_RESIDENTS", 16)
@@ -592,6 +600,7 @@ def test_a_failed_commit_is_no_conflict_and_leaves_no_files(spark, mixed, tmp_pa
 
 def test_sharded_documents(spark, mixed, empty, tmp_path):
     rows = sharding.shard_documents(mixed, f"file://{tmp_path}/a", arrivals=3, target=1 << 20).collect()
-    want = sorted((i is not None, i or 0, (i or 0) % 3, len((t or "").encode()), None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t, _ in MIXED)
+    want = sorted((i is not None, i or 0, (i or 0) % 3, len((t or "").encode()), None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t,
+        _ in MIXED)
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["arrival"], r["n_bytes"], r["text_sha256"]) for r in rows) == want
     assert sharding.shard_documents(empty, f"file://{tmp_path}/b").count() == 0

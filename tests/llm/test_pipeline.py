@@ -55,7 +55,8 @@ def test_one_of_each_group_of_near_copies_stays(stages):
 def test_near_copies_of_every_kind(spark):
     base = [f"w{i * i % 1009}" for i in range(200)]
     edited = [*base[:50], "new", *base[51:120], *base[121:]]
-    rows = [(1, " ".join(base)), (2, " ".join(base).upper().replace(" ", "\n")), (3, " ".join(edited)), (4, " ".join(base[:100])), (5, None), (6, " "), (7, "a b"), (8, "a b"), (8, "other"), (None, "a b")]
+    rows = [(1, " ".join(base)), (2, " ".join(base).upper().replace(" ", "\n")), (3, " ".join(edited)), (4, " ".join(base[:100])), (5, None), (6, " "), (7,
+        "a b"), (8, "a b"), (8, "other"), (None, "a b")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, root int")
     assert {tuple(r) for r in simhash.near_copy_groups(docs).collect()} == {(2, 1), (3, 1), (6, 5), (8, 7)}
     kept = [r.doc_id for r in simhash.keep_one_of_each_group(docs).collect()]
@@ -101,7 +102,8 @@ def test_near_copies_of_few_words(spark):
     for size in range(6, 41):
         words = [f"s{size}w{i}" for i in range(size)]
         at = int(random.integers(1, size))
-        for kind in ([*words], [*words, "after"], ["before", *words], words[1:], words[:-1], [*words[:at], *words[at + 1 :]], [*words[:at], "within", *words[at:]]):
+        for kind in ([*words], [*words, "after"], ["before", *words], words[1:], words[:-1], [*words[:at], *words[at + 1 :]], [*words[:at], "within",
+            *words[at:]]):
             texts[len(texts)] = " ".join(kind)
     expected = lowest_of_groups(texts)
     assert len(set(expected.values())) < len(texts)
