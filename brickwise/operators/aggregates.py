@@ -37,7 +37,8 @@ def distribution(x: Column | str, prefix: str = "") -> list[Column]:
     """n, mean, population deviation and five percentiles."""
     x = F.col(x) if isinstance(x, str) else x
     rounded = lambda c, name: F.round(c, 6).alias(prefix + name)
-    return [F.count(x).alias(f"{prefix}n"), rounded(F.avg(x), "mean"), rounded(F.stddev_pop(x), "std"), *[rounded(F.percentile(x, F.lit(p / 100)), f"p{p}") for p in (5, 25, 50, 75, 95)]]
+    return [F.count(x).alias(f"{prefix}n"), rounded(F.avg(x), "mean"), rounded(F.stddev_pop(x), "std"), *[rounded(F.percentile(x, F.lit(p / 100)),
+        f"p{p}") for p in (5, 25, 50, 75, 95)]]
 
 
 def weighted_percentile(value: str, p: float, count: str) -> Column:
@@ -62,7 +63,8 @@ def pool(rows: DataFrame, factor: int, value: str, mask: Column, keep: tuple[str
 
 def pyramid(rows: DataFrame, value: str, levels: int) -> DataFrame:
     """(level, z, y, x, value): means of 2^3 voxels that are there, level after level."""
-    out, level = rows.select(F.lit(0).alias("level"), *AXES, F.col(value).cast("double").alias(value)), rows.select(*AXES, F.col(value).cast("double").alias(value))
+    out, level = rows.select(F.lit(0).alias("level"), *AXES, F.col(value).cast("double").alias(value)), rows.select(*AXES,
+        F.col(value).cast("double").alias(value))
     for k in range(1, levels + 1):
         level = level.groupBy(*[F.floor(F.col(a) / 2).cast("int").alias(a) for a in AXES]).agg(F.avg(value).alias(value))
         out = out.unionByName(level.select(F.lit(k).alias("level"), *AXES, value))
@@ -112,7 +114,8 @@ def robust_normalise(rows: DataFrame, value: str, group: list[str], low: float =
 
     If that is below 1e-6, over the deviation before clipping, else half the span of the percentiles, else 1.
     """
-    ends = rows.groupBy(*group).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"), F.stddev_pop(value).alias("_sd"))
+    ends = rows.groupBy(*group).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"),
+        F.stddev_pop(value).alias("_sd"))
     clipped = rows.join(ends, group).withColumn("_v", F.greatest("_lo", F.least("_hi", value)))
     mid = clipped.groupBy(*group).agg(F.percentile("_v", F.lit(0.5)).alias("_mid"))
     centred = clipped.join(mid, group).withColumn("_c", F.col("_v") - F.col("_mid"))

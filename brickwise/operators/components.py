@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Self-loops, repeated edges and edges with a null end are ignored; no edges give no rows.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u",
+        "v").alias("v")).distinct()
     current = materialize(pairs, "components")
     before = _signature(current)
     for _ in range(max_rounds):

@@ -23,7 +23,8 @@ LINE_CHANNELS = ("dir0_z", "dir1_z", "dir0_y", "dir1_y", "dir0_x", "dir1_x")
 def encode_line_field(normal: vectors.Vec) -> list[Column]:
     """The six channels of a normal in z, y, x order: for each plane the codes of the doubled angle of its part in the plane."""
     at = dict(zip(("z", "y", "x"), normal, strict=True))
-    return [code.alias(name) for (a, b), names in zip(PLANES, zip(LINE_CHANNELS[::2], LINE_CHANNELS[1::2], strict=True), strict=True) for code, name in zip(line_codes(at[a], at[b]), names, strict=True)]
+    return [code.alias(name) for (a, b), names in zip(PLANES, zip(LINE_CHANNELS[::2], LINE_CHANNELS[1::2], strict=True), strict=True) for code,
+        name in zip(line_codes(at[a], at[b]), names, strict=True)]
 
 
 def _misfit(n: dict[str, Column]) -> Column:
@@ -168,7 +169,8 @@ def fibre_basis(rows: DataFrame, normal: vectors.Vec, axis: vectors.Vec) -> tupl
     return out, tuple(F.col(f"_v_{a}") for a in AXES), tuple(F.col(f"_h_{a}") for a in AXES)
 
 
-def fibre_targets(rows: DataFrame, p_along: Column, p_across: Column, normal: vectors.Vec, valid: Column, band: Column, axis: vectors.Vec, band_weight: float = 5.0) -> DataFrame:
+def fibre_targets(rows: DataFrame, p_along: Column, p_across: Column, normal: vectors.Vec, valid: Column, band: Column, axis: vectors.Vec,
+    band_weight: float = 5.0) -> DataFrame:
     """``rows`` with direction ``d_*``, ``strength``, ``target_valid`` and ``weight``; the band's classes replace the probabilities', and its third leaves a row out."""
     out, v, h = fibre_basis(rows, normal, axis)
     out = out.withColumns({"_band": band, "_pv": p_along, "_ph": p_across})
@@ -180,19 +182,22 @@ def fibre_targets(rows: DataFrame, p_along: Column, p_across: Column, normal: ve
     unit = [F.when(F.col("_lr") > 1e-6, F.col(f"_r_{a}") / F.col("_lr")).otherwise(0.0) for a in AXES]
     chosen = [F.when(F.col("_band") == BAND_ALONG, a).when(F.col("_band") == BAND_ACROSS, b).otherwise(c) for a, b, c in zip(v, h, unit, strict=True)]
     facts = {f"d_{a}": F.when(fits, c).otherwise(0.0) for a, c in zip(AXES, chosen, strict=True)}
-    facts |= {"strength": F.when(fits, F.when(drawn, 1.0).otherwise(s)).otherwise(0.0), "target_valid": fits.cast("int"), "weight": F.when(drawn, band_weight).otherwise(1.0)}
+    facts |= {"strength": F.when(fits, F.when(drawn, 1.0).otherwise(s)).otherwise(0.0), "target_valid": fits.cast("int"), "weight": F.when(drawn,
+        band_weight).otherwise(1.0)}
     return out.withColumns(facts).select(*rows.columns, *facts)
 
 
 def tangents(layers: DataFrame, points: DataFrame, at: str, values: tuple[str, str], reach: float) -> DataFrame:
     """``layers`` (rows with a place ``at``) with the unit tangent ``t_z``, ``t_y``, ``t_x`` of an axis given by control points: the symmetric difference over ``reach`` to either side."""
-    both = layers.select(at).distinct().withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("_at", F.col(at).cast("double") + F.col("_side") * reach)
+    both = layers.select(at).distinct().withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("_at",
+        F.col(at).cast("double") + F.col("_side") * reach)
     moved = both.withColumnRenamed(at, "_place").withColumnRenamed("_at", at)
     held = joins.as_of_interpolated(moved, points.withColumn(at, F.col(at).cast("double")), at, list(values))
     ends = held.groupBy("_place").agg(*[F.sum(F.col("_side") * F.col(v)).alias(f"_{v}") for v in values])
     run = F.lit(2.0 * reach)
     length = F.sqrt(run * run + F.col(f"_{values[0]}") ** 2 + F.col(f"_{values[1]}") ** 2)
-    found = ends.select(F.col("_place").alias(at), (run / length).alias("t_z"), (F.col(f"_{values[0]}") / length).alias("t_y"), (F.col(f"_{values[1]}") / length).alias("t_x"))
+    found = ends.select(F.col("_place").alias(at), (run / length).alias("t_z"), (F.col(f"_{values[0]}") / length).alias("t_y"),
+        (F.col(f"_{values[1]}") / length).alias("t_x"))
     return layers.join(found, at)
 
 

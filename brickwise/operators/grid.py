@@ -41,11 +41,13 @@ def box_grid(spark: SparkSession, low: tuple[int, int, int], size: tuple[int, in
     n = math.prod(size)
     i = F.col("id")
     return spark.range(n).select(
-        (F.floor(i / (size[1] * size[2])) + low[0]).cast("int").alias("z"), (F.floor(i / size[2]) % size[1] + low[1]).cast("int").alias("y"), (i % size[2] + low[2]).cast("int").alias("x")
+        (F.floor(i / (size[1] * size[2])) + low[0]).cast("int").alias("z"), (F.floor(i / size[2]) % size[1] + low[1]).cast("int").alias("y"),
+            (i % size[2] + low[2]).cast("int").alias("x")
     )
 
 
-def read_box(voxels: DataFrame, low: tuple[int, int, int], size: tuple[int, int, int], value: str, fill: int = 0, edge: bool = False, extent: tuple[int, int, int] | None = None) -> DataFrame:
+def read_box(voxels: DataFrame, low: tuple[int, int, int], size: tuple[int, int, int], value: str, fill: int = 0, edge: bool = False, extent: tuple[int, int,
+    int] | None = None) -> DataFrame:
     """(z, y, x, value) for every place of a box; outside the data ``fill``, or the nearest place of ``extent`` if ``edge``."""
     grid = box_grid(voxels.sparkSession, low, size)
     if edge:

@@ -63,7 +63,8 @@ def as_of_interpolated(probes: DataFrame, points: DataFrame, at: str, values: li
     """
     part = [group] if group else []
     tagged = points.select(*part, at, F.struct(F.col(at).cast("double").alias("at"), *[F.col(v).cast("double").alias(v) for v in values]).alias("_point"))
-    rows = probes.withColumn("_probe", F.struct(*probes.columns)).select(*part, at, "_probe").unionByName(tagged.withColumn("_probe", F.lit(None)), allowMissingColumns=True)
+    rows = probes.withColumn("_probe", F.struct(*probes.columns)).select(*part, at, "_probe").unionByName(tagged.withColumn("_probe", F.lit(None)),
+        allowMissingColumns=True)
     if not group:
         rows = range_table(rows, [at], "as-of")
         ends = rows.groupBy("_bw_part").agg(F.max("_point").alias("_last"), F.min("_point").alias("_first"))
@@ -107,7 +108,8 @@ def march(rows: DataFrame, body: DataFrame, direction: tuple[Column, Column, Col
     """Distinct ids of rows for which a rounded place on the ray of 1 to ``steps`` steps lies in the body."""
     k = F.col("_k")
     stepped = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    places = stepped.select(*[F.col(c).alias(f"_id_{c}") for c in id_cols], *[F.rint(F.col(a) + k * d).cast("int").alias(a) for a, d in zip(AXES, direction, strict=True)])
+    places = stepped.select(*[F.col(c).alias(f"_id_{c}") for c in id_cols], *[F.rint(F.col(a) + k * d).cast("int").alias(a) for a, d in zip(AXES, direction,
+        strict=True)])
     return places.join(body.select(*AXES), list(AXES), "left_semi").select(*[F.col(f"_id_{c}").alias(c) for c in id_cols]).distinct()
 
 
@@ -143,7 +145,8 @@ def merge_intervals(rows: DataFrame, low: str, high: str, group: list[str] | Non
     within = Window.partitionBy("_bw_part", *keys).orderBy(low, high)
     far = dealt.groupBy("_bw_part", *keys).agg(F.max(high).alias("_far")).withColumn("_far", F.max("_far").over(earlier))
     reach = F.greatest(F.max(high).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
-    met = dealt.join(far.withColumnsRenamed({"_bw_part": "_p", **{k: f"_k_{k}" for k in keys}}), _all(F.col("_bw_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]))
+    met = dealt.join(far.withColumnsRenamed({"_bw_part": "_p", **{k: f"_k_{k}" for k in keys}}), _all(F.col("_bw_part") == F.col("_p"),
+        *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]))
     marked = materialize(met.withColumn("_new", F.when(F.col(low) <= reach, 0).otherwise(1)).select("_bw_part", *keys, low, high, "_new"), "interval-starts")
     begun = marked.groupBy("_bw_part", *keys).agg(F.sum("_new").alias("_begun")).withColumn("_begun", F.coalesce(F.sum("_begun").over(earlier), F.lit(0)))
     begun = begun.withColumnsRenamed({"_bw_part": "_p", **{k: f"_k_{k}" for k in keys}})

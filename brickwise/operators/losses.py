@@ -70,7 +70,8 @@ def peaked_l1(prediction: Column, target: Column, mask: Column) -> Column:
 def surface_terms(prediction: Column, target: Column, logit: Column, valid: Column) -> dict[str, Column]:
     """Terms of one signed distance: weighted L1 and band Dice where supervised, and the validity's cross entropy where it isn't ignored."""
     supervised, known = (valid == 1).cast("double"), (valid != 2).cast("double")
-    return {"sdf_l1": peaked_l1(prediction, target, supervised), "band_dice": band_dice(prediction, target, supervised), "valid_bce": bce(logit, supervised, known)}
+    return {"sdf_l1": peaked_l1(prediction, target, supervised), "band_dice": band_dice(prediction, target, supervised), "valid_bce": bce(logit, supervised,
+        known)}
 
 
 def sides_terms(distance: Column, body_logit: Column, valid_logit: Column, target: Column, body: Column, valid: Column) -> dict[str, Column]:
@@ -83,11 +84,13 @@ def sides_terms(distance: Column, body_logit: Column, valid_logit: Column, targe
     }
 
 
-def descriptor_terms(offset: list[tuple[Column, Column]], thickness: tuple[Column, Column], logit: Column, incoherence: Column, valid: Column, limit: float = 20.0) -> dict[str, Column]:
+def descriptor_terms(offset: list[tuple[Column, Column]], thickness: tuple[Column, Column], logit: Column, incoherence: Column, valid: Column,
+    limit: float = 20.0) -> dict[str, Column]:
     """Terms of local shape: L1 of offsets and thickness in shares of the limit, and of the incoherence's sigmoid."""
     mask = (valid == 1).cast("double")
     apart = sum((F.abs(p - t) for p, t in offset), F.lit(0.0)) / len(offset)
-    return {"off_l1": masked_mean(apart / limit, mask), "thick_l1": l1(*thickness, mask, limit), "ncov_l1": masked_mean(F.abs(1 / (1 + F.exp(-logit)) - incoherence), mask)}
+    return {"off_l1": masked_mean(apart / limit, mask), "thick_l1": l1(*thickness, mask, limit),
+        "ncov_l1": masked_mean(F.abs(1 / (1 + F.exp(-logit)) - incoherence), mask)}
 
 
 def far_term(prediction: Column, target: Column, mask: Column, margin: float) -> Column:

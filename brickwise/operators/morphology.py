@@ -76,5 +76,6 @@ def close_ball(rows: DataFrame, mask: DataFrame, radius: float) -> DataFrame:
 def crest(rows: DataFrame, mask: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """Middle places of ``mask``: those whose distance to the rest of ``rows`` is within a tolerance of the largest around them."""
     rest = rows.select(*AXES).join(mask.select(*AXES), list(AXES), "left_anti")
-    deep = squared_distance(rows.select(*AXES), rest).join(mask.select(*AXES), list(AXES), "left_semi").where("d2 is not null").select(*AXES, F.sqrt("d2").alias("_depth"))
+    deep = squared_distance(rows.select(*AXES), rest).join(mask.select(*AXES), list(AXES), "left_semi").where("d2 is not null").select(*AXES,
+        F.sqrt("d2").alias("_depth"))
     return stencil.neighbour_extreme(deep, "_depth", 1, True, "_top").where(F.col("_depth") >= F.col("_top") - tolerance).select(*AXES)

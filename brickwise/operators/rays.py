@@ -31,7 +31,8 @@ def runs(samples: DataFrame, member: Column) -> DataFrame:
     last = Window.partitionBy("ray_id")
     island = F.col("k") - F.row_number().over(Window.partitionBy("ray_id", "_in").orderBy("k"))
     spread = marked.withColumn("_run", island).withColumn("_last", F.max("k").over(last)).where("_in")
-    found = spread.groupBy("ray_id", "_run").agg(F.min("k").alias("start"), F.count(F.lit(1)).alias("length"), F.max("k").alias("_end"), F.first("_last").alias("_last"))
+    found = spread.groupBy("ray_id", "_run").agg(F.min("k").alias("start"), F.count(F.lit(1)).alias("length"), F.max("k").alias("_end"),
+        F.first("_last").alias("_last"))
     return found.select("ray_id", "start", "length", ((F.col("start") > 0) & (F.col("_end") < F.col("_last"))).alias("inner_run"))
 
 
@@ -94,7 +95,8 @@ def per_period(samples: DataFrame, window: int, step: int, least: float, most: f
     """
     starts = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("k") - window + 1) / step)).cast("int"), F.floor(F.col("k") / step).cast("int"))
     spread = samples.select("ray_id", "k", "v", "valid", F.explode(starts).alias("start")).withColumn("start", F.col("start") * step)
-    full = spread.groupBy("ray_id", "start").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("valid").cast("double")).alias("share"), F.avg("v").alias("mean")).where((F.col("n") == window) & (F.col("share") >= valid_share))
+    full = spread.groupBy("ray_id", "start").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("valid").cast("double")).alias("share"),
+        F.avg("v").alias("mean")).where((F.col("n") == window) & (F.col("share") >= valid_share))
     keyed = spread.join(full.select("ray_id", "start", "mean"), ["ray_id", "start"]).withColumn("ray", F.xxhash64("ray_id", "start"))
     period = dominant_period(keyed.select(F.col("ray").alias("ray_id"), "k", "v"), least, most)
     named = keyed.select("ray", "ray_id", "start", "mean").distinct()

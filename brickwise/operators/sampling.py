@@ -68,7 +68,8 @@ def band_split(rows: DataFrame, axis: str, size: int, low: int, high: int) -> Da
     held = (F.col(axis) >= low) & (F.col(axis) < high)
     reach = rows.where(held).agg(F.coalesce(F.min(axis), F.lit(low)).alias("_lo"), F.coalesce(F.max(axis) + size, F.lit(high)).alias("_hi"))
     clear = (F.col(axis) + size <= F.col("_lo")) | (F.col(axis) >= F.col("_hi"))
-    return rows.crossJoin(F.broadcast(reach)).withColumn("part", F.when(held, "holdout").when(clear, "train").otherwise("gap")).drop("_lo", "_hi")  # reach: one row
+    return rows.crossJoin(F.broadcast(reach)).withColumn("part", F.when(held, "holdout").when(clear, "train").otherwise("gap")).drop("_lo",
+        "_hi")  # reach: one row
 
 
 def fraction_band(rows: DataFrame, axis: str, size: int, share: float) -> tuple[int, int]:

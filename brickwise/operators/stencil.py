@@ -49,7 +49,8 @@ def _spread(rows: DataFrame, value: str, radius: int, combine: Callable[[str], C
     for axis in AXES:
         moved = out.select(*AXES, value, F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("_step"))
         held = F.col(value) + cost(F.col("_step")) if cost else F.col(value)
-        out = moved.select(*[(F.col(a) + F.col("_step")).alias(a) if a == axis else a for a in AXES], held.alias(value)).groupBy(*AXES).agg(combine(value).alias(value))
+        out = moved.select(*[(F.col(a) + F.col("_step")).alias(a) if a == axis else a for a in AXES],
+            held.alias(value)).groupBy(*AXES).agg(combine(value).alias(value))
     return out
 
 

@@ -38,8 +38,10 @@ def distance_unlimited(spark: SparkSession, folder: str) -> DataFrame:
     return morphology.squared_distance(rows, targets).groupBy("d2").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("close_ball", f"""WITH {VOXELS_SQL}, m AS (SELECT z, y, x FROM coded WHERE u > 200), g AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c JOIN m ON {_near_sql("c", "m", 1)} AND {_d2_sql("c", "m")} <= 2.25),
-o AS (SELECT z, y, x FROM coded EXCEPT SELECT * FROM g), k AS (SELECT c.z, c.y, c.x FROM coded c WHERE NOT EXISTS (SELECT 1 FROM o WHERE {_near_sql("c", "o", 1)} AND {_d2_sql("c", "o")} <= 2.25))
+@register("close_ball", f"""WITH {VOXELS_SQL}, m AS (SELECT z, y, x FROM coded WHERE u > 200), g AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c JOIN m
+  ON {_near_sql("c", "m", 1)} AND {_d2_sql("c", "m")} <= 2.25),
+o AS (SELECT z, y, x FROM coded EXCEPT SELECT * FROM g), k AS (SELECT c.z, c.y, c.x FROM coded c WHERE NOT EXISTS (SELECT 1 FROM o
+  WHERE {_near_sql("c", "o", 1)} AND {_d2_sql("c", "o")} <= 2.25))
 SELECT z, count(*) AS n FROM k GROUP BY z""")
 def close_ball(spark: SparkSession, folder: str) -> DataFrame:
     """A mask closed by a ball of one and a half voxels, by layer."""
@@ -61,9 +63,12 @@ def thin_band(spark: SparkSession, folder: str) -> DataFrame:
     return morphology.crest(rows, rows.where("u > 120")).groupBy("z").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("gap_borders", f"""WITH {VOXELS_SQL}, b AS (SELECT z, y, x FROM coded WHERE u > 170), g AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c JOIN b ON {_near_sql("c", "b", 1)}), o AS (SELECT z, y, x FROM coded EXCEPT SELECT * FROM g),
-gap AS (SELECT z, y, x FROM coded c WHERE u <= 170 AND valid = 1 AND EXISTS (SELECT 1 FROM g WHERE g.z = c.z AND g.y = c.y AND g.x = c.x) AND NOT EXISTS (SELECT 1 FROM o WHERE {_near_sql("c", "o", 1)})),
-w AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c JOIN gap ON {_near_sql("c", "gap", 1)} WHERE c.u <= 170 AND c.valid = 1), e AS (SELECT DISTINCT w.z, w.y, w.x FROM w JOIN b ON {_near_sql("w", "b", 2)})
+@register("gap_borders", f"""WITH {VOXELS_SQL}, b AS (SELECT z, y, x FROM coded WHERE u > 170), g AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c JOIN b
+  ON {_near_sql("c", "b", 1)}), o AS (SELECT z, y, x FROM coded EXCEPT SELECT * FROM g),
+gap AS (SELECT z, y, x FROM coded c WHERE u <= 170 AND valid = 1 AND EXISTS (SELECT 1 FROM g WHERE g.z = c.z AND g.y = c.y AND g.x = c.x)
+  AND NOT EXISTS (SELECT 1 FROM o WHERE {_near_sql("c", "o", 1)})),
+w AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c JOIN gap ON {_near_sql("c", "gap", 1)} WHERE c.u <= 170 AND c.valid = 1), e AS (SELECT DISTINCT w.z, w.y, w.x
+  FROM w JOIN b ON {_near_sql("w", "b", 2)})
 SELECT (SELECT count(*) FROM gap) AS n_gap, (SELECT count(*) FROM w) AS n_wide, (SELECT count(*) FROM e) AS n_border""")
 def gap_borders(spark: SparkSession, folder: str) -> DataFrame:
     """Thin gaps between bodies where supervised, the same widened by a voxel, and what of that is within two voxels of a body."""
@@ -77,32 +82,41 @@ def gap_borders(spark: SparkSession, folder: str) -> DataFrame:
     return count(gap, "n_gap").crossJoin(count(wide, "n_wide")).crossJoin(count(border, "n_border"))  # one row each
 
 
-@register("sheet_period", f"""WITH {VOXELS_SQL}, d AS (SELECT z, y, x, u - 128 AS d FROM coded), t AS (SELECT * FROM d WHERE d > 60), g AS (SELECT z, y, x, -d AS d FROM d WHERE d < -60),
-ft AS (SELECT c.z, c.y, c.x, first(t.d ORDER BY {_d2_sql("c", "t")}, t.z, t.y, t.x) AS v FROM coded c JOIN t ON {_near_sql("c", "t", 2)} AND {_d2_sql("c", "t")} <= 4 GROUP BY 1, 2, 3),
-fg AS (SELECT c.z, c.y, c.x, first(g.d ORDER BY {_d2_sql("c", "g")}, g.z, g.y, g.x) AS v FROM coded c JOIN g ON {_near_sql("c", "g", 2)} AND {_d2_sql("c", "g")} <= 4 GROUP BY 1, 2, 3)
+@register("sheet_period", f"""WITH {VOXELS_SQL}, d AS (SELECT z, y, x, u - 128 AS d FROM coded), t AS (SELECT * FROM d WHERE d > 60), g AS (SELECT z, y, x,
+  -d AS d FROM d WHERE d < -60),
+ft AS (SELECT c.z, c.y, c.x, first(t.d ORDER BY {_d2_sql("c", "t")}, t.z, t.y, t.x) AS v FROM coded c JOIN t ON {_near_sql("c", "t", 2)}
+  AND {_d2_sql("c", "t")} <= 4 GROUP BY 1, 2, 3),
+fg AS (SELECT c.z, c.y, c.x, first(g.d ORDER BY {_d2_sql("c", "g")}, g.z, g.y, g.x) AS v FROM coded c JOIN g ON {_near_sql("c", "g", 2)}
+  AND {_d2_sql("c", "g")} <= 4 GROUP BY 1, 2, 3)
 SELECT ft.z, count(*) AS n, CAST(sum(ft.v) AS BIGINT) AS thickness, CAST(sum(fg.v) AS BIGINT) AS gap FROM ft JOIN fg USING (z, y, x) GROUP BY ft.z""")
 def sheet_period(spark: SparkSession, folder: str) -> DataFrame:
     """Thickness of sheets and of the gaps between them, each from its nearest measurement within two voxels."""
     rows = coded_voxels(spark, folder).select(*AXES, (F.col("u") - 128).alias("d"))
     thick = joins.nearest(rows, rows.where("d > 60"), 2, [], ["d"]).where("d2 is not null").select(*AXES, F.col("near_d").alias("t"))
-    thin = joins.nearest(rows, rows.where("d < -60").withColumn("d", -F.col("d")), 2, [], ["d"]).where("d2 is not null").select(*AXES, F.col("near_d").alias("g"))
+    thin = joins.nearest(rows, rows.where("d < -60").withColumn("d", -F.col("d")), 2, [], ["d"]).where("d2 is not null").select(*AXES,
+        F.col("near_d").alias("g"))
     return thick.join(thin, AXES).groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("thickness"), F.sum("g").alias("gap"))
 
 
-@register("window_maxima", f"""WITH {VOXELS_SQL}, s(start) AS (VALUES (0), (5), (10), (15), (20)) SELECT z, CAST(start AS INT) AS start, max(u) AS top FROM coded, s WHERE x >= start AND x < start + 12 GROUP BY z, start""")
+@register("window_maxima", f"""WITH {VOXELS_SQL}, s(start) AS (VALUES (0), (5), (10), (15), (20)) SELECT z, CAST(start AS INT) AS start, max(u) AS top
+  FROM coded, s WHERE x >= start AND x < start + 12 GROUP BY z, start""")
 def window_maxima(spark: SparkSession, folder: str) -> DataFrame:
     """The largest code of each layer in evenly spaced windows along x: windows without signal can be left out."""
     starts = F.explode(F.array(*map(F.lit, grid.even_window_starts(32, 12, 6))))
     return coded_voxels(spark, folder).withColumn("start", starts).where("x >= start and x < start + 12").groupBy("z", "start").agg(F.max("u").alias("top"))
 
 
-@register("best_window_start", f"""WITH {VOXELS_SQL}, c AS (SELECT z // 4 AS slab, y // 4 AS cy, x // 4 AS cx, count(*) FILTER (WHERE u > 140) AS n FROM coded GROUP BY 1, 2, 3),
-w AS (SELECT a.slab, a.cy, a.cx, sum(b.n) AS total FROM c a JOIN c b ON b.slab = a.slab AND b.cy BETWEEN a.cy AND a.cy + 2 AND b.cx BETWEEN a.cx AND a.cx + 2 WHERE a.cy <= 5 AND a.cx <= 5 GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY slab ORDER BY total DESC, abs(cy - 2) + abs(cx - 2), cy, cx) AS r FROM w WHERE abs(cy - 2) <= 2 AND abs(cx - 2) <= 2)
+@register("best_window_start", f"""WITH {VOXELS_SQL}, c AS (SELECT z // 4 AS slab, y // 4 AS cy, x // 4 AS cx, count(*) FILTER (WHERE u > 140) AS n FROM coded
+  GROUP BY 1, 2, 3),
+w AS (SELECT a.slab, a.cy, a.cx, sum(b.n) AS total FROM c a JOIN c b ON b.slab = a.slab AND b.cy BETWEEN a.cy AND a.cy + 2 AND b.cx BETWEEN a.cx AND a.cx + 2
+  WHERE a.cy <= 5 AND a.cx <= 5 GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY slab ORDER BY total DESC, abs(cy - 2) + abs(cx - 2), cy, cx) AS r FROM w WHERE abs(cy - 2) <= 2
+  AND abs(cx - 2) <= 2)
 SELECT slab, CAST(cy * 4 AS INT) AS y, CAST(cx * 4 AS INT) AS x, CAST(total AS BIGINT) AS total FROM r WHERE r = 1""")
 def best_window_start(spark: SparkSession, folder: str) -> DataFrame:
     """For each slab the window of three cells that covers most, not too far from the middle; of equals the nearest to it."""
-    cells = coded_voxels(spark, folder).groupBy(F.floor(F.col("z") / 4).cast("int").alias("slab"), F.floor(F.col("y") / 4).cast("int").alias("cy"), F.floor(F.col("x") / 4).cast("int").alias("cx"))
+    cells = coded_voxels(spark, folder).groupBy(F.floor(F.col("z") / 4).cast("int").alias("slab"), F.floor(F.col("y") / 4).cast("int").alias("cy"),
+        F.floor(F.col("x") / 4).cast("int").alias("cx"))
     counts = cells.agg(F.count(F.when(F.col("u") > 140, 1)).alias("n"))
     reach = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - 2), F.least(F.lit(5), F.col(c))))
     windows = counts.withColumn("wy", reach("cy")).withColumn("wx", reach("cx")).groupBy("slab", "wy", "wx").agg(F.sum("n").alias("total"))
@@ -117,8 +131,10 @@ def _edges_sql(axis: str, size: str) -> str:
     return f"e{axis} AS (SELECT CAST(i AS INT) AS i{axis}, CAST(round_even(i * {size} / {n}, 0) AS INT) AS lo, CAST(round_even((i + 1) * {size} / {n}, 0) AS INT) AS hi FROM range(1000000) r(i) WHERE i < {n})"
 
 
-@register("tile_plan", f"""WITH {VOXELS_SQL}, ext AS (SELECT max(z) + 1 AS nz FROM coded), {_edges_sql("z", "(SELECT nz FROM ext)")}, {_edges_sql("y", "32")}, {_edges_sql("x", "32")}
-SELECT iz, iy, ix, count(*) AS n, min(ez.lo) AS core_z, min(ez.hi - ez.lo) AS core_n, min(ez.lo - 3 - CASE WHEN ez.hi - ez.lo + 6 < 20 THEN (20 - (ez.hi - ez.lo + 6)) // 2 ELSE 0 END) AS box_z, min(greatest(20, ez.hi - ez.lo + 6)) AS box_n
+@register("tile_plan", f"""WITH {VOXELS_SQL}, ext AS (SELECT max(z) + 1 AS nz FROM coded), {_edges_sql("z", "(SELECT nz FROM ext)")}, {_edges_sql("y", "32")},
+  {_edges_sql("x", "32")}
+SELECT iz, iy, ix, count(*) AS n, min(ez.lo) AS core_z, min(ez.hi - ez.lo) AS core_n, min(ez.lo - 3 - CASE
+  WHEN ez.hi - ez.lo + 6 < 20 THEN (20 - (ez.hi - ez.lo + 6)) // 2 ELSE 0 END) AS box_z, min(greatest(20, ez.hi - ez.lo + 6)) AS box_n
 FROM coded JOIN ez ON z >= ez.lo AND z < ez.hi JOIN ey ON y >= ey.lo AND y < ey.hi JOIN ex ON x >= ex.lo AND x < ex.hi GROUP BY iz, iy, ix""")
 def tile_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Nearly equal tiles of twelve voxels at most: their voxels, and along z the core and the box with a halo of three, widened to a patch of twenty."""
@@ -129,23 +145,28 @@ def tile_plan(spark: SparkSession, folder: str) -> DataFrame:
     at = lambda k: F.get(F.array(*map(F.lit, edges["z"])), F.col("iz") + k)
     core = at(1) - at(0)
     extra = F.greatest(F.lit(0), 20 - (core + 6))
-    return tiles.select("iz", "iy", "ix", "n", at(0).alias("core_z"), core.alias("core_n"), (at(0) - 3 - F.floor(extra / 2).cast("int")).alias("box_z"), F.greatest(F.lit(20), core + 6).alias("box_n"))
+    return tiles.select("iz", "iy", "ix", "n", at(0).alias("core_z"), core.alias("core_n"), (at(0) - 3 - F.floor(extra / 2).cast("int")).alias("box_z"),
+        F.greatest(F.lit(20), core + 6).alias("box_n"))
 
 
 #: An affine map of places in z, y, x order.
 _MAP = [[0.5, 0.1, 0.0, 2.0], [0.0, 0.8, -0.3, 5.0], [0.2, 0.0, 0.9, -1.0]]
 
 
-@register("mapped_box_bounds", f"""WITH o AS (SELECT p_partkey, p_partkey % 40 AS z, p_size AS y, p_partkey % 17 AS x FROM part), b AS (SELECT i.i AS bz, j.i AS by_, k.i AS bx FROM range(2) i(i), range(2) j(i), range(2) k(i)),
+@register("mapped_box_bounds", f"""WITH o AS (SELECT p_partkey, p_partkey % 40 AS z, p_size AS y, p_partkey % 17 AS x FROM part), b AS (SELECT i.i AS bz,
+  j.i AS by_, k.i AS bx FROM range(2) i(i), range(2) j(i), range(2) k(i)),
 c AS (SELECT p_partkey, {", ".join(f"{r[0]} * (z + 7 * bz) + {r[1]} * (y + 5 * by_) + {r[2]} * (x + 3 * bx) + {r[3]} AS m{a}" for r, a in zip(_MAP, AXES, strict=True))} FROM o, b)
 SELECT p_partkey, {", ".join(f"CAST(greatest(0, least(30, floor(round(min(m{a})::DOUBLE, 9)) - 1)) AS INT) AS lo_{a}, CAST(greatest(0, least(30, ceil(round(max(m{a})::DOUBLE, 9)) + 2)) AS INT) AS hi_{a}" for a in AXES)} FROM c GROUP BY p_partkey""")
 def mapped_box_bounds(spark: SparkSession, folder: str) -> DataFrame:
     """The bounds, with a margin of one and clipped to thirty voxels, of boxes of 8 x 6 x 4 under an affine map."""
-    boxes = table(spark, folder, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("z"), F.col("p_size").alias("y"), (F.col("p_partkey") % 17).alias("x"))
-    corners = F.array(*[F.struct(*[(F.col(a) + b).cast("double").alias(a) for a, b in zip(AXES, bits, strict=True)]) for bits in [(7 * (i >> 2 & 1), 5 * (i >> 1 & 1), 3 * (i & 1)) for i in range(8)]])
+    boxes = table(spark, folder, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("z"), F.col("p_size").alias("y"),
+        (F.col("p_partkey") % 17).alias("x"))
+    corners = F.array(*[F.struct(*[(F.col(a) + b).cast("double").alias(a) for a, b in zip(AXES, bits, strict=True)]) for bits in [(7 * (i >> 2 & 1),
+        5 * (i >> 1 & 1), 3 * (i & 1)) for i in range(8)]])
     spread = boxes.select("p_partkey", F.explode(corners).alias("c"))
     mapped = vectors.affine(_MAP, tuple(F.col(f"c.{a}") for a in AXES))
-    ends = spread.select("p_partkey", *[m.alias(f"m{a}") for m, a in zip(mapped, AXES, strict=True)]).groupBy("p_partkey").agg(*[f(f"m{a}").alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "l"), (F.max, "h"))])
+    ends = spread.select("p_partkey", *[m.alias(f"m{a}") for m, a in zip(mapped, AXES,
+        strict=True)]).groupBy("p_partkey").agg(*[f(f"m{a}").alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "l"), (F.max, "h"))])
     held = lambda c: F.greatest(F.lit(0), F.least(F.lit(30), c)).cast("int")
     bounds = [b for a in AXES for b in (held(F.floor(F.round(f"l{a}", 9)) - 1).alias(f"lo_{a}"), held(F.ceil(F.round(f"h{a}", 9)) + 2).alias(f"hi_{a}"))]
     return ends.select("p_partkey", *bounds)
@@ -154,24 +175,32 @@ def mapped_box_bounds(spark: SparkSession, folder: str) -> DataFrame:
 _COS, _SIN = math.cos(math.radians(30)), math.sin(math.radians(30))
 
 
-@register("rotated_layers", f"""WITH {VOXELS_SQL}, p AS (SELECT z, y AS gy, x AS gx, 15.5 + {_COS!r}::DOUBLE * (y - 15.5) + {_SIN!r}::DOUBLE * (x - 15.5) AS py, 15.5 - {_SIN!r}::DOUBLE * (y - 15.5) + {_COS!r}::DOUBLE * (x - 15.5) AS px FROM coded), o(n) AS (VALUES (0), (1)),
-w AS (SELECT z, gy, gx, CAST(floor(py) AS INT) + b.n AS y, CAST(floor(px) AS INT) + c.n AS x, (CASE b.n WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE c.n WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM p, o b, o c),
-s AS (SELECT w.z, gy, gx, sum(w * coalesce(v, 0)) AS v, sum(CASE WHEN v IS NULL THEN 0 ELSE w END) AS part FROM w LEFT JOIN coded USING (z, y, x) GROUP BY 1, 2, 3)
+@register("rotated_layers", f"""WITH {VOXELS_SQL}, p AS (SELECT z, y AS gy, x AS gx,
+  15.5 + {_COS!r}::DOUBLE * (y - 15.5) + {_SIN!r}::DOUBLE * (x - 15.5) AS py, 15.5 - {_SIN!r}::DOUBLE * (y - 15.5) + {_COS!r}::DOUBLE * (x - 15.5) AS px
+  FROM coded), o(n) AS (VALUES (0), (1)),
+w AS (SELECT z, gy, gx, CAST(floor(py) AS INT) + b.n AS y, CAST(floor(px) AS INT) + c.n AS x, (CASE b.n WHEN 1 THEN py - floor(py)
+  ELSE 1 - (py - floor(py)) END) * (CASE c.n WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM p, o b, o c),
+s AS (SELECT w.z, gy, gx, sum(w * coalesce(v, 0)) AS v, sum(CASE WHEN v IS NULL THEN 0 ELSE w END) AS part FROM w LEFT JOIN coded USING (z, y, x) GROUP BY 1,
+  2, 3)
 SELECT z, round(sum(v), 4) AS total, count(*) FILTER (WHERE part > 0.999) AS n_whole FROM s GROUP BY z""")
 def rotated_layers(spark: SparkSession, folder: str) -> DataFrame:
     """Layers turned by thirty degrees about their middle, sampled between voxels with zero outside; and how many samples lie wholly inside."""
     rows = coded_voxels(spark, folder).select(*AXES, "v").withColumn("one", F.lit(1.0))
     dy, dx = F.col("y") - 15.5, F.col("x") - 15.5
-    points = rows.select(F.struct(*AXES).alias("id"), F.col("z").cast("double").alias("pz"), (15.5 + _COS * dy + _SIN * dx).alias("py"), (15.5 - _SIN * dy + _COS * dx).alias("px"))
+    points = rows.select(F.struct(*AXES).alias("id"), F.col("z").cast("double").alias("pz"), (15.5 + _COS * dy + _SIN * dx).alias("py"),
+        (15.5 - _SIN * dy + _COS * dx).alias("px"))
     value, part = joins.trilinear(points, rows, "v"), joins.trilinear(points, rows, "one")
     both = value.join(part, "id")
     return both.groupBy(F.col("id.z").alias("z")).agg(F.round(F.sum("v"), 4).alias("total"), F.count(F.when(F.col("one") > 0.999, 1)).alias("n_whole"))
 
 
-@register("fine_labels", f"""WITH {VOXELS_SQL}, {_crest_sql("u >= 190")}, n AS (SELECT c.z, c.y, c.x, c.u, c.valid, min({{'d2': CAST({_d2_sql("c", "crest")} AS BIGINT), 'z': crest.z, 'y': crest.y, 'x': crest.x}}) FILTER (WHERE {_d2_sql("c", "crest")} <= 9) AS m
+@register("fine_labels", f"""WITH {VOXELS_SQL},
+  {_crest_sql("u >= 190")}, n AS (SELECT c.z, c.y, c.x, c.u, c.valid, min({{'d2': CAST({_d2_sql("c", "crest")} AS BIGINT), 'z': crest.z, 'y': crest.y, 'x': crest.x}}) FILTER (WHERE {_d2_sql("c", "crest")} <= 9) AS m
   FROM coded c LEFT JOIN crest ON {_near_sql("c", "crest", 3)} GROUP BY 1, 2, 3, 4, 5),
-s AS (SELECT *, coalesce(sqrt(m.d2), 3) AS dist, CASE WHEN (y - m.y) * (m.y - 15.5) + (x - m.x) * (m.x - 15.5) < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS side FROM n)
-SELECT CASE WHEN valid = 0 THEN 0 WHEN u BETWEEN 150 AND 180 AND dist > 1 THEN 2 ELSE 1 END AS state, CASE WHEN valid = 0 THEN 0 ELSE CAST(least(255.0, greatest(1.0, round_even(128 + side * dist * (127.0::DOUBLE / 3.0::DOUBLE), 0))) AS INT) END AS code, count(*) AS n FROM s GROUP BY 1, 2""")
+s AS (SELECT *, coalesce(sqrt(m.d2), 3) AS dist, CASE WHEN (y - m.y) * (m.y - 15.5) + (x - m.x) * (m.x - 15.5) < 0 THEN -1.0::DOUBLE
+  ELSE 1.0::DOUBLE END AS side FROM n)
+SELECT CASE WHEN valid = 0 THEN 0 WHEN u BETWEEN 150 AND 180 AND dist > 1 THEN 2 ELSE 1 END AS state, CASE WHEN valid = 0 THEN 0 ELSE CAST(least(255.0,
+  greatest(1.0, round_even(128 + side * dist * (127.0::DOUBLE / 3.0::DOUBLE), 0))) AS INT) END AS code, count(*) AS n FROM s GROUP BY 1, 2""")
 def fine_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of a surface from its probability: the crest of the mask, the signed distance to it (positive away from the middle of the layers,
     saturating at three voxels) as bytes, and the three-valued validity, which ignores doubtful places off the crest. Written for later readers."""
@@ -188,8 +217,10 @@ def fine_labels(spark: SparkSession, folder: str) -> DataFrame:
     return built.groupBy("state", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("fibre_block", f"""WITH {VOXELS_SQL} SELECT label, CAST(sum(CAST(round_even(255 * abs(sin(u)), 0) AS INT)) AS BIGINT) AS along, CAST(sum(CAST(round_even(255 * abs(cos(u)), 0) AS INT)) AS BIGINT) AS across, count(*) FILTER (WHERE valid > 0) AS n_valid FROM coded GROUP BY label""")
+@register("fibre_block", f"""WITH {VOXELS_SQL} SELECT label, CAST(sum(CAST(round_even(255 * abs(sin(u)), 0) AS INT)) AS BIGINT) AS along,
+  CAST(sum(CAST(round_even(255 * abs(cos(u)), 0) AS INT)) AS BIGINT) AS across, count(*) FILTER (WHERE valid > 0) AS n_valid FROM coded GROUP BY label""")
 def fibre_block(spark: SparkSession, folder: str) -> DataFrame:
     """The channels of a fibre block: both class probabilities as bytes, and where there is data."""
     byte = lambda c: F.sum(codec.encode_prob(F.abs(c)))
-    return coded_voxels(spark, folder).groupBy("label").agg(byte(F.sin("u")).alias("along"), byte(F.cos("u")).alias("across"), F.count(F.when(F.col("valid") > 0, 1)).alias("n_valid"))
+    return coded_voxels(spark, folder).groupBy("label").agg(byte(F.sin("u")).alias("along"), byte(F.cos("u")).alias("across"),
+        F.count(F.when(F.col("valid") > 0, 1)).alias("n_valid"))

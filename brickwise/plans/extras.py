@@ -16,12 +16,15 @@ from brickwise.sources.voxels import VOXELS_SQL, coded_voxels
 AXES = list(grid.AXES)
 
 
-@register("component_stats", _CC_SQL + """ SELECT count(*) AS n, count(*) FILTER (WHERE size >= 3) AS n_large, max(size) AS largest, CAST(sum(size) AS BIGINT) AS voxels, array_to_string(list_slice(list(size ORDER BY size DESC), 1, 10), ',') AS top FROM sizes""")
+@register("component_stats", _CC_SQL + """ SELECT count(*) AS n, count(*) FILTER (WHERE size >= 3) AS n_large, max(size) AS largest,
+  CAST(sum(size) AS BIGINT) AS voxels, array_to_string(list_slice(list(size ORDER BY size DESC), 1, 10), ',') AS top FROM sizes""")
 def component_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Number and sizes of 26-connected components: sizes are counted before they are listed, so the list is short."""
     sizes = _labelled(coded_voxels(spark, folder).where("u > 205")).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    top = sizes.orderBy(F.desc("size")).limit(10).agg(F.array_join(F.transform(F.sort_array(F.collect_list("size"), asc=False), lambda s: s.cast("string")), ",").alias("top"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("size") >= 3, 1)).alias("n_large"), F.max("size").alias("largest"), F.sum("size").alias("voxels"))
+    top = sizes.orderBy(F.desc("size")).limit(10).agg(F.array_join(F.transform(F.sort_array(F.collect_list("size"), asc=False), lambda s: s.cast("string")),
+        ",").alias("top"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("size") >= 3, 1)).alias("n_large"), F.max("size").alias("largest"),
+        F.sum("size").alias("voxels"))
     return stats.crossJoin(F.broadcast(top))  # one row each
 
 
@@ -47,21 +50,26 @@ def grey_modes(spark: SparkSession, folder: str) -> DataFrame:
         near = np.abs(value - low) <= np.abs(value - high)
         low = np.average(value[near], weights=count[near])
         high = np.average(value[~near], weights=count[~near]) if (~near).any() else high
-    return spark.createDataFrame([("low", round(float(low), 6), int(count[near].sum())), ("high", round(float(high), 6), int(count[~near].sum()))], "mode string, value double, n long")
+    return spark.createDataFrame([("low", round(float(low), 6), int(count[near].sum())), ("high", round(float(high), 6), int(count[~near].sum()))],
+        "mode string, value double, n long")
 
 
-@register("soft_skeleton_step", f"""WITH {VOXELS_SQL}, e AS (SELECT a.z, a.y, a.x, a.u, min(b.u) AS low FROM coded a JOIN coded b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3, 4),
-o AS (SELECT a.z, a.y, a.x, a.u, max(b.low) AS opened FROM e a JOIN e b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3, 4)
+@register("soft_skeleton_step", f"""WITH {VOXELS_SQL}, e AS (SELECT a.z, a.y, a.x, a.u, min(b.u) AS low FROM coded a JOIN coded b ON b.z BETWEEN a.z - 1
+  AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3, 4),
+o AS (SELECT a.z, a.y, a.x, a.u, max(b.low) AS opened FROM e a JOIN e b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1
+  AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3, 4)
 SELECT z, CAST(sum(greatest(0, u - opened)) AS BIGINT) AS total, count(*) FILTER (WHERE u > opened) AS n FROM o GROUP BY z""")
 def soft_skeleton_step(spark: SparkSession, folder: str) -> DataFrame:
     """What an opening of the codes takes away: one step of a soft skeleton."""
     eroded = stencil.neighbour_extreme(coded_voxels(spark, folder).select(*AXES, "u"), "u", 1, False, "low")
     opened = stencil.neighbour_extreme(eroded, "low", 1, True, "opened")
-    return opened.groupBy("z").agg(F.sum(F.greatest(F.lit(0), F.col("u") - F.col("opened"))).alias("total"), F.count(F.when(F.col("u") > F.col("opened"), 1)).alias("n"))
+    return opened.groupBy("z").agg(F.sum(F.greatest(F.lit(0), F.col("u") - F.col("opened"))).alias("total"), F.count(F.when(F.col("u") > F.col("opened"),
+        1)).alias("n"))
 
 
 @register("class_direction", f"""WITH {_TRIPLES_SQL}, p AS (SELECT label, abs(a) AS pv, abs(b) AS ph FROM tri)
-SELECT label, round(sum(pv / sqrt(pv*pv + ph*ph)), 6) AS along_v, round(sum(ph / sqrt(pv*pv + ph*ph)), 6) AS along_h, round(avg(greatest(pv, ph)), 6) AS strength FROM p GROUP BY label""")
+SELECT label, round(sum(pv / sqrt(pv*pv + ph*ph)), 6) AS along_v, round(sum(ph / sqrt(pv*pv + ph*ph)), 6) AS along_h, round(avg(greatest(pv, ph)),
+  6) AS strength FROM p GROUP BY label""")
 def class_direction(spark: SparkSession, folder: str) -> DataFrame:
     """Direction and strength from two class probabilities along two fixed axes."""
     pv, ph = F.abs("a"), F.abs("b")

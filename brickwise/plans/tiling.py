@@ -23,16 +23,19 @@ AXES = list(grid.AXES)
 
 
 @register("core_partition", f"""WITH {VOXELS_SQL}, c(start, lo, hi) AS (VALUES (0, 0, 9), (6, 9, 15), (12, 15, 21), (18, 21, 27), (20, 27, 32))
-SELECT CAST(start AS INT) AS start, count(*) AS n_window, count(*) FILTER (WHERE x >= lo AND x < hi) AS n_core, CAST(sum(u) FILTER (WHERE x >= lo AND x < hi) AS BIGINT) AS total FROM coded, c WHERE x >= start AND x < start + 12 GROUP BY start""")
+SELECT CAST(start AS INT) AS start, count(*) AS n_window, count(*) FILTER (WHERE x >= lo AND x < hi) AS n_core, CAST(sum(u) FILTER (WHERE x >= lo
+  AND x < hi) AS BIGINT) AS total FROM coded, c WHERE x >= start AND x < start + 12 GROUP BY start""")
 def core_partition(spark: SparkSession, folder: str) -> DataFrame:
     """Voxels of windows along x whose cores partition the extent, and of the cores."""
     cores = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(c._fields, c, strict=True)]) for c in grid.partition_by_cores(32, 12, 3)]))
     rows = coded_voxels(spark, folder).withColumn("c", cores).where("x >= c.start and x < c.start + 12")
     core = F.expr("x >= c.low and x < c.high")
-    return rows.groupBy(F.col("c.start").alias("start")).agg(F.count(F.lit(1)).alias("n_window"), F.count(F.when(core, 1)).alias("n_core"), F.sum(F.when(core, F.col("u"))).alias("total"))
+    return rows.groupBy(F.col("c.start").alias("start")).agg(F.count(F.lit(1)).alias("n_window"), F.count(F.when(core, 1)).alias("n_core"), F.sum(F.when(core,
+        F.col("u"))).alias("total"))
 
 
-@register("core_coverage", f"""WITH {VOXELS_SQL}, w AS (SELECT z, y, x, sum(CASE WHEN x - s >= 2 AND x - s < 10 THEN 1 ELSE 0 END) AS n FROM coded, (VALUES (0), (7), (13), (20)) s(s) WHERE x >= s AND x < s + 12 GROUP BY 1, 2, 3)
+@register("core_coverage", f"""WITH {VOXELS_SQL}, w AS (SELECT z, y, x, sum(CASE WHEN x - s >= 2 AND x - s < 10 THEN 1 ELSE 0 END) AS n FROM coded,
+  (VALUES (0), (7), (13), (20)) s(s) WHERE x >= s AND x < s + 12 GROUP BY 1, 2, 3)
 SELECT x, count(*) AS n_voxels, CAST(max(n) AS BIGINT) AS most, count(*) FILTER (WHERE n = 0) AS n_uncovered FROM w GROUP BY x""")
 def core_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """How many windows hold each place in their core, two voxels from their ends, and the places that none does."""
@@ -43,8 +46,11 @@ def core_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return n.groupBy("x").agg(F.count(F.lit(1)).alias("n_voxels"), F.max("n").alias("most"), F.count(F.when(F.col("n") == 0, 1)).alias("n_uncovered"))
 
 
-@register("gaussian_blend", f"""WITH {VOXELS_SQL}, w AS (SELECT z, y, x, v + 0.01::DOUBLE * s AS out, greatest(exp(-0.5::DOUBLE * ((x - s - 5.5::DOUBLE) / 1.5::DOUBLE)**2), 1e-3::DOUBLE) AS w FROM vox, (VALUES (0), (5), (10), (15), (20)) s(s) WHERE x >= s AND x < s + 12),
-b AS (SELECT z, y, x, sum(w * out) / sum(w) AS out FROM w GROUP BY 1, 2, 3) SELECT z, round(sum(out), 4) AS total, round(max(out), 5) AS top FROM b GROUP BY z""")
+@register("gaussian_blend", f"""WITH {VOXELS_SQL}, w AS (SELECT z, y, x, v + 0.01::DOUBLE * s AS out,
+  greatest(exp(-0.5::DOUBLE * ((x - s - 5.5::DOUBLE) / 1.5::DOUBLE)**2), 1e-3::DOUBLE) AS w FROM vox, (VALUES (0), (5), (10), (15), (20)) s(s) WHERE x >= s
+  AND x < s + 12),
+b AS (SELECT z, y, x, sum(w * out) / sum(w) AS out FROM w GROUP BY 1, 2, 3) SELECT z, round(sum(out), 4) AS total, round(max(out), 5) AS top FROM b
+  GROUP BY z""")
 def gaussian_blend(spark: SparkSession, folder: str) -> DataFrame:
     """Window results, here the value and a hundredth of the window's start, blended by gaussian weights."""
     starts = F.explode(F.array(*map(F.lit, grid.even_window_starts(32, 12, 6))))
@@ -55,54 +61,70 @@ def gaussian_blend(spark: SparkSession, folder: str) -> DataFrame:
     return blended.groupBy("z").agg(F.round(F.sum("out"), 4).alias("total"), F.round(F.max("out"), 5).alias("top"))
 
 
-@register("token_blend", """WITH e AS (SELECT vec_id, vec_id // 8 AS line, vec_id % 8 AS place, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
-w AS (SELECT line, s, place, i, v / norm * (1 + 0.1::DOUBLE * s) AS t, least(least(place - s + 1, 4 - (place - s)) / 3.0::DOUBLE, 1.0::DOUBLE) AS w FROM e, (VALUES (0), (2), (4)) s(s) WHERE place >= s AND place < s + 4),
-b AS (SELECT line, place, i, sum(w * t) / sum(w) AS t FROM w GROUP BY 1, 2, 3), n AS (SELECT line, place, sqrt(sum(t * t)) AS norm, sum(t) AS total FROM b GROUP BY 1, 2)
+@register("token_blend", """WITH e AS (SELECT vec_id, vec_id // 8 AS line, vec_id % 8 AS place, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding,
+  1) AS i, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
+w AS (SELECT line, s, place, i, v / norm * (1 + 0.1::DOUBLE * s) AS t, least(least(place - s + 1, 4 - (place - s)) / 3.0::DOUBLE, 1.0::DOUBLE) AS w FROM e,
+  (VALUES (0), (2), (4)) s(s) WHERE place >= s AND place < s + 4),
+b AS (SELECT line, place, i, sum(w * t) / sum(w) AS t FROM w GROUP BY 1, 2, 3), n AS (SELECT line, place, sqrt(sum(t * t)) AS norm, sum(t) AS total FROM b
+  GROUP BY 1, 2)
 SELECT CAST(place AS BIGINT) AS place, count(*) AS n, round(avg(norm), 5) AS mean_norm, round(sum(total / norm), 4) AS total FROM n GROUP BY place""")
 def token_blend(spark: SparkSession, folder: str) -> DataFrame:
     """Unit tokens of overlapping windows of four places along each line of eight, blended by ramps and made unit again."""
-    rows = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("line"), (F.col("vec_id") % 8).alias("place"), embeddings.unit("embedding").alias("t"))
+    rows = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("line"), (F.col("vec_id") % 8).alias("place"),
+        embeddings.unit("embedding").alias("t"))
     spread = rows.withColumn("s", F.explode(F.array(F.lit(0), F.lit(2), F.lit(4)))).where("place >= s and place < s + 4")
     weight = grid.ramp_weight(F.col("place") - F.col("s"), 4, 2)
     parts = spread.select("line", "place", weight.alias("w"), (1 + 0.1 * F.col("s")).alias("k"), F.posexplode("t").alias("i", "v"))
     blended = parts.groupBy("line", "place", "i").agg((F.sum(F.col("w") * F.col("v") * F.col("k")) / F.sum("w")).alias("t"))
     tokens = blended.groupBy("line", "place").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("norm"), F.sum("t").alias("total"))
-    return tokens.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("norm"), 5).alias("mean_norm"), F.round(F.sum(F.col("total") / F.col("norm")), 4).alias("total"))
+    return tokens.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("norm"), 5).alias("mean_norm"),
+        F.round(F.sum(F.col("total") / F.col("norm")), 4).alias("total"))
 
 
 @register("feature_losses", """WITH p AS (SELECT a.label, a.embedding AS s, b.embedding AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
-d AS (SELECT label, list_sum(list_transform(list_zip(s, t), lambda q: q[1]::DOUBLE * q[2]::DOUBLE)) AS st, list_sum(list_transform(s, lambda x: x::DOUBLE * x::DOUBLE)) AS ss, list_sum(list_transform(t, lambda x: x::DOUBLE * x::DOUBLE)) AS tt, len(s) AS n FROM p)
-SELECT label, round(avg(1 - st / greatest(sqrt(ss) * sqrt(tt), 1e-6::DOUBLE)), 5) AS cosine_loss, round(avg((ss - 2 * st + tt) / n), 5) AS squared_loss FROM d GROUP BY label""")
+d AS (SELECT label, list_sum(list_transform(list_zip(s, t), lambda q: q[1]::DOUBLE * q[2]::DOUBLE)) AS st, list_sum(list_transform(s,
+  lambda x: x::DOUBLE * x::DOUBLE)) AS ss, list_sum(list_transform(t, lambda x: x::DOUBLE * x::DOUBLE)) AS tt, len(s) AS n FROM p)
+SELECT label, round(avg(1 - st / greatest(sqrt(ss) * sqrt(tt), 1e-6::DOUBLE)), 5) AS cosine_loss, round(avg((ss - 2 * st + tt) / n), 5) AS squared_loss FROM d
+  GROUP BY label""")
 def feature_losses(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine and squared distances between each feature and the one that it should become."""
     rows = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
     target = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("target"))
-    pair = rows.join(target, "vec_id").withColumns({"st": embeddings.dot("embedding", "target"), "ss": embeddings.dot("embedding", "embedding"), "tt": embeddings.dot("target", "target")})
+    pair = rows.join(target, "vec_id").withColumns({"st": embeddings.dot("embedding", "target"), "ss": embeddings.dot("embedding", "embedding"),
+        "tt": embeddings.dot("target", "target")})
     cosine = 1 - F.col("st") / F.greatest(F.sqrt("ss") * F.sqrt("tt"), F.lit(1e-6))
     squared = (F.col("ss") - 2 * F.col("st") + F.col("tt")) / F.size("embedding")
     return pair.groupBy("label").agg(F.round(F.avg(cosine), 5).alias("cosine_loss"), F.round(F.avg(squared), 5).alias("squared_loss"))
 
 
-@register("axial_loss", f"""WITH {_TRIPLES_SQL}, u AS (SELECT label, (a * b + b * c + c * a) / (a*a + b*b + c*c) AS d, abs(a) AS w FROM tri) SELECT label, round(sum((1 - d * d) * w) / greatest(sum(w), 1), 5) AS loss FROM u GROUP BY label""")
+@register("axial_loss", f"""WITH {_TRIPLES_SQL}, u AS (SELECT label, (a * b + b * c + c * a) / (a*a + b*b + c*c) AS d, abs(a) AS w FROM tri) SELECT label,
+  round(sum((1 - d * d) * w) / greatest(sum(w), 1), 5) AS loss FROM u GROUP BY label""")
 def axial_loss(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted mean of 1 - cos^2 between lines and the lines they should be."""
     n = vectors.unit((F.col("a"), F.col("b"), F.col("c")))
     inner = vectors.dot(n, (n[1], n[2], n[0]))
-    return triples(spark, folder).select("label", inner.alias("d"), F.abs("a").alias("w")).groupBy("label").agg(F.round(losses.axial(F.col("d"), F.col("w")), 5).alias("loss"))
+    return triples(spark, folder).select("label", inner.alias("d"), F.abs("a").alias("w")).groupBy("label").agg(F.round(losses.axial(F.col("d"), F.col("w")),
+        5).alias("loss"))
 
 
-@register("prediction_bytes", f"""WITH {VOXELS_SQL}, p AS (SELECT label, CAST(round_even(255 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (128 + greatest(-20.0::DOUBLE, least(20.0::DOUBLE, v * 60)) * 127 / 20.0::DOUBLE) / 255)), 0) AS INT) AS sdf,
-  CAST(round_even(255 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (sin(v * 9) + 1) * 0.5)), 0) AS INT) AS s, CAST(round_even(255 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, abs(v) * 1000 / 255)), 0) AS INT) AS d, v FROM vox)
-SELECT label, CAST(sum(sdf) AS BIGINT) AS sdf, CAST(sum(s) AS BIGINT) AS sine, CAST(sum(d) AS BIGINT) AS density, round(avg((sdf - 128) * 20 / 127.0::DOUBLE), 5) AS back_sdf, round(avg((s - 127.5::DOUBLE) / 127.5::DOUBLE), 5) AS back_sine, round(avg(d / 1000.0::DOUBLE), 6) AS back_density, count(*) FILTER (WHERE sdf <> 0) AS n_data FROM p GROUP BY label""")
+@register("prediction_bytes", f"""WITH {VOXELS_SQL}, p AS (SELECT label, CAST(round_even(255 * greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+  (128 + greatest(-20.0::DOUBLE, least(20.0::DOUBLE, v * 60)) * 127 / 20.0::DOUBLE) / 255)), 0) AS INT) AS sdf,
+  CAST(round_even(255 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (sin(v * 9) + 1) * 0.5)), 0) AS INT) AS s, CAST(round_even(255 * greatest(0.0::DOUBLE,
+  least(1.0::DOUBLE, abs(v) * 1000 / 255)), 0) AS INT) AS d, v FROM vox)
+SELECT label, CAST(sum(sdf) AS BIGINT) AS sdf, CAST(sum(s) AS BIGINT) AS sine, CAST(sum(d) AS BIGINT) AS density, round(avg((sdf - 128) * 20 / 127.0::DOUBLE),
+  5) AS back_sdf, round(avg((s - 127.5::DOUBLE) / 127.5::DOUBLE), 5) AS back_sine, round(avg(d / 1000.0::DOUBLE), 6) AS back_density, count(*)
+  FILTER (WHERE sdf <> 0) AS n_data FROM p GROUP BY label""")
 def prediction_bytes(spark: SparkSession, folder: str) -> DataFrame:
     """Physical heads scaled to shares of a byte and stored, and read back as fields."""
     v = F.col("v")
     share = lambda c: F.rint(255 * codec.clip(c, 0.0, 1.0)).cast("int")
-    stored = voxels(spark, folder).select("label", share((128 + codec.clip(v * 60, -20.0, 20.0) * 127 / 20.0) / 255).alias("sdf"), share((F.sin(v * 9) + 1) * 0.5).alias("s"), share(F.abs(v) * 1000 / 255).alias("d"))
+    stored = voxels(spark, folder).select("label", share((128 + codec.clip(v * 60, -20.0, 20.0) * 127 / 20.0) / 255).alias("sdf"),
+        share((F.sin(v * 9) + 1) * 0.5).alias("s"), share(F.abs(v) * 1000 / 255).alias("d"))
     back = lambda c, n, k=5: F.round(F.avg(c), k).alias(n)
     return stored.groupBy("label").agg(
         F.sum("sdf").alias("sdf"), F.sum("s").alias("sine"), F.sum("d").alias("density"), back(codec.decode_sdf(F.col("sdf"), 20.0), "back_sdf"),
-        back(codec.decode_signed(F.col("s")), "back_sine"), back(codec.decode_density(F.col("d")), "back_density", 6), F.count(F.when(F.col("sdf") != 0, 1)).alias("n_data"),
+        back(codec.decode_signed(F.col("s")), "back_sine"), back(codec.decode_density(F.col("d")), "back_density", 6), F.count(F.when(F.col("sdf") != 0,
+            1)).alias("n_data"),
     )
 
 
@@ -111,8 +133,10 @@ def _blurred_sql(source: str, axis: str, value: str) -> str:
     return f"SELECT a.z, a.y, a.x, sum(exp(-0.5::DOUBLE * (b.{axis} - a.{axis})**2) * b.{value}) / sum(exp(-0.5::DOUBLE * (b.{axis} - a.{axis})**2)) AS s FROM {source} a JOIN {source} b ON {same} AND b.{axis} BETWEEN a.{axis} - 3 AND a.{axis} + 3 GROUP BY 1, 2, 3"
 
 
-@register("gated_validity", f"""WITH {VOXELS_SQL}, sz AS ({_blurred_sql("coded", "z", "u")}), sy AS ({_blurred_sql("sz", "y", "s")}), sx AS ({_blurred_sql("sy", "x", "s")})
-SELECT CASE WHEN v > 0 AND s < 125 AND valid > 0 THEN 2 ELSE valid END AS state, count(*) AS n, count(*) FILTER (WHERE valid = 1) AS n_supervised FROM sx JOIN coded USING (z, y, x) GROUP BY 1""")
+@register("gated_validity", f"""WITH {VOXELS_SQL}, sz AS ({_blurred_sql("coded", "z", "u")}), sy AS ({_blurred_sql("sz", "y", "s")}),
+  sx AS ({_blurred_sql("sy", "x", "s")})
+SELECT CASE WHEN v > 0 AND s < 125 AND valid > 0 THEN 2 ELSE valid END AS state, count(*) AS n, count(*) FILTER (WHERE valid = 1) AS n_supervised FROM sx
+  JOIN coded USING (z, y, x) GROUP BY 1""")
 def gated_validity(spark: SparkSession, folder: str) -> DataFrame:
     """Validity with bodies ignored where the smoothed intensity is dark."""
     rows = coded_voxels(spark, folder).select(*AXES, "v", "valid", F.col("u").cast("double").alias("u"))
@@ -121,14 +145,17 @@ def gated_validity(spark: SparkSession, folder: str) -> DataFrame:
     return smooth.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("valid") == 1, 1)).alias("n_supervised"))
 
 
-@register("interior_crops", f"""WITH {VOXELS_SQL} SELECT label, count(*) AS n, CAST(sum(u) AS BIGINT) AS total FROM coded WHERE z % 4 BETWEEN 1 AND 2 AND y % 4 BETWEEN 1 AND 2 AND x % 4 BETWEEN 1 AND 2 GROUP BY label""")
+@register("interior_crops", f"""WITH {VOXELS_SQL} SELECT label, count(*) AS n, CAST(sum(u) AS BIGINT) AS total FROM coded WHERE z % 4 BETWEEN 1 AND 2
+  AND y % 4 BETWEEN 1 AND 2 AND x % 4 BETWEEN 1 AND 2 GROUP BY label""")
 def interior_crops(spark: SparkSession, folder: str) -> DataFrame:
     """The voxels of each crop that don't lie on its border."""
     inner = grid._all(*[(F.col(a) % 4).between(1, 2) for a in AXES])
     return coded_voxels(spark, folder).where(inner).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
 
 
-@register("interior_block_sample", f"""WITH {VOXELS_SQL}, b AS (SELECT vec_id, avg(CASE WHEN u > 120 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM coded GROUP BY vec_id), r AS (SELECT *, row_number() OVER (ORDER BY CAST(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|survey'), 1, 13) AS UBIGINT) AS DOUBLE), vec_id) AS r FROM b WHERE share > 0.45)
+@register("interior_block_sample", f"""WITH {VOXELS_SQL}, b AS (SELECT vec_id, avg(CASE WHEN u > 120 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM coded
+  GROUP BY vec_id), r AS (SELECT *, row_number() OVER (ORDER BY CAST(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|survey'), 1,
+    13) AS UBIGINT) AS DOUBLE), vec_id) AS r FROM b WHERE share > 0.45)
 SELECT vec_id, round(share, 5) AS share FROM r WHERE r <= 20""")
 def interior_block_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty blocks, by hash, of those that a coarse survey finds filled enough."""
@@ -137,7 +164,8 @@ def interior_block_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.bottom_k(filled, 20, ["vec_id"], salt="survey").select("vec_id", F.round("share", 5).alias("share"))
 
 
-@register("evenly_spaced_rows", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders), p AS (SELECT DISTINCT CAST(round_even(k.i * ((SELECT count(*) FROM orders) - 1) / 24.0::DOUBLE, 0) AS BIGINT) AS i FROM range(25) k(i))
+@register("evenly_spaced_rows", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+  p AS (SELECT DISTINCT CAST(round_even(k.i * ((SELECT count(*) FROM orders) - 1) / 24.0::DOUBLE, 0) AS BIGINT) AS i FROM range(25) k(i))
 SELECT o_orderkey, i AS place FROM r JOIN p USING (i)""")
 def evenly_spaced_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty-five rows at evenly spaced, rounded places of the order; the places come from running sums over ranges."""
@@ -160,10 +188,13 @@ def level_affine(spark: SparkSession, folder: str) -> DataFrame:
     return voxels(spark, folder).groupBy("z").agg(*[F.round(F.avg(m), 5).alias(f"m{a}") for m, a in zip(mapped, AXES, strict=True)])
 
 
-@register("hand_edits", f"""WITH {VOXELS_SQL}, stroke AS (SELECT z, y, x, CASE label % 4 WHEN 0 THEN 'erase' WHEN 1 THEN 'ignore' WHEN 2 THEN 'inner' ELSE 'outer' END AS edit FROM coded WHERE u > 240),
-near AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c JOIN stroke s ON s.z BETWEEN c.z - 1 AND c.z + 1 AND s.y BETWEEN c.y - 1 AND c.y + 1 AND s.x BETWEEN c.x - 1 AND c.x + 1),
+@register("hand_edits", f"""WITH {VOXELS_SQL}, stroke AS (SELECT z, y, x, CASE label % 4 WHEN 0 THEN 'erase' WHEN 1 THEN 'ignore' WHEN 2 THEN 'inner'
+  ELSE 'outer' END AS edit FROM coded WHERE u > 240),
+near AS (SELECT DISTINCT c.z, c.y, c.x FROM coded c JOIN stroke s ON s.z BETWEEN c.z - 1 AND c.z + 1 AND s.y BETWEEN c.y - 1 AND c.y + 1
+  AND s.x BETWEEN c.x - 1 AND c.x + 1),
 e AS (SELECT c.*, s.edit, near.z IS NOT NULL AS touched FROM coded c LEFT JOIN stroke s USING (z, y, x) LEFT JOIN near USING (z, y, x))
-SELECT coalesce(edit, CASE WHEN touched THEN 'near' ELSE 'kept' END) AS edit, CASE edit WHEN 'erase' THEN 0 WHEN 'ignore' THEN 2 ELSE valid END AS state, count(*) AS n, CAST(sum(CASE edit WHEN 'inner' THEN 140 WHEN 'outer' THEN 116 ELSE u END) AS BIGINT) AS total FROM e GROUP BY 1, 2""")
+SELECT coalesce(edit, CASE WHEN touched THEN 'near' ELSE 'kept' END) AS edit, CASE edit WHEN 'erase' THEN 0 WHEN 'ignore' THEN 2 ELSE valid END AS state,
+  count(*) AS n, CAST(sum(CASE edit WHEN 'inner' THEN 140 WHEN 'outer' THEN 116 ELSE u END) AS BIGINT) AS total FROM e GROUP BY 1, 2""")
 def hand_edits(spark: SparkSession, folder: str) -> DataFrame:
     """Strokes drawn by hand merged into labels: erased, ignored or set to a face where drawn; what is near a stroke is marked, the rest is kept."""
     rows = coded_voxels(spark, folder).select(*AXES, "u", "valid", "label")
@@ -177,9 +208,11 @@ def hand_edits(spark: SparkSession, folder: str) -> DataFrame:
     return merged.groupBy(name.alias("edit"), state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.sum(code).alias("total"))
 
 
-_OBJECTS_SQL = f"""WITH RECURSIVE {VOXELS_SQL}, m AS (SELECT z, y, x, CAST(z AS BIGINT) * 1099511627776 + CAST(y AS BIGINT) * 1048576 + x AS id, label = 3 AS contact FROM coded WHERE u > 205),
+_OBJECTS_SQL = f"""WITH RECURSIVE {VOXELS_SQL}, m AS (SELECT z, y, x, CAST(z AS BIGINT) * 1099511627776 + CAST(y AS BIGINT) * 1048576 + x AS id,
+  label = 3 AS contact FROM coded WHERE u > 205),
 e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON NOT a.contact AND NOT b.contact AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
-reach AS (SELECT id AS node, id AS other FROM m WHERE NOT contact UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other), comp AS (SELECT node AS id, min(other) AS object FROM reach GROUP BY node)"""
+reach AS (SELECT id AS node, id AS other FROM m WHERE NOT contact UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other), comp AS (SELECT node AS id,
+  min(other) AS object FROM reach GROUP BY node)"""
 
 
 @register("objects_split_at_contacts", _OBJECTS_SQL + """, s AS (SELECT object, count(*) AS size FROM comp GROUP BY object)
@@ -190,14 +223,16 @@ def objects_split_at_contacts(spark: SparkSession, folder: str) -> DataFrame:
     place = F.col("z").cast("long") * (1 << 40) + F.col("y").cast("long") * (1 << 20) + F.col("x")
     free = materialize(rows.where("not contact").withColumn("id", place), "free-places")
     half = [o for o in grid.cube(1) if o > (0, 0, 0)]
-    edges = grid.around(free.select(*AXES, "id"), half, ("id",)).withColumnRenamed("id", "a").join(free.select(*AXES, F.col("id").alias("b")), AXES).select("a", "b")
+    edges = grid.around(free.select(*AXES, "id"), half, ("id",)).withColumnRenamed("id", "a").join(free.select(*AXES, F.col("id").alias("b")),
+        AXES).select("a", "b")
     roots = connected_components(edges)
     objects = free.join(roots, free["id"] == roots["node"], "left").groupBy(F.coalesce("root", "id").alias("object")).agg(F.count(F.lit(1)).alias("size"))
     sizes = objects.agg(F.count(F.lit(1)).alias("n_objects"), F.max("size").alias("largest"), F.sum("size").alias("voxels"))
     return sizes.crossJoin(F.broadcast(rows.agg(F.count(F.when(F.col("contact"), 1)).alias("n_contact"))))  # one row each
 
 
-@register("appended_channel", f"""WITH {VOXELS_SQL} SELECT CASE WHEN valid = 1 THEN 255 WHEN valid = 2 THEN 64 ELSE 0 END AS faces_weight, count(*) AS n, CAST(sum(u) AS BIGINT) AS total FROM coded GROUP BY 1""")
+@register("appended_channel", f"""WITH {VOXELS_SQL} SELECT CASE WHEN valid = 1 THEN 255 WHEN valid = 2 THEN 64 ELSE 0 END AS faces_weight, count(*) AS n,
+  CAST(sum(u) AS BIGINT) AS total FROM coded GROUP BY 1""")
 def appended_channel(spark: SparkSession, folder: str) -> DataFrame:
     """A store with one channel more: written beside the old one, which stays as it was, and read back by the new schema."""
     old = materialize(coded_voxels(spark, folder).select(*AXES, "u", "valid"), "store")
@@ -206,19 +241,24 @@ def appended_channel(spark: SparkSession, folder: str) -> DataFrame:
     return new.groupBy("faces_weight").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
 
 
-@register("packet_manifest", f"""WITH {VOXELS_SQL}, l AS (SELECT vec_id, 'ct' AS layer, count(*) AS n, CAST(sum(u) AS BIGINT) AS total FROM coded GROUP BY vec_id UNION ALL SELECT vec_id, 'state', count(*), CAST(sum(valid) AS BIGINT) FROM coded GROUP BY vec_id)
-SELECT vec_id, string_agg(layer || ':' || CAST(n AS VARCHAR) || ':' || CAST(total AS VARCHAR), ';' ORDER BY layer) AS layers, count(*) FILTER (WHERE layer = 'ct') = 1 AS complete FROM l GROUP BY vec_id""")
+@register("packet_manifest", f"""WITH {VOXELS_SQL}, l AS (SELECT vec_id, 'ct' AS layer, count(*) AS n, CAST(sum(u) AS BIGINT) AS total FROM coded
+  GROUP BY vec_id UNION ALL SELECT vec_id, 'state', count(*), CAST(sum(valid) AS BIGINT) FROM coded GROUP BY vec_id)
+SELECT vec_id, string_agg(layer || ':' || CAST(n AS VARCHAR) || ':' || CAST(total AS VARCHAR), ';' ORDER BY layer) AS layers, count(*)
+  FILTER (WHERE layer = 'ct') = 1 AS complete FROM l GROUP BY vec_id""")
 def packet_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The layers of each exported brick in order with their sizes and sums; complete with exactly one intensity layer."""
     rows = coded_voxels(spark, folder)
     layer = lambda name, c: rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("total")).withColumn("layer", F.lit(name))
     both = layer("ct", "u").unionByName(layer("state", "valid"))
     item = F.struct("layer", F.concat_ws(":", "layer", F.col("n").cast("string"), F.col("total").cast("string")).alias("text"))
-    packed = both.groupBy("vec_id").agg(F.array_sort(F.collect_list(item)).alias("items"), (F.count(F.when(F.col("layer") == "ct", 1)) == 1).alias("complete"))  # two layers
+    packed = both.groupBy("vec_id").agg(F.array_sort(F.collect_list(item)).alias("items"), (F.count(F.when(F.col("layer") == "ct",
+        1)) == 1).alias("complete"))  # two layers
     return packed.select("vec_id", F.array_join(F.transform("items", lambda i: i["text"]), ";").alias("layers"), "complete")
 
 
-@register("writer_identity", """WITH e AS (SELECT CAST(event_id AS BIGINT) AS event_id, event_type, user_id % 16 AS brick, substr(sha256(event_type || chr(31) || 'v1'), 1, 16) AS fingerprint FROM events), done AS (SELECT DISTINCT brick FROM e WHERE fingerprint = substr(sha256('purchase' || chr(31) || 'v1'), 1, 16) AND event_id % 3 = 0)
+@register("writer_identity", """WITH e AS (SELECT CAST(event_id AS BIGINT) AS event_id, event_type, user_id % 16 AS brick,
+  substr(sha256(event_type || chr(31) || 'v1'), 1, 16) AS fingerprint FROM events), done AS (SELECT DISTINCT brick FROM e
+  WHERE fingerprint = substr(sha256('purchase' || chr(31) || 'v1'), 1, 16) AND event_id % 3 = 0)
 SELECT CAST(b.i AS BIGINT) AS brick FROM range(24) b(i) WHERE b.i NOT IN (SELECT brick FROM done)""")
 def writer_identity(spark: SparkSession, folder: str) -> DataFrame:
     """Bricks that this writer still has to do: marks of other writers, of another identity, don't count."""
@@ -227,7 +267,8 @@ def writer_identity(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.pending(spark.range(24).withColumnRenamed("id", "brick"), done, ["brick"], incremental.fingerprint("purchase", "v1"))
 
 
-@register("chunk_files_box_read", f"""WITH {VOXELS_SQL} SELECT z, count(*) AS n, CAST(sum(u) AS BIGINT) AS total FROM coded WHERE z BETWEEN 2 AND 9 AND y BETWEEN 5 AND 20 AND x BETWEEN 1 AND 30 AND z < (SELECT max(vec_id) // 64 * 4 FROM embeddings) GROUP BY z""")
+@register("chunk_files_box_read", f"""WITH {VOXELS_SQL} SELECT z, count(*) AS n, CAST(sum(u) AS BIGINT) AS total FROM coded WHERE z BETWEEN 2 AND 9
+  AND y BETWEEN 5 AND 20 AND x BETWEEN 1 AND 30 AND z < (SELECT max(vec_id) // 64 * 4 FROM embeddings) GROUP BY z""")
 def chunk_files_box_read(spark: SparkSession, folder: str) -> DataFrame:
     """A box of a chunked array: the whole layers are written as uncompressed chunk files, and only the box's files are opened."""
     last = (table(spark, folder, "embeddings").agg(F.max("vec_id").alias("v")).first()["v"] or 0) // 64 * 4
@@ -238,7 +279,8 @@ def chunk_files_box_read(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
 
 
-@register("octave_levels", """SELECT CAST(l AS INT) AS level, count(*) AS n, round(avg(log2(p / 2.4::DOUBLE)), 5) AS octaves FROM (SELECT p_size % 5 AS l, 2.4::DOUBLE * pow(2, p_size % 5) * (1 + 0.001::DOUBLE * (p_partkey % 3)) AS p FROM part) GROUP BY l""")
+@register("octave_levels", """SELECT CAST(l AS INT) AS level, count(*) AS n, round(avg(log2(p / 2.4::DOUBLE)), 5) AS octaves FROM (SELECT p_size % 5 AS l,
+  2.4::DOUBLE * pow(2, p_size % 5) * (1 + 0.001::DOUBLE * (p_partkey % 3)) AS p FROM part) GROUP BY l""")
 def octave_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Pyramid levels of pitches that are off by up to a fifth of a percent, and the pitches as octaves."""
     pitch = 2.4 * F.pow(F.lit(2.0), F.col("p_size") % 5) * (1 + 0.001 * (F.col("p_partkey") % 3))

@@ -92,14 +92,16 @@ def array_metadata(spark: SparkSession, path: str) -> dict:
     if two:
         if two["compressor"] is not None or two["dtype"] not in ("|u1", "u1"):
             raise ValueError(f"{path} isn't an uncompressed byte array")
-        return {"shape": two["shape"], "chunks": two["chunks"], "fill": two.get("fill_value") or 0, "prefix": "", "separator": two.get("dimension_separator", ".")}
+        return {"shape": two["shape"], "chunks": two["chunks"], "fill": two.get("fill_value") or 0, "prefix": "", "separator": two.get("dimension_separator",
+            ".")}
     if not three:
         raise FileNotFoundError(f"{path} has no array metadata")
     if [c["name"] for c in three["codecs"]] != ["bytes"] or three["data_type"] != "uint8":
         raise ValueError(f"{path} isn't an uncompressed byte array")
     key = three["chunk_key_encoding"]
     separator = key.get("configuration", {}).get("separator", "/" if key["name"] == "default" else ".")
-    return {"shape": three["shape"], "chunks": three["chunk_grid"]["configuration"]["chunk_shape"], "fill": three["fill_value"], "prefix": f"c{separator}" if key["name"] == "default" else "", "separator": separator}
+    return {"shape": three["shape"], "chunks": three["chunk_grid"]["configuration"]["chunk_shape"], "fill": three["fill_value"],
+        "prefix": f"c{separator}" if key["name"] == "default" else "", "separator": separator}
 
 
 #: Chunk names that one look-up asks the file system for.
@@ -129,7 +131,8 @@ def read_array(spark: SparkSession, path: str, low: tuple[int, int, int], size:
     if not found:
         return spark.range(0).select(*[F.col("id").cast("int").alias(c) for c in (*AXES, "u")])
     pattern = rf"/({meta['prefix'] and 'c[./]'}(?:[0-9]+[./])*[0-9]+)$"
-    named = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(found).select(F.regexp_extract("path", pattern, 1).alias("key"), "content")
+    named = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(found).select(F.regexp_extract("path", pattern, 1).alias("key"),
+        "content")
     place = np.indices(edges).reshape(3, -1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +154,8 @@ def write_array(packed: DataFrame, path: str, shape: tuple[int, int, int], edge:
     """
     spark = packed.sparkSession
     named = packed.select(F.concat_ws(".", *[F.col(f"c{a}").cast("string") for a in AXES]).alias("name"), "data")
-    _write_metadata(spark, path, {"zarr_format": 2, "shape": list(shape), "chunks": [edge] * 3, "dtype": "|u1", "compressor": None, "fill_value": 0, "order": "C", "filters": None})
+    _write_metadata(spark, path, {"zarr_format": 2, "shape": list(shape), "chunks": [edge] * 3, "dtype": "|u1", "compressor": None, "fill_value": 0,
+        "order": "C", "filters": None})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path)

@@ -66,9 +66,11 @@ def last_states(found: DataFrame, order: str = "line_no") -> DataFrame:
 def tumbling(events: DataFrame, time: str, width: str, late: str | None = None) -> DataFrame:
     """Counts and sums of ``value`` by window and event type; ``late`` sets a watermark for streams."""
     rows = events.withWatermark(time, late) if late else events
-    return rows.groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return rows.groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"),
+        F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, time: str, gap: str, user: str = "user_id", late: str | None = None) -> DataFrame:
     rows = events.withWatermark(time, late) if late else events
-    return rows.groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return rows.groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("start"),
+        F.col("w.end").alias("end"), "n")

@@ -71,7 +71,8 @@ def test_window_rules():
 def cloud(spark):
     random = np.random.default_rng(1)
     places = np.argwhere(random.random((9, 8, 7)) < 0.5)
-    return places, spark.createDataFrame([(*map(int, p), int(v)) for p, v in zip(places, random.integers(0, 99, len(places)), strict=True)], "z int, y int, x int, u int").cache()
+    return places, spark.createDataFrame([(*map(int, p), int(v)) for p, v in zip(places, random.integers(0, 99, len(places)), strict=True)],
+        "z int, y int, x int, u int").cache()
 
 
 def test_stencils_on_ragged_places(cloud):
@@ -96,7 +97,8 @@ def test_erosion_undoes_dilation_on_a_solid(spark):
 
 def test_halo_covers_each_widened_brick(spark):
     space = grid.box_grid(spark, (0, 0, 0), (8, 8, 8))
-    counts = grid.with_halo(space, 4, 1, (0, 0, 0), (2, 2, 2)).groupBy("bz", "by", "bx").agg(F.count("*").alias("n"), F.count(F.when(F.col("core"), 1)).alias("core")).collect()
+    counts = grid.with_halo(space, 4, 1, (0, 0, 0), (2, 2, 2)).groupBy("bz", "by", "bx").agg(F.count("*").alias("n"), F.count(F.when(F.col("core"),
+        1)).alias("core")).collect()
     assert len(counts) == 8 and all(r.n == 125 and r.core == 64 for r in counts)
 
 
@@ -167,12 +169,14 @@ def test_ranking_metrics_with_ties_and_one_class(spark):
 
 def test_empty_masks(spark):
     none = F.col("id") < 0
-    row = spark.range(3).agg(aggregates.masked_mean(F.col("id"), none.cast("double")).alias("m"), aggregates.mean_where(F.col("id"), none).alias("n"), aggregates.dice(none, none).alias("d"), aggregates.dice(none, none, 1.0).alias("e")).first()
+    row = spark.range(3).agg(aggregates.masked_mean(F.col("id"), none.cast("double")).alias("m"), aggregates.mean_where(F.col("id"), none).alias("n"),
+        aggregates.dice(none, none).alias("d"), aggregates.dice(none, none, 1.0).alias("e")).first()
     assert tuple(row) == (0.0, None, None, 1.0)
 
 
 def test_robust_normalise_falls_back(spark):
-    frame = spark.createDataFrame([(g, float(v)) for g, vs in {"mad": range(100), "flat": [0] * 99 + [50], "same": [4] * 9}.items() for v in vs], "g string, v double")
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in {"mad": range(100), "flat": [0] * 99 + [50], "same": [4] * 9}.items() for v in vs],
+        "g string, v double")
     top = {r.g: r.top for r in aggregates.robust_normalise(frame, "v", ["g"]).groupBy("g").agg(F.max(F.abs("normalised")).alias("top")).collect()}
     assert 1 < top["mad"] < 2 and top["same"] == 0 and top["flat"] < 1
 
@@ -211,7 +215,8 @@ def test_pca_explains_a_plane(spark):
 
 
 def test_markers_keep_the_last_event_in_file_order(spark):
-    lines = [(0, "2030 PREP_a_bands_START"), (1, "2001 PREP_a_bands_DONE PREP_b_labels_START"), (2, "PREP_b_labels_FAILED later PREP_b_labels_DONE"), (3, "XPREP_a_bands_START PREP_a_other_DONE")]
+    lines = [(0, "2030 PREP_a_bands_START"), (1, "2001 PREP_a_bands_DONE PREP_b_labels_START"), (2, "PREP_b_labels_FAILED later PREP_b_labels_DONE"), (3,
+        "XPREP_a_bands_START PREP_a_other_DONE")]
     states = incremental.last_states(incremental.markers(spark.createDataFrame(lines, "line_no long, line string"))).collect()
     assert {(r.region, r.stage): r.event for r in states} == {("a", "bands"): "DONE", ("b", "labels"): "DONE"}
 
@@ -233,7 +238,8 @@ def test_windows_over_a_stream_equal_the_batch(spark, tmp_path, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     events.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    query = incremental.tumbling(stream, "ts", "1 day", "30 days").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    query = incremental.tumbling(stream, "ts", "1 day",
+        "30 days").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     key = lambda rows: sorted((str(r.start), r.event_type, r.n) for r in rows)
     assert key(spark.table("windows").collect()) == key(incremental.tumbling(events, "ts", "1 day").collect())

@@ -26,7 +26,8 @@ def box_of(block, low, size):
 
 
 def test_chunk_rows_round_trip_and_prune(spark, block, tmp_path):
-    rows = spark.createDataFrame([("s", "u", *map(int, p), int(v)) for p, v in np.ndenumerate(block)], "store string, channel string, z int, y int, x int, u int")
+    rows = spark.createDataFrame([("s", "u", *map(int, p), int(v)) for p, v in np.ndenumerate(block)],
+        "store string, channel string, z int, y int, x int, u int")
     packed = chunks.pack(rows, 4)
     chunks.write_chunks(packed, str(tmp_path / "chunks"))
     stored = spark.read.parquet(str(tmp_path / "chunks"))
@@ -40,9 +41,12 @@ def test_chunk_rows_round_trip_and_prune(spark, block, tmp_path):
 def test_chunk_files_of_both_versions(spark, block, tmp_path, version):
     edges = (4, 4, 4)
     if version == 2:
-        (tmp_path / ".zarray").write_text(json.dumps({"shape": block.shape, "chunks": edges, "dtype": "|u1", "compressor": None, "fill_value": 0, "order": "C"}))
+        (tmp_path / ".zarray").write_text(json.dumps({"shape": block.shape, "chunks": edges, "dtype": "|u1", "compressor": None, "fill_value": 0,
+            "order": "C"}))
     else:
-        (tmp_path / "zarr.json").write_text(json.dumps({"shape": block.shape, "data_type": "uint8", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": edges}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": [{"name": "bytes"}]}))
+        (tmp_path / "zarr.json").write_text(json.dumps({"shape": block.shape, "data_type": "uint8", "chunk_grid": {"name": "regular",
+            "configuration": {"chunk_shape": edges}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0,
+                "codecs": [{"name": "bytes"}]}))
     padded = np.zeros((12, 12, 8), dtype=np.uint8)
     padded[:10, :9, :7] = block
     for z in range(3):
