@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brickwise.operators.grid import AXES
+from brickwise.operators.grid import AXES, _all
+from brickwise.runtime import broadcast_if_small, materialize
 
 
 def masked_mean(x: Column, mask: Column) -> Column:
@@ -33,12 +34,59 @@ def iou(a: Column, b: Column, empty: float | None = None) -> Column:
     return F.when(count(a | b) > 0, count(a & b) / count(a | b)).otherwise(F.lit(empty).cast("double"))
 
 
-def distribution(x: Column | str, prefix: str = "") -> list[Column]:
-    """n, mean, population deviation and five percentiles."""
-    x = F.col(x) if isinstance(x, str) else x
-    rounded = lambda c, name: F.round(c, 6).alias(prefix + name)
-    return [F.count(x).alias(f"{prefix}n"), rounded(F.avg(x), "mean"), rounded(F.stddev_pop(x), "std"), *[rounded(F.percentile(x, F.lit(p / 100)),
-        f"p{p}") for p in (5, 25, 50, 75, 95)]]
+#: Bins of the histogram that tells where a percentile lies, and values of a group that one task ranks without it.
+BINS, ONE_TASK = 4096, 1_000_000
+
+
+def percentiles(rows: DataFrame, value: str, group: list[str], shares: dict[str, float]) -> DataFrame:
+    """Per group exact, interpolated percentiles of a numeric column: a column for each item (name, share) of ``shares``; null for a group without values.
+
+    Groups of ``ONE_TASK`` values at most (they are counted first) are ranked by a task each. Where one is larger, a histogram of equal bins between each group's ends says which bins hold the wanted ranks, and only the values of these bins are then counted and
+    ranked. So a group of any size is summed up where its rows are, and a task ranks the distinct values of a bin or two. Nulls and NaN aren't values.
+    """
+    known = rows.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    most = known.groupBy(*group).count().agg(F.max("count")).first()[0]
+    if (most or 0) <= ONE_TASK:
+        value = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+        return rows.groupBy(*group).agg(*[F.percentile(value, F.lit(s)).alias(n) for n, s in shares.items()])
+    keys = [f"_k{i}" for i in range(len(group))]
+    same = lambda: _all(F.lit(True), *[F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])
+    ends = known.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    ends = materialize(ends, "value-ends")
+    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
+    binned = known.join(broadcast_if_small(ends), same()).select(*keys, "_v", bin_of.cast("int").alias("_bin"))
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    hist = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))  # BINS rows a group
+    equal = lambda a, b: _all(F.lit(True), *[a[k].eqNullSafe(b[k]) for k in keys])
+    ranks = {f"{n}{end}": f(F.col("_n") - 1, share) for n, share in shares.items() for end, f in (("_lo", lambda n, s: F.floor(n * s)), ("_hi", lambda n, s: F.ceil(n * s)))}
+    wanted = hist.join(broadcast_if_small(ends), equal(hist, ends)).select(*[hist[k] for k in keys], "_bin", "_c", "_before", F.array(*ranks.values()).alias("_ranks"))
+    wanted = wanted.where(F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
+    wanted = materialize(wanted.select(*[F.col(k).alias(f"w{k}") for k in keys], F.col("_bin").alias("_w"), "_before"), "percentile-bins")
+    held = _all(F.col("_bin") == F.col("_w"), *[F.col(k).eqNullSafe(F.col(f"w{k}")) for k in keys])
+    counted = binned.join(broadcast_if_small(wanted), held).groupBy(*keys, "_bin", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    within = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    placed = placed.join(broadcast_if_small(ends), equal(placed, ends)).select(*[placed[k] for k in keys], "_v", "_at", "_c", "_n")
+    at = lambda rank: F.max(F.when((rank >= F.col("_at")) & (rank < F.col("_at") + F.col("_c")), F.col("_v")))
+    found = placed.groupBy(*keys).agg(F.first("_n").alias("_n"), *[at(rank).alias(n) for n, rank in ranks.items()])
+
+    def interpolated(name: str, share: float) -> Column:
+        place, low, high = (F.col("_n") - 1) * share, F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        return F.when(low == high, low).otherwise(between).alias(name)
+
+    found = found.select(*keys, *[interpolated(n, s) for n, s in shares.items()])
+    every = rows.select(*group).distinct()
+    return every.join(found, same(), "left").select(*group, *shares)
+
+
+def distributions(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """Per group n, mean, population deviation and five percentiles of a column, rounded to six digits."""
+    stats = rows.groupBy(*group).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"))
+    shares = {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95)}
+    found = percentiles(rows, value, group, shares)
+    same = _all(F.lit(True), *[stats[g].eqNullSafe(found[g]) for g in group])
+    return stats.join(found, same).select(*[stats[g] for g in group], "n", "mean", "std", *[F.round(n, 6).alias(n) for n in shares])
 
 
 def weighted_percentile(value: str, p: float, count: str) -> Column:
@@ -114,12 +162,11 @@ def robust_normalise(rows: DataFrame, value: str, group: list[str], low: float =
 
     If that is below 1e-6, over the deviation before clipping, else half the span of the percentiles, else 1.
     """
-    ends = rows.groupBy(*group).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"),
-        F.stddev_pop(value).alias("_sd"))
-    clipped = rows.join(ends, group).withColumn("_v", F.greatest("_lo", F.least("_hi", value)))
-    mid = clipped.groupBy(*group).agg(F.percentile("_v", F.lit(0.5)).alias("_mid"))
-    centred = clipped.join(mid, group).withColumn("_c", F.col("_v") - F.col("_mid"))
-    mad = centred.groupBy(*group).agg((1.4826 * F.percentile(F.abs("_c"), F.lit(0.5))).alias("_mad"))
+    # clipping keeps the order and the middle values, so that the median of the clipped is the median
+    ends = percentiles(rows, value, group, {"_lo": low, "_mid": 0.5, "_hi": high}).join(rows.groupBy(*group).agg(F.stddev_pop(value).alias("_sd")), group)
+    centred = rows.join(broadcast_if_small(ends), group).withColumn("_c", F.greatest("_lo", F.least("_hi", value)) - F.col("_mid"))
+    middle = percentiles(centred.withColumn("_off", F.abs("_c")), "_off", group, {"_mad": 0.5}).withColumn("_mad", 1.4826 * F.col("_mad"))
+    mad = broadcast_if_small(middle)
     span = (F.col("_hi") - F.col("_lo")) / 2
     spread = F.when(F.col("_mad") >= 1e-6, F.col("_mad")).when(F.col("_sd") >= 1e-6, F.col("_sd")).when(span >= 1e-6, span).otherwise(1.0)
     return centred.join(mad, group).withColumn(name, F.col("_c") / spread).select(*rows.columns, name)
@@ -134,7 +181,7 @@ def zscore(rows: DataFrame, value: str, group: list[str], sample: bool = False,
 
 def percentile_minmax(rows: DataFrame, value: str, group: list[str], low: float, high: float, name: str = "normalised") -> DataFrame:
     """Values between two percentiles of their group as 0 to 1, clipped; 0 where both are equal."""
-    ends = rows.groupBy(*group).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
+    ends = broadcast_if_small(percentiles(rows, value, group, {"_lo": low, "_hi": high}))
     span = F.col("_hi") - F.col("_lo")
     scaled = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - F.col("_lo")) / span))).otherwise(0.0)
     return rows.join(ends, group).withColumn(name, scaled).select(*rows.columns, name)

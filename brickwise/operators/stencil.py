@@ -54,6 +54,11 @@ def _spread(rows: DataFrame, value: str, radius: int, combine: Callable[[str], C
     return out
 
 
+def spread_extreme(rows: DataFrame, value: str, radius: int, largest: bool) -> DataFrame:
+    """(z, y, x, value): the extreme of ``value`` over the cube around every place that a row reaches, whether it has a row or not."""
+    return _spread(rows, value, radius, F.max if largest else F.min)
+
+
 def neighbour_extreme(rows: DataFrame, value: str, radius: int, largest: bool, name: str) -> DataFrame:
     """``rows`` with the extreme of ``value`` over the cube around each, itself included."""
     found = _spread(rows, value, radius, F.max if largest else F.min).withColumnRenamed(value, name)

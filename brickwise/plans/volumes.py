@@ -158,7 +158,7 @@ def hist_lower_percentile(spark: SparkSession, folder: str) -> DataFrame:
   round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75),
   6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95 FROM vox GROUP BY label""")
 def distribution_by_label(spark: SparkSession, folder: str) -> DataFrame:
-    return voxels(spark, folder).groupBy("label").agg(*aggregates.distribution("v"))
+    return aggregates.distributions(voxels(spark, folder), "v", ["label"])
 
 
 @register("per_slice_occupancy_bbox", f"""WITH {VOXELS_SQL} SELECT z, round(avg(CASE WHEN u > 140 THEN 1.0 ELSE 0.0 END), 6) AS occupancy, min(y)
@@ -391,8 +391,7 @@ def cross_links_pairs(spark: SparkSession, folder: str) -> DataFrame:
 SELECT p.z, p.y, p.x, max(label) AS label FROM p LEFT JOIN l ON abs(p.z-l.z) <= 1 AND abs(p.y-l.y) <= 1 AND abs(p.x-l.x) <= 1 GROUP BY 1, 2, 3""")
 def label_dilated_max(spark: SparkSession, folder: str) -> DataFrame:
     rows = coded_voxels(spark, folder)
-    spread = grid.around(rows.where("valid = 1").select(*AXES, "label"), [(0, 0, 0), *grid.cube(1)],
-        ("label",)).groupBy(*AXES).agg(F.max("label").alias("label"))
+    spread = stencil.spread_extreme(rows.where("valid = 1"), "label", 1, True)
     return rows.where("u > 230").select(*AXES).join(spread, AXES, "left")
 
 

@@ -174,6 +174,22 @@ def test_empty_masks(spark):
     assert tuple(row) == (0.0, None, None, 1.0)
 
 
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_percentiles_are_those_of_numpy(spark, monkeypatch, one_task):
+    monkeypatch.setattr(aggregates, "ONE_TASK", one_task)
+    monkeypatch.setattr(aggregates, "BINS", 16)
+    random = np.random.default_rng(7)
+    values = {"a": random.normal(size=301), "b": np.repeat([1.0, 5.0, 1e9], [200, 3, 40]), "c": np.array([2.5]), None: np.arange(7.0)}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("d", None), ("a", float("nan")), ("a", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"low": 0.01, "mid": 0.5, "high": 0.9}
+    found = {r.g: r for r in aggregates.percentiles(frame, "v", ["g"], shares).collect()}
+    assert set(found) == {*values, "d"} and found["d"].mid is None
+    for g, vs in values.items():
+        for name, share in shares.items():
+            assert abs(found[g][name] - np.quantile(vs, share)) < 1e-6
+
+
 def test_robust_normalise_falls_back(spark):
     frame = spark.createDataFrame([(g, float(v)) for g, vs in {"mad": range(100), "flat": [0] * 99 + [50], "same": [4] * 9}.items() for v in vs],
         "g string, v double")
