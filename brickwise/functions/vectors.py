@@ -77,6 +77,35 @@ def affine(matrix: list[list[float]], point: Vec) -> Vec:
     return tuple(row[0] * point[0] + row[1] * point[1] + row[2] * point[2] + row[3] for row in matrix[:3])
 
 
+def composed(*matrices: list[list[float]]) -> list[list[float]]:
+    """The product of 3 x 3 matrices, the last applied first."""
+    out = matrices[-1]
+    for m in reversed(matrices[:-1]):
+        out = [[sum(m[i][k] * out[k][j] for k in range(3)) for j in range(3)] for i in range(3)]
+    return out
+
+
+def rotation(axis: tuple[float, float, float], degrees: float) -> list[list[float]]:
+    """The rotation by an angle about an axis, by its unit quaternion."""
+    size, half = math.hypot(*axis), math.radians(degrees) / 2
+    return quaternion_rotation(math.cos(half), *(math.sin(half) * a / size for a in axis))
+
+
+def quaternion_rotation(w: float, a: float, b: float, c: float) -> list[list[float]]:
+    """The rotation of a quaternion of any length: four independent normal numbers give every rotation alike."""
+    n = w * w + a * a + b * b + c * c
+    v, cross = (a, b, c), [[0.0, -c, b], [c, 0.0, -a], [-b, a, 0.0]]
+    return [[(2 * v[i] * v[j] + 2 * w * cross[i][j] + ((w * w - a * a - b * b - c * c) if i == j else 0.0)) / n for j in range(3)] for i in range(3)]
+
+
+def signed_permutation(matrix: list[list[float]], tolerance: float = 1e-5) -> tuple[tuple[int, int, int], tuple[int, int, int]] | None:
+    """(axes, signs) of a 3 x 3 matrix that only permutes and flips axes, else None."""
+    for _, axes, signs in orientations():
+        if all(abs(matrix[i][j] - (signs[i] if j == axes[i] else 0)) <= tolerance for i in range(3) for j in range(3)):
+            return axes, signs
+    return None
+
+
 def swap_axes(matrix: list[list[float]]) -> list[list[float]]:
     """The same affine map in the reversed order of axes."""
     rows = [[*reversed(r[:3]), r[3]] for r in matrix[:3]]

@@ -47,7 +47,7 @@ _UNIT_SQL = "u AS (SELECT vec_id, label, a / sqrt(a*a + b*b + c*c) AS nz, b / sq
 _BYTES_SQL = ", ".join(f"round_even(255 * {c}, 0) / 255.0::DOUBLE AS k{i}" for i, c in enumerate(_channels_sql("nz", "ny", "nx")))
 _ANGLES_SQL = ", ".join(f"atan2((2.0::DOUBLE * k{2 * k} - 1) - sqrt(2.0::DOUBLE) * (2.0::DOUBLE * k{2 * k + 1} - 1), 2.0::DOUBLE * k{2 * k} - 1) * 0.5::DOUBLE AS t{k}" for k in range(3))
 #: The decoded line of bytes, from candidates of two planes each, in the steps of the definition.
-_DECODED_SQL = f"""{_TRIPLES_SQL}, {_UNIT_SQL}, coded6 AS (SELECT *, {_BYTES_SQL} FROM u), turned AS (SELECT *, {_ANGLES_SQL} FROM coded6),
+_DECODE_STEPS_SQL = f"""coded6 AS (SELECT *, {_BYTES_SQL} FROM u), turned AS (SELECT *, {_ANGLES_SQL} FROM coded6),
 cand AS (SELECT *, cos(t0) * cos(t1) AS x0, sin(t0) * cos(t1) AS y0, cos(t0) * sin(t1) AS z0, cos(t0) * cos(t2) AS x1, sin(t0) * cos(t2) AS y1,
   sin(t0) * sin(t2) AS z1,
   cos(t1) * sin(t2) AS x2, sin(t1) * cos(t2) AS y2, sin(t1) * sin(t2) AS z2 FROM turned),
@@ -65,6 +65,8 @@ summed AS (SELECT *, x0 + x1 + x2 AS sx, y0 + y1 + y2 AS sy, z0 + z1 + z2 AS sz,
 decoded AS (SELECT *, sx / (sqrt(sx*sx + sy*sy + sz*sz) + 1e-12::DOUBLE) AS dx, sy / (sqrt(sx*sx + sy*sy + sz*sz) + 1e-12::DOUBLE) AS dy,
   sz / (sqrt(sx*sx + sy*sy + sz*sz) + 1e-12::DOUBLE) AS dz, sqrt(sx*sx + sy*sy + sz*sz) / whole AS agreement FROM summed)"""
 
+_DECODED_SQL = f"{_TRIPLES_SQL}, {_UNIT_SQL}, {_DECODE_STEPS_SQL}"
+
 
 def _unit_rows(spark: SparkSession, folder: str) -> DataFrame:
     n = vectors.unit((F.col("a"), F.col("b"), F.col("c")))
@@ -245,3 +247,60 @@ def medial_crossings(spark: SparkSession, folder: str) -> DataFrame:
     si, so = F.col("u") + 30 - 128, F.col("u") - 40 - 128
     inside = coded_voxels(spark, folder).where(codec.in_body(si, so)).select(*AXES, "label", (si + so).alias("g"))
     return stencil.zero_crossing(inside, F.col("g") <= 0, F.col("g") > 0).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Outward normals decoded from bytes, cosines of a phase with their slope along the normal, and contrasts in cubes of five.
+_COARSE_SQL = f"""{_NORMALS_SQL}, u AS (SELECT z, y, x, u, valid, ry, rx, nz, ny, nx FROM n), {_DECODE_STEPS_SQL},
+o AS (SELECT * REPLACE (dz * side AS dz, dy * side AS dy, dx * side AS dx) FROM (SELECT *, CASE WHEN dy * ry + dx * rx < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS side FROM decoded)),
+f AS (SELECT z, y, x, valid, dz, dy, dx, agreement, abs(dy * ry + dx * rx) AS outward, cos(u / 40.0::DOUBLE) AS v FROM o),
+fg AS (SELECT *, {_GRAD_SQL} FROM f {_LINES_SQL}), s0 AS (SELECT z, y, x, v, valid, dz, dy, dx, agreement, outward, gz * dz + gy * dy + gx * dx AS d FROM fg),
+p0 AS (SELECT z, y, x, CASE WHEN abs(d) < 0.05 THEN 0 ELSE CAST(sign(d) AS INT) END AS s FROM s0),
+p1 AS (SELECT a.z, a.y, a.x, CASE WHEN a.s <> 0 THEN a.s ELSE CAST(sign(sum(b.s)) AS INT) END AS s FROM p0 a JOIN p0 b
+  ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY a.z, a.y, a.x, a.s),
+c AS (SELECT a.z, a.y, a.x, max(b.v) - min(b.v) AS contrast FROM s0 a JOIN s0 b
+  ON b.z BETWEEN a.z - 2 AND a.z + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY 1, 2, 3)"""
+
+
+def _signed_byte_sql(value: str) -> str:
+    return f"CAST(least(255.0::DOUBLE, greatest(0.0::DOUBLE, round_even(127.5::DOUBLE + 127.5::DOUBLE * ({value}), 0))) AS INT)"
+
+
+@register("coarse_field", f"""WITH {_COARSE_SQL}
+SELECT CASE WHEN valid = 0 THEN 0 WHEN agreement < 0.5 OR outward < 0.3 THEN 2 ELSE 1 END AS state, count(*) AS n,
+  CAST(sum({_signed_byte_sql("CASE WHEN s < 0 THEN 1 ELSE -1 END * sqrt(greatest(0.0::DOUBLE, 1 - v * v))")}) AS BIGINT) AS sine, CAST(sum({_signed_byte_sql("v")}) AS BIGINT) AS cosine,
+  CAST(sum({_signed_byte_sql("dz")}) AS BIGINT) AS nz, CAST(sum({_signed_byte_sql("dy")}) AS BIGINT) AS ny,
+  CAST(sum(CASE WHEN valid = 0 THEN 0 ELSE CAST(round_even(contrast * 127.5::DOUBLE, 0) AS INT) END) AS BIGINT) AS confidence
+FROM s0 JOIN p1 USING (z, y, x) JOIN c USING (z, y, x) GROUP BY 1""")
+def coarse_field(spark: SparkSession, folder: str) -> DataFrame:
+    """The channels of a coarse field from line channels and cosines: outward normals, sines with propagated signs, confidence by contrast and validity."""
+    rows = _normals(spark, folder)
+    bytes_ = {c: F.rint(255 * F.col(c)) / 255.0 for c in fields.LINE_CHANNELS}
+    rows = materialize(rows.select(*AXES, "u", "valid", "r_z", "r_y", "r_x", *fields.encode_line_field(_named(rows, "n"))).withColumns(bytes_), "line-channels")
+    rows = materialize(fields.decode_line_field(rows, "d").select(*AXES, "u", "valid", "r_z", "r_y", "r_x", "d_z", "d_y", "d_x", "agreement"), "normals")
+    r = _named(rows, "r")
+    rows = rows.withColumns({f"o_{a}": c for a, c in zip(AXES, fields.outward(_named(rows, "d"), r), strict=True)})
+    rows = fields.gradient(rows.withColumn("v", F.cos(F.col("u") / 40.0)), "v")
+    n = _named(rows, "o")
+    rows = rows.withColumns({"slope": vectors.dot(_named(rows, "g"), n), "outward": F.abs(vectors.dot(n, r))})
+    rows = materialize(rows.select(*AXES, "v", "valid", "agreement", "outward", "slope", "o_z", "o_y"), "slopes")
+    signs = fields.propagated_sign(rows, "slope", 0.05, 1)
+    high = stencil.neighbour_extreme(signs, "v", 2, True, "high")
+    both = stencil.neighbour_extreme(high, "v", 2, False, "low")
+    state = F.when(F.col("valid") == 0, 0).when((F.col("agreement") < 0.5) | (F.col("outward") < 0.3), 2).otherwise(1)
+    sine = -F.col("sign") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("v") * F.col("v")))
+    confidence = F.when(F.col("valid") == 0, 0).otherwise(F.rint((F.col("high") - F.col("low")) * 127.5).cast("int"))
+    byte = lambda c, name: F.sum(codec.encode_signed(c)).alias(name)
+    return both.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), byte(sine, "sine"), byte(F.col("v"), "cosine"), byte(F.col("o_z"), "nz"),
+        byte(F.col("o_y"), "ny"), F.sum(confidence).alias("confidence"))
+
+
+#: A turn by forty degrees about a slanting axis after a flip of y and a stretch.
+_TURN = vectors.composed(vectors.rotation((1.0, 2.0, -1.0), 40.0), [[1.1, 0.0, 0.0], [0.0, -1.1, 0.0], [0.0, 0.0, 1.1]])
+
+
+@register("turned_vectors", f"""WITH {_TRIPLES_SQL} SELECT label, {", ".join(f"round(avg({r[0]!r}::DOUBLE * a + {r[1]!r}::DOUBLE * b + {r[2]!r}::DOUBLE * c), 6) AS t{n}" for n, r in zip("zyx", _TURN, strict=True))},
+  round(avg(1.21::DOUBLE * (a*a + b*b + c*c)), 5) AS square FROM tri GROUP BY label""")
+def turned_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors under a rotation, a flip and a stretch composed into one matrix, and their squared lengths."""
+    t = vectors.affine([[*r, 0.0] for r in _TURN], (F.col("a"), F.col("b"), F.col("c")))
+    return triples(spark, folder).groupBy("label").agg(*[F.round(F.avg(c), 6).alias(f"t{n}") for n, c in zip("zyx", t, strict=True)], F.round(F.avg(vectors.dot(t, t)), 5).alias("square"))

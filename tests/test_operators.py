@@ -53,6 +53,16 @@ def test_max_eigenvalue(spark):
     assert abs(one(spark, vectors.max_eigenvalue_sym3(*cells)) - np.linalg.eigvalsh(m)[-1]) < 1e-9
 
 
+def test_rotations_and_signed_permutations():
+    turn = np.array(vectors.rotation((1.0, 2.0, -1.0), 40.0))
+    assert np.allclose(turn @ turn.T, np.eye(3)) and np.isclose(np.linalg.det(turn), 1) and np.allclose(turn @ [1, 2, -1], [1, 2, -1])
+    assert np.isclose((np.trace(turn) - 1) / 2, np.cos(np.radians(40)))
+    assert np.allclose(vectors.rotation((0.0, 0.0, 1.0), 90.0), [[0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    assert vectors.signed_permutation(vectors.rotation((0.0, 0.0, 2.0), 90.0)) == ((1, 0, 2), (-1, 1, 1)) and vectors.signed_permutation(turn.tolist()) is None
+    other = np.array(vectors.quaternion_rotation(0.3, -1.0, 2.0, 0.5))
+    assert np.allclose(vectors.composed(turn.tolist(), other.tolist()), turn @ other)
+
+
 def test_window_rules():
     assert grid.even_window_starts(10, 4, 4) == [0, 3, 6]
     assert grid.even_window_starts(4, 4, 2) == [0]
