@@ -83,3 +83,30 @@ def score(rows: DataFrame, id_col: str, vector: str, model: Callable[[np.ndarray
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(model(x), dtype=np.float64))], [id_col, "score"])
 
     return rows.select(F.col(id_col).cast("long"), vector).mapInArrow(of, f"{id_col} long, score double")
+
+
+def radial_power(rows: DataFrame, group: str, vector: str, edge: int) -> DataFrame:
+    """(group, radius, power, n): mean power of the frequencies of blocks of edge^3 values less their mean, by their rounded distance from zero.
+
+    Each batch of blocks is transformed at once and gives a sum per group and radius.
+    """
+    k = np.minimum(np.arange(edge), edge - np.arange(edge))
+    radius = np.rint(np.sqrt(sum(a.astype(float) ** 2 for a in np.meshgrid(k, k, k, indexing="ij")))).astype(int).ravel()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1))
+            power = np.abs(np.fft.fftn((x - x.mean(axis=1, keepdims=True)).reshape(-1, edge, edge, edge), axes=(1, 2, 3))).reshape(len(x), -1) ** 2
+            by_radius = np.stack([power[:, radius == r].sum(axis=1) for r in range(radius.max() + 1)], axis=1)
+            names, place = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            total = np.zeros((len(names), by_radius.shape[1]))
+            np.add.at(total, place, by_radius)
+            many = np.bincount(place)[:, None] * np.bincount(radius)[None, :]
+            at = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at[0].ravel()]), pa.array(at[1].ravel().astype(np.int32)), pa.array(total.ravel()), pa.array(many.ravel())], [group, "radius", "s", "n"])
+
+    known = rows.where(F.col(vector).isNotNull()).select(F.col(group).cast("long"), vector)
+    parts = known.mapInArrow(sums, f"{group} long, radius int, s double, n long")
+    return parts.groupBy(group, "radius").agg(F.round(F.sum("s") / F.sum("n"), 4).alias("power"), F.sum("n").alias("n"))
