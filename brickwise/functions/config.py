@@ -81,3 +81,31 @@ def byte_budget(items: dict[str, int], limit: int) -> str:
     if total > limit:
         raise MemoryError(f"{total:,d} bytes exceed {limit:,d}\n{table}")
     return table
+
+
+#: Version of affine descriptions that is read; fixed value.
+TRANSFORM_VERSION = "1.0.0"
+
+
+@dataclass(frozen=True)
+class Transform:
+    """An affine map between two volumes in x, y, z order, 4 x 4, with the name of the fixed one and the landmarks that it was fitted on."""
+
+    matrix: list[list[float]]
+    fixed_volume: str
+    fixed_landmarks: list[list[float]] = field(default_factory=list)
+    moving_landmarks: list[list[float]] = field(default_factory=list)
+
+
+def parse_transform(text: str, version: str = TRANSFORM_VERSION) -> Transform:
+    """An affine map from its JSON description; another version, a missing key or a matrix that isn't 3 x 4 is an error."""
+    raw = json.loads(text)
+    if raw.get("schema_version") != version:
+        raise ValueError(f"version {raw.get('schema_version')!r} isn't {version!r}")
+    if missing := {"fixed_volume", "transformation_matrix"} - set(raw):
+        raise ValueError(f"missing keys {sorted(missing)}")
+    rows = [[float(v) for v in r] for r in raw["transformation_matrix"]]
+    if [len(r) for r in rows] != [4, 4, 4]:
+        raise ValueError("the matrix must be 3 x 4")
+    marks = {n: [[float(v) for v in p] for p in raw.get(n, [])] for n in ("fixed_landmarks", "moving_landmarks")}
+    return Transform([*rows, [0.0, 0.0, 0.0, 1.0]], str(raw["fixed_volume"]), **marks)

@@ -176,3 +176,20 @@ def _write_metadata(spark: SparkSession, path: str, metadata: dict) -> None:
     out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
     out.write(bytearray(json.dumps(metadata).encode()))
     out.close()
+
+
+def read_raw(spark: SparkSession, path: str, size: tuple[int, int, int]) -> DataFrame:
+    """(file, z, y, x, u) of raw files of bytes in z, y, x order under a path, one volume of ``size`` each; a file of another size fails the query."""
+    voxels = math.prod(size)
+    files = spark.read.format("binaryFile").load(path)
+    sure = F.when(F.col("length") == voxels, F.col("content")).otherwise(
+        F.raise_error(F.concat(F.col("path"), F.lit(": "), F.col("length").cast("string"), F.lit(f" bytes, not {voxels}"))).cast("binary"))
+    place = np.indices(size).reshape(3, -1).astype(np.int32)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                values = np.frombuffer(content, dtype=np.uint8).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * voxels), *map(pa.array, place), pa.array(values)], ["file", *AXES, "u"])
+
+    return files.select("path", sure.alias("content")).mapInArrow(spread, "file string, z int, y int, x int, u int")

@@ -97,3 +97,23 @@ def test_fluent_frame(spark):
     assert frame.zero_crossing(F.col("u") <= 3, F.col("u") > 3).rows.where("x <> 3").count() == 0
     assert frame.shifted((1, 0, 0)).over(frame, ["u"]).rows.count() == 9 * 64
     assert {r.d2 for r in frame.distance(F.col("u") == 0, 2).rows.where("x < 4").collect()} == {0, 1, 4, None}
+
+
+def test_raw_volumes_are_checked(spark, tmp_path):
+    values = np.arange(24, dtype=np.uint8)
+    (tmp_path / "correction.u8").write_bytes(values.tobytes())
+    found = {(r.z, r.y, r.x): r.u for r in chunks.read_raw(spark, str(tmp_path), (2, 3, 4)).collect()}
+    assert found == {(z, y, x): int(values.reshape(2, 3, 4)[z, y, x]) for z in range(2) for y in range(3) for x in range(4)}
+    with pytest.raises(Exception, match="24 bytes, not 30"):
+        chunks.read_raw(spark, str(tmp_path), (2, 3, 5)).collect()
+
+
+def test_transforms_are_strict():
+    given = {"schema_version": config.TRANSFORM_VERSION, "fixed_volume": "v", "transformation_matrix": [[1, 0, 0, 2], [0, 1, 0, 3], [0, 0, 1, 4]], "fixed_landmarks": [[1, 2, 3]]}
+    read = config.parse_transform(json.dumps(given))
+    assert read.matrix[3] == [0, 0, 0, 1] and read.fixed_landmarks == [[1, 2, 3]] and read.moving_landmarks == []
+    for bad in ({"schema_version": "0"}, {"transformation_matrix": [[1, 0, 0]] * 3}):
+        with pytest.raises(ValueError):
+            config.parse_transform(json.dumps(given | bad))
+    with pytest.raises(ValueError, match="fixed_volume"):
+        config.parse_transform(json.dumps({k: v for k, v in given.items() if k != "fixed_volume"}))
