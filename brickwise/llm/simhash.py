@@ -148,10 +148,13 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
     probe = _keys(fingerprints, probe=True)
     crowded = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW), "crowded-keys")
     known = broadcast_if_small(crowded.select("key"))
-    few = index.join(known, "key", "left_anti").withColumnRenamed("fp", "a").join(probe.withColumnRenamed("fp", "b"), "key")
-    few = few.where((F.col("a") < F.col("b")) & (F.bit_count(F.expr("a ^ b")) <= MAX_DISTANCE)).select("a", "b")
+    # one pass over the probes: a crowded key stands in the index once, without a fingerprint, and tells which probes ask for it
+    asking = index.join(known, "key", "left_anti").withColumnRenamed("fp", "a").unionByName(crowded.select("key", F.lit(None).cast("long").alias("a")))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.expr("a ^ b")) <= MAX_DISTANCE)
+    met = materialize(asking.join(probe.withColumnRenamed("fp", "b"), "key").where(F.col("a").isNull() | near), "met-keys")
+    few = met.where("a is not null").select("a", "b")
+    asked = met.where("a is null").select("key", F.col("b").alias("fp"))
     chunks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
-    asked = probe.join(known, "key", "left_semi")
     probes = asked.groupBy("key").agg(F.count(F.lit(1)).alias("probes"))
     split = materialize(crowded.join(probes, "key").select("key", chunks(F.col("n")).alias("rows_n"), chunks(F.col("probes")).alias("columns_n")), "key-blocks")
     split = broadcast_if_small(split)
