@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickwise.functions.arrays import let
+from brickwise.runtime import materialize
 
 #: Terms that are in a share of the documents within these bounds; at most terms-per-document / LEAST_SHARE terms have
 #: the lower one, whatever the number of documents, which bounds the lexicon.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.1
 #: Of every so many terms one is kept, for each subset.
 RATES = (1, 8, *[32] * 4, *[64] * 8, *[128] * 8, *[256] * 8, *[512] * 8, *[1024] * 10)
-#: Subsets of a lower rate than one term in so many are looked for among the terms that are in one of them.
-RARE = 128
 #: A lexicon of more terms than this is joined by a shuffle instead of a broadcast.
 BROADCAST_TERMS = 1_000_000
 
@@ -49,14 +48,16 @@ def lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def subset_hashes(found: Column, fallback: Column) -> Column:
     """Array with one hash for each subset of a sorted array of (term, mask), 0 where it keeps none; only the fallback's without terms."""
-    digest = lambda a: F.when(F.size(a) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(a).bitwiseAND(F.lit(0xFFFFFFFF)))
-    has = lambda x, bits: x["mask"].bitwiseAND(F.lit(bits)) != 0
-    term = lambda x: x["term"]
-    kept = lambda s, k: s["all"] if RATES[k] == 1 else F.filter(s["some"] if RATES[k] < RARE else s["few"], lambda x: has(x, 1 << k))
-    of_rates = lambda least: F.filter(found, lambda x: has(x, sum(1 << k for k, r in enumerate(RATES) if r >= least)))
-    sets = F.struct(found.alias("all"), of_rates(2).alias("some"), of_rates(RARE).alias("few"))
+    digest = lambda kept: let(kept, lambda a: F.when(F.size(a) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(a).bitwiseAND(F.lit(0xFFFFFFFF))))
+    among = lambda terms, subsets: F.filter(terms, lambda x: x["mask"].bitwiseAND(F.lit(sum(1 << k for k in subsets))) != 0)
+    of_rate = {r: [k for k, rate in enumerate(RATES) if rate == r] for r in RATES if r > 1}
+    # subsets of one rate are looked for among the terms that are in any of them, and these among those that are in any subset
+    some = F.struct(found.alias("all"), among(found, [k for ks in of_rate.values() for k in ks]).alias("some"))
+    by_rate = lambda s: F.struct(s["all"].alias("r1"), *[among(s["some"], ks).alias(f"r{r}") for r, ks in of_rate.items()])
+    kept = lambda s, k: s["r1"] if RATES[k] == 1 else among(s[f"r{RATES[k]}"], [k]) if len(of_rate[RATES[k]]) > 1 else s[f"r{RATES[k]}"]
+    terms_of = lambda s, k: F.transform(kept(s, k), lambda x: x["term"])
     none = F.array(fallback.bitwiseAND(F.lit(0xFFFFFFFF)), *[F.lit(0).cast("long")] * (len(RATES) - 1))
-    whole = let(sets, lambda s: F.array(*[digest(F.transform(kept(s, k), term)) for k in range(len(RATES))]))
+    whole = let(some, lambda s: let(by_rate(s), lambda q: F.array(*[digest(terms_of(q, k)) for k in range(len(RATES))])))
     return F.when(F.size(found) == 0, none).otherwise(whole)
 
 
@@ -104,7 +105,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    words = lexicon(docs)
+    words = materialize(lexicon(docs), "lexicon")
     size = words.count()
     words = F.broadcast(words) if size <= BROADCAST_TERMS else words
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
