@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickwise.llm import bpe, chat, ebm, embed_dedup, imatch, mixing, pii, sharding, simhash, url_rules
+from brickwise.llm import bpe, chat, ebm, embed_dedup, imatch, merkle, mixing, negatives, pii, sharding, simhash, topk, url_rules
 from brickwise.runtime import scratch_root
 from brickwise.sources.tables import table
 
@@ -137,11 +137,110 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among all embeddings."""
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11_SQL = f"""
+WITH taken AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_USABLE}
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM taken a JOIN taken b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), fitting AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM fitting WHERE rank <= 10
+"""
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what proofs fold to after some texts were tampered with."""
+    return merkle.document_manifest(table(spark, folder, "documents"))
+
+
+#: Levels that the SQL below spells out: sources of up to 16^5 documents, up to 16^3 sources.
+SQL_LEVELS, SQL_TOP_LEVELS = 5, 3
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join([field('doc_id'), field('source'), field('lang'), field('n_chars'), field(text)])})"
+    bits = "list_reduce(list_prepend(xor(c, b), [1, 2, 3, 4, 5, 6, 7, 8]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, {bits.replace('xor(c, b)', '(xor(c, b) & 255)')})), 4294967295)"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""rows AS (
+  SELECT doc_id, source, {leaf('text')} AS leaf, {leaf('changed')} AS now
+  FROM (SELECT *, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {lower} ELSE text END AS changed FROM documents)
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows
+), s0 AS (SELECT tree, place, leaf AS digest FROM leaves)"""]
+
+    def climb(name: str, levels: int) -> None:
+        """A single node stays as it is; else every run of 16 becomes a node."""
+        for h in range(levels):
+            parts.append(f"""{name}{h + 1} AS (
+  SELECT tree, place // 16 AS place, CASE WHEN any_value(nodes) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS nodes FROM {name}{h}) GROUP BY tree, place // 16
+)""")
+
+    climb("s", SQL_LEVELS)
+    parts.append(f"t0 AS (SELECT 0 AS tree, tree AS place, digest FROM s{SQL_LEVELS})")
+    climb("t", SQL_TOP_LEVELS)
+    siblings, fold = [], "now"
+    for name, levels, tree, place in (("s", SQL_LEVELS, "tree", "place"), ("t", SQL_TOP_LEVELS, "0", "tree")):
+        for h in range(levels):
+            at = f"({place} // {16**h})"
+            run = f"coalesce((SELECT list({{'p': n.place, 'd': n.digest}} ORDER BY n.place) FROM {name}{h} n WHERE n.tree = f.{tree} AND n.place // 16 = f.{place} // {16 ** (h + 1)}), [])"
+            siblings.append((run.replace("f.0", "0"), at, f"(SELECT count(*) FROM {name}{h} n WHERE n.tree = f.{tree})".replace("f.0", "0")))
+    columns = ", ".join(f"{run} AS run{i}, {count} AS nodes{i}" for i, (run, _, count) in enumerate(siblings))
+    parts.append(f"runs AS (SELECT f.*, {columns} FROM leaves f)")
+    others = " || ".join(f"CASE WHEN nodes{i} = 1 THEN '' ELSE coalesce(array_to_string(list_transform(list_filter(run{i}, lambda x: x.p <> {at}), lambda x: x.d), ''), '') END"
+        for i, (_, at, _) in enumerate(siblings))
+    steps = [f"f0 AS (SELECT *, now AS folded0, sha256({others}) AS proof_sha256 FROM runs)"]
+    for i, (_, at, _) in enumerate(siblings):
+        digest = f"CASE WHEN x.p = {at} THEN folded{i} ELSE x.d END"
+        steps.append(f"f{i + 1} AS (SELECT *, CASE WHEN nodes{i} = 1 THEN folded{i} ELSE sha256(array_to_string(list_transform(run{i}, lambda x: {digest}), '')) END AS folded{i + 1} FROM f{i})")
+    return f"""WITH {', '.join(parts + steps)}
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, proof_sha256, folded{len(siblings)} AS folded_root, folded{len(siblings)} = r.digest AS verified
+FROM f{len(siblings)} f JOIN s{SQL_LEVELS} s ON s.tree = f.tree CROSS JOIN t{SQL_TOP_LEVELS} r"""
+
+
+def op13_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten highest inner products of every hundredth embedding with all others."""
+    return topk.nearest_rows(table(spark, folder, "embeddings"))
+
+
+OP13_SQL = f"""
+WITH taken AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_USABLE}
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM taken q JOIN taken c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_byte_bpe, op4_pii, op5_imatch, op6_chat, op7_url_rules, op8_sharding, op9_quality,
-        op10_simhash)}
+        op10_simhash, op11_hard_negatives, op12_merkle, op13_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query."""
-    return {"op1_mixing": OP1_SQL, "op6_chat": OP6_SQL, "op7_url_rules": OP7_SQL, "op8_sharding": OP8_SQL}
+    return {"op1_mixing": OP1_SQL, "op6_chat": OP6_SQL, "op7_url_rules": OP7_SQL, "op8_sharding": OP8_SQL, "op11_hard_negatives": OP11_SQL,
+        "op12_merkle": _merkle_sql(), "op13_exact_topk": OP13_SQL}
