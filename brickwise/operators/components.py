@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickwise.operators.grid import AXES, around, cube
 from brickwise.runtime import discard, materialize
 
 
@@ -53,3 +54,20 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     low = pairs.groupBy("u").agg(F.min("v").alias("m"))
     moved = pairs.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def labelled(mask: DataFrame) -> DataFrame:
+    """Places of ``mask`` with ``component``: the smallest number, z 2^40 + y 2^20 + x, of a place that 26-neighbours connect each with."""
+    number = F.col("z").cast("long") * (1 << 40) + F.col("y").cast("long") * (1 << 20) + F.col("x")
+    keyed = mask.select(*AXES, number.alias("id"))
+    ahead = [o for o in cube(1) if o > (0, 0, 0)]
+    edges = around(keyed, ahead, ("id",)).withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), list(AXES)).select("a", "b")
+    roots = connected_components(edges).withColumnRenamed("node", "id")
+    return keyed.join(roots, "id", "left").select(*AXES, F.coalesce("root", "id").alias("component"))
+
+
+def without_small(mask: DataFrame, least: int) -> DataFrame:
+    """:func:`labelled` places of components that have ``least`` places or more."""
+    rows = materialize(labelled(mask), "labelled")
+    large = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return rows.join(large.drop("_n"), "component", "left_semi").select(*AXES, "component")

@@ -29,7 +29,10 @@ def lowest_parabolas(place: np.ndarray, height: np.ndarray) -> tuple[np.ndarray,
 
 
 def _along(rows: DataFrame, axis: str) -> DataFrame:
-    """``d2`` of each row from the best row of its line along an axis; a line without any stays null. A line is held by one task."""
+    """``d2`` of each row from the best row of its line along an axis, and that row's ``_of``, if there is such a column; a line without any stays null.
+
+    Of equally near rows the one at the lower place is the best. A line is held by one task.
+    """
 
     def best(line: pa.Table) -> pa.Table:
         place = line.column(axis).to_numpy().astype(np.float64)
@@ -41,28 +44,45 @@ def _along(rows: DataFrame, axis: str) -> DataFrame:
         tops, cuts = lowest_parabolas(place[known], height[known])
         chosen = known[tops[np.searchsorted(cuts, place)]]
         found = (height[chosen] + (place - place[chosen]) ** 2).astype(np.int64)
+        if "_of" in line.column_names:
+            line = line.set_column(line.schema.get_field_index("_of"), "_of", line.column("_of").take(pa.array(chosen)))
         return line.set_column(line.schema.get_field_index("d2"), "d2", pa.array(found))
 
     rest = [a for a in AXES if a != axis]
     return rows.groupBy(*rest).applyInArrow(best, rows.schema)
 
 
-def squared_distance(rows: DataFrame, targets: DataFrame, name: str = "d2") -> DataFrame:
-    """``rows`` with the squared distance to the nearest of ``targets``, however far; null without any.
-
-    All places of the box around both are way stations, so that gaps and ragged borders make no difference. Exact, one axis after the other: along a line the distance is the lower envelope of parabolas, linear in the line's length. Each pass is one
-    shuffle by lines, whatever the number of targets.
-    """
-    marked = targets.select(*AXES, F.lit(0).cast("long").alias("d2")).distinct()
-    ends = rows.select(*AXES).union(targets.select(*AXES)).agg(*[f(a).alias(n + a) for a in AXES for f, n in ((F.min, "lo_"), (F.max, "hi_"))]).first()
+def _enveloped(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """All places of the box around both, with ``d2``, and ``_of`` if ``marked`` has it, of the nearest marked place; null if ``rows`` and ``marked`` are empty."""
+    ends = rows.select(*AXES).union(marked.select(*AXES)).agg(*[f(a).alias(n + a) for a in AXES for f, n in ((F.min, "lo_"), (F.max, "hi_"))]).first()
     if ends["lo_z"] is None:
-        return rows.withColumn(name, F.lit(None).cast("long"))
+        return marked
     low = tuple(ends[f"lo_{a}"] for a in AXES)
     stations = box_grid(rows.sparkSession, low, tuple(ends[f"hi_{a}"] - lo + 1 for a, lo in zip(AXES, low, strict=True)))
     out = stations.join(marked, list(AXES), "left")
-    for axis in AXES:
+    for axis in reversed(AXES):
         out = _along(out, axis)
-    return rows.join(out.withColumnRenamed("d2", name), list(AXES))
+    return out
+
+
+def squared_distance(rows: DataFrame, targets: DataFrame, name: str = "d2") -> DataFrame:
+    """``rows`` with the squared distance to the nearest of ``targets``, however far; null without any.
+
+    All places of the box around both are way stations, so that gaps and ragged borders make no difference. Exact, one axis after the other: along a line
+    the distance is the lower envelope of parabolas, linear in the line's length. Each pass is one shuffle by lines, whatever the number of targets.
+    """
+    marked = targets.select(*AXES, F.lit(0).cast("long").alias("d2")).distinct()
+    return rows.join(_enveloped(rows, marked).withColumnRenamed("d2", name), list(AXES))
+
+
+def nearest_of_all(rows: DataFrame, targets: DataFrame, values: list[str], name: str = "d2", prefix: str = "near_") -> DataFrame:
+    """``rows`` with the squared distance to the nearest of ``targets`` and that one's ``values``, however far; nulls without any.
+
+    Of equally near targets the one of the lowest z, then y, then x; targets at one place must be one. Cost as of :func:`squared_distance`.
+    """
+    marked = targets.select(*AXES, F.lit(0).cast("long").alias("d2"), F.struct(*values).alias("_of"))
+    found = _enveloped(rows, marked).select(*AXES, F.col("d2").alias(name), *[F.col(f"_of.{v}").alias(prefix + v) for v in values])
+    return rows.join(found, list(AXES))
 
 
 def close_ball(rows: DataFrame, mask: DataFrame, radius: float) -> DataFrame:
