@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from brickwise.operators import stencil
 from brickwise.operators.grid import AXES, box_grid
 
+#: Lines that are held together, on each side.
+LINES = 8
+
 
 def lowest_parabolas(place: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the parabolas of height plus squared distance are lowest somewhere, in order of their ascending places, and where each hands over to the next."""
@@ -31,25 +34,28 @@ def lowest_parabolas(place: np.ndarray, height: np.ndarray) -> tuple[np.ndarray,
 def _along(rows: DataFrame, axis: str) -> DataFrame:
     """``d2`` of each row from the best row of its line along an axis, and that row's ``_of``, if there is such a column; a line without any stays null.
 
-    Of equally near rows the one at the lower place is the best. A line is held by one task.
+    Of equally near rows the one at the lower place is the best. LINES x LINES lines side by side are held by one task.
     """
-
-    def best(line: pa.Table) -> pa.Table:
-        place = line.column(axis).to_numpy().astype(np.float64)
-        height = np.asarray(line.column("d2").to_pandas(), dtype=np.float64)
-        known = np.nonzero(~np.isnan(height))[0]
-        if not len(known):
-            return line
-        known = known[np.argsort(place[known])]
-        tops, cuts = lowest_parabolas(place[known], height[known])
-        chosen = known[tops[np.searchsorted(cuts, place)]]
-        found = (height[chosen] + (place - place[chosen]) ** 2).astype(np.int64)
-        if "_of" in line.column_names:
-            line = line.set_column(line.schema.get_field_index("_of"), "_of", line.column("_of").take(pa.array(chosen)))
-        return line.set_column(line.schema.get_field_index("d2"), "d2", pa.array(found))
-
     rest = [a for a in AXES if a != axis]
-    return rows.groupBy(*rest).applyInArrow(best, rows.schema)
+
+    def best(block: pa.Table) -> pa.Table:
+        place, *across = (block.column(a).to_numpy() for a in (axis, *rest))
+        height = np.asarray(block.column("d2").to_pandas(), dtype=np.float64)
+        order = np.lexsort((place, *across))
+        ends = np.nonzero(np.any([np.diff(c[order]) != 0 for c in across], axis=0))[0] + 1
+        found, chosen = np.full(len(order), np.nan), np.full(len(order), -1)
+        for line in np.split(order, ends):
+            known = line[~np.isnan(height[line])]
+            if len(known):
+                tops, cuts = lowest_parabolas(place[known].astype(np.float64), height[known])
+                chosen[line] = known[tops[np.searchsorted(cuts, place[line])]]
+        hit = chosen >= 0
+        found[hit] = height[chosen[hit]] + (place[hit] - place[chosen[hit]]).astype(np.float64) ** 2
+        if "_of" in block.column_names:
+            block = block.set_column(block.schema.get_field_index("_of"), "_of", block.column("_of").take(pa.array(chosen, mask=~hit)))
+        return block.set_column(block.schema.get_field_index("d2"), "d2", pa.array(np.where(hit, found, 0).astype(np.int64), mask=~hit))
+
+    return rows.groupBy(*[F.floor(F.col(a) / LINES).alias(f"_{a}") for a in rest]).applyInArrow(best, rows.schema)
 
 
 def _enveloped(rows: DataFrame, marked: DataFrame) -> DataFrame:

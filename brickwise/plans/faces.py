@@ -16,9 +16,9 @@ AXES = list(grid.AXES)
 #: The middle of a layer, from which normals point away.
 CENTRE = 15.5
 #: Rules at the size of the test tables' bricks.
-RULES = faces.FaceRules(body_above=156.0, body_sigma=1.0, close_reach=2, least_component=3, thickness=(2.0, 3.5), side_reach=2, contact_reach=1, clip=4.0,
+RULES = faces.FaceRules(body_above=146.0, body_sigma=1.0, close_reach=2, least_component=3, thickness=(2.0, 3.5), side_reach=2, contact_reach=1, clip=4.0,
     doubtful=(150, 170), sure_near=1.0)
-STEEP = 9.0
+STEEP = 4.0
 
 
 def radial() -> vectors.Vec:
