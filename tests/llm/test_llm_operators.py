@@ -598,6 +598,45 @@ def test_a_failed_commit_is_no_conflict_and_leaves_no_files(spark, mixed, tmp_pa
     assert not list((tmp_path / "store").rglob("*.parquet"))
 
 
+def test_arrivals_of_any_size_end_in_files_near_the_target(spark, tmp_path):
+    store, target = sharding.ShardStore(spark, f"file://{tmp_path}/store"), 200_000
+    for k in range(4):
+        rows = spark.range(5_000, numPartitions=24).select((F.col("id") + 5_000 * k).alias("id"), F.lit(k).alias("arrival"), F.sha2(F.col("id").cast("string"),
+            512).alias("text"))
+        store.append(rows.repartition(24), "arrival")
+    sizes = lambda: [size for s in store.manifest()[1] for _, size in s.files]
+    assert len(sizes()) == 96 and max(sizes()) < target / 4
+    while store.compact(target):
+        store.vacuum()
+    assert all(target / 2 <= n <= 1.5 * target for n in sizes()) and len(sizes()) < 24
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(20_000))
+    on_disk = [f.stat().st_size for f in (tmp_path / "store/data").rglob("*.parquet")]
+    assert sorted(on_disk) == sorted(sizes())  # nothing else is left
+    small = 40_000  # now every file is too large
+    while store.compact(small):
+        store.vacuum()
+    assert all(n <= 1.5 * small for n in sizes()) and store.read().count() == 20_000 and store.compact(small) is None
+
+
+def test_bins_are_near_the_target():
+    draw = np.random.default_rng(1)
+    for _ in range(50):
+        files = [(str(i), int(n)) for i, n in enumerate(draw.integers(1, 150, draw.integers(1, 40)))]
+        out = [sum(n for _, n in b) for b in sharding.bins(files, 100)]
+        assert sorted(f for b in sharding.bins(files, 100) for f in b) == sorted(files)
+        assert max(out) <= 150 and sum(n < 50 for n in out) <= 1
+
+
+def test_columns_that_differ_in_case_only_are_refused(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    rows = spark.range(3).select("id", F.lit("a").alias("text"), F.lit(0).alias("arrival"))
+    store.append(rows, "arrival")
+    with pytest.raises(ValueError, match="case"):
+        store.append(rows.withColumnRenamed("text", "Text"), "arrival")
+    assert store.versions() == [1] and store.read().count() == 3
+    assert len(list((tmp_path / "store/data").iterdir())) == 1
+
+
 def test_sharded_documents(spark, mixed, empty, tmp_path):
     rows = sharding.shard_documents(mixed, f"file://{tmp_path}/a", arrivals=3, target=1 << 20).collect()
     want = sorted((i is not None, i or 0, (i or 0) % 3, len((t or "").encode()), None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t,
