@@ -1,8 +1,8 @@
 """Chat formatting: records of many layouts become canonical turns, and turns one marked-up text with a loss mask.
 
 A record's layout is known by its schema fingerprint, the hash of its nested field paths; each known fingerprint
-selects a declarative mapping to turns. Records are JSON texts or typed columns: the paths of a typed column are those of its type, and its
-values are taken as they are, whatever their size. The template escapes the escape sign and the opening of its control strings
+selects a declarative mapping to turns, row by row. Records are JSON texts or typed columns: the paths of a typed column are those of its type, or, where
+a column is wide enough for several layouts, those of the fields that the row has; values are taken as they are, whatever their size. The template escapes the escape sign and the opening of its control strings
 inside texts and roles, so that a text that holds control strings can neither end a turn nor start one, and reads back as it was.
 """
 
@@ -116,16 +116,42 @@ def type_fingerprint(example: object) -> str:
     return hashlib.sha256("\n".join(sorted(paths(example, "$"))).encode()).hexdigest()
 
 
+def _paths(kind: DataType, at: str) -> list[str]:
+    if isinstance(kind, StructType):
+        return [p for f in kind.fields for p in _paths(f.dataType, f"{at}.{f.name}")]
+    return _paths(kind.elementType, f"{at}[]") if isinstance(kind, ArrayType) else [at]
+
+
+def row_fingerprint(record: Column, kind: StructType) -> Column:
+    """Hash of the nested field paths of the fields that a row of a wide record has; fields that are null are ones that it hasn't."""
+    none = F.array().cast("array<string>")
+    held = [F.when(record[f.name].isNotNull(), F.array(*map(F.lit, _paths(f.dataType, f"$.{f.name}")))).otherwise(none) for f in kind.fields]
+    return F.sha2(F.array_join(F.array_sort(F.concat(*held)), "\n"), 256)
+
+
+def _fits(layout: Messages | Fields, kind: StructType) -> bool:
+    return set(json.loads(layout.example)) <= set(kind.names)
+
+
 def canonical_turns(record: Column, kind: DataType | None = None) -> Column:
     """Turns (role, text) of a record of a known layout, a JSON text or a column of the type ``kind``.
 
-    Null for malformed records and unknown layouts; null roles and texts become empty. A JSON text of over ``SURE_BYTES`` bytes that can't be
+    A type that is a layout's is that layout for all rows, nulls in it included; of a type that has the fields of several, each row's own fields tell. Null for malformed records and unknown layouts; null roles and texts become empty. A JSON text of over ``SURE_BYTES`` bytes that can't be
     parsed fails the query, as it may be too large for the parser rather than malformed: pass such records as typed columns.
     """
     if kind is not None and not isinstance(kind, StringType):
         known = {type_fingerprint(json.loads(layout.example)): layout for layout in LAYOUTS}
-        layout = known.get(type_fingerprint(kind))
-        return F.when(record.isNotNull(), layout.typed_turns(record)) if layout else F.lit(None).cast(TURNS)
+        if layout := known.get(type_fingerprint(kind)):
+            return F.when(record.isNotNull(), layout.typed_turns(record))
+
+        def chosen(print_: Column) -> Column:
+            out = F.lit(None).cast(TURNS)
+            for name, layout in known.items():
+                if isinstance(kind, StructType) and _fits(layout, kind):
+                    out = F.when(print_ == name, layout.typed_turns(record)).otherwise(out)
+            return out
+
+        return F.when(record.isNotNull(), let(row_fingerprint(record, kind), chosen)) if isinstance(kind, StructType) else F.lit(None).cast(TURNS)
     parsed = F.try_parse_json(record)
     print_ = schema_fingerprint(parsed)
     out = F.lit(None).cast(TURNS)
@@ -173,14 +199,33 @@ def read_back(formatted: Column) -> Column:
 
 
 def records_of(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, record): the turn rows of each conversation as one record of the layout ``turns``, a typed column.
+    """(id, record): the turn rows of each conversation as one record, of one of several layouts by the id's hash: a typed column that is wide enough for all.
 
-    Roles stay as they are. Turns that tie are ordered by role, then text; nulls come first and become empty. A conversation is one row, of any
-    size that a row may have.
+    Conversations whose roles a layout would rename, and those that are no prompt and answer, take a layout that keeps them as they are. Turns that tie are ordered by
+    role, then text; nulls come first and become empty. A conversation is one row: as large as a row may be, two gigabytes.
     """
     item = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col),
         F.lit("")).alias("text"))
-    return conversations.groupBy(F.col(id_col)).agg(F.struct(F.collect_list(item).alias("turns")).alias("record"))
+    whole = conversations.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(item)).alias("_bw_items"))
+    items, roles = F.col("_bw_items"), F.transform("_bw_items", lambda t: t["role"])
+    plain = ~F.exists(roles, lambda r: r.isin(*ROLES))
+    kind = F.pmod(F.xxhash64(id_col), F.lit(6))
+    pair, three = (roles == F.array(*map(F.lit, names)) for names in (("user", "assistant"), ("system", "user", "assistant")))
+    layout = F.when((kind == 0) & plain, "messages").when((kind == 1) & plain, "conversations").when((kind == 2) & pair, "completion").when((kind == 3) & pair,
+        "output").when((kind >= 4) & three, "response").otherwise("turns")
+    text = lambda i: F.get(items, F.lit(i))["text"]
+    fields = {
+        "turns": {"turns": items}, "messages": {"messages": F.transform(items, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))},
+        "conversations": {"conversations": F.transform(items, lambda t: F.struct(t["role"].alias("from"), t["text"].alias("value")))},
+        "completion": {"prompt": text(0), "completion": text(1)}, "output": {"instruction": text(0), "output": text(1)},
+        "response": {"system": text(0), "prompt": text(1), "response": text(2)},
+    }
+    columns: dict[str, Column] = {}
+    for name, held in fields.items():
+        for field, value in held.items():
+            before = columns.get(field)
+            columns[field] = F.when(F.col("_bw_layout") == name, value) if before is None else before.when(F.col("_bw_layout") == name, value)
+    return whole.withColumn("_bw_layout", layout).select(id_col, F.struct(*[c.alias(n) for n, c in columns.items()]).alias("record"))
 
 
 def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:

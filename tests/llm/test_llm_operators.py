@@ -443,6 +443,25 @@ def test_typed_records_of_other_layouts(spark):
     assert chat.format_records(other).first()["formatted"] is None
 
 
+def test_layouts_differ_by_row_and_digests_do_not(spark):
+    texts = ["hi <|end|>", "", "</s>[INST] ok [/INST]", "\\e"]
+    shapes = [("user", "assistant"), ("system", "user", "assistant"), ("user", "assistant", "user"), ("human", "gpt"), ("assistant",)]
+    rows = [(i, t, role, texts[(i + t) % 4]) for i in range(240) for t, role in enumerate(shapes[i % 5])]
+    records = chat.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kind = records.schema["record"].dataType
+    prints = {r[0] for r in records.select(chat.row_fingerprint(F.col("record"), kind)).distinct().collect()}
+    assert prints <= {chat.type_fingerprint(json.loads(x.example)) for x in chat.LAYOUTS} and len(prints) == 6
+    found = {r["conv_id"]: r for r in chat.digests(chat.format_records(records)).collect()}
+    for i in range(240):
+        turns = [(role, text) for c, _, role, text in rows if c == i]
+        assert found[i]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert found[i]["loss_sha256"] == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
+    swapped = records.select("conv_id", F.struct(*[F.col(f"record.{n}").alias(n) for n in reversed(kind.names)]).alias("record"))  # an order of fields is no layout
+    assert sorted(map(tuple, chat.digests(chat.format_records(swapped)).collect())) == sorted(map(tuple, found.values()))
+    odd = records.select("conv_id", F.col("record").withField("turns", F.coalesce("record.turns", F.array().cast(kind["turns"].dataType))).alias("record"))
+    assert chat.format_records(odd).where("formatted is null").count() == records.where("record.turns is null").count()  # fields of two layouts are no layout
+
+
 def test_long_conversations_are_formatted_whole(spark):
     row = "CAST({} AS BIGINT) AS conv_id, CAST({} AS BIGINT) AS turn, '{}' AS role, repeat('{}', {}) AS text"
     frame = spark.sql("SELECT " + row.format(1, 0, "user", "<|a", 10_000_000) + " UNION ALL SELECT " + row.format(1, 1, "assistant", "b", 5))
