@@ -504,6 +504,17 @@ def test_rules_match_brute_force(spark):
     assert url_rules.judge(frame.limit(0), url_rules.rule_table(spark, rules)).count() == 0
 
 
+def test_very_long_hosts_are_looked_up_at_few_suffixes(spark):
+    long = ".".join(f"l{i}" for i in range(20_000))
+    frame = spark.createDataFrame([(1, f"http://{long}.example.net/en/x"), (2, f"http://{long}/"), (3, f"http://{long}.net")], "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(frame, url_rules.rule_table(spark, url_rules.RULES)).collect()}
+    assert found == {1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: (None, "allow")}
+    deep = [(f"{long}.net", "/", "block"), ("net", "/", "allow")]
+    found = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame([(1, f"http://x.{long}.net/a"), (2, "http://x.net/")], "page_id long, url string"),
+        url_rules.rule_table(spark, deep), default="none").collect()}
+    assert found == {1: "block", 2: "allow"}
+
+
 # --- embeddings
 
 
