@@ -124,6 +124,31 @@ def max_eigenvalue_sym3(zz: Column, yy: Column, xx: Column, zy: Column, zx: Colu
     return F.when(p < 1e-12, q).otherwise(q + 2 * p * F.cos(phi))
 
 
+def eigenvalues_sym3(zz: Column, yy: Column, xx: Column, zy: Column, zx: Column, yx: Column) -> tuple[Column, Column, Column]:
+    """Eigenvalues of a symmetric 3 x 3 matrix, ascending, in closed form."""
+    q = (zz + yy + xx) / 3
+    off = zy * zy + zx * zx + yx * yx
+    p = F.sqrt(((zz - q) ** 2 + (yy - q) ** 2 + (xx - q) ** 2 + 2 * off) / 6)
+    a, b, c = (zz - q) / p, (yy - q) / p, (xx - q) / p
+    d, e, f = zy / p, zx / p, yx / p
+    half_det = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
+    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half_det))) / 3
+    level = lambda turn: F.when(p < 1e-12, q).otherwise(q + 2 * p * F.cos(phi + turn))
+    low, high = level(2 * math.pi / 3), level(0.0)
+    return low, 3 * q - low - high, high
+
+
+def eigenvector_sym3(value: Column, zz: Column, yy: Column, xx: Column, zy: Column, zx: Column, yx: Column) -> Vec:
+    """Unit eigenvector of a symmetric 3 x 3 matrix for a single eigenvalue, up to its sign: the longest cross product of two rows of the matrix less the
+    eigenvalue. Zero where all of them vanish, that is, where the eigenvalue isn't single."""
+    rows = ((zz - value, zy, zx), (zy, yy - value, yx), (zx, yx, xx - value))
+    crosses = [(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]) for a, b in itertools.combinations(rows, 2)]
+    sizes = [dot(c, c) for c in crosses]
+    first = (sizes[0] >= sizes[1]) & (sizes[0] >= sizes[2])
+    longest = tuple(F.when(first, a).when(sizes[1] >= sizes[2], b).otherwise(c) for a, b, c in zip(*crosses, strict=True))
+    return unit(longest, 1e-9)
+
+
 def circular_mean_turns(angle: Column, weight: Column) -> Column:
     """Aggregate: weighted circular mean, in turns from -0.5 to 0.5."""
     return F.atan2(F.sum(weight * F.sin(angle)), F.sum(weight * F.cos(angle))) / (2 * math.pi)

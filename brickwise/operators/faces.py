@@ -138,3 +138,79 @@ def face_labels(rows: DataFrame, radial: vectors.Vec, rules: FaceRules = FaceRul
     return both.select(*AXES, held(codec.encode_sdf(F.col("d_in"), rules.clip)).alias("sdf_in"), held(codec.encode_sdf(F.col("d_out"), rules.clip)).alias("sdf_out"),
         held(F.least(F.lit(255), F.rint(F.coalesce("thick", F.lit(0.0)))).cast("int")).alias("thickness"),
         held(F.when(ignored, 2).otherwise(1)).alias("faces_valid"))
+
+
+class BandRules(NamedTuple):
+    """Codes of the bands that belong to the inner and to the outer face, one of both to each; lengths are voxels."""
+
+    inner: tuple[int, ...] = (1, 3)
+    outer: tuple[int, ...] = (2, 3)
+    least_component: int = 32
+    window: int = 3
+    least_count: int = 6
+    planarity: float = 0.5
+    clip: float = 20.0
+
+
+def window_moments(band: DataFrame, radius: int) -> DataFrame:
+    """(z, y, x, count, m_*, m_**): number, sums and products of the places of ``band`` in the cube around every place that one reaches, as whole numbers.
+
+    One axis after the other: each pass repeats a row 2 radius + 1 times and adds up before the shuffle.
+    """
+    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+    long = {a: F.col(a).cast("long") for a in AXES}
+    out = band.select(*AXES, F.lit(1).cast("long").alias("count"), *[long[a].alias(f"m_{a}") for a in AXES], *[(long[a] * long[b]).alias(f"m_{a}{b}") for a, b in pairs])
+    sums = ["count", *(f"m_{a}" for a in AXES), *(f"m_{a}{b}" for a, b in pairs)]
+    for axis in AXES:
+        moved = out.withColumn("_step", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+        places = [(F.col(a) + F.col("_step")).alias(a) if a == axis else F.col(a) for a in AXES]
+        out = moved.select(*places, *sums).groupBy(*AXES).agg(*[F.sum(c).alias(c) for c in sums])
+    return out
+
+
+def band_normals(rows: DataFrame, band: DataFrame, radial: vectors.Vec, rules: BandRules = BandRules()) -> DataFrame:
+    """``rows`` with the outward unit normal ``n_*`` of the band around each, and ``n_ok`` where it is the band's own.
+
+    The normal is the direction in which the band's places in the window spread least, turned to the radial's side. Where there are less than ``least_count`` places, where
+    they spread in no two directions, or where the least spread is over ``planarity`` of the next, it is the radial direction.
+    """
+    moments = rows.join(window_moments(band, rules.window), list(AXES), "left")
+    n = F.col("count")
+    spread = [(n * F.col(f"m_{a}{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) / (n * n) for a, b in (("z", "z"), ("y", "y"), ("x", "x"), ("z", "y"), ("z", "x"), ("y", "x"))]
+    spreads = [f"_c{i}" for i in range(6)]
+    known = moments.withColumns(dict(zip(spreads, spread, strict=True)))
+    matrix = [F.col(c) for c in spreads]
+    low, middle, _ = vectors.eigenvalues_sym3(*matrix)
+    known = known.withColumns({"_low": low, "_middle": middle})
+    flat = (n >= rules.least_count) & (F.col("_middle") > 1e-9) & (F.col("_low") <= rules.planarity * F.col("_middle"))
+    own = vectors.eigenvector_sym3(F.col("_low"), *matrix)
+    ok = F.coalesce(flat & (vectors.norm(own) > 0.5), F.lit(False))
+    turned = fields.outward(own, radial)
+    return known.select(*rows.columns, ok.alias("n_ok"), *[F.when(ok, c).otherwise(r).alias(k) for c, r, k in zip(turned, radial, NORMAL, strict=True)])
+
+
+def band_faces(rows: DataFrame, radial: vectors.Vec, rules: BandRules = BandRules()) -> DataFrame:
+    """(z, y, x, sdf_in, sdf_out, thickness, faces_valid) for every row (z, y, x, band, data) from bands that are drawn along both faces.
+
+    The faces are the crests of the inner and of the outer bands without their small components; a band of both is a part of each. Distances are signed by the normal of the
+    nearest face voxel (:func:`band_normals` of all bands together). ``faces_valid`` is 0 without data, 1 within ``clip`` of both faces, else 2; everything is ignored, and
+    both distances the clip, if either face is missing. ``thickness`` is the sum of both distances, not held within the clip, between the faces, else 0.
+    """
+    base = materialize(rows.select(*AXES, "band", "data", *[r.alias(f"r_{a}") for r, a in zip(radial, AXES, strict=True)]), "band-rows")
+    faces = {}
+    for name, codes in (("in", rules.inner), ("out", rules.outer)):
+        large = components.without_small(base.where(F.col("band").isin(*codes)).select(*AXES), rules.least_component).select(*AXES)
+        faces[name] = materialize(morphology.crest(base.select(*AXES), materialize(large, f"band-{name}")), f"face-{name}")
+    points = base.join(faces["in"].union(faces["out"]).distinct(), list(AXES), "left_semi")
+    points = materialize(band_normals(points, base.where("band > 0"), tuple(F.col(f"r_{a}") for a in AXES), rules), "band-normals")
+    both = base.select(*AXES, "data")
+    for name, face in faces.items():
+        both = _sided(both, points.join(face, list(AXES), "left_semi"), float("inf"), f"d_{name}", F.lit(None).cast("double"), [])
+    found = F.col("d_in").isNotNull() & F.col("d_out").isNotNull()
+    near = found & (F.abs("d_in") <= rules.clip) & (F.abs("d_out") <= rules.clip)
+    within = found & (F.col("d_in") >= 0) & (F.col("d_out") <= 0)
+    held = lambda c: F.when(F.col("data"), c).otherwise(0)
+    code = lambda c: held(codec.encode_sdf(F.when(found, F.col(c)).otherwise(rules.clip), rules.clip))
+    thick = F.when(within, F.least(F.lit(255), F.rint(F.col("d_in") - F.col("d_out")).cast("int"))).otherwise(0)
+    return both.select(*AXES, code("d_in").alias("sdf_in"), code("d_out").alias("sdf_out"), held(thick).alias("thickness"),
+        held(F.when(near, 1).otherwise(2)).alias("faces_valid"))
