@@ -1,4 +1,4 @@
-"""Queries on resumable builds of whole stores, and on audits that compare two of them."""
+"""Queries on resumable builds of whole stores, on audits that compare two of them, and on caches and compressed arrays."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from brickwise.functions import codec
 from brickwise.operators import audit, grid, joins, stencil
 from brickwise.plans.catalog import register
 from brickwise.runtime import materialize, scratch_root
+from brickwise.sources import cache, chunks
+from brickwise.sources.tables import table
 from brickwise.sources.voxels import VOXELS_SQL, coded_voxels
 from brickwise.streaming import builds, incremental
 
@@ -116,3 +118,37 @@ SELECT rule, round(value, 9) AS value, low, high, coalesce(value BETWEEN low AND
 def audit_verdict(spark: SparkSession, folder: str) -> DataFrame:
     """The rules of an audit on a store of which some bricks were erased: which of them fail."""
     return audit.verdict(audited(spark, folder, True), RULES).withColumn("value", F.round("value", 9))
+
+
+#: Boxes (low, size) of caches: the second one's copy is stopped, the others are complete.
+BOXES = (((0, 0, 0), (16, 32, 32)), ((0, 0, 0), (8, 16, 32)), ((0, 0, 0), (8, 24, 32)))
+
+
+@register("cached_reads", f"""WITH {VOXELS_SQL}, q AS (SELECT p_partkey AS request, p_size % 14 AS z, p_partkey % 25 AS y, p_partkey * 7 % 27 AS x, p_partkey % 5 AS level FROM part),
+c AS (SELECT *, CASE WHEN level > 0 THEN NULL WHEN z + 3 <= 8 AND y + 7 <= 24 THEN 2 WHEN z + 3 <= 16 THEN 0 END AS cache FROM q)
+SELECT CASE WHEN cache IS NULL THEN -1 ELSE cache END AS cache, count(DISTINCT request) AS requests, count(*) AS n, CAST(sum(u) AS BIGINT) AS total
+FROM c JOIN coded d ON d.z >= c.z AND d.z < c.z + 3 AND d.y >= c.y AND d.y < c.y + 7 AND d.x >= c.x AND d.x < c.x + 5 GROUP BY 1""")
+def cached_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes that many requests ask for, each from the smallest complete cache that holds it; a copy that was stopped is missed, and so is another level."""
+    rows = materialize(coded_voxels(spark, folder).select(*AXES, "u"), "cache-source")
+    path = f"{scratch_root(spark)}/caches-{uuid.uuid4().hex}"
+    caches = [cache.Cache(builds.BrickStore(spark, f"{path}/{i}", incremental.fingerprint("copy", str(i))), 0, box, EDGE) for i, box in enumerate(BOXES)]
+    for i, c in enumerate(caches):
+        cache.copy_box(c, rows, *((3, 1) if i == 1 else ()))
+    key = F.col("p_partkey")
+    asked = table(spark, folder, "part").select(key.alias("request"), (key % 5).cast("int").alias("level"), (F.col("p_size") % 14).cast("int").alias("low_z"),
+        (key % 25).cast("int").alias("low_y"), (key * 7 % 27).cast("int").alias("low_x"), *[F.lit(n).alias(f"size_{a}") for a, n in zip(AXES, (3, 7, 5), strict=True)])
+    read = cache.read_through(caches, asked, rows, EDGE)
+    return read.groupBy(F.coalesce("cache", F.lit(-1)).alias("cache")).agg(F.countDistinct("request").alias("requests"), F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
+
+
+@register("compressed_array_read", f"""WITH {VOXELS_SQL} SELECT z, count(*) AS n, CAST(sum(u) AS BIGINT) AS total, CAST(sum(u * (x + 1)) AS BIGINT) AS moment FROM coded
+  WHERE y BETWEEN 3 AND 28 AND x BETWEEN 2 AND 30 AND z < (SELECT max(vec_id) // 64 * 4 FROM embeddings) GROUP BY z""")
+def compressed_array_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole layers written as chunk files packed by zlib, and a box of them read back."""
+    last = (table(spark, folder, "embeddings").agg(F.max("vec_id").alias("v")).first()["v"] or 0) // 64 * 4
+    packed = chunks.pack(coded_voxels(spark, folder).where(F.col("z") < last).withColumns({"store": F.lit("s"), "channel": F.lit("u")}), 16)
+    path = f"{scratch_root(spark)}/packed-{uuid.uuid4().hex}"
+    chunks.write_array(packed, path, (last, 32, 32), 16, "zlib", 6)
+    found = chunks.read_array(spark, path, (0, 3, 2), (last, 26, 29))
+    return found.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"), F.sum(F.col("u") * (F.col("x") + 1)).alias("moment"))

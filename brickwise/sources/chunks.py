@@ -1,4 +1,4 @@
-"""Chunked volumes: one row per chunk with its voxels as bytes, and uncompressed chunk files as they lie in array stores.
+"""Chunked volumes: one row per chunk with its voxels as bytes, and chunk files, plain or compressed, as they lie in array stores.
 
 A chunk table is (store, channel, cz, cy, cx, data); data holds edge^3 bytes in z, y, x order. Chunk coordinates are ordinary columns, so a box
 becomes range predicates that Parquet statistics and partition pruning use.
@@ -6,9 +6,11 @@ becomes range predicates that Parquet statistics and partition pruning use.
 
 from __future__ import annotations
 
+import gzip
 import json
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,8 +73,22 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("append").partitionBy("store", "channel").parquet(path)
 
 
+#: Codecs of chunk files, by their name in metadata: how to pack bytes at a level, and how to unpack them.
+CODECS = {"zlib": (zlib.compress, zlib.decompress), "gzip": (lambda data, level: gzip.compress(data, level, mtime=0), gzip.decompress)}
+
+
+def _unpacked(content: bytes, codec: str | None, size: int, name: str) -> bytes:
+    data = CODECS[codec][1](content) if codec else content
+    if len(data) < size:
+        raise ValueError(f"chunk {name} has {len(data)} bytes, not {size}")
+    return data[:size]
+
+
 def array_metadata(spark: SparkSession, path: str) -> dict:
-    """Shape, chunk shape, fill and key rule of an uncompressed byte array, from its version 2 or 3 metadata file on any file system Spark reaches."""
+    """Shape, chunk shape, fill, key rule and codec of a byte array, from its version 2 or 3 metadata file on any file system Spark reaches.
+
+    Chunks may be plain or packed by one of ``CODECS``; other arrays raise ValueError.
+    """
     jvm = spark.sparkContext._jvm  # Spark's own readers skip files whose names begin with a dot
 
     def load(name: str) -> dict | None:
@@ -90,37 +106,33 @@ def array_metadata(spark: SparkSession, path: str) -> dict:
     if two is None:
         three = load("zarr.json")
     if two:
-        if two["compressor"] is not None or two["dtype"] not in ("|u1", "u1"):
-            raise ValueError(f"{path} isn't an uncompressed byte array")
-        return {"shape": two["shape"], "chunks": two["chunks"], "fill": two.get("fill_value") or 0, "prefix": "", "separator": two.get("dimension_separator",
+        packed = (two["compressor"] or {}).get("id")
+        if packed not in (None, *CODECS) or two.get("filters") or two["dtype"] not in ("|u1", "u1"):
+            raise ValueError(f"{path} isn't an uncompressed byte array, nor one packed by {', '.join(CODECS)}")
+        return {"codec": packed, "shape": two["shape"], "chunks": two["chunks"], "fill": two.get("fill_value") or 0, "prefix": "", "separator": two.get("dimension_separator",
             ".")}
     if not three:
         raise FileNotFoundError(f"{path} has no array metadata")
-    if [c["name"] for c in three["codecs"]] != ["bytes"] or three["data_type"] != "uint8":
-        raise ValueError(f"{path} isn't an uncompressed byte array")
+    first, *packed = [c["name"] for c in three["codecs"]]
+    if first != "bytes" or packed not in ([], *([c] for c in CODECS)) or three["data_type"] != "uint8":
+        raise ValueError(f"{path} isn't an uncompressed byte array, nor one packed by {', '.join(CODECS)}")
     key = three["chunk_key_encoding"]
     separator = key.get("configuration", {}).get("separator", "/" if key["name"] == "default" else ".")
-    return {"shape": three["shape"], "chunks": three["chunk_grid"]["configuration"]["chunk_shape"], "fill": three["fill_value"],
+    return {"codec": packed[0] if packed else None, "shape": three["shape"], "chunks": three["chunk_grid"]["configuration"]["chunk_shape"], "fill": three["fill_value"],
         "prefix": f"c{separator}" if key["name"] == "default" else "", "separator": separator}
 
 
-#: Chunk names that one look-up asks the file system for.
-NAMES = 256
-
-
 def _existing(spark: SparkSession, path: str, names: list[str]) -> list[str]:
-    """Those of the named files under a folder that exist: the names are asked for, nothing else is listed."""
-    jvm, out = spark.sparkContext._jvm, []
-    for i in range(0, len(names), NAMES):
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{{{','.join(names[i : i + NAMES])}}}")
-        out += [s.getPath().toString() for s in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []]
-    return out
+    """Those of the named files under a folder that exist: each is asked for, nothing is listed, however many files the folder holds."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f"{path}/{name}" for name in names if system.exists(hadoop.Path(f"{path}/{name}"))]
 
 
 def read_array(spark: SparkSession, path: str, low: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
-    """(z, y, x, u) of a box of an uncompressed chunked byte array: only the chunk files that the box touches are opened.
+    """(z, y, x, u) of a box of a chunked byte array, plain or compressed: only the chunk files that the box touches are opened.
 
-    Leading axes are pinned to 0. Places outside the array, and of chunks that were never written, give no rows.
+    Leading axes are pinned to 0. Places outside the array, and of chunks that were never written, give no rows. A chunk that doesn't unpack to its size fails the query.
     """
     meta = array_metadata(spark, path)
     lead = len(meta["shape"]) - 3
@@ -139,22 +151,22 @@ def read_array(spark: SparkSession, path: str, low: tuple[int, int, int], size:
         for batch in batches:
             for key, content in zip(batch.column("key").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 at = [int(c) for c in key.replace(".", "/").split("/")[-3:]]
-                voxel = np.frombuffer(content, dtype=np.uint8)[: math.prod(edges)].astype(np.int32)
+                voxel = np.frombuffer(_unpacked(content, meta["codec"], math.prod(edges), key), dtype=np.uint8).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*[pa.array((place[k] + at[k] * edges[k]).astype(np.int32)) for k in range(3)], pa.array(voxel)], [*AXES, "u"])
 
     rows = named.select("key", "content").mapInArrow(spread, "z int, y int, x int, u int")
     return rows.where(inside(low, size)).where(inside((0, 0, 0), tuple(shape)))
 
 
-def write_array(packed: DataFrame, path: str, shape: tuple[int, int, int], edge: int) -> None:
-    """Chunk rows (cz, cy, cx, data) as the files of an uncompressed version 2 byte array, written by the tasks that hold them.
+def write_array(packed: DataFrame, path: str, shape: tuple[int, int, int], edge: int, codec: str | None = None, level: int = 1) -> None:
+    """Chunk rows (cz, cy, cx, data) as the files of a version 2 byte array, plain or packed by a codec, written by the tasks that hold them.
 
     The path is a URI of a file system that Arrow knows and all executors share. Each file is written beside and then moved to its name, so that a
     task that is run again gives the same files and no reader sees a part of one.
     """
     spark = packed.sparkSession
     named = packed.select(F.concat_ws(".", *[F.col(f"c{a}").cast("string") for a in AXES]).alias("name"), "data")
-    _write_metadata(spark, path, {"zarr_format": 2, "shape": list(shape), "chunks": [edge] * 3, "dtype": "|u1", "compressor": None, "fill_value": 0,
+    _write_metadata(spark, path, {"zarr_format": 2, "shape": list(shape), "chunks": [edge] * 3, "dtype": "|u1", "compressor": {"id": codec, "level": level} if codec else None, "fill_value": 0,
         "order": "C", "filters": None})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +175,7 @@ def write_array(packed: DataFrame, path: str, shape: tuple[int, int, int], edge:
             for name, data in zip(batch.column("name").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 beside = f"{root}/.{name}-{uuid.uuid4().hex}"
                 with system.open_output_stream(beside) as out:
-                    out.write(data)
+                    out.write(CODECS[codec][0](data, level) if codec else data)
                 system.move(beside, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
