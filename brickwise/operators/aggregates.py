@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickwise.operators.grid import AXES, _all
+from brickwise.operators.prefix import running_sums
 from brickwise.runtime import broadcast_if_small, materialize
 
 
@@ -130,21 +131,32 @@ def _by_score(rows: DataFrame, score: str, positive: str, group: list[str]) -> D
     return rows.where(F.col(score).isNotNull()).groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(positive).cast("long")).alias("_p"))
 
 
+def _summed_before(tied: DataFrame, score: str, group: list[str], down: bool) -> DataFrame:
+    """``tied`` with ``_sn`` and ``_sp``, the counts of all rows of the group with a lower score (a higher one, if ``down``).
+
+    A group of ONE_TASK distinct scores at most is summed by one task; where one has more, all are dealt into ordered ranges.
+    """
+    most = tied.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if most <= ONE_TASK:
+        before = Window.partitionBy(*group).orderBy(F.desc(score) if down else score).rowsBetween(Window.unboundedPreceding, -1)
+        return tied.withColumns({f"_s{c}": F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)) for c in "np"})
+    key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("")
+    keyed = tied.withColumns({"_key": key, "_at": -F.col(score) if down else F.col(score)})
+    return running_sums(keyed, ["_at"], {"_n": "_sn", "_p": "_sp"}, "ranked", ["_key"]).drop("_key", "_at")
+
+
 def average_precision(rows: DataFrame, score: str, positive: str, group: list[str]) -> DataFrame:
     """Step-wise area under precision and recall per group; null unless both classes occur."""
-    tied = _by_score(rows, score, positive, group)
-    down = Window.partitionBy(*group).orderBy(F.desc(score))
-    summed = tied.withColumn("_sn", F.sum("_n").over(down)).withColumn("_sp", F.sum("_p").over(down))
-    total = summed.groupBy(*group).agg(F.sum("_p").alias("_P"), F.sum("_n").alias("_N"), F.sum(F.col("_p") * F.col("_sp") / F.col("_sn")).alias("_area"))
+    summed = _summed_before(_by_score(rows, score, positive, group), score, group, True)
+    share = F.col("_p") * (F.col("_sp") + F.col("_p")) / (F.col("_sn") + F.col("_n"))
+    total = summed.groupBy(*group).agg(F.sum("_p").alias("_P"), F.sum("_n").alias("_N"), F.sum(share).alias("_area"))
     return total.select(*group, F.when((F.col("_P") > 0) & (F.col("_P") < F.col("_N")), F.col("_area") / F.col("_P")).alias("average_precision"))
 
 
 def auroc(rows: DataFrame, score: str, positive: str, group: list[str]) -> DataFrame:
     """Rank-sum area under the ROC curve per group, ties by their mean rank; null unless both classes occur."""
-    tied = _by_score(rows, score, positive, group)
-    up = Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("_n") - F.col("_p")).over(up), F.lit(0))
-    won = tied.withColumn("_w", F.col("_p") * (below + (F.col("_n") - F.col("_p")) / 2))
+    summed = _summed_before(_by_score(rows, score, positive, group), score, group, False)
+    won = summed.withColumn("_w", F.col("_p") * (F.col("_sn") - F.col("_sp") + (F.col("_n") - F.col("_p")) / 2))
     total = won.groupBy(*group).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_P"), F.sum(F.col("_n") - F.col("_p")).alias("_Q"))
     return total.select(*group, F.when((F.col("_P") > 0) & (F.col("_Q") > 0), F.col("_w") / (F.col("_P") * F.col("_Q"))).alias("auroc"))
 

@@ -39,7 +39,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit_pca(rows: DataFrame, vector: str, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, components, explained share): each batch is reduced to its sums of products; the driver adds one small matrix per task."""
+    """(mean, components, explained share): each task is reduced to its sums of products, which are added up by place; the driver gets one packed matrix."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -52,8 +52,9 @@ def fit_pca(rows: DataFrame, vector: str, components: int) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["m"])
 
     parts = rows.select(vector).where(F.col(vector).isNotNull()).mapInArrow(moments, "m array<double>")
-    sums = parts.select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    m = np.array([r["v"] for r in sums])
+    sums = parts.select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    m = np.zeros(sums.num_rows)
+    m[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
     size = int(np.sqrt(len(m)))
     m = m.reshape(size, size)
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]

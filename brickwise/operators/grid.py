@@ -130,6 +130,46 @@ def even_edges(size: int, tile: int) -> list[int]:
     return [round(i * size / n) for i in range(n + 1)]
 
 
+def even_tile(place: Column, size: int, tile: int) -> tuple[Column, Column, Column]:
+    """Number, low and high edge of the tile of :func:`even_edges` that holds a place, by division: the plan is as long for any number of tiles."""
+    n = max(1, math.ceil(size / tile))
+    edge = lambda i: F.rint(i * size / n).cast("int")
+    near = F.floor(place * n / max(size, 1)).cast("int")
+    number = F.when(place < edge(near), near - 1).when(place >= edge(near + 1), near + 1).otherwise(near)
+    held = F.greatest(F.lit(0), F.least(F.lit(n - 1), number))
+    return held, edge(held), edge(held + 1)
+
+
+def field_tiling(patch: int, radius: int, pad: int = 2) -> tuple[int, int]:
+    """Halo and step of windows of which a model sees ``radius`` voxels around each result: cores tile the volume, and only the halo is read twice.
+
+    Raises ValueError if no core is left.
+    """
+    halo = radius + pad
+    if patch <= 2 * halo:
+        raise ValueError(f"a patch of {patch} leaves no core between halos of {halo}")
+    return halo, patch - 2 * halo
+
+
+def tile_boxes(size: tuple[int, int, int], tile: int, halo: int, patch: int) -> tuple[int, int, int]:
+    """The largest box of any tile: core and halo, a patch at least on each axis."""
+    longest = lambda n: max(b - a for a, b in itertools.pairwise(even_edges(n, tile)))
+    return tuple(max(patch, longest(n) + 2 * halo) for n in size)
+
+
+def fitted_tile(size: tuple[int, int, int], tile: int, halo: int, patch: int, channels: int, limit: int, step: int = 32, least: int = 32, width: int = 2) -> int:
+    """The largest tile, ``step`` by ``step`` down from ``tile``, whose largest box's sums of ``channels`` and of their weights, ``width`` bytes each, fit in ``limit``.
+
+    Raises MemoryError if even ``least`` doesn't fit.
+    """
+    need = lambda t: (channels + 1) * width * math.prod(tile_boxes(size, t, halo, patch))
+    while need(tile) > limit:
+        if tile - step < least:
+            raise MemoryError(f"a tile of {tile} takes {need(tile)} bytes of {limit}")
+        tile -= step
+    return tile
+
+
 def ramp_weight(index: Column, length: int, overlap: int) -> Column:
     """Linear weight of a place in a window, full beyond the overlap."""
     if overlap <= 0 or length <= 1:

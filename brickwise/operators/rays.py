@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -42,15 +43,45 @@ def local_maxima(samples: DataFrame, least: float) -> DataFrame:
     return out.where((F.col("v") >= F.col("_before")) & (F.col("v") > F.col("_after")) & (F.col("v") >= least)).drop("_before", "_after")
 
 
+#: Peaks of one run that a task solves at once.
+RUN_PEAKS = 4_000_000
+
+
 def spaced_peaks(peaks: DataFrame, distance: int) -> DataFrame:
     """(ray_id, k, v): the highest peaks, none closer than ``distance`` to a higher one that is taken; of equal ones the first in place counts as higher.
 
-    In rounds: a peak that is the highest of all open ones closer than the distance is taken, and closes these. Each round looks at neighbours
-    only, and every ray's highest open peak is taken in it.
+    Peaks that are ``distance`` apart or more don't matter to each other: a ray is cut there into runs, and each run is solved in one pass by one task, however its heights
+    rise or fall. Runs of over RUN_PEAKS peaks are solved in rounds of neighbours instead, in each of which their highest open peak is taken.
     """
+    cut = F.coalesce(F.col("k") - F.lag("k").over(_order()) >= distance, F.lit(True)).cast("long")
+    marked = peaks.select("ray_id", F.col("k").cast("long").alias("k"), F.col("v").cast("double").alias("v")).withColumn("_cut", cut)
+    marked = materialize(marked.select("ray_id", "k", "v", F.sum("_cut").over(_order()).alias("_run")), "peak-runs")
+    long = materialize(marked.groupBy("ray_id", "_run").count().where(F.col("count") > RUN_PEAKS).select("ray_id", "_run"), "long-runs")
+    short, rest = marked, None
+    if not long.isEmpty():
+        short, rest = (marked.join(long, ["ray_id", "_run"], how) for how in ("left_anti", "left_semi"))
+
+    def solve(run: pa.Table) -> pa.Table:
+        run = run.sort_by("k")
+        k, v = run.column("k").to_numpy(), run.column("v").to_numpy()
+        low, high = np.searchsorted(k, k - distance, "right"), np.searchsorted(k, k + distance, "left")
+        taken, closed = np.zeros(len(k), dtype=bool), np.zeros(len(k), dtype=bool)
+        for i in np.lexsort((k, -v)).tolist():
+            if not closed[i]:
+                taken[i] = True
+                closed[low[i] : high[i]] = True
+        return run.filter(pa.array(taken)).drop_columns(["_run"])
+
+    schema = marked.drop("_run").schema
+    out = short.groupBy("ray_id", "_run").applyInArrow(solve, schema)
+    return out if rest is None else out.unionByName(_in_rounds(rest.drop("_run"), distance))
+
+
+def _in_rounds(peaks: DataFrame, distance: int) -> DataFrame:
+    """A peak that is the highest of all open ones closer than the distance is taken, and closes these, until none is open."""
     near = Window.partitionBy("ray_id").orderBy("k").rangeBetween(-(distance - 1), distance - 1)
     rank = F.struct(F.col("v"), -F.col("k"))
-    still = materialize(peaks.select("ray_id", F.col("k").cast("long").alias("k"), "v"), "open-peaks")
+    still = materialize(peaks, "open-peaks")
     taken: list[DataFrame] = []
     while not still.isEmpty():
         judged = still.withColumn("_top", F.max(rank).over(near) == rank).withColumn("_closed", F.max("_top").over(near))
@@ -76,13 +107,20 @@ def dominant_period(samples: DataFrame, least: float, most: float) -> DataFrame:
 
 
 def autocorrelation_length(samples: DataFrame) -> DataFrame:
-    """(ray_id, lag): the first lag at which the normalised autocorrelation is below 1/e; null for constant rays and if there is none."""
+    """(ray_id, lag): the first lag at which the normalised autocorrelation is below 1/e; null for constant rays and if there is none.
+
+    All lags of a ray by one transform of twice its length.
+    """
 
     def length(frame: pd.DataFrame) -> pd.DataFrame:
         v = frame.sort_values("k")["v"].fillna(0.0).to_numpy(dtype=float)
         v = v - v.mean()
         power = float(v @ v)
-        lag = next((k for k in range(1, len(v)) if v[:-k] @ v[k:] / power < 1 / math.e), None) if power > 0 else None
+        lag = None
+        if power > 0:
+            spectrum = np.fft.rfft(v, 2 * len(v))
+            low = np.nonzero(np.fft.irfft(spectrum * spectrum.conj(), 2 * len(v))[1 : len(v)] / power < 1 / math.e)[0]
+            lag = int(low[0]) + 1 if len(low) else None
         return pd.DataFrame({"ray_id": [frame["ray_id"].iloc[0]], "lag": [lag]}).astype({"lag": "float64"})
 
     return samples.select("ray_id", "k", "v").groupBy("ray_id").applyInPandas(length, "ray_id long, lag double")

@@ -77,11 +77,3 @@ def fraction_band(rows: DataFrame, axis: str, size: int, share: float) -> tuple[
     row = rows.agg(F.min(axis).alias("lo"), F.max(axis).alias("hi")).first()
     high = row["hi"] + size
     return round(high - share * (high - row["lo"])), high
-
-
-def linspace_rows(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """``n`` rows at evenly spaced, rounded places of the order."""
-    total = rows.count()
-    places = sorted({round(i * (total - 1) / max(1, n - 1)) for i in range(n)})
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
-    return numbered.where(F.col("_i").isin(places)).drop("_i")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from brickwise.functions import codec, vectors
 from brickwise.operators import aggregates, grid, joins, losses, rays, sampling, stencil
 from brickwise.plans.catalog import register
-from brickwise.plans.stencils import event_rays
+from brickwise.plans.stencils import _PERIOD_SQL, _RAY_SQL, event_rays
+from brickwise.runtime import materialize
 from brickwise.sources import chunks
 from brickwise.sources.tables import table
 from brickwise.sources.voxels import VOXELS_SQL, coded_voxels, voxels
@@ -191,7 +192,8 @@ def curvature_split(spark: SparkSession, folder: str) -> DataFrame:
     rows = coded_voxels(spark, folder).select(*AXES, "u")
     sums = grid.around(rows, grid.FACES, ("u",)).groupBy(*AXES).agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("n"))
     l = rows.join(sums.where("n = 6"), AXES).withColumn("lap", F.abs(F.col("s") - 6 * F.col("u")))
-    mid = l.agg(F.percentile("lap", F.lit(0.5)).alias("mid"))
+    l = materialize(l, "laplacian")
+    mid = aggregates.percentiles(l.withColumn("all", F.lit(1)), "lap", ["all"], {"mid": 0.5}).drop("all")
     return l.crossJoin(F.broadcast(mid)).groupBy((F.col("lap") > F.col("mid")).alias("curved")).agg(F.count(F.lit(1)).alias("n"),
         F.sum("u").alias("total"))  # mid: one row
 
@@ -270,13 +272,20 @@ def grid_cell_crop_scores(spark: SparkSession, folder: str) -> DataFrame:
     return c.where("n >= 128").select("cz", "cy", "cx", F.round(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))) / mean, 6).alias("cv"))
 
 
-@register("ray_autocorrelation")
+@register("ray_autocorrelation", f"""WITH {_RAY_SQL}, m AS (SELECT ray_id, k, coalesce(v, 0) - avg(coalesce(v, 0)) OVER (PARTITION BY ray_id) AS c FROM ray),
+p AS (SELECT ray_id, sum(c * c) AS power FROM m GROUP BY ray_id), g AS (SELECT a.ray_id, b.k - a.k AS lag, sum(a.c * b.c) AS s FROM m a JOIN m b ON a.ray_id = b.ray_id AND b.k > a.k
+  GROUP BY 1, 2)
+SELECT ray_id, CAST(min(lag) FILTER (WHERE power > 0 AND s / power < exp(-1)) AS DOUBLE) AS lag FROM p LEFT JOIN g USING (ray_id) GROUP BY ray_id""")
 def ray_autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
     """First lag at which each ray's autocorrelation falls below 1/e."""
     return rays.autocorrelation_length(event_rays(spark, folder))
 
 
-@register("windings_per_period")
+@register("windings_per_period", f"""WITH {_RAY_SQL}, sp AS (SELECT ray_id, k, v, valid, s * 8 AS start FROM ray, LATERAL (SELECT unnest(range(greatest(0, CAST(ceil((k - 15) / 8.0) AS BIGINT)),
+  k // 8 + 1)) AS s)),
+fu AS (SELECT ray_id, start, avg(v) AS mean FROM sp GROUP BY 1, 2 HAVING count(*) = 16 AND avg(CASE WHEN valid THEN 1.0::DOUBLE ELSE 0 END) >= 0.8),
+ke AS (SELECT sp.* FROM sp JOIN fu USING (ray_id, start)){_PERIOD_SQL.format(more="start, ", parts=", start", rows="ke", most=8, least=3)}
+SELECT ray_id, start, round(mean * period, 6) AS amount FROM fu JOIN pd USING (ray_id, start)""")
 def windings_per_period(spark: SparkSession, folder: str) -> DataFrame:
     """Per ray and window of sixteen samples, four fifths of them valid: mean value times the dominant period."""
     return rays.per_period(event_rays(spark, folder), 16, 8, 3.0, 8.0, 0.8)

@@ -139,16 +139,28 @@ FROM coded JOIN ez ON z >= ez.lo AND z < ez.hi JOIN ey ON y >= ey.lo AND y < ey.
 def tile_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Nearly equal tiles of twelve voxels at most: their voxels, and along z the core and the box with a halo of three, widened to a patch of twenty."""
     rows = coded_voxels(spark, folder).select(*AXES)
-    edges = {a: grid.even_edges(n, 12) for a, n in zip(AXES, (_layers(spark, folder), 32, 32), strict=True)}
-    inner = lambda a: sum(((F.col(a) >= e).cast("int") for e in edges[a][1:-1]), F.lit(0))
-    tiles = rows.withColumns({f"i{a}": inner(a) for a in AXES}).groupBy("iz", "iy", "ix").agg(F.count(F.lit(1)).alias("n"))
-    at = lambda k: F.get(F.array(*map(F.lit, edges["z"])), F.col("iz") + k)
-    core = at(1) - at(0)
+    found = {a: grid.even_tile(F.col(a), n, 12) for a, n in zip(AXES, (_layers(spark, folder), 32, 32), strict=True)}
+    keyed = rows.withColumns({**{f"i{a}": t[0] for a, t in found.items()}, "low": found["z"][1], "high": found["z"][2]})
+    tiles = keyed.groupBy("iz", "iy", "ix").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.min("high").alias("high"))
+    core = F.col("high") - F.col("low")
     extra = F.greatest(F.lit(0), 20 - (core + 6))
-    return tiles.select("iz", "iy", "ix", "n", at(0).alias("core_z"), core.alias("core_n"), (at(0) - 3 - F.floor(extra / 2).cast("int")).alias("box_z"),
+    return tiles.select("iz", "iy", "ix", "n", F.col("low").alias("core_z"), core.alias("core_n"), (F.col("low") - 3 - F.floor(extra / 2).cast("int")).alias("box_z"),
         F.greatest(F.lit(20), core + 6).alias("box_n"))
 
 
+@register("field_tiles", f"""WITH {VOXELS_SQL}, n AS (SELECT max(z) + 1 AS nz, ceil((max(z) + 1) / 8.0) AS kz FROM coded), e AS (SELECT i, round_even(i * nz / kz, 0) AS low,
+  round_even((i + 1) * nz / kz, 0) AS high FROM n, range(10000) r(i) WHERE i < kz)
+SELECT CAST(i AS INT) AS iz, CAST(y // 8 AS INT) AS iy, CAST(x // 8 AS INT) AS ix, count(*) AS n, CAST(sum(u) AS BIGINT) AS total
+FROM coded JOIN e ON z >= low AND z < high GROUP BY 1, 2, 3""")
+def field_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Voxels by the tiles of windows of twelve whose model sees two voxels around, as large as 12 KB of sums for two channels allow."""
+    layers = _layers(spark, folder)
+    halo, step = grid.field_tiling(12, 1, 1)
+    tile = grid.fitted_tile((layers, 32, 32), 2 * step, halo, 12, 2, 12_000, 4, 4)
+    rows = coded_voxels(spark, folder).withColumns({f"i{a}": grid.even_tile(F.col(a), n, tile)[0] for a, n in zip(AXES, (layers, 32, 32), strict=True)})
+    return rows.groupBy("iz", "iy", "ix").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
+
+
 #: An affine map of places in z, y, x order.
 _MAP = [[0.5, 0.1, 0.0, 2.0], [0.0, 0.8, -0.3, 5.0], [0.2, 0.0, 0.9, -1.0]]
 

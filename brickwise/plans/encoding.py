@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickwise.functions import codec, vectors
+from brickwise.operators import aggregates
 from brickwise.plans.catalog import register
+from brickwise.runtime import materialize
 from brickwise.sources.tables import table
 from brickwise.sources.voxels import CLIP, VOXELS_SQL, coded_voxels, voxels
 
@@ -180,15 +182,19 @@ def axial_angle_stats(spark: SparkSession, folder: str) -> DataFrame:
     u = triples(spark, folder).select("vec_id", "label", "i", *[c.alias(k) for c, k in zip(n, ("nz", "ny", "nx"), strict=True)])
     q = u.select("vec_id", (F.col("i") - 1).alias("i"), *[F.col(k).alias(f"q{k}") for k in ("nz", "ny", "nx")])
     angle = vectors.angle_deg((F.col("nz"), F.col("ny"), F.col("nx")), (F.col("qnz"), F.col("qny"), F.col("qnx")), axial=True)
-    g = u.join(q, ["vec_id", "i"]).select("label", angle.alias("angle"))
+    g = materialize(u.join(q, ["vec_id", "i"]).select("label", angle.alias("angle")), "angles")
     share = lambda t: F.round(F.avg(F.when(F.col("angle") > t, 1.0).otherwise(0.0)), 6)
-    return g.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("angle"), 6).alias("mean_angle"), F.round(F.percentile("angle", F.lit(0.5)), 6).alias("median_angle"),
-        F.round(F.percentile("angle", F.lit(0.9)), 6).alias("p90_angle"), share(10).alias("over10"), share(30).alias("over30"),
-    )
+    ends = aggregates.percentiles(g, "angle", ["label"], {"median_angle": 0.5, "p90_angle": 0.9})
+    ends = ends.select("label", F.round("median_angle", 6).alias("median_angle"), F.round("p90_angle", 6).alias("p90_angle"))
+    sums = g.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("angle"), 6).alias("mean_angle"), share(10).alias("over10"), share(30).alias("over30"))
+    return sums.join(ends, "label")
 
 
-@register("local_covariance_max_eigenvalue")
+@register("local_covariance_max_eigenvalue", f"""WITH {_TRIPLES_SQL}, m AS (SELECT vec_id, avg(a * a) AS aa, avg(b * b) AS bb, avg(c * c) AS cc, avg(a * b) AS ab, avg(a * c) AS ac, avg(b * c) AS bc FROM tri
+  GROUP BY vec_id), q AS (SELECT *, (aa + bb + cc) / 3 AS q, ab * ab + ac * ac + bc * bc AS o FROM m), p AS (SELECT *, sqrt((pow(aa - q, 2) + pow(bb - q, 2) + pow(cc - q, 2) + 2 * o) / 6) AS p FROM q),
+d AS (SELECT *, (aa - q) / p AS d1, (bb - q) / p AS d2, (cc - q) / p AS d3, ab / p AS e, ac / p AS f, bc / p AS g FROM p)
+SELECT vec_id, round(CASE WHEN p < 1e-12 THEN q ELSE q + 2 * p * cos(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (d1 * (d2 * d3 - g * g) - e * (e * d3 - g * f) + f * (e * g - d2 * f)) / 2))) / 3) END, 6)
+  AS max_eigenvalue FROM d""")
 def local_covariance_max_eigenvalue(spark: SparkSession, folder: str) -> DataFrame:
     """Largest eigenvalue of the second moments of each row's vectors."""
     m = triples(spark, folder).groupBy("vec_id").agg(*[F.avg(F.col(p) * F.col(q)).alias(p + q) for p, q in ("aa", "bb", "cc", "ab", "ac", "bc")])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brickwise.functions import vectors
 from brickwise.operators import aggregates, embeddings, grid, losses, sampling
 from brickwise.plans.catalog import register
+from brickwise.runtime import materialize
 from brickwise.sources.tables import table
 from brickwise.sources.voxels import VOXELS_SQL, coded_voxels, voxels
 
@@ -103,8 +104,9 @@ def delta_stats(spark: SparkSession, folder: str) -> DataFrame:
     a = voxels(spark, folder).select(*AXES, "v")
     b = a.select("z", "y", (F.col("x") - 1).alias("x"), F.col("v").alias("w"))
     d = a.where("x % 2 = 0").join(b, AXES).select("z", F.abs(F.col("v") - F.col("w")).alias("d"))
-    q = lambda p: F.round(F.percentile("d", F.lit(p)), 6)
-    return d.groupBy("z").agg(F.round(F.avg("d"), 6).alias("mean"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.round(F.max("d"), 6).alias("worst"))
+    d = materialize(d, "deltas")
+    ends = aggregates.percentiles(d, "d", ["z"], {"p90": 0.9, "p99": 0.99}).select("z", F.round("p90", 6).alias("p90"), F.round("p99", 6).alias("p99"))
+    return d.groupBy("z").agg(F.round(F.avg("d"), 6).alias("mean"), F.round(F.max("d"), 6).alias("worst")).join(ends, "z")
 
 
 @register("structure_correlation", """WITH s AS (SELECT l_suppkey, avg(l_discount) AS score, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS swaps,
@@ -266,7 +268,7 @@ def _logistic_share(x: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(-x)) > 0.5).mean(axis=1)
 
 
-@register("sliding_score")
+@register("sliding_score", "SELECT vec_id, list_avg(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > list_avg(embedding)::DOUBLE THEN 1.0::DOUBLE ELSE 0 END)) AS score FROM embeddings")
 def sliding_score(spark: SparkSession, folder: str) -> DataFrame:
     """Each brick scored by a model in Arrow batches: the share of the logistic of its normalised values above one half."""
     return embeddings.score(table(spark, folder, "embeddings"), "vec_id", "embedding", _logistic_share)

@@ -287,3 +287,50 @@ def test_core_axis_goes_on_beyond_its_first_points(spark, tmp_path):
     found = {r.z: r.n for r in volumes.axis_core_mask(spark, str(tmp_path)).collect()}
     inside = lambda z: sum((y - 10 - z / 4) ** 2 + (x - 20 + z / 8) ** 2 <= 36 for y in range(32) for x in range(32))
     assert found == {z: inside(z) for z in range(80, 84)}
+
+
+def test_rising_peaks_take_one_pass(spark, monkeypatch):
+    written = []
+    real = rays.materialize
+    monkeypatch.setattr(rays, "materialize", lambda df, label: written.append(label) or real(df, label))
+    rising = [(1, 2 * i, float(i)) for i in range(300)] + [(2, 3 * i, float(-i)) for i in range(50)] + [(3, 5, 1.0), (3, 5 + 4, 1.0), (3, 5 + 8, 1.0), (3, 40, 0.5)]
+    frame = spark.createDataFrame(rising, "ray_id long, k long, v double")
+
+    def brute(distance, most=10**9):
+        taken = []
+        for ray, k, v in sorted((r for r in rising if r[1] < most), key=lambda r: (r[0], -r[2], r[1])):
+            if all(r != ray or abs(k - q) >= distance for r, q, _ in taken):
+                taken.append((ray, k, v))
+        return sorted(taken)
+
+    found = lambda d: sorted(tuple(r) for r in rays.spaced_peaks(frame, d).collect())
+    assert found(4) == brute(4) and len(written) == 2  # however many peaks rise in a row
+    assert found(5) == brute(5)
+    monkeypatch.setattr(rays, "RUN_PEAKS", 20)  # runs that no task may hold go in rounds
+    assert sorted(tuple(r) for r in rays.spaced_peaks(frame.where("k < 60"), 7).collect()) == brute(7, 60)
+    assert rays.spaced_peaks(frame.limit(0), 4).count() == 0
+
+
+def test_ranking_metrics_of_many_scores(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    rows = [(None if i % 3 == 0 else "g", float(draw.integers(0, 40)), bool(draw.integers(0, 2))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "name string, s double, p boolean")
+    by_group = lambda f: {r["name"]: round(r[1], 12) for r in f(frame, "s", "p", ["name"]).collect()}
+    one = [by_group(f) for f in (aggregates.average_precision, aggregates.auroc)]
+    monkeypatch.setattr(aggregates, "ONE_TASK", 5)
+    assert [by_group(f) for f in (aggregates.average_precision, aggregates.auroc)] == one and set(one[0]) == {None, "g"}
+
+
+def test_tiles_by_division_are_the_even_ones(spark):
+    for size, tile in ((1, 5), (32, 12), (100, 7), (101, 10), (997, 32)):
+        edges = grid.even_edges(size, tile)
+        rows = spark.range(size).select(F.col("id").cast("int").alias("p"))
+        number, low, high = grid.even_tile(F.col("p"), size, tile)
+        for r in rows.select("p", number.alias("i"), low.alias("a"), high.alias("b")).collect():
+            assert (edges[r.i], edges[r.i + 1]) == (r.a, r.b) and r.a <= r.p < r.b
+    assert grid.field_tiling(256, 122) == (124, 8)
+    with pytest.raises(ValueError):
+        grid.field_tiling(256, 126)
+    assert grid.fitted_tile((64, 64, 64), 96, 4, 16, 1, 10**9) == 96 and grid.fitted_tile((640, 640, 640), 192, 4, 16, 1, 4 * 136**3) == 128
+    with pytest.raises(MemoryError):
+        grid.fitted_tile((64, 64, 64), 64, 4, 16, 1, 1000)
