@@ -163,7 +163,7 @@ BANDS = faces.BandRules(least_component=3, window=2, least_count=5, planarity=0.
 _BAND_SQL = "CASE WHEN s > 150 THEN 3 WHEN s > 144 THEN 1 WHEN s < 112 THEN 2 ELSE 0 END"
 
 
-def _crest_of_sql(name: str, codes: tuple[int, ...]) -> str:
+def crest_of_sql(name: str, codes: tuple[int, ...]) -> str:
     """``t_name``: the crest of the large components of some bands of ``w``."""
     n = name
     return f"""i_{n} AS (SELECT z, y, x, {_number("w")} AS id FROM w WHERE band IN {codes}), e_{n} AS (SELECT a.id AS a, b.id AS b FROM i_{n} a JOIN i_{n} b ON {_near("a", "b", 1)}),
@@ -200,7 +200,7 @@ nb AS (SELECT z, y, x, false AS touches, ok, {", ".join(f"CASE WHEN ok THEN o{a}
 
 
 @register("band_face_labels", f"""WITH RECURSIVE {VOXELS_SQL}, {gradient_sql()}, w AS (SELECT f.z, f.y, f.x, {_BAND_SQL} AS band, c.valid FROM f JOIN coded c USING (z, y, x)),
-{_crest_of_sql("in", BANDS.inner)}, {_crest_of_sql("out", BANDS.outer)}, {_band_normal_sql()},
+{crest_of_sql("in", BANDS.inner)}, {crest_of_sql("out", BANDS.outer)}, {_band_normal_sql()},
 fin AS (SELECT nb.* FROM nb JOIN t_in USING (z, y, x)), fout AS (SELECT nb.* FROM nb JOIN t_out USING (z, y, x)),
 ni AS (SELECT z, y, x, CASE WHEN (z - tz) * tnz + (y - ty) * tny + (x - tx) * tnx < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * sqrt(d2) AS d_in FROM ({_nearest_sql("fin", _FACE_COLUMNS)})),
 no_ AS (SELECT z, y, x, CASE WHEN (z - tz) * tnz + (y - ty) * tny + (x - tx) * tnx < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * sqrt(d2) AS d_out FROM ({_nearest_sql("fout", _FACE_COLUMNS)})),

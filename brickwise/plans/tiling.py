@@ -16,8 +16,8 @@ from brickwise.plans.encoding import _TRIPLES_SQL, triples
 from brickwise.runtime import materialize, scratch_root
 from brickwise.sources import chunks
 from brickwise.sources.tables import table
-from brickwise.sources.voxels import VOXELS_SQL, coded_voxels, voxels
-from brickwise.streaming import incremental
+from brickwise.sources.voxels import EDGE, GRID, VOXELS_SQL, coded_voxels, voxels
+from brickwise.streaming import builds, incremental
 
 AXES = list(grid.AXES)
 
@@ -234,11 +234,18 @@ def objects_split_at_contacts(spark: SparkSession, folder: str) -> DataFrame:
 @register("appended_channel", f"""WITH {VOXELS_SQL} SELECT CASE WHEN valid = 1 THEN 255 WHEN valid = 2 THEN 64 ELSE 0 END AS faces_weight, count(*) AS n,
   CAST(sum(u) AS BIGINT) AS total FROM coded GROUP BY 1""")
 def appended_channel(spark: SparkSession, folder: str) -> DataFrame:
-    """A store with one channel more: written beside the old one, which stays as it was, and read back by the new schema."""
-    old = materialize(coded_voxels(spark, folder).select(*AXES, "u", "valid"), "store")
+    """A store that gets one channel more: made from a channel that is there, stopped on the way and gone on with, and read back beside an old one."""
+    rows = materialize(coded_voxels(spark, folder).select(*AXES, "u", "valid"), "channels-source")
+    store = builds.ChannelStore(spark, f"{scratch_root(spark)}/channels-{uuid.uuid4().hex}", 8)
+    old = {name: incremental.fingerprint(name) for name in ("u", "valid")}
+    for name, identity in old.items():
+        store.add(name, identity, rows, lambda part, name=name: part.select(*AXES, name))
     weight = F.when(F.col("valid") == 1, 255).when(F.col("valid") == 2, 64).otherwise(0)
-    new = materialize(old.withColumn("faces_weight", weight), "store-with-weight")
-    return new.groupBy("faces_weight").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
+    own = incremental.fingerprint("faces_weight", "v1")
+    for waves in (1, None):  # stopped after one wave, then finished
+        store.add("faces_weight", own, store.read({"valid": old["valid"]}), lambda part: part.select(*AXES, weight.alias("faces_weight")), 0, 20, waves)
+    found = store.read({"u": old["u"], "faces_weight": own})
+    return found.groupBy("faces_weight").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
 
 
 @register("packet_manifest", f"""WITH {VOXELS_SQL}, l AS (SELECT vec_id, 'ct' AS layer, count(*) AS n, CAST(sum(u) AS BIGINT) AS total FROM coded
@@ -246,14 +253,16 @@ def appended_channel(spark: SparkSession, folder: str) -> DataFrame:
 SELECT vec_id, string_agg(layer || ':' || CAST(n AS VARCHAR) || ':' || CAST(total AS VARCHAR), ';' ORDER BY layer) AS layers, count(*)
   FILTER (WHERE layer = 'ct') = 1 AS complete FROM l GROUP BY vec_id""")
 def packet_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """The layers of each exported brick in order with their sizes and sums; complete with exactly one intensity layer."""
-    rows = coded_voxels(spark, folder)
-    layer = lambda name, c: rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("total")).withColumn("layer", F.lit(name))
-    both = layer("ct", "u").unionByName(layer("state", "valid"))
-    item = F.struct("layer", F.concat_ws(":", "layer", F.col("n").cast("string"), F.col("total").cast("string")).alias("text"))
-    packed = both.groupBy("vec_id").agg(F.array_sort(F.collect_list(item)).alias("items"), (F.count(F.when(F.col("layer") == "ct",
-        1)) == 1).alias("complete"))  # two layers
-    return packed.select("vec_id", F.array_join(F.transform("items", lambda i: i["text"]), ";").alias("layers"), "complete")
+    """The layers of each exported brick in order, with their sizes and sums as read back; complete with an intensity layer and no damage."""
+    rows = materialize(coded_voxels(spark, folder).select(*AXES, F.col("u").alias("ct"), F.col("valid").alias("state")), "packet-source")
+    store = builds.ChannelStore(spark, f"{scratch_root(spark)}/packets-{uuid.uuid4().hex}", EDGE)
+    layers = {name: incremental.fingerprint("packet", name) for name in ("ct", "state")}
+    for name, identity in layers.items():
+        store.add(name, identity, rows, lambda part, name=name: part.select(*AXES, name))
+    found = builds.packet_layers(store, layers, "ct")
+    text = F.transform("layers", lambda x: F.concat_ws(":", x["layer"], x["n"].cast("string"), x["total"].cast("string")))
+    number = F.col("bz").cast("long") * (GRID * GRID) + F.col("by") * GRID + F.col("bx")
+    return found.select(number.alias("vec_id"), F.array_join(text, ";").alias("layers"), "complete")
 
 
 @register("writer_identity", """WITH e AS (SELECT CAST(event_id AS BIGINT) AS event_id, event_type, user_id % 16 AS brick,

@@ -117,3 +117,51 @@ def build(store: BrickStore, source: DataFrame, make: Callable[[DataFrame], Data
         discard(bricks)
         ran += 1
     return ran
+
+
+class ChannelStore:
+    """Channels of one volume, each a store of bricks of its own beside the others: a channel that is added later leaves every file of the others as it was.
+
+    Readers name the channels that they want, with the identity that wrote them: what a later writer adds, or has added half, doesn't matter to them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, edge: int):
+        self.spark, self.path, self.edge = spark, path.rstrip("/"), edge
+
+    def channel(self, name: str, identity: str) -> BrickStore:
+        return BrickStore(self.spark, f"{self.path}/{name}", identity)
+
+    def add(self, name: str, identity: str, source: DataFrame, make: Callable[[DataFrame], DataFrame], halo: int = 0, wave_bricks: int = 100_000,
+        waves: int | None = None) -> int:
+        """Build a channel's bricks that aren't done; ``make`` returns rows (z, y, x, name)."""
+        return build(self.channel(name, identity), source, make, self.edge, halo, wave_bricks, waves)
+
+    def read(self, channels: dict[str, str]) -> DataFrame:
+        """(z, y, x, channels ...) of the bricks of which every named channel (name, identity) is done."""
+        stores = [self.channel(n, i) for n, i in channels.items()]
+        whole = stores[0].done().select(*BRICK)
+        for store in stores[1:]:
+            whole = whole.join(store.done().select(*BRICK), BRICK, "left_semi")
+        whole = broadcast_if_small(whole)
+        out = None
+        for store, name in zip(stores, channels, strict=True):
+            rows = store.read().select(*AXES, name).withColumns({b: F.floor(F.col(a) / self.edge).cast("int") for a, b in zip(AXES, BRICK, strict=True)})
+            rows = rows.join(whole, BRICK, "left_semi").drop(*BRICK)
+            out = rows if out is None else out.join(rows, list(AXES))
+        return out
+
+
+def packet_layers(store: ChannelStore, layers: dict[str, str], leading: str) -> DataFrame:
+    """(bz, by, bx, layers, complete): for each brick of any layer (name, identity) the list (layer, n, total) of those that are done and hold what was marked, in
+    order, and whether the ``leading`` one is among them and none that is done is damaged. Sums are of what is read back."""
+    found, torn = None, None
+    for name, identity in layers.items():
+        own = store.channel(name, identity)
+        bad = own.damaged()
+        sums = own.read().groupBy(*brick_of(store.edge)).agg(F.count(F.lit(1)).alias("n"), F.sum(name).alias("total"))
+        good = sums.join(bad, BRICK, "left_anti").select(*BRICK, F.lit(name).alias("layer"), "n", "total")
+        bad = bad.select(*BRICK, F.lit(None).cast("string").alias("layer"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("total"))
+        found, torn = (good, bad) if found is None else (found.unionByName(good), torn.unionByName(bad))
+    items = F.array_sort(F.collect_list(F.when(F.col("layer").isNotNull(), F.struct("layer", "n", "total"))))
+    per = found.unionByName(torn).groupBy(*BRICK).agg(items.alias("layers"), F.count(F.when(F.col("layer").isNull(), 1)).alias("_torn"))
+    return per.select(*BRICK, "layers", (F.exists("layers", lambda x: x["layer"] == leading) & (F.col("_torn") == 0)).alias("complete"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brickwise.operators import audit, faces, morphology, shape
+from brickwise.operators import audit, evaluation, faces, morphology, shape
 from brickwise.streaming import builds
 
 
@@ -162,3 +162,54 @@ def test_audit_measures_and_verdict(spark):
     assert verdict == {"dice": True, "iou": False, "none": False}
     bare = {r.measure: r.value for r in audit.measures(rows.withColumn("b", F.lit(False))).collect()}
     assert bare["share_b"] == 0 and bare["b_inside_a"] is None and bare["thickness_b"] is None and bare["crest_a_near"] == 0
+
+
+def test_body_pass_whatever_the_order_and_the_sides(spark):
+    draw = np.random.default_rng(6)
+    pred = draw.random((12, 8, 8)) < 0.2
+    band = np.zeros((12, 8, 8), bool)
+    band[4:7] = True
+    band[10, 0, 0] = True  # too small a component
+    rows = volume(spark, (12, 8, 8), {"pred": ("boolean", lambda z, y, x: bool(pred[z, y, x])), "band": ("boolean", lambda z, y, x: bool(band[z, y, x]))})
+    one, far = (f.collect() for f in evaluation.body_pass(rows, 2, 1, 10))
+    again = evaluation.body_pass(rows.repartition(3, "x"), 2, 1, 10)
+    assert again[0].collect() == one and sorted(again[1].collect()) == sorted(far)
+    places = lambda m: np.argwhere(m)
+    d2 = lambda a, b: ((places(a)[:, None] - places(b)[None]) ** 2).sum(-1)
+    near = np.zeros_like(pred)
+    near[tuple(places(np.ones_like(pred))[d2(np.ones_like(pred), band).min(1) <= 4].T)] = True
+    crest = np.zeros_like(pred)
+    crest[5] = True
+    cut = pred & near
+    cube = lambda a, b: (np.abs(places(a)[:, None] - places(b)[None]).max(-1).min(1) <= 1).sum()
+    assert (one[0].n_near, one[0].n_pred, one[0].n_band) == (near.sum(), cut.sum(), 64)
+    assert abs(one[0].dice - (cube(cut, crest) + cube(crest, cut)) / (cut.sum() + 64)) < 1e-12
+    by = {r.side: r for r in far}
+    ways = {"pred_to_band": np.sqrt(d2(cut, crest).min(1)), "band_to_pred": np.sqrt(d2(crest, cut).min(1))}
+    ways["symmetric"] = np.concatenate(list(ways.values()))
+    for side, d in ways.items():
+        got = by[side]
+        assert (got.n, got.frac_gt3) == (len(d), (d > 3).mean()) and np.allclose([got.mean, got.median, got.p90], [d.mean(), np.median(d), np.percentile(d, 90)])
+    none = evaluation.body_pass(rows.withColumn("band", F.lit(None).cast("boolean")), 2, 1, 10)
+    assert tuple(none[0].first()) == (0, 0, 0, None) and {(r.n, r["mean"]) for r in none[1].collect()} == {(0, None)}
+
+
+def test_channels_are_added_beside_others_and_damage_shows(spark, tmp_path):
+    rows = volume(spark, (8, 4, 4), {"a": ("int", lambda z, y, x: z + y), "b": ("int", lambda z, y, x: x)})
+    store = builds.ChannelStore(spark, f"file://{tmp_path}/s", 4)
+    for c in "ab":
+        store.add(c, c, rows, lambda part, c=c: part.select("z", "y", "x", c))
+    files = lambda c: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "s" / c).rglob("*") if f.is_file()}
+    before = files("a")
+    twice = lambda part: part.select("z", "y", "x", (2 * F.col("a")).alias("twice"))
+    assert store.add("twice", "t", store.read({"a": "a"}), twice, 0, 1, waves=1) == 1
+    assert store.read({"a": "a", "b": "b"}).count() == 128 and store.read({"a": "a", "twice": "t"}).count() == 64  # half a channel
+    store.add("twice", "t", store.read({"a": "a"}), twice)
+    assert store.read({"a": "a", "twice": "t"}).where("twice <> 2 * a").count() == 0 and files("a") == before
+    layers = {"a": "a", "b": "b"}
+    found = {r.bz: (r.complete, [tuple(x) for x in r.layers]) for r in builds.packet_layers(store, layers, "a").collect()}
+    assert found == {0: (True, [("a", 64, 64 * 3), ("b", 64, 96)]), 1: (True, [("a", 64, 64 * 7), ("b", 64, 96)])}
+    wave = store.channel("a", "a").done().first()["wave"]
+    rows.limit(1).select("z", "y", "x", "a", *builds.brick_of(4)).write.mode("append").parquet(f"{store.path}/a/data/wave={wave}")
+    found = {r.bz: (r.complete, [x.layer for x in r.layers]) for r in builds.packet_layers(store, layers, "a").collect()}
+    assert found == {0: (False, ["b"]), 1: (True, ["a", "b"])}
