@@ -42,7 +42,8 @@ BINS, ONE_TASK = 4096, 1_000_000
 def percentiles(rows: DataFrame, value: str, group: list[str], shares: dict[str, float]) -> DataFrame:
     """Per group exact, interpolated percentiles of a numeric column: a column for each item (name, share) of ``shares``; null for a group without values.
 
-    Groups of ``ONE_TASK`` values at most (they are counted first) are ranked by a task each. Where one is larger, a histogram of equal bins between each group's ends says which bins hold the wanted ranks, and only the values of these bins are then counted and
+    Groups of ``ONE_TASK`` values at most (they are counted first) are ranked by a task each. Where one is larger, a histogram of equal bins between each
+    group's ends says which bins hold the wanted ranks, and only the values of these bins are then counted and
     ranked. So a group of any size is summed up where its rows are, and a task ranks the distinct values of a bin or two. Nulls and NaN aren't values.
     """
     known = rows.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -52,15 +53,20 @@ def percentiles(rows: DataFrame, value: str, group: list[str], shares: dict[str,
         return rows.groupBy(*group).agg(*[F.percentile(value, F.lit(s)).alias(n) for n, s in shares.items()])
     keys = [f"_k{i}" for i in range(len(group))]
     same = lambda: _all(F.lit(True), *[F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])
-    ends = known.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    ends = known.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.count(F.lit(1)).alias("_n"))
     ends = materialize(ends, "value-ends")
-    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
+    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1),
+        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
     binned = known.join(broadcast_if_small(ends), same()).select(*keys, "_v", bin_of.cast("int").alias("_bin"))
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    hist = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))  # BINS rows a group
+    hist = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upto),
+        F.lit(0)))  # BINS rows a group
     equal = lambda a, b: _all(F.lit(True), *[a[k].eqNullSafe(b[k]) for k in keys])
-    ranks = {f"{n}{end}": f(F.col("_n") - 1, share) for n, share in shares.items() for end, f in (("_lo", lambda n, s: F.floor(n * s)), ("_hi", lambda n, s: F.ceil(n * s)))}
-    wanted = hist.join(broadcast_if_small(ends), equal(hist, ends)).select(*[hist[k] for k in keys], "_bin", "_c", "_before", F.array(*ranks.values()).alias("_ranks"))
+    ranks = {f"{n}{end}": f(F.col("_n") - 1, share) for n, share in shares.items() for end, f in (("_lo", lambda n, s: F.floor(n * s)), ("_hi", lambda n,
+        s: F.ceil(n * s)))}
+    wanted = hist.join(broadcast_if_small(ends), equal(hist, ends)).select(*[hist[k] for k in keys], "_bin", "_c", "_before",
+        F.array(*ranks.values()).alias("_ranks"))
     wanted = wanted.where(F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
     wanted = materialize(wanted.select(*[F.col(k).alias(f"w{k}") for k in keys], F.col("_bin").alias("_w"), "_before"), "percentile-bins")
     held = _all(F.col("_bin") == F.col("_w"), *[F.col(k).eqNullSafe(F.col(f"w{k}")) for k in keys])

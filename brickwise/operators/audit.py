@@ -51,12 +51,14 @@ def measures(rows: DataFrame, near: float = 3.0, least: int = 100) -> DataFrame:
     for c, o in ("ab", "ba"):
         found = found.crossJoin(mask_measures(base, masks[c], masks[o], c, near, least))  # one row each
     names = found.columns
-    return found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
+    return found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"),
+        F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
 
 
 def verdict(found: DataFrame, rules: dict[str, tuple[float, float]]) -> DataFrame:
     """(rule, value, low, high, passed): whether each measure that has a rule lies within its bounds; one that is null or missing fails."""
-    bounds = F.create_map(*[x for k, (low, high) in rules.items() for x in (F.lit(k), F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high")))])
+    bounds = F.create_map(*[x for k, (low, high) in rules.items() for x in (F.lit(k), F.struct(F.lit(float(low)).alias("low"),
+        F.lit(float(high)).alias("high")))])
     listed = found.sparkSession.range(1).select(F.explode(bounds).alias("rule", "b")).select("rule", "b.low", "b.high")
     both = listed.join(found, listed["rule"] == found["measure"], "left")
     return both.select("rule", "value", "low", "high", F.coalesce(F.col("value").between(F.col("low"), F.col("high")), F.lit(False)).alias("passed"))

@@ -106,7 +106,8 @@ def radial_power(rows: DataFrame, group: str, vector: str, edge: int) -> DataFra
             np.add.at(total, place, by_radius)
             many = np.bincount(place)[:, None] * np.bincount(radius)[None, :]
             at = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(names[at[0].ravel()]), pa.array(at[1].ravel().astype(np.int32)), pa.array(total.ravel()), pa.array(many.ravel())], [group, "radius", "s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[at[0].ravel()]), pa.array(at[1].ravel().astype(np.int32)), pa.array(total.ravel()),
+                pa.array(many.ravel())], [group, "radius", "s", "n"])
 
     known = rows.where(F.col(vector).isNotNull()).select(F.col(group).cast("long"), vector)
     parts = known.mapInArrow(sums, f"{group} long, radius int, s double, n long")

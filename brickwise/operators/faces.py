@@ -57,8 +57,8 @@ def contacts(rows: DataFrame, body: DataFrame, direction: vectors.Vec, steps: in
 def close_along(rows: DataFrame, mask: DataFrame, direction: vectors.Vec, reach: int) -> DataFrame:
     """Places of the closing of ``mask`` by a line of ``reach`` steps either way along each row's own direction.
 
-    A row joins if the mask is met on its line; of what has joined, a row stays if its whole line has. Places without a row neither join nor break a line, so that
-    borders and gaps of the data keep what is there. Gaps of a bundle of layers close, those beside it, across the line, stay open.
+    A row joins if the mask is met on its line; of what has joined, a row stays if its whole line has. Places without a row neither join nor break a line,
+    so that borders and gaps of the data keep what is there. Gaps of a bundle of layers close, those beside it, across the line, stay open.
     """
     if reach < 1:
         return mask.select(*AXES)
@@ -90,17 +90,18 @@ def _sided(rows: DataFrame, face: DataFrame, clip: float, name: str, absent: Col
     return near.withColumn(name, signed).drop("_d2", *[c for c in near.columns if c.startswith("_f_") and c[3:] not in values])
 
 
-def face_labels(rows: DataFrame, radial: vectors.Vec, rules: FaceRules = FaceRules(), normal: vectors.Vec | None = None, least_normal: float = 0.5) -> DataFrame:
+def face_labels(rows: DataFrame, radial: vectors.Vec, rules: FaceRules = FaceRules(), normal: vectors.Vec | None = None,
+    least_normal: float = 0.5) -> DataFrame:
     """(z, y, x, sdf_in, sdf_out, thickness, faces_valid) for every row (z, y, x, ct, recto, data) from intensity and normals.
 
     The body is what the smoothed intensity leaves above a threshold, closed along the normals (or by a ball) and rid of small components. A boundary voxel
-    belongs to the inner face if the body lies ahead of it along its outward normal only, to the outer face if behind it only; else its side is unknown. Distances to the
-    faces are signed by the normal of the nearest face voxel and held within ``clip``; without a face they are the clip, negative for an outer face that is missing
-    beside a body. ``thickness`` is twice the depth of the nearest middle voxel of a body.
+    belongs to the inner face if the body lies ahead of it along its outward normal only, to the outer face if behind it only; else its side is unknown.
+    Distances to the faces are signed by the normal of the nearest face voxel and held within ``clip``; without a face they are the clip, negative for an
+    outer face that is missing beside a body. ``thickness`` is twice the depth of the nearest middle voxel of a body.
 
-    ``faces_valid`` is 0 without data, else 2 (ignored) where the normal is missing although normals are given; where the nearest face voxel is of unknown side and within
-    ``side_reach``; where the nearest outer face voxel touches a body within ``contact_reach`` ahead; where the nearest body's median thickness is out of
-    bounds; where ``recto`` is doubtful and no face is near; and everywhere if there is no body. Else 1. Byte codes are 0 without data.
+    ``faces_valid`` is 0 without data, else 2 (ignored) where the normal is missing although normals are given; where the nearest face voxel is of unknown
+    side and within ``side_reach``; where the nearest outer face voxel touches a body within ``contact_reach`` ahead; where the nearest body's median
+    thickness is out of bounds; where ``recto`` is doubtful and no face is near; and everywhere if there is no body. Else 1. Byte codes are 0 without data.
     """
     base = materialize(outward_normal(rows, normal, radial, least_normal).select(*AXES, "ct", "recto", "data", "n_ok", *NORMAL), "face-rows")
     n = tuple(map(F.col, NORMAL))
@@ -135,7 +136,8 @@ def face_labels(rows: DataFrame, radial: vectors.Vec, rules: FaceRules = FaceRul
     lost = F.lit(False) if normal is None else ~F.col("n_ok")
     ignored = F.col("thick").isNull() | ~F.col("apt") | unknown | touching | doubtful | lost
     held = lambda c: F.when(F.col("data"), c).otherwise(0)
-    return both.select(*AXES, held(codec.encode_sdf(F.col("d_in"), rules.clip)).alias("sdf_in"), held(codec.encode_sdf(F.col("d_out"), rules.clip)).alias("sdf_out"),
+    return both.select(*AXES, held(codec.encode_sdf(F.col("d_in"), rules.clip)).alias("sdf_in"), held(codec.encode_sdf(F.col("d_out"),
+        rules.clip)).alias("sdf_out"),
         held(F.least(F.lit(255), F.rint(F.coalesce("thick", F.lit(0.0)))).cast("int")).alias("thickness"),
         held(F.when(ignored, 2).otherwise(1)).alias("faces_valid"))
 
@@ -159,7 +161,8 @@ def window_moments(band: DataFrame, radius: int) -> DataFrame:
     """
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
     long = {a: F.col(a).cast("long") for a in AXES}
-    out = band.select(*AXES, F.lit(1).cast("long").alias("count"), *[long[a].alias(f"m_{a}") for a in AXES], *[(long[a] * long[b]).alias(f"m_{a}{b}") for a, b in pairs])
+    out = band.select(*AXES, F.lit(1).cast("long").alias("count"), *[long[a].alias(f"m_{a}") for a in AXES], *[(long[a] * long[b]).alias(f"m_{a}{b}") for a,
+        b in pairs])
     sums = ["count", *(f"m_{a}" for a in AXES), *(f"m_{a}{b}" for a, b in pairs)]
     for axis in AXES:
         moved = out.withColumn("_step", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
@@ -171,12 +174,13 @@ def window_moments(band: DataFrame, radius: int) -> DataFrame:
 def band_normals(rows: DataFrame, band: DataFrame, radial: vectors.Vec, rules: BandRules = BandRules()) -> DataFrame:
     """``rows`` with the outward unit normal ``n_*`` of the band around each, and ``n_ok`` where it is the band's own.
 
-    The normal is the direction in which the band's places in the window spread least, turned to the radial's side. Where there are less than ``least_count`` places, where
-    they spread in no two directions, or where the least spread is over ``planarity`` of the next, it is the radial direction.
+    The normal is the direction in which the band's places in the window spread least, turned to the radial's side. Where there are less than
+    ``least_count`` places, where they spread in no two directions, or where the least spread is over ``planarity`` of the next, it is the radial direction.
     """
     moments = rows.join(window_moments(band, rules.window), list(AXES), "left")
     n = F.col("count")
-    spread = [(n * F.col(f"m_{a}{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) / (n * n) for a, b in (("z", "z"), ("y", "y"), ("x", "x"), ("z", "y"), ("z", "x"), ("y", "x"))]
+    spread = [(n * F.col(f"m_{a}{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) / (n * n) for a, b in (("z", "z"), ("y", "y"), ("x", "x"), ("z", "y"), ("z", "x"),
+        ("y", "x"))]
     spreads = [f"_c{i}" for i in range(6)]
     known = moments.withColumns(dict(zip(spreads, spread, strict=True)))
     matrix = [F.col(c) for c in spreads]
@@ -192,9 +196,10 @@ def band_normals(rows: DataFrame, band: DataFrame, radial: vectors.Vec, rules: B
 def band_faces(rows: DataFrame, radial: vectors.Vec, rules: BandRules = BandRules()) -> DataFrame:
     """(z, y, x, sdf_in, sdf_out, thickness, faces_valid) for every row (z, y, x, band, data) from bands that are drawn along both faces.
 
-    The faces are the crests of the inner and of the outer bands without their small components; a band of both is a part of each. Distances are signed by the normal of the
-    nearest face voxel (:func:`band_normals` of all bands together). ``faces_valid`` is 0 without data, 1 within ``clip`` of both faces, else 2; everything is ignored, and
-    both distances the clip, if either face is missing. ``thickness`` is the sum of both distances, not held within the clip, between the faces, else 0.
+    The faces are the crests of the inner and of the outer bands without their small components; a band of both is a part of each. Distances are signed by
+    the normal of the nearest face voxel (:func:`band_normals` of all bands together). ``faces_valid`` is 0 without data, 1 within ``clip`` of both faces,
+    else 2; everything is ignored, and both distances the clip, if either face is missing. ``thickness`` is the sum of both distances, not held within the
+    clip, between the faces, else 0.
     """
     base = materialize(rows.select(*AXES, "band", "data", *[r.alias(f"r_{a}") for r, a in zip(radial, AXES, strict=True)]), "band-rows")
     faces = {}

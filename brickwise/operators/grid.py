@@ -157,8 +157,10 @@ def tile_boxes(size: tuple[int, int, int], tile: int, halo: int, patch: int) ->
     return tuple(max(patch, longest(n) + 2 * halo) for n in size)
 
 
-def fitted_tile(size: tuple[int, int, int], tile: int, halo: int, patch: int, channels: int, limit: int, step: int = 32, least: int = 32, width: int = 2) -> int:
-    """The largest tile, ``step`` by ``step`` down from ``tile``, whose largest box's sums of ``channels`` and of their weights, ``width`` bytes each, fit in ``limit``.
+def fitted_tile(size: tuple[int, int, int], tile: int, halo: int, patch: int, channels: int, limit: int, step: int = 32, least: int = 32,
+    width: int = 2) -> int:
+    """The largest tile, ``step`` by ``step`` down from ``tile``, whose largest box's sums of ``channels`` and of their weights, ``width`` bytes each, fit in
+    ``limit``.
 
     Raises MemoryError if even ``least`` doesn't fit.
     """

@@ -15,7 +15,9 @@ LINES = 8
 
 
 def lowest_parabolas(place: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the parabolas of height plus squared distance are lowest somewhere, in order of their ascending places, and where each hands over to the next."""
+    """Which of the parabolas of height plus squared distance are lowest somewhere, in order of their ascending places, and where each hands over to the
+    next.
+    """
     kept: list[int] = []
     cuts: list[float] = []
     for i, (p, h) in enumerate(zip(place.tolist(), height.tolist(), strict=True)):
@@ -59,7 +61,9 @@ def _along(rows: DataFrame, axis: str) -> DataFrame:
 
 
 def _enveloped(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """All places of the box around both, with ``d2``, and ``_of`` if ``marked`` has it, of the nearest marked place; null if ``rows`` and ``marked`` are empty."""
+    """All places of the box around both, with ``d2``, and ``_of`` if ``marked`` has it, of the nearest marked place; null if ``rows`` and ``marked`` are
+    empty.
+    """
     ends = rows.select(*AXES).union(marked.select(*AXES)).agg(*[f(a).alias(n + a) for a in AXES for f, n in ((F.min, "lo_"), (F.max, "hi_"))]).first()
     if ends["lo_z"] is None:
         return marked

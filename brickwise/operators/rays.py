@@ -50,8 +50,9 @@ RUN_PEAKS = 4_000_000
 def spaced_peaks(peaks: DataFrame, distance: int) -> DataFrame:
     """(ray_id, k, v): the highest peaks, none closer than ``distance`` to a higher one that is taken; of equal ones the first in place counts as higher.
 
-    Peaks that are ``distance`` apart or more don't matter to each other: a ray is cut there into runs, and each run is solved in one pass by one task, however its heights
-    rise or fall. Runs of over RUN_PEAKS peaks are solved in rounds of neighbours instead, in each of which their highest open peak is taken.
+    Peaks that are ``distance`` apart or more don't matter to each other: a ray is cut there into runs, and each run is solved in one pass by one task,
+    however its heights rise or fall. Runs of over RUN_PEAKS peaks are solved in rounds of neighbours instead, in each of which their highest open peak is
+    taken.
     """
     cut = F.coalesce(F.col("k") - F.lag("k").over(_order()) >= distance, F.lit(True)).cast("long")
     marked = peaks.select("ray_id", F.col("k").cast("long").alias("k"), F.col("v").cast("double").alias("v")).withColumn("_cut", cut)

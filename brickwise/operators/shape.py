@@ -42,11 +42,11 @@ def shape_targets(rows: DataFrame, inner: Column, outer: Column, valid: Column,
     factor: int | None = None) -> DataFrame:
     """(z, y, x, off_z, off_y, off_x, thick, incoherence, valid) of every row, from the signed distances to both faces and the outward normal.
 
-    Only voxels between the faces that are supervised (valid is 1) and have a normal count; the others have zeros and valid 0. The offset leads from
-    the voxel to the centre plane, along the normal, half the difference of the distances long. Thickness, the sum of both distances within twice the clip, and
-    normals are summed up over blocks of ``factor`` voxels (:func:`coarse_factor`), and these over a gaussian window, each divided by the body's share of the
-    window. Incoherence is one less the largest eigenvalue's share of the scatter of the blocks' mean normals: 0 where sheets are flat, a half where two cross, 2/3
-    at most. Nulls in a distance, a normal or validity make a voxel one that doesn't count. Blocks at borders are as large as the rows in them.
+    Only voxels between the faces that are supervised (valid is 1) and have a normal count; the others have zeros and valid 0. The offset leads from the
+    voxel to the centre plane, along the normal, half the difference of the distances long. Thickness, the sum of both distances within twice the clip, and
+    normals are summed up over blocks of ``factor`` voxels (:func:`coarse_factor`), and these over a gaussian window, each divided by the body's share of
+    the window. Incoherence is one less the largest eigenvalue's share of the scatter of the blocks' mean normals: 0 where sheets are flat, a half where two
+    cross, 2/3 at most. Nulls in a distance, a normal or validity make a voxel one that doesn't count. Blocks at borders are as large as the rows in them.
     """
     block = coarse_factor(sigma) if factor is None else max(1, factor)
     counts = F.coalesce(codec.in_body(inner, outer) & (valid == 1) & (vectors.norm(normal) > LEAST_NORMAL), F.lit(False))

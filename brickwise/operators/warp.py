@@ -47,7 +47,8 @@ def control_points(rows: DataFrame, warp: Warp) -> DataFrame:
     """
     n = warp.grid
     at = F.col("i")
-    drawn = lambda a: hashed_normal(F.concat_ws(":", F.lit(warp.seed), F.coalesce(F.col("box").cast("string"), F.lit("-")), F.lit(a), at)) * warp.magnitude
+    drawn = lambda a: hashed_normal(F.concat_ws(":", F.lit(warp.seed), F.coalesce(F.col("box").cast("string"), F.lit("-")), F.lit(a),
+        at)) * warp.magnitude
     points = F.transform(F.sequence(F.lit(0), F.lit(n**3 - 1)), lambda i: i)
     boxes = rows.select("box").distinct().withColumn("i", F.explode(points))
     fields = boxes.select("box", "i", *[drawn(a).alias(a) for a in AXES]).groupBy("box").agg(F.sort_array(F.collect_list(F.struct("i", *AXES))).alias("_field"))
@@ -94,8 +95,9 @@ def _adjugate(m: list[list[Column]]) -> tuple[list[list[Column]], Column]:
 
 
 def origins(rows: DataFrame, size: tuple[int, int, int], warp: Warp) -> DataFrame:
-    """``rows`` (box, z, y, x with places from 0 within a box of ``size``) with the place ``p_*`` that each is drawn from, ``outside`` where that is beyond the box,
-    and the pull-back's matrix ``j_rc``: how the origin moves with the place."""
+    """``rows`` (box, z, y, x with places from 0 within a box of ``size``) with the place ``p_*`` that each is drawn from, ``outside`` where that is beyond
+    the box, and the pull-back's matrix ``j_rc``: how the origin moves with the place.
+    """
     half = [(n - 1) / 2 for n in size]
     back = warp.inverse()
     centred = tuple(F.col(a) - h for a, h in zip(AXES, half, strict=True))
@@ -119,11 +121,12 @@ def warped(rows: DataFrame, size: tuple[int, int, int], warp: Warp, plain: list[
     tangents: list[str] = (), covectors: list[str] = (), valid: str = "valid", clip: float = 20.0, saturated: float = 1e-3) -> DataFrame:
     """Boxes of rows (box, z, y, x from 0, valid, ...) drawn anew through a warp; one row for each that there was.
 
-    ``plain`` values (intensities) lie between the eight voxels around their origin, the border's beyond it. All others lie between those of the eight that are
-    supervised (valid 1), and are 0 where there are none: ``scalars`` stay, ``lengths`` grow with the whole map and are held within ``clip``, ``tangents`` (prefixes of vectors
-    ``prefix_z, _y, _x``) are turned by the local Jacobian of the map, ``covectors`` by its inverse transposed; both come out as unit vectors. ``valid`` is that of
-    the nearest voxel, 0 outside the box; 2 where a map that shrinks lengths has shrunk one that was at the clip, since what it is then isn't known. The identity gives the
-    rows again, vectors made unit vectors. A place without a row has no value and is as if not supervised.
+    ``plain`` values (intensities) lie between the eight voxels around their origin, the border's beyond it. All others lie between those of the eight that
+    are supervised (valid 1), and are 0 where there are none: ``scalars`` stay, ``lengths`` grow with the whole map and are held within ``clip``,
+    ``tangents`` (prefixes of vectors ``prefix_z, _y, _x``) are turned by the local Jacobian of the map, ``covectors`` by its inverse transposed; both come
+    out as unit vectors. ``valid`` is that of the nearest voxel, 0 outside the box; 2 where a map that shrinks lengths has shrunk one that was at the clip,
+    since what it is then isn't known. The identity gives the rows again, vectors made unit vectors. A place without a row has no value and is as if not
+    supervised.
     """
     vector = [f"{p}_{a}" for p in (*tangents, *covectors) for a in AXES]
     drawn = [*scalars, *lengths, *vector]
@@ -141,9 +144,11 @@ def warped(rows: DataFrame, size: tuple[int, int, int], warp: Warp, plain: list[
         inside = held[0] == place[0]
         for h, p in zip(held[1:], place[1:], strict=True):
             inside = inside & (h == p)
-        corners.append(F.struct(*[h.alias(f"_{a}") for h, a in zip(held, AXES, strict=True)], (parts[0] * parts[1] * parts[2]).alias("_w"), inside.alias("_inside")))
+        corners.append(F.struct(*[h.alias(f"_{a}") for h, a in zip(held, AXES, strict=True)], (parts[0] * parts[1] * parts[2]).alias("_w"),
+            inside.alias("_inside")))
     spread = placed.select(*keys, F.explode(F.array(*corners)).alias("_c")).select(*keys, "_c.*").where("_w > 0")
-    source = rows.select(F.col("box").alias("_box"), *[F.col(a).alias(f"_{a}") for a in AXES], (F.col(valid) == 1).alias("_m"), *[F.col(c).alias(f"_v_{c}") for c in (*plain,
+    source = rows.select(F.col("box").alias("_box"), *[F.col(a).alias(f"_{a}") for a in AXES], (F.col(valid) == 1).alias("_m"),
+        *[F.col(c).alias(f"_v_{c}") for c in (*plain,
         *drawn)])
     same = F.col("box").eqNullSafe(F.col("_box"))
     for a in AXES:
@@ -151,7 +156,8 @@ def warped(rows: DataFrame, size: tuple[int, int, int], warp: Warp, plain: list[
     met = spread.join(source, same)
     counts = F.when(F.col("_m") & F.col("_inside"), F.col("_w")).otherwise(0.0)
     share = lambda weight, c: F.sum(weight * F.coalesce(F.col(f"_v_{c}"), F.lit(0.0))).alias(f"_s_{c}")
-    sums = met.groupBy(*keys).agg(F.sum("_w").alias("_all"), F.sum(counts).alias("_part"), *[share(F.col("_w"), c) for c in plain], *[share(counts, c) for c in drawn])
+    sums = met.groupBy(*keys).agg(F.sum("_w").alias("_all"), F.sum(counts).alias("_part"), *[share(F.col("_w"), c) for c in plain], *[share(counts,
+        c) for c in drawn])
     nearest = {f"_{a}": F.rint(F.col(f"p_{a}")).cast("int") for a in AXES}
     states = rows.select(F.col("box").alias("_box"), *[F.col(a).alias(f"_{a}") for a in AXES], F.col(valid).alias("_state"))
     stated = placed.withColumns({f"_n{a}": nearest[f"_{a}"] for a in AXES})

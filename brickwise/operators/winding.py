@@ -28,8 +28,8 @@ class WindingRules(NamedTuple):
 
 
 def masked_upsample(fine: DataFrame, coarse: DataFrame, values: list[str], valid: str, factor: int, prefix: str = "prior_") -> DataFrame:
-    """``fine`` with each coarse value between the eight coarse voxels around, of which only those with ``valid`` 1 count: ``prior_*``, zero where they have less
-    than half of the weight; and ``prior_valid``, that of the coarse voxel which covers the fine one, 0 where the values are zero or there is none.
+    """``fine`` with each coarse value between the eight coarse voxels around, of which only those with ``valid`` 1 count: ``prior_*``, zero where they have
+    less than half of the weight; and ``prior_valid``, that of the coarse voxel which covers the fine one, 0 where the values are zero or there is none.
 
     Coarse voxel i covers fine ones [i f, (i + 1) f). Beyond the coarse data the nearest voxels take the missing ones' weight.
     """
@@ -44,7 +44,8 @@ def masked_upsample(fine: DataFrame, coarse: DataFrame, values: list[str], valid
     source = coarse.select(*[F.col(a).alias(f"_c{a}") for a in AXES], (F.col(valid) == 1).alias("_m"), *[F.col(v).alias(f"_v_{v}") for v in values])
     met = spread.join(source, [f"_c{a}" for a in AXES])
     counted = F.when(F.col("_m"), F.col("_w")).otherwise(0.0)
-    sums = met.groupBy(*AXES).agg(F.sum("_w").alias("_all"), F.sum(counted).alias("_part"), *[F.sum(counted * F.col(f"_v_{v}")).alias(f"_v_{v}") for v in values])
+    sums = met.groupBy(*AXES).agg(F.sum("_w").alias("_all"), F.sum(counted).alias("_part"),
+        *[F.sum(counted * F.col(f"_v_{v}")).alias(f"_v_{v}") for v in values])
     known = F.col("_part") >= 0.5 * F.col("_all")
     found = sums.select(*AXES, known.alias("_known"), *[F.when(known, F.col(f"_v_{v}") / F.col("_part")).otherwise(0.0).alias(prefix + v) for v in values])
     covered = joins.coarse_join(fine, coarse.select(*AXES, F.col(valid).alias("_state")), factor)
@@ -68,11 +69,12 @@ def fine_winding(rows: DataFrame, radial: vectors.Vec, rules: WindingRules = Win
     """(z, y, x, sine, cosine, density, n_z, n_y, n_x, conf, valid, phase, period) of rows (z, y, x, sdf_in, sdf_out, faces_valid): bytes as in the stores,
     and the phase and period behind them.
 
-    Where both distances are known, their difference is the thickness inside a sheet and minus the gap between sheets. Each voxel takes both from the nearest place that
-    measures them, however far; their sum is its period, and the inner distance over the period its phase, zero at the inner face. The normal is the sum of the
-    gradients of the distances whose slopes are plausible, ``conf`` how far these agree; it is turned outward, to the prior's normal or the radial direction. Valid are
-    voxels with data, supervised faces, an inner distance that isn't saturated, a period within bounds and a normal; with ``snap`` also only those
-    whose phase is that near to the prior's, where that is valid, and ``conf`` falls off with the difference. Invalid voxels have codes of zero.
+    Where both distances are known, their difference is the thickness inside a sheet and minus the gap between sheets. Each voxel takes both from the
+    nearest place that measures them, however far; their sum is its period, and the inner distance over the period its phase, zero at the inner face. The
+    normal is the sum of the gradients of the distances whose slopes are plausible, ``conf`` how far these agree; it is turned outward, to the prior's
+    normal or the radial direction. Valid are voxels with data, supervised faces, an inner distance that isn't saturated, a period within bounds and a
+    normal; with ``snap`` also only those whose phase is that near to the prior's, where that is valid, and ``conf`` falls off with the difference. Invalid
+    voxels have codes of zero.
     """
     inner, outer = (codec.decode_sdf(F.col(f"sdf_{s}"), rules.clip) for s in ("in", "out"))
     data = (F.col("sdf_in") > 0) & (F.col("sdf_out") > 0) & (F.col("faces_valid") > 0)
@@ -119,6 +121,8 @@ def fine_winding(rows: DataFrame, radial: vectors.Vec, rules: WindingRules = Win
     shown = lambda c, otherwise=0: F.when(F.col("_valid"), c).otherwise(otherwise)
     angle = F.col("phase") * (2 * math.pi)
     signed = lambda c: shown(codec.encode_signed(c), codec.encode_signed(F.lit(0.0)))
-    return out.select(*AXES, signed(F.sin(angle)).alias("sine"), signed(F.cos(angle)).alias("cosine"), shown(codec.encode_density(1 / F.col("period"))).alias("density"),
-        *[signed(F.col(f"_o{a}")).alias(f"n_{a}") for a in AXES], shown(codec.encode_prob(F.col("_conf"))).alias("conf"), F.col("_valid").cast("int").alias("valid"),
+    return out.select(*AXES, signed(F.sin(angle)).alias("sine"), signed(F.cos(angle)).alias("cosine"),
+        shown(codec.encode_density(1 / F.col("period"))).alias("density"),
+        *[signed(F.col(f"_o{a}")).alias(f"n_{a}") for a in AXES], shown(codec.encode_prob(F.col("_conf"))).alias("conf"),
+            F.col("_valid").cast("int").alias("valid"),
         "phase", "period")

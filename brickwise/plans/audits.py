@@ -47,14 +47,16 @@ def fine_stage(rows: DataFrame, coarse: DataFrame) -> DataFrame:
     return both.select(*AXES, F.when(F.col("valid") == 0, 0).otherwise(code).alias("code"), state.alias("state"))
 
 
-@register("resumable_labels", f"""WITH {VOXELS_SQL}, c AS (SELECT z // {BLOCK} AS cz, y // {BLOCK} AS cy, x // {BLOCK} AS cx, round(avg(u), 6) AS mean FROM coded GROUP BY 1, 2, 3),
+@register("resumable_labels", f"""WITH {VOXELS_SQL}, c AS (SELECT z // {BLOCK} AS cz, y // {BLOCK} AS cy, x // {BLOCK} AS cx, round(avg(u), 6) AS mean
+  FROM coded GROUP BY 1, 2, 3),
 s AS (SELECT DISTINCT a.z, a.y, a.x FROM coded a JOIN coded b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AND {_near("a", "b", 1)}
   WHERE a.u > 215 AND b.u <= 215),
 d AS (SELECT a.z, a.y, a.x, min({_d2("a", "s")}) AS d2 FROM coded a JOIN s ON {_near("a", "s", REACH)} WHERE {_d2("a", "s")} <= {REACH**2} GROUP BY 1, 2, 3),
 j AS (SELECT v.*, coalesce(sqrt(d.d2), {REACH}) * CASE WHEN u > 215 THEN -1 ELSE 1 END AS sd, abs(c.mean - 128) AS off FROM coded v LEFT JOIN d USING (z, y, x)
   JOIN c ON cz = v.z // {BLOCK} AND cy = v.y // {BLOCK} AND cx = v.x // {BLOCK})
 SELECT z // {EDGE} AS slab, CASE WHEN valid = 0 THEN 0 WHEN valid = 2 OR off <= 6 THEN 2 ELSE 1 END AS state,
-  CASE WHEN valid = 0 THEN 0 ELSE CAST(least(255.0, greatest(1.0, round_even(128 + sd * (127.0::DOUBLE / {REACH}.0::DOUBLE), 0))) AS INT) END AS code, count(*) AS n
+  CASE WHEN valid = 0 THEN 0 ELSE CAST(least(255.0, greatest(1.0, round_even(128 + sd * (127.0::DOUBLE / {REACH}.0::DOUBLE), 0))) AS INT) END AS code,
+  count(*) AS n
 FROM j GROUP BY 1, 2, 3""")
 def resumable_labels(spark: SparkSession, folder: str) -> DataFrame:
     """A coarse and a fine stage, built brick by brick into stores: the fine one stops after a wave and another call goes on from its marks."""
@@ -83,7 +85,8 @@ k{c} AS (SELECT root, count(*) AS n FROM (SELECT node, min(other) AS root FROM h
 p{c} AS (SELECT m.z, m.y, m.x, sqrt(min({_d2("m", "r")})) AS depth FROM m{c} m JOIN r{c} r ON {_near("m", "r", 5)} GROUP BY 1, 2, 3),
 c{c} AS (SELECT p.z, p.y, p.x, p.depth FROM p{c} p JOIN p{c} q ON {_near("p", "q", 1)} GROUP BY 1, 2, 3, 4 HAVING p.depth >= max(q.depth) - 0.5),
 n{c} AS (SELECT count(DISTINCT (c.z, c.y, c.x)) AS n FROM c{c} c JOIN m{o} t ON {_near("c", "t", NEAR)} WHERE {_d2("c", "t")} <= {NEAR**2}),
-f{c} AS (SELECT (SELECT count(*) FROM s{c}) AS surface_{c}, (SELECT count(*) FROM k{c}) AS components_{c}, coalesce((SELECT max(n) FROM k{c}), 0) AS largest_{c},
+f{c} AS (SELECT (SELECT count(*) FROM s{c}) AS surface_{c}, (SELECT count(*) FROM k{c}) AS components_{c}, coalesce((SELECT max(n) FROM k{c}),
+  0) AS largest_{c},
   (SELECT median(2 * depth) FROM c{c}) AS thickness_{c}, (SELECT n FROM n{c}) / nullif((SELECT count(*) FROM c{c}), 0) AS crest_{c}_near)"""
 
 
@@ -91,9 +94,11 @@ def _audit_sql(edit: str) -> str:
     """``w``: one row of all measures."""
     split = ", ".join(f"m{c} AS (SELECT z, y, x, CAST(z AS BIGINT) * 1099511627776 + CAST(y AS BIGINT) * 1048576 + x AS id FROM ab WHERE {c}), "
         f"r{c} AS (SELECT z, y, x FROM ab WHERE NOT {c})" for c in "ab")
-    return f"""ab AS (SELECT z, y, x, u > 225 AS a, (u > 230 OR u > 215 AND label % 3 = 0) AND NOT ({edit}) AS b FROM coded), {split}, {_mask_sql("a", "b")}, {_mask_sql("b", "a")},
+    return f"""ab AS (SELECT z, y, x, u > 225 AS a, (u > 230 OR u > 215 AND label % 3 = 0) AND NOT ({edit}) AS b FROM coded), {split}, {_mask_sql("a", "b")},
+  {_mask_sql("b", "a")},
 t AS (SELECT count(*) AS n, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE b) AS nb, count(*) FILTER (WHERE a AND b) AS nab FROM ab),
-w AS (SELECT na / n AS share_a, nb / n AS share_b, 2 * nab / nullif(na + nb, 0) AS dice, nab / nullif(na + nb - nab, 0) AS iou, nab / nullif(na, 0) AS a_inside_b,
+w AS (SELECT na / n AS share_a, nb / n AS share_b, 2 * nab / nullif(na + nb, 0) AS dice, nab / nullif(na + nb - nab, 0) AS iou, nab / nullif(na,
+  0) AS a_inside_b,
   nab / nullif(nb, 0) AS b_inside_a, fa.*, fb.* FROM t, fa, fb)"""
 
 
@@ -124,7 +129,8 @@ def audit_verdict(spark: SparkSession, folder: str) -> DataFrame:
 BOXES = (((0, 0, 0), (16, 32, 32)), ((0, 0, 0), (8, 16, 32)), ((0, 0, 0), (8, 24, 32)))
 
 
-@register("cached_reads", f"""WITH {VOXELS_SQL}, q AS (SELECT p_partkey AS request, p_size % 14 AS z, p_partkey % 25 AS y, p_partkey * 7 % 27 AS x, p_partkey % 5 AS level FROM part),
+@register("cached_reads", f"""WITH {VOXELS_SQL}, q AS (SELECT p_partkey AS request, p_size % 14 AS z, p_partkey % 25 AS y, p_partkey * 7 % 27 AS x,
+  p_partkey % 5 AS level FROM part),
 c AS (SELECT *, CASE WHEN level > 0 THEN NULL WHEN z + 3 <= 8 AND y + 7 <= 24 THEN 2 WHEN z + 3 <= 16 THEN 0 END AS cache FROM q)
 SELECT CASE WHEN cache IS NULL THEN -1 ELSE cache END AS cache, count(DISTINCT request) AS requests, count(*) AS n, CAST(sum(u) AS BIGINT) AS total
 FROM c JOIN coded d ON d.z >= c.z AND d.z < c.z + 3 AND d.y >= c.y AND d.y < c.y + 7 AND d.x >= c.x AND d.x < c.x + 5 GROUP BY 1""")
@@ -137,12 +143,15 @@ def cached_reads(spark: SparkSession, folder: str) -> DataFrame:
         cache.copy_box(c, rows, *((3, 1) if i == 1 else ()))
     key = F.col("p_partkey")
     asked = table(spark, folder, "part").select(key.alias("request"), (key % 5).cast("int").alias("level"), (F.col("p_size") % 14).cast("int").alias("low_z"),
-        (key % 25).cast("int").alias("low_y"), (key * 7 % 27).cast("int").alias("low_x"), *[F.lit(n).alias(f"size_{a}") for a, n in zip(AXES, (3, 7, 5), strict=True)])
+        (key % 25).cast("int").alias("low_y"), (key * 7 % 27).cast("int").alias("low_x"), *[F.lit(n).alias(f"size_{a}") for a, n in zip(AXES, (3, 7, 5),
+            strict=True)])
     read = cache.read_through(caches, asked, rows, EDGE)
-    return read.groupBy(F.coalesce("cache", F.lit(-1)).alias("cache")).agg(F.countDistinct("request").alias("requests"), F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
+    return read.groupBy(F.coalesce("cache", F.lit(-1)).alias("cache")).agg(F.countDistinct("request").alias("requests"), F.count(F.lit(1)).alias("n"),
+        F.sum("u").alias("total"))
 
 
-@register("compressed_array_read", f"""WITH {VOXELS_SQL} SELECT z, count(*) AS n, CAST(sum(u) AS BIGINT) AS total, CAST(sum(u * (x + 1)) AS BIGINT) AS moment FROM coded
+@register("compressed_array_read", f"""WITH {VOXELS_SQL} SELECT z, count(*) AS n, CAST(sum(u) AS BIGINT) AS total, CAST(sum(u * (x + 1)) AS BIGINT) AS moment
+  FROM coded
   WHERE y BETWEEN 3 AND 28 AND x BETWEEN 2 AND 30 AND z < (SELECT max(vec_id) // 64 * 4 FROM embeddings) GROUP BY z""")
 def compressed_array_read(spark: SparkSession, folder: str) -> DataFrame:
     """Whole layers written as chunk files packed by zlib, and a box of them read back."""

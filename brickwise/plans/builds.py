@@ -273,7 +273,8 @@ def grid_cell_crop_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("ray_autocorrelation", f"""WITH {_RAY_SQL}, m AS (SELECT ray_id, k, coalesce(v, 0) - avg(coalesce(v, 0)) OVER (PARTITION BY ray_id) AS c FROM ray),
-p AS (SELECT ray_id, sum(c * c) AS power FROM m GROUP BY ray_id), g AS (SELECT a.ray_id, b.k - a.k AS lag, sum(a.c * b.c) AS s FROM m a JOIN m b ON a.ray_id = b.ray_id AND b.k > a.k
+p AS (SELECT ray_id, sum(c * c) AS power FROM m GROUP BY ray_id), g AS (SELECT a.ray_id, b.k - a.k AS lag, sum(a.c * b.c) AS s FROM m a
+  JOIN m b ON a.ray_id = b.ray_id AND b.k > a.k
   GROUP BY 1, 2)
 SELECT ray_id, CAST(min(lag) FILTER (WHERE power > 0 AND s / power < exp(-1)) AS DOUBLE) AS lag FROM p LEFT JOIN g USING (ray_id) GROUP BY ray_id""")
 def ray_autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
@@ -281,7 +282,8 @@ def ray_autocorrelation(spark: SparkSession, folder: str) -> DataFrame:
     return rays.autocorrelation_length(event_rays(spark, folder))
 
 
-@register("windings_per_period", f"""WITH {_RAY_SQL}, sp AS (SELECT ray_id, k, v, valid, s * 8 AS start FROM ray, LATERAL (SELECT unnest(range(greatest(0, CAST(ceil((k - 15) / 8.0) AS BIGINT)),
+@register("windings_per_period", f"""WITH {_RAY_SQL}, sp AS (SELECT ray_id, k, v, valid, s * 8 AS start FROM ray, LATERAL (SELECT unnest(range(greatest(0,
+  CAST(ceil((k - 15) / 8.0) AS BIGINT)),
   k // 8 + 1)) AS s)),
 fu AS (SELECT ray_id, start, avg(v) AS mean FROM sp GROUP BY 1, 2 HAVING count(*) = 16 AND avg(CASE WHEN valid THEN 1.0::DOUBLE ELSE 0 END) >= 0.8),
 ke AS (SELECT sp.* FROM sp JOIN fu USING (ray_id, start)){_PERIOD_SQL.format(more="start, ", parts=", start", rows="ke", most=8, least=3)}

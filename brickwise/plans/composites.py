@@ -144,11 +144,13 @@ def tile_plan(spark: SparkSession, folder: str) -> DataFrame:
     tiles = keyed.groupBy("iz", "iy", "ix").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.min("high").alias("high"))
     core = F.col("high") - F.col("low")
     extra = F.greatest(F.lit(0), 20 - (core + 6))
-    return tiles.select("iz", "iy", "ix", "n", F.col("low").alias("core_z"), core.alias("core_n"), (F.col("low") - 3 - F.floor(extra / 2).cast("int")).alias("box_z"),
+    return tiles.select("iz", "iy", "ix", "n", F.col("low").alias("core_z"), core.alias("core_n"),
+        (F.col("low") - 3 - F.floor(extra / 2).cast("int")).alias("box_z"),
         F.greatest(F.lit(20), core + 6).alias("box_n"))
 
 
-@register("field_tiles", f"""WITH {VOXELS_SQL}, n AS (SELECT max(z) + 1 AS nz, ceil((max(z) + 1) / 8.0) AS kz FROM coded), e AS (SELECT i, round_even(i * nz / kz, 0) AS low,
+@register("field_tiles", f"""WITH {VOXELS_SQL}, n AS (SELECT max(z) + 1 AS nz, ceil((max(z) + 1) / 8.0) AS kz FROM coded), e AS (SELECT i,
+  round_even(i * nz / kz, 0) AS low,
   round_even((i + 1) * nz / kz, 0) AS high FROM n, range(10000) r(i) WHERE i < kz)
 SELECT CAST(i AS INT) AS iz, CAST(y // 8 AS INT) AS iy, CAST(x // 8 AS INT) AS ix, count(*) AS n, CAST(sum(u) AS BIGINT) AS total
 FROM coded JOIN e ON z >= low AND z < high GROUP BY 1, 2, 3""")
@@ -207,7 +209,8 @@ def rotated_layers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("fine_labels", f"""WITH {VOXELS_SQL},
-  {_crest_sql("u >= 190")}, n AS (SELECT c.z, c.y, c.x, c.u, c.valid, min({{'d2': CAST({_d2_sql("c", "crest")} AS BIGINT), 'z': crest.z, 'y': crest.y, 'x': crest.x}}) FILTER (WHERE {_d2_sql("c", "crest")} <= 9) AS m
+  {_crest_sql("u >= 190")}, n AS (SELECT c.z, c.y, c.x, c.u, c.valid,
+  min({{'d2': CAST({_d2_sql("c", "crest")} AS BIGINT), 'z': crest.z, 'y': crest.y, 'x': crest.x}}) FILTER (WHERE {_d2_sql("c", "crest")} <= 9) AS m
   FROM coded c LEFT JOIN crest ON {_near_sql("c", "crest", 3)} GROUP BY 1, 2, 3, 4, 5),
 s AS (SELECT *, coalesce(sqrt(m.d2), 3) AS dist, CASE WHEN (y - m.y) * (m.y - 15.5) + (x - m.x) * (m.x - 15.5) < 0 THEN -1.0::DOUBLE
   ELSE 1.0::DOUBLE END AS side FROM n)

@@ -68,7 +68,8 @@ def band_distance_codes(spark: SparkSession, folder: str) -> DataFrame:
     return coded_voxels(spark, folder).groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_TRIPLES_SQL = """tri AS (SELECT vec_id, label, i, CAST(embedding[3 * i + 1] AS DOUBLE) AS a, CAST(embedding[3 * i + 2] AS DOUBLE) AS b, CAST(embedding[3 * i + 3] AS DOUBLE) AS c
+_TRIPLES_SQL = """tri AS (SELECT vec_id, label, i, CAST(embedding[3 * i + 1] AS DOUBLE) AS a, CAST(embedding[3 * i + 2] AS DOUBLE) AS b,
+  CAST(embedding[3 * i + 3] AS DOUBLE) AS c
   FROM (SELECT vec_id, label, embedding, unnest(range(21)) AS i FROM embeddings))"""
 
 
@@ -186,14 +187,18 @@ def axial_angle_stats(spark: SparkSession, folder: str) -> DataFrame:
     share = lambda t: F.round(F.avg(F.when(F.col("angle") > t, 1.0).otherwise(0.0)), 6)
     ends = aggregates.percentiles(g, "angle", ["label"], {"median_angle": 0.5, "p90_angle": 0.9})
     ends = ends.select("label", F.round("median_angle", 6).alias("median_angle"), F.round("p90_angle", 6).alias("p90_angle"))
-    sums = g.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("angle"), 6).alias("mean_angle"), share(10).alias("over10"), share(30).alias("over30"))
+    sums = g.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("angle"), 6).alias("mean_angle"), share(10).alias("over10"),
+        share(30).alias("over30"))
     return sums.join(ends, "label")
 
 
-@register("local_covariance_max_eigenvalue", f"""WITH {_TRIPLES_SQL}, m AS (SELECT vec_id, avg(a * a) AS aa, avg(b * b) AS bb, avg(c * c) AS cc, avg(a * b) AS ab, avg(a * c) AS ac, avg(b * c) AS bc FROM tri
-  GROUP BY vec_id), q AS (SELECT *, (aa + bb + cc) / 3 AS q, ab * ab + ac * ac + bc * bc AS o FROM m), p AS (SELECT *, sqrt((pow(aa - q, 2) + pow(bb - q, 2) + pow(cc - q, 2) + 2 * o) / 6) AS p FROM q),
+@register("local_covariance_max_eigenvalue", f"""WITH {_TRIPLES_SQL}, m AS (SELECT vec_id, avg(a * a) AS aa, avg(b * b) AS bb, avg(c * c) AS cc,
+  avg(a * b) AS ab, avg(a * c) AS ac, avg(b * c) AS bc FROM tri
+  GROUP BY vec_id), q AS (SELECT *, (aa + bb + cc) / 3 AS q, ab * ab + ac * ac + bc * bc AS o FROM m), p AS (SELECT *, sqrt((pow(aa - q, 2) + pow(bb - q,
+  2) + pow(cc - q, 2) + 2 * o) / 6) AS p FROM q),
 d AS (SELECT *, (aa - q) / p AS d1, (bb - q) / p AS d2, (cc - q) / p AS d3, ab / p AS e, ac / p AS f, bc / p AS g FROM p)
-SELECT vec_id, round(CASE WHEN p < 1e-12 THEN q ELSE q + 2 * p * cos(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (d1 * (d2 * d3 - g * g) - e * (e * d3 - g * f) + f * (e * g - d2 * f)) / 2))) / 3) END, 6)
+SELECT vec_id, round(CASE WHEN p < 1e-12 THEN q ELSE q + 2 * p * cos(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE,
+  (d1 * (d2 * d3 - g * g) - e * (e * d3 - g * f) + f * (e * g - d2 * f)) / 2))) / 3) END, 6)
   AS max_eigenvalue FROM d""")
 def local_covariance_max_eigenvalue(spark: SparkSession, folder: str) -> DataFrame:
     """Largest eigenvalue of the second moments of each row's vectors."""

@@ -137,10 +137,12 @@ inner_ AS (SELECT * FROM edges WHERE ahead AND NOT behind), outer_ AS (SELECT *
 unknown AS (SELECT * FROM edges WHERE ahead = behind),
 ni AS (SELECT z, y, x, {_side_sql("d_in")} FROM ({_nearest_sql("inner_", _FACE_COLUMNS)})),
 no_ AS (SELECT z, y, x, touches, {_side_sql("d_out")} FROM ({_nearest_sql("outer_", _FACE_COLUMNS)})),
-nu AS (SELECT f.z, f.y, f.x, min({_d2("f", "u")}) AS du FROM f JOIN unknown u ON {_near("f", "u", RULES.side_reach)} WHERE {_d2("f", "u")} <= {RULES.side_reach**2}
+nu AS (SELECT f.z, f.y, f.x, min({_d2("f", "u")}) AS du FROM f JOIN unknown u ON {_near("f", "u", RULES.side_reach)}
+  WHERE {_d2("f", "u")} <= {RULES.side_reach**2}
   GROUP BY 1, 2, 3),
 j AS (SELECT f.z, f.y, f.x, f.n_ok, c.u, c.valid, nm.thick, nm.apt, coalesce(ni.d_in, {RULES.clip}::DOUBLE) AS d_in,
-  coalesce(no_.d_out, CASE WHEN nm.thick IS NULL THEN {RULES.clip}::DOUBLE ELSE -{RULES.clip}::DOUBLE END) AS d_out, coalesce(no_.touches, false) AS touches, nu.du
+  coalesce(no_.d_out, CASE WHEN nm.thick IS NULL THEN {RULES.clip}::DOUBLE ELSE -{RULES.clip}::DOUBLE END) AS d_out, coalesce(no_.touches, false) AS touches,
+  nu.du
   FROM f JOIN coded c USING (z, y, x) LEFT JOIN nm USING (z, y, x) LEFT JOIN ni USING (z, y, x) LEFT JOIN no_ USING (z, y, x) LEFT JOIN nu USING (z, y, x)),
 v AS (SELECT *, least(abs(d_in), abs(d_out)) AS near FROM j)
 SELECT CASE WHEN valid = 0 THEN 0 ELSE {_code_sql("d_in")} END AS sdf_in, CASE WHEN valid = 0 THEN 0 ELSE {_code_sql("d_out")} END AS sdf_out,
@@ -166,10 +168,12 @@ _BAND_SQL = "CASE WHEN s > 150 THEN 3 WHEN s > 144 THEN 1 WHEN s < 112 THEN 2 EL
 def crest_of_sql(name: str, codes: tuple[int, ...]) -> str:
     """``t_name``: the crest of the large components of some bands of ``w``."""
     n = name
-    return f"""i_{n} AS (SELECT z, y, x, {_number("w")} AS id FROM w WHERE band IN {codes}), e_{n} AS (SELECT a.id AS a, b.id AS b FROM i_{n} a JOIN i_{n} b ON {_near("a", "b", 1)}),
+    return f"""i_{n} AS (SELECT z, y, x, {_number("w")} AS id FROM w WHERE band IN {codes}), e_{n} AS (SELECT a.id AS a, b.id AS b FROM i_{n} a
+  JOIN i_{n} b ON {_near("a", "b", 1)}),
 h_{n} AS (SELECT id AS node, id AS other FROM i_{n} UNION SELECT h.node, e.b FROM h_{n} h JOIN e_{n} e ON e.a = h.other),
 l_{n} AS (SELECT node AS id, min(other) AS component FROM h_{n} GROUP BY node),
-m_{n} AS (SELECT z, y, x FROM i_{n} JOIN l_{n} USING (id) WHERE component IN (SELECT component FROM l_{n} GROUP BY component HAVING count(*) >= {BANDS.least_component})),
+m_{n} AS (SELECT z, y, x FROM i_{n} JOIN l_{n} USING (id) WHERE component IN (SELECT component FROM l_{n}
+  GROUP BY component HAVING count(*) >= {BANDS.least_component})),
 r_{n} AS (SELECT z, y, x FROM w EXCEPT SELECT * FROM m_{n}),
 d_{n} AS (SELECT m.z, m.y, m.x, sqrt(min({_d2("m", "r")})) AS depth FROM m_{n} m JOIN r_{n} r ON {_near("m", "r", 5)} GROUP BY 1, 2, 3),
 t_{n} AS (SELECT a.z, a.y, a.x FROM d_{n} a JOIN d_{n} b ON {_near("a", "b", 1)} GROUP BY a.z, a.y, a.x, a.depth HAVING a.depth >= max(b.depth) - 0.5)"""
@@ -179,35 +183,44 @@ def _band_normal_sql() -> str:
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
     spread = ", ".join(f"CAST(n * s{a}{b} - s{a} * s{b} AS DOUBLE) / CAST(n * n AS DOUBLE) AS {a}{b}" for a, b in pairs)
     rows = (("(zz - low)", "zy", "zx"), ("zy", "(yy - low)", "yx"), ("zx", "yx", "(xx - low)"))
-    cross = [[f"({a[1]} * {b[2]} - {a[2]} * {b[1]})", f"({a[2]} * {b[0]} - {a[0]} * {b[2]})", f"({a[0]} * {b[1]} - {a[1]} * {b[0]})"] for a, b in ((rows[0], rows[1]),
+    cross = [[f"({a[1]} * {b[2]} - {a[2]} * {b[1]})", f"({a[2]} * {b[0]} - {a[0]} * {b[2]})", f"({a[0]} * {b[1]} - {a[1]} * {b[0]})"] for a, b in ((rows[0],
+        rows[1]),
         (rows[0], rows[2]), (rows[1], rows[2]))]
     parts = ", ".join(f"{c} AS k{i}{a}" for i, three in enumerate(cross) for a, c in zip(AXES, three, strict=True))
     size = lambda i: f"(k{i}z * k{i}z + k{i}y * k{i}y + k{i}x * k{i}x)"
     return f"""pts AS (SELECT * FROM t_in UNION SELECT * FROM t_out),
-mo AS (SELECT p.z, p.y, p.x, count(*) AS n, {", ".join(f"CAST(sum(b.{a}) AS BIGINT) AS s{a}" for a in AXES)}, {", ".join(f"CAST(sum(b.{a} * b.{b}) AS BIGINT) AS s{a}{b}" for a, b in pairs)}
+mo AS (SELECT p.z, p.y, p.x, count(*) AS n, {", ".join(f"CAST(sum(b.{a}) AS BIGINT) AS s{a}" for a in AXES)},
+  {", ".join(f"CAST(sum(b.{a} * b.{b}) AS BIGINT) AS s{a}{b}" for a, b in pairs)}
   FROM pts p JOIN w b ON b.band > 0 AND {_near("p", "b", BANDS.window)} GROUP BY 1, 2, 3),
 c0 AS (SELECT z, y, x, n, {spread} FROM mo), c1 AS (SELECT *, (zz + yy + xx) / 3 AS q, zy * zy + zx * zx + yx * yx AS off FROM c0),
 c2 AS (SELECT *, sqrt((pow(zz - q, 2) + pow(yy - q, 2) + pow(xx - q, 2) + 2 * off) / 6) AS p FROM c1),
-c3 AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ((zz - q) / p * ((yy - q) / p * ((xx - q) / p) - yx / p * (yx / p)) - zy / p * (zy / p * ((xx - q) / p) - yx / p * (zx / p))
+c3 AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE,
+  ((zz - q) / p * ((yy - q) / p * ((xx - q) / p) - yx / p * (yx / p)) - zy / p * (zy / p * ((xx - q) / p) - yx / p * (zx / p))
   + zx / p * (zy / p * (yx / p) - (yy - q) / p * (zx / p))) / 2))) / 3 AS phi FROM c2),
-c4 AS (SELECT *, CASE WHEN p < 1e-12 THEN q ELSE q + 2 * p * cos(phi + 2.0943951023931953::DOUBLE) END AS low, CASE WHEN p < 1e-12 THEN q ELSE q + 2 * p * cos(phi) END AS high FROM c3),
+c4 AS (SELECT *, CASE WHEN p < 1e-12 THEN q ELSE q + 2 * p * cos(phi + 2.0943951023931953::DOUBLE) END AS low, CASE WHEN p < 1e-12 THEN q
+  ELSE q + 2 * p * cos(phi) END AS high FROM c3),
 c5 AS (SELECT *, 3 * q - low - high AS mid, {parts} FROM c4),
 c6 AS (SELECT *, {", ".join(f"CASE WHEN {size(0)} >= {size(1)} AND {size(0)} >= {size(2)} THEN k0{a} WHEN {size(1)} >= {size(2)} THEN k1{a} ELSE k2{a} END AS v{a}" for a in AXES)} FROM c5),
 c7 AS (SELECT *, sqrt(vz * vz + vy * vy + vx * vx) AS vl FROM c6),
 nv AS (SELECT c7.z, c7.y, c7.x, coalesce(n >= {BANDS.least_count} AND mid > 1e-9 AND low <= {BANDS.planarity} * mid AND vl > 1e-9, false) AS ok, r_z, r_y, r_x,
-  {", ".join(f"v{a} / vl * CASE WHEN vz / vl * r_z + vy / vl * r_y + vx / vl * r_x < 0 THEN -1 ELSE 1 END AS o{a}" for a in AXES)} FROM c7 JOIN o ON o.z = c7.z AND o.y = c7.y AND o.x = c7.x),
+  {", ".join(f"v{a} / vl * CASE WHEN vz / vl * r_z + vy / vl * r_y + vx / vl * r_x < 0 THEN -1 ELSE 1 END AS o{a}" for a in AXES)} FROM c7
+  JOIN o ON o.z = c7.z AND o.y = c7.y AND o.x = c7.x),
 nb AS (SELECT z, y, x, false AS touches, ok, {", ".join(f"CASE WHEN ok THEN o{a} ELSE r_{a} END AS n_{a}" for a in AXES)} FROM nv)"""
 
 
-@register("band_face_labels", f"""WITH RECURSIVE {VOXELS_SQL}, {gradient_sql()}, w AS (SELECT f.z, f.y, f.x, {_BAND_SQL} AS band, c.valid FROM f JOIN coded c USING (z, y, x)),
+@register("band_face_labels", f"""WITH RECURSIVE {VOXELS_SQL}, {gradient_sql()}, w AS (SELECT f.z, f.y, f.x, {_BAND_SQL} AS band, c.valid FROM f
+  JOIN coded c USING (z, y, x)),
 {crest_of_sql("in", BANDS.inner)}, {crest_of_sql("out", BANDS.outer)}, {_band_normal_sql()},
 fin AS (SELECT nb.* FROM nb JOIN t_in USING (z, y, x)), fout AS (SELECT nb.* FROM nb JOIN t_out USING (z, y, x)),
-ni AS (SELECT z, y, x, CASE WHEN (z - tz) * tnz + (y - ty) * tny + (x - tx) * tnx < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * sqrt(d2) AS d_in FROM ({_nearest_sql("fin", _FACE_COLUMNS)})),
-no_ AS (SELECT z, y, x, CASE WHEN (z - tz) * tnz + (y - ty) * tny + (x - tx) * tnx < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * sqrt(d2) AS d_out FROM ({_nearest_sql("fout", _FACE_COLUMNS)})),
+ni AS (SELECT z, y, x, CASE WHEN (z - tz) * tnz + (y - ty) * tny + (x - tx) * tnx < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * sqrt(d2) AS d_in
+  FROM ({_nearest_sql("fin", _FACE_COLUMNS)})),
+no_ AS (SELECT z, y, x, CASE WHEN (z - tz) * tnz + (y - ty) * tny + (x - tx) * tnx < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * sqrt(d2) AS d_out
+  FROM ({_nearest_sql("fout", _FACE_COLUMNS)})),
 j AS (SELECT w.*, d_in, d_out, d_in IS NOT NULL AND d_out IS NOT NULL AS found FROM w LEFT JOIN ni USING (z, y, x) LEFT JOIN no_ USING (z, y, x))
 SELECT CASE WHEN valid = 0 THEN 0 ELSE {_code_sql(f"CASE WHEN found THEN d_in ELSE {BANDS.clip} END")} END AS sdf_in, CASE WHEN valid = 0 THEN 0
   ELSE {_code_sql(f"CASE WHEN found THEN d_out ELSE {BANDS.clip} END")} END AS sdf_out, CASE WHEN valid > 0 AND found AND d_in >= 0 AND d_out <= 0
-  THEN CAST(least(255, round_even(d_in - d_out, 0)) AS INT) ELSE 0 END AS thickness, CASE WHEN valid = 0 THEN 0 WHEN found AND abs(d_in) <= {BANDS.clip} AND abs(d_out) <= {BANDS.clip}
+  THEN CAST(least(255, round_even(d_in - d_out, 0)) AS INT) ELSE 0 END AS thickness, CASE WHEN valid = 0 THEN 0 WHEN found AND abs(d_in) <= {BANDS.clip}
+  AND abs(d_out) <= {BANDS.clip}
   THEN 1 ELSE 2 END AS faces_valid, count(*) AS n FROM j GROUP BY 1, 2, 3, 4""")
 def band_face_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of both faces from bands of the smoothed intensity, with normals from the bands' places, counted by their codes."""

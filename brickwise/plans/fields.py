@@ -251,7 +251,8 @@ def medial_crossings(spark: SparkSession, folder: str) -> DataFrame:
 
 #: Outward normals decoded from bytes, cosines of a phase with their slope along the normal, and contrasts in cubes of five.
 _COARSE_SQL = f"""{_NORMALS_SQL}, u AS (SELECT z, y, x, u, valid, ry, rx, nz, ny, nx FROM n), {_DECODE_STEPS_SQL},
-o AS (SELECT * REPLACE (dz * side AS dz, dy * side AS dy, dx * side AS dx) FROM (SELECT *, CASE WHEN dy * ry + dx * rx < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS side FROM decoded)),
+o AS (SELECT * REPLACE (dz * side AS dz, dy * side AS dy, dx * side AS dx) FROM (SELECT *, CASE WHEN dy * ry + dx * rx < 0 THEN -1.0::DOUBLE
+  ELSE 1.0::DOUBLE END AS side FROM decoded)),
 f AS (SELECT z, y, x, valid, dz, dy, dx, agreement, abs(dy * ry + dx * rx) AS outward, cos(u / 40.0::DOUBLE) AS v FROM o),
 fg AS (SELECT *, {_GRAD_SQL} FROM f {_LINES_SQL}), s0 AS (SELECT z, y, x, v, valid, dz, dy, dx, agreement, outward, gz * dz + gy * dy + gx * dx AS d FROM fg),
 p0 AS (SELECT z, y, x, CASE WHEN abs(d) < 0.05 THEN 0 ELSE CAST(sign(d) AS INT) END AS s FROM s0),
@@ -267,7 +268,8 @@ def _signed_byte_sql(value: str) -> str:
 
 @register("coarse_field", f"""WITH {_COARSE_SQL}
 SELECT CASE WHEN valid = 0 THEN 0 WHEN agreement < 0.5 OR outward < 0.3 THEN 2 ELSE 1 END AS state, count(*) AS n,
-  CAST(sum({_signed_byte_sql("CASE WHEN s < 0 THEN 1 ELSE -1 END * sqrt(greatest(0.0::DOUBLE, 1 - v * v))")}) AS BIGINT) AS sine, CAST(sum({_signed_byte_sql("v")}) AS BIGINT) AS cosine,
+  CAST(sum({_signed_byte_sql("CASE WHEN s < 0 THEN 1 ELSE -1 END * sqrt(greatest(0.0::DOUBLE, 1 - v * v))")}) AS BIGINT) AS sine,
+  CAST(sum({_signed_byte_sql("v")}) AS BIGINT) AS cosine,
   CAST(sum({_signed_byte_sql("dz")}) AS BIGINT) AS nz, CAST(sum({_signed_byte_sql("dy")}) AS BIGINT) AS ny,
   CAST(sum(CASE WHEN valid = 0 THEN 0 ELSE CAST(round_even(contrast * 127.5::DOUBLE, 0) AS INT) END) AS BIGINT) AS confidence
 FROM s0 JOIN p1 USING (z, y, x) JOIN c USING (z, y, x) GROUP BY 1""")
@@ -298,9 +300,11 @@ def coarse_field(spark: SparkSession, folder: str) -> DataFrame:
 _TURN = vectors.composed(vectors.rotation((1.0, 2.0, -1.0), 40.0), [[1.1, 0.0, 0.0], [0.0, -1.1, 0.0], [0.0, 0.0, 1.1]])
 
 
-@register("turned_vectors", f"""WITH {_TRIPLES_SQL} SELECT label, {", ".join(f"round(avg({r[0]!r}::DOUBLE * a + {r[1]!r}::DOUBLE * b + {r[2]!r}::DOUBLE * c), 6) AS t{n}" for n, r in zip("zyx", _TURN, strict=True))},
+@register("turned_vectors", f"""WITH {_TRIPLES_SQL} SELECT label,
+  {", ".join(f"round(avg({r[0]!r}::DOUBLE * a + {r[1]!r}::DOUBLE * b + {r[2]!r}::DOUBLE * c), 6) AS t{n}" for n, r in zip("zyx", _TURN, strict=True))},
   round(avg(1.21::DOUBLE * (a*a + b*b + c*c)), 5) AS square FROM tri GROUP BY label""")
 def turned_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors under a rotation, a flip and a stretch composed into one matrix, and their squared lengths."""
     t = vectors.affine([[*r, 0.0] for r in _TURN], (F.col("a"), F.col("b"), F.col("c")))
-    return triples(spark, folder).groupBy("label").agg(*[F.round(F.avg(c), 6).alias(f"t{n}") for n, c in zip("zyx", t, strict=True)], F.round(F.avg(vectors.dot(t, t)), 5).alias("square"))
+    return triples(spark, folder).groupBy("label").agg(*[F.round(F.avg(c), 6).alias(f"t{n}") for n, c in zip("zyx", t, strict=True)],
+        F.round(F.avg(vectors.dot(t, t)), 5).alias("square"))

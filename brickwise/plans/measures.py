@@ -144,7 +144,8 @@ def best_start_per_bin(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("topk_nonoverlap_candidates",
-    f"""WITH RECURSIVE {VOXELS_SQL}, b AS (SELECT z // 4 * 4 AS z, y // 4 * 4 AS y, x // 4 * 4 AS x, CAST(sum(u) AS DOUBLE) AS score FROM coded GROUP BY 1, 2, 3),
+    f"""WITH RECURSIVE {VOXELS_SQL}, b AS (SELECT z // 4 * 4 AS z, y // 4 * 4 AS y, x // 4 * 4 AS x, CAST(sum(u) AS DOUBLE) AS score FROM coded GROUP BY 1,
+  2, 3),
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, z, y, x) AS r FROM b),
 g AS (SELECT 0::BIGINT AS r, []::STRUCT(z INT, y INT, x INT, score DOUBLE)[] AS taken
   UNION ALL SELECT r.r, CASE WHEN len(list_filter(g.taken, lambda t: abs(t.z - r.z) < 8 AND abs(t.y - r.y) < 8 AND abs(t.x - r.x) < 8)) = 0
@@ -268,7 +269,8 @@ def _logistic_share(x: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(-x)) > 0.5).mean(axis=1)
 
 
-@register("sliding_score", "SELECT vec_id, list_avg(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > list_avg(embedding)::DOUBLE THEN 1.0::DOUBLE ELSE 0 END)) AS score FROM embeddings")
+@register("sliding_score",
+    "SELECT vec_id, list_avg(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > list_avg(embedding)::DOUBLE THEN 1.0::DOUBLE ELSE 0 END)) AS score FROM embeddings")
 def sliding_score(spark: SparkSession, folder: str) -> DataFrame:
     """Each brick scored by a model in Arrow batches: the share of the logistic of its normalised values above one half."""
     return embeddings.score(table(spark, folder, "embeddings"), "vec_id", "embedding", _logistic_share)

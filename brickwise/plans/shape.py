@@ -42,17 +42,20 @@ def _window_sql(source: str, axis: str) -> str:
 def _eigen_sql() -> str:
     """Largest eigenvalue of the scatter over its trace, in closed form."""
     zz, yy, xx, zy, zx, yx = (f"({k} / tr)" for k in shape._SCATTER)
-    return f"""e0 AS (SELECT *, zz + yy + xx AS tr FROM wx), e1 AS (SELECT *, ({zz} + {yy} + {xx}) / 3 AS q, {zy} * {zy} + {zx} * {zx} + {yx} * {yx} AS off FROM e0 WHERE tr > 0),
+    return f"""e0 AS (SELECT *, zz + yy + xx AS tr FROM wx), e1 AS (SELECT *, ({zz} + {yy} + {xx}) / 3 AS q, {zy} * {zy} + {zx} * {zx} + {yx} * {yx} AS off
+  FROM e0 WHERE tr > 0),
 e2 AS (SELECT *, sqrt((pow({zz} - q, 2) + pow({yy} - q, 2) + pow({xx} - q, 2) + 2 * off) / 6) AS p FROM e1),
 e3 AS (SELECT *, (({zz} - q) / p * (({yy} - q) / p * (({xx} - q) / p) - {yx} / p * ({yx} / p)) - {zy} / p * ({zy} / p * (({xx} - q) / p) - {yx} / p * ({zx} / p))
   + {zx} / p * ({zy} / p * ({yx} / p) - ({yy} - q) / p * ({zx} / p))) / 2 AS hd FROM e2),
 known AS (SELECT e0.z, e0.y, e0.x, CASE WHEN e0.share > 0 THEN e0.thick / e0.share END AS windowed,
-  greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - CASE WHEN p < 1e-12 THEN q ELSE q + 2 * p * cos(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, hd))) / 3) END)) AS inco
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - CASE WHEN p < 1e-12 THEN q ELSE q + 2 * p * cos(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE,
+  hd))) / 3) END)) AS inco
   FROM e0 LEFT JOIN e3 USING (z, y, x))"""
 
 
 _SHAPE_SQL = f"""{VOXELS_SQL}, {gradient_sql()},
-r0 AS (SELECT c.z, c.y, c.x, c.label, c.valid, 16 * c.v + 1 AS i, 16 * c.v + 1 - 3 - c.label % 3 AS o, {", ".join(f"l.g_{a} / greatest(l.len, 8.0::DOUBLE) AS n{a}" for a in AXES)}
+r0 AS (SELECT c.z, c.y, c.x, c.label, c.valid, 16 * c.v + 1 AS i, 16 * c.v + 1 - 3 - c.label % 3 AS o,
+  {", ".join(f"l.g_{a} / greatest(l.len, 8.0::DOUBLE) AS n{a}" for a in AXES)}
   FROM coded c JOIN l USING (z, y, x)),
 r1 AS (SELECT *, i > 0 AND o < 0 AND valid = 1 AND sqrt(nz * nz + ny * ny + nx * nx) > 0.5 AS body FROM r0),
 b0 AS (SELECT z // {FACTOR} AS z, y // {FACTOR} AS y, x // {FACTOR} AS x, avg(CASE WHEN body THEN 1.0::DOUBLE ELSE 0 END) AS share,
@@ -68,7 +71,8 @@ t AS (SELECT r.z, r.y, r.x, CAST(body AS INT) AS valid, {", ".join(f"CASE WHEN b
 
 
 @register("local_shape_targets", f"""WITH {_SHAPE_SQL} SELECT z, CAST(sum(valid) AS BIGINT) AS n, round(sum(off_z), 6) AS off_z, round(sum(off_y), 6) AS off_y,
-  round(sum(off_x), 6) AS off_x, round(sum(thick), 6) AS thick, round(sum(incoherence), 6) AS incoherence, round(max(incoherence), 6) AS most FROM t GROUP BY z""")
+  round(sum(off_x), 6) AS off_x, round(sum(thick), 6) AS thick, round(sum(incoherence), 6) AS incoherence, round(max(incoherence), 6) AS most FROM t GROUP BY
+  z""")
 def local_shape_targets(spark: SparkSession, folder: str) -> DataFrame:
     """Offsets to the centre plane, windowed thickness and incoherence of normals, summed by layer."""
     total = lambda c: F.round(F.sum(c), 6).alias(c)

@@ -196,9 +196,11 @@ def spaced_peaks(spark: SparkSession, folder: str) -> DataFrame:
     return rays.spaced_peaks(rays.local_maxima(event_rays(spark, folder), 40.0), 3)
 
 
-_PERIOD_SQL = """, m AS (SELECT ray_id, {more}k, coalesce(v, 0) - avg(coalesce(v, 0)) OVER w AS c, count(*) OVER w AS n, row_number() OVER (PARTITION BY ray_id{parts} ORDER BY k) - 1 AS i
+_PERIOD_SQL = """, m AS (SELECT ray_id, {more}k, coalesce(v, 0) - avg(coalesce(v, 0)) OVER w AS c, count(*) OVER w AS n,
+  row_number() OVER (PARTITION BY ray_id{parts} ORDER BY k) - 1 AS i
   FROM {rows} WINDOW w AS (PARTITION BY ray_id{parts})),
-q AS (SELECT ray_id, {more}n, j, sum(c * cos(2 * pi() * j * i / n)) AS re, sum(c * sin(2 * pi() * j * i / n)) AS im FROM m, LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS j)
+q AS (SELECT ray_id, {more}n, j, sum(c * cos(2 * pi() * j * i / n)) AS re, sum(c * sin(2 * pi() * j * i / n)) AS im FROM m, LATERAL (SELECT unnest(range(0,
+  n // 2 + 1)) AS j)
   GROUP BY ray_id, {more}n, j),
 pd AS (SELECT ray_id, {more}arg_max(round(1 / (j * (1.0::DOUBLE / n)), 6), sqrt(re * re + im * im)) FILTER (WHERE j * (1.0::DOUBLE / n) >= 1.0::DOUBLE / {most}
   AND j * (1.0::DOUBLE / n) <= 1.0::DOUBLE / {least}) AS period FROM q GROUP BY ray_id{parts})"""

@@ -298,9 +298,12 @@ def octave_levels(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.rint(octaves).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(octaves), 5).alias("octaves"))
 
 
-@register("radial_power", """WITH v AS (SELECT vec_id, label, i - 1 AS i, e - list_avg(embedding)::DOUBLE AS v FROM (SELECT vec_id, label, embedding, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)),
-k AS (SELECT a.i AS kz, b.i AS ky, c.i AS kx, CAST(round_even(sqrt(least(a.i, 4 - a.i)**2 + least(b.i, 4 - b.i)**2 + least(c.i, 4 - c.i)**2), 0) AS INT) AS radius FROM range(4) a(i), range(4) b(i), range(4) c(i)),
-f AS (SELECT vec_id, label, radius, kz, ky, kx, sum(v * cos(pi() / 2 * (kz * (i // 16) + ky * (i // 4 % 4) + kx * (i % 4)))) AS re, sum(v * sin(pi() / 2 * (kz * (i // 16) + ky * (i // 4 % 4) + kx * (i % 4)))) AS im FROM v, k GROUP BY ALL)
+@register("radial_power", """WITH v AS (SELECT vec_id, label, i - 1 AS i, e - list_avg(embedding)::DOUBLE AS v FROM (SELECT vec_id, label, embedding,
+  unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+k AS (SELECT a.i AS kz, b.i AS ky, c.i AS kx, CAST(round_even(sqrt(least(a.i, 4 - a.i)**2 + least(b.i, 4 - b.i)**2 + least(c.i, 4 - c.i)**2),
+  0) AS INT) AS radius FROM range(4) a(i), range(4) b(i), range(4) c(i)),
+f AS (SELECT vec_id, label, radius, kz, ky, kx, sum(v * cos(pi() / 2 * (kz * (i // 16) + ky * (i // 4 % 4) + kx * (i % 4)))) AS re,
+  sum(v * sin(pi() / 2 * (kz * (i // 16) + ky * (i // 4 % 4) + kx * (i % 4)))) AS im FROM v, k GROUP BY ALL)
 SELECT CAST(f.label AS BIGINT) AS label, radius, round(avg(re * re + im * im), 4) AS power, count(*) AS n FROM f GROUP BY f.label, radius""")
 def radial_power(spark: SparkSession, folder: str) -> DataFrame:
     """Power of each block's frequencies, averaged by their distance from zero."""
@@ -312,4 +315,5 @@ SELECT event_type, count(k) AS n_read, count(*) - count(k) AS n_refused, CAST(su
 def parsed_corrections(spark: SparkSession, folder: str) -> DataFrame:
     """Correction records read from JSON by a schema; what doesn't fit it is counted, not dropped."""
     rows = table(spark, folder, "events").select("event_type", F.from_json("props", "k int").getField("k").alias("k"))
-    return rows.groupBy("event_type").agg(F.count("k").alias("n_read"), (F.count(F.lit(1)) - F.count("k")).alias("n_refused"), F.sum(F.when(F.col("k") >= 50, F.col("k"))).alias("total"))
+    return rows.groupBy("event_type").agg(F.count("k").alias("n_read"), (F.count(F.lit(1)) - F.count("k")).alias("n_refused"), F.sum(F.when(F.col("k") >= 50,
+        F.col("k"))).alias("total"))

@@ -33,8 +33,8 @@ class Cache(NamedTuple):
 def copy_box(cache: Cache, source: DataFrame, wave_bricks: int = 100_000, waves: int | None = None) -> bool:
     """Copy the rows of the cache's box that aren't there yet; whether the cache is complete now.
 
-    Bricks that are done are left alone. Only once none is missing the marker is written, whole or not at all: a copy that was stopped has none, and neither has one
-    of another writer's identity.
+    Bricks that are done are left alone. Only once none is missing the marker is written, whole or not at all: a copy that was stopped has none, and neither
+    has one of another writer's identity.
     """
     rows = source.where(inside(*cache.box))
     ran = build(cache.store, rows, lambda part: part, cache.edge, 0, wave_bricks, waves)
@@ -83,8 +83,8 @@ def smallest_cover(caches: list[Cache], low: tuple[Column, Column, Column], size
 
 
 def read_through(caches: list[Cache], requests: DataFrame, source: DataFrame, edge: int) -> DataFrame:
-    """(request, cache, z, y, x, ...): the source's rows in the box of every request (request, level, low_*, size_*), each box from the smallest complete cache that
-    holds it, else from the source (cache null). ``edge``: cells by which requests meet the source's rows.
+    """(request, cache, z, y, x, ...): the source's rows in the box of every request (request, level, low_*, size_*), each box from the smallest complete
+    cache that holds it, else from the source (cache null). ``edge``: cells by which requests meet the source's rows.
 
     A request meets the rows of the bricks that its box touches by an equi-join, whatever the number of either.
     """

@@ -109,7 +109,8 @@ def array_metadata(spark: SparkSession, path: str) -> dict:
         packed = (two["compressor"] or {}).get("id")
         if packed not in (None, *CODECS) or two.get("filters") or two["dtype"] not in ("|u1", "u1"):
             raise ValueError(f"{path} isn't an uncompressed byte array, nor one packed by {', '.join(CODECS)}")
-        return {"codec": packed, "shape": two["shape"], "chunks": two["chunks"], "fill": two.get("fill_value") or 0, "prefix": "", "separator": two.get("dimension_separator",
+        return {"codec": packed, "shape": two["shape"], "chunks": two["chunks"], "fill": two.get("fill_value") or 0, "prefix": "",
+            "separator": two.get("dimension_separator",
             ".")}
     if not three:
         raise FileNotFoundError(f"{path} has no array metadata")
@@ -118,7 +119,8 @@ def array_metadata(spark: SparkSession, path: str) -> dict:
         raise ValueError(f"{path} isn't an uncompressed byte array, nor one packed by {', '.join(CODECS)}")
     key = three["chunk_key_encoding"]
     separator = key.get("configuration", {}).get("separator", "/" if key["name"] == "default" else ".")
-    return {"codec": packed[0] if packed else None, "shape": three["shape"], "chunks": three["chunk_grid"]["configuration"]["chunk_shape"], "fill": three["fill_value"],
+    return {"codec": packed[0] if packed else None, "shape": three["shape"], "chunks": three["chunk_grid"]["configuration"]["chunk_shape"],
+        "fill": three["fill_value"],
         "prefix": f"c{separator}" if key["name"] == "default" else "", "separator": separator}
 
 
@@ -132,7 +134,8 @@ def _existing(spark: SparkSession, path: str, names: list[str]) -> list[str]:
 def read_array(spark: SparkSession, path: str, low: tuple[int, int, int], size: tuple[int, int, int]) -> DataFrame:
     """(z, y, x, u) of a box of a chunked byte array, plain or compressed: only the chunk files that the box touches are opened.
 
-    Leading axes are pinned to 0. Places outside the array, and of chunks that were never written, give no rows. A chunk that doesn't unpack to its size fails the query.
+    Leading axes are pinned to 0. Places outside the array, and of chunks that were never written, give no rows. A chunk that doesn't unpack to its size
+    fails the query.
     """
     meta = array_metadata(spark, path)
     lead = len(meta["shape"]) - 3
@@ -166,7 +169,8 @@ def write_array(packed: DataFrame, path: str, shape: tuple[int, int, int], edge:
     """
     spark = packed.sparkSession
     named = packed.select(F.concat_ws(".", *[F.col(f"c{a}").cast("string") for a in AXES]).alias("name"), "data")
-    _write_metadata(spark, path, {"zarr_format": 2, "shape": list(shape), "chunks": [edge] * 3, "dtype": "|u1", "compressor": {"id": codec, "level": level} if codec else None, "fill_value": 0,
+    _write_metadata(spark, path, {"zarr_format": 2, "shape": list(shape), "chunks": [edge] * 3, "dtype": "|u1", "compressor": {"id": codec,
+        "level": level} if codec else None, "fill_value": 0,
         "order": "C", "filters": None})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

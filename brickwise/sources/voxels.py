@@ -35,7 +35,8 @@ vox AS (
     CAST(vec_id % 8 * 4 + pos % 4 AS INT) AS x, CAST(value AS DOUBLE) AS v
   FROM (SELECT vec_id, label, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
 ), coded AS (
-  SELECT *, CAST(least(255.0, greatest(1.0, round_even(128 + greatest(-0.25::DOUBLE, least(0.25::DOUBLE, v)) * (127.0::DOUBLE / 0.25::DOUBLE), 0))) AS INT) AS u,
+  SELECT *, CAST(least(255.0, greatest(1.0, round_even(128 + greatest(-0.25::DOUBLE, least(0.25::DOUBLE, v)) * (127.0::DOUBLE / 0.25::DOUBLE),
+  0))) AS INT) AS u,
     CASE WHEN label % 5 = 0 THEN 0 WHEN label % 5 = 4 THEN 2 ELSE 1 END AS valid
   FROM vox
 )"""

@@ -33,10 +33,10 @@ def within_halo(rows: DataFrame, bricks: DataFrame, edge: int, halo: int) -> Dat
 class BrickStore:
     """A folder of bricks, each committed once by a writer of one identity.
 
-    A wave's rows are written first and its marks last, by one rename: rows without a mark, of a wave that failed or still runs, don't exist for readers.
-    A mark counts the brick's rows and adds up their hashes, so that damage shows. Marks of another identity (another builder, other parameters) don't count: their
-    bricks are built again. A brick that two writers of one identity both built is read from the wave of the lower name. ``path`` is on any file system that
-    renames a folder at once and that all executors see.
+    A wave's rows are written first and its marks last, by one rename: rows without a mark, of a wave that failed or still runs, don't exist for readers. A
+    mark counts the brick's rows and adds up their hashes, so that damage shows. Marks of another identity (another builder, other parameters) don't count:
+    their bricks are built again. A brick that two writers of one identity both built is read from the wave of the lower name. ``path`` is on any file
+    system that renames a folder at once and that all executors see.
     """
 
     def __init__(self, spark: SparkSession, path: str, identity: str):
@@ -99,12 +99,14 @@ def _digest(columns: list[str]):
     return F.bit_xor(F.xxhash64(*[F.col(c) for c in sorted(columns)]))
 
 
-def build(store: BrickStore, source: DataFrame, make: Callable[[DataFrame], DataFrame], edge: int, halo: int, wave_bricks: int, waves: int | None = None) -> int:
+def build(store: BrickStore, source: DataFrame, make: Callable[[DataFrame], DataFrame], edge: int, halo: int, wave_bricks: int,
+    waves: int | None = None) -> int:
     """Build all bricks of ``source`` that aren't done, ``wave_bricks`` at a time; the number of waves that ran.
 
-    ``make`` gets the rows of a wave's bricks and ``halo`` voxels around them and returns rows (z, y, x, ...); those in the bricks are kept. If no row's result
-    depends on what is farther than the halo, a store is the same whatever the waves, the bricks' size and the failures on the way. A failure raises and loses its
-    own wave only: another call goes on from the marks. ``waves`` stops early. A wave is a job over many bricks, so that the driver sees waves, not bricks.
+    ``make`` gets the rows of a wave's bricks and ``halo`` voxels around them and returns rows (z, y, x, ...); those in the bricks are kept. If no row's
+    result depends on what is farther than the halo, a store is the same whatever the waves, the bricks' size and the failures on the way. A failure raises
+    and loses its own wave only: another call goes on from the marks. ``waves`` stops early. A wave is a job over many bricks, so that the driver sees
+    waves, not bricks.
     """
     ran = 0
     while waves is None or ran < waves:
@@ -152,8 +154,9 @@ class ChannelStore:
 
 
 def packet_layers(store: ChannelStore, layers: dict[str, str], leading: str) -> DataFrame:
-    """(bz, by, bx, layers, complete): for each brick of any layer (name, identity) the list (layer, n, total) of those that are done and hold what was marked, in
-    order, and whether the ``leading`` one is among them and none that is done is damaged. Sums are of what is read back."""
+    """(bz, by, bx, layers, complete): for each brick of any layer (name, identity) the list (layer, n, total) of those that are done and hold what was
+    marked, in order, and whether the ``leading`` one is among them and none that is done is damaged. Sums are of what is read back.
+    """
     found, torn = None, None
     for name, identity in layers.items():
         own = store.channel(name, identity)

@@ -189,7 +189,8 @@ def test_body_pass_whatever_the_order_and_the_sides(spark):
     ways["symmetric"] = np.concatenate(list(ways.values()))
     for side, d in ways.items():
         got = by[side]
-        assert (got.n, got.frac_gt3) == (len(d), (d > 3).mean()) and np.allclose([got.mean, got.median, got.p90], [d.mean(), np.median(d), np.percentile(d, 90)])
+        assert (got.n, got.frac_gt3) == (len(d), (d > 3).mean()) and np.allclose([got.mean, got.median, got.p90], [d.mean(), np.median(d), np.percentile(d,
+            90)])
     none = evaluation.body_pass(rows.withColumn("band", F.lit(None).cast("boolean")), 2, 1, 10)
     assert tuple(none[0].first()) == (0, 0, 0, None) and {(r.n, r["mean"]) for r in none[1].collect()} == {(0, None)}
 

@@ -293,7 +293,8 @@ def test_rising_peaks_take_one_pass(spark, monkeypatch):
     written = []
     real = rays.materialize
     monkeypatch.setattr(rays, "materialize", lambda df, label: written.append(label) or real(df, label))
-    rising = [(1, 2 * i, float(i)) for i in range(300)] + [(2, 3 * i, float(-i)) for i in range(50)] + [(3, 5, 1.0), (3, 5 + 4, 1.0), (3, 5 + 8, 1.0), (3, 40, 0.5)]
+    rising = [(1, 2 * i, float(i)) for i in range(300)] + [(2, 3 * i, float(-i)) for i in range(50)] + [(3, 5, 1.0), (3, 5 + 4, 1.0), (3, 5 + 8, 1.0), (3, 40,
+        0.5)]
     frame = spark.createDataFrame(rising, "ray_id long, k long, v double")
 
     def brute(distance, most=10**9):

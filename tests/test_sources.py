@@ -110,7 +110,8 @@ def test_raw_volumes_are_checked(spark, tmp_path):
 
 
 def test_transforms_are_strict():
-    given = {"schema_version": config.TRANSFORM_VERSION, "fixed_volume": "v", "transformation_matrix": [[1, 0, 0, 2], [0, 1, 0, 3], [0, 0, 1, 4]], "fixed_landmarks": [[1, 2, 3]]}
+    given = {"schema_version": config.TRANSFORM_VERSION, "fixed_volume": "v", "transformation_matrix": [[1, 0, 0, 2], [0, 1, 0, 3], [0, 0, 1, 4]],
+        "fixed_landmarks": [[1, 2, 3]]}
     read = config.parse_transform(json.dumps(given))
     assert read.matrix[3] == [0, 0, 0, 1] and read.fixed_landmarks == [[1, 2, 3]] and read.moving_landmarks == []
     for bad in ({"schema_version": "0"}, {"transformation_matrix": [[1, 0, 0]] * 3}):
@@ -123,7 +124,8 @@ def test_transforms_are_strict():
 @pytest.mark.parametrize("codec", ["zlib", "gzip"])
 def test_compressed_arrays_read_back(spark, tmp_path, codec):
     data = np.random.default_rng(1).integers(0, 4, (8, 8, 8)).astype(np.uint8)
-    rows = spark.createDataFrame([("s", "c", z, y, x, bytearray(data[4 * z : 4 * z + 4, 4 * y : 4 * y + 4, 4 * x : 4 * x + 4].tobytes())) for z in range(2) for y in
+    rows = spark.createDataFrame([("s", "c", z, y, x, bytearray(data[4 * z : 4 * z + 4, 4 * y : 4 * y + 4,
+        4 * x : 4 * x + 4].tobytes())) for z in range(2) for y in
         range(2) for x in range(2) if (z, y, x) != (1, 1, 1)], chunks.CHUNK_SCHEMA)
     path = f"file://{tmp_path}/array"
     chunks.write_array(rows, path, (8, 8, 8), 4, codec, 9)
@@ -143,14 +145,16 @@ def test_existing_chunks_are_asked_for_not_listed(spark, tmp_path):
 
 
 def test_only_complete_caches_are_read(spark, tmp_path):
-    rows = spark.range(8 * 8 * 8).select((F.col("id") / 64).cast("int").alias("z"), (F.col("id") / 8 % 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"),
+    rows = spark.range(8 * 8 * 8).select((F.col("id") / 64).cast("int").alias("z"), (F.col("id") / 8 % 8).cast("int").alias("y"),
+        (F.col("id") % 8).cast("int").alias("x"),
         F.col("id").alias("v"))
     open_cache = lambda name, box, level=0, who="me": cache.Cache(builds.BrickStore(spark, f"file://{tmp_path}/{name}", who), level, box, 4)
     whole = open_cache("whole", ((0, 0, 0), (8, 8, 8)))
     part = open_cache("part", ((0, 0, 0), (4, 8, 8)))
     assert not cache.copy_box(part, rows, 1, waves=2) and cache.footprint(part) is None
     assert cache.copy_box(whole, rows) and cache.footprint(whole) == ((0, 0, 0), (8, 8, 8))
-    asked = spark.createDataFrame([(0, 0, 1, 1, 1, 2, 2, 2), (1, 0, 3, 0, 0, 3, 8, 8), (2, 1, 0, 0, 0, 1, 1, 1), (3, 0, 7, 7, 7, 2, 1, 1), (4, 0, 40, 0, 0, 1, 1, 1)],
+    asked = spark.createDataFrame([(0, 0, 1, 1, 1, 2, 2, 2), (1, 0, 3, 0, 0, 3, 8, 8), (2, 1, 0, 0, 0, 1, 1, 1), (3, 0, 7, 7, 7, 2, 1, 1), (4, 0, 40, 0, 0, 1,
+        1, 1)],
         "request int, level int, low_z int, low_y int, low_x int, size_z int, size_y int, size_x int")
     read = lambda caches: {(r.request, r.cache): r.n for r in cache.read_through(caches, asked, rows, 4).groupBy("request", "cache").agg(
         F.count(F.lit(1)).alias("n")).collect()}

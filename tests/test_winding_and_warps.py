@@ -11,7 +11,8 @@ SIZE = (5, 4, 3)
 
 def boxes(spark, ids=(1, None)):
     draw = np.random.default_rng(2)
-    rows = [(b, z, y, x, *[float(v) for v in draw.normal(size=5)], int(draw.integers(0, 3))) for b in ids for z in range(SIZE[0]) for y in range(SIZE[1]) for x in
+    rows = [(b, z, y, x, *[float(v) for v in draw.normal(size=5)], int(draw.integers(0,
+        3))) for b in ids for z in range(SIZE[0]) for y in range(SIZE[1]) for x in
         range(SIZE[2])]
     return spark.createDataFrame(rows, "box long, z int, y int, x int, v double, d double, n_z double, n_y double, n_x double, valid int")
 
@@ -52,8 +53,10 @@ def test_scale_rules_and_places_outside(spark):
     middle = small[1, 2, 1, 1]
     assert abs(middle.d - 1.0) < 1e-9 and middle.valid == 2  # was at the clip
     assert small[1, 0, 0, 0].valid == 0  # its origin is outside
-    stretched = drawn(rows.withColumns({"n_z": F.lit(1.0), "n_y": F.lit(1.0), "n_x": F.lit(0.0)}), warp.Warp([[2.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]]))[1, 2, 1, 1]
-    assert np.allclose([stretched.t_z, stretched.t_y], np.array([2, 1]) / np.sqrt(5)) and np.allclose([stretched.n_z, stretched.n_y], np.array([1, 2]) / np.sqrt(5))
+    stretched = drawn(rows.withColumns({"n_z": F.lit(1.0), "n_y": F.lit(1.0), "n_x": F.lit(0.0)}), warp.Warp([[2.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0]]))[1, 2,
+        1, 1]
+    assert np.allclose([stretched.t_z, stretched.t_y], np.array([2, 1]) / np.sqrt(5)) and np.allclose([stretched.n_z, stretched.n_y], np.array([1,
+        2]) / np.sqrt(5))
 
 
 def test_elastic_fields_are_drawn_by_box_and_bend_normals(spark):
@@ -114,7 +117,8 @@ def test_validity_of_the_fine_winding(spark):
     assert counted[0] == counted[1] == 0 < counted[2]
     assert by(winding.fine_winding(rows, up, RULES._replace(supervised_only=False)))[1] == counted[2]
     assert set(by(winding.fine_winding(rows, up, RULES._replace(period=(20.0, 40.0)))).values()) == {0}
-    gated = winding.fine_winding(rows, up, RULES._replace(snap=0.25), None, F.pmod(F.col("z") / 12.0 + 0.1, F.lit(1.0)), F.when(F.col("y") == 0, 0).otherwise(1))
+    gated = winding.fine_winding(rows, up, RULES._replace(snap=0.25), None, F.pmod(F.col("z") / 12.0 + 0.1, F.lit(1.0)), F.when(F.col("y") == 0,
+        0).otherwise(1))
     assert {r.y: r.n > 0 for r in gated.groupBy("y").agg(F.sum("valid").alias("n")).collect()} == {0: False, 1: True, 2: True}
     assert gated.where("valid = 1").agg(F.max("conf")).first()[0] == round(255 * 0.6)  # falls off with the difference
     none = winding.fine_winding(rows.where("sdf_in > 128 and sdf_out > 128"), up, RULES)
