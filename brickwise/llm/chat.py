@@ -1,9 +1,9 @@
 """Chat formatting: records of many layouts become canonical turns, and turns one marked-up text with a loss mask.
 
-A record's layout is known by its schema fingerprint, the hash of its nested field paths; each known fingerprint
-selects a declarative mapping to turns, row by row. Records are JSON texts or typed columns: the paths of a typed column are those of its type, or, where
-a column is wide enough for several layouts, those of the fields that the row has; values are taken as they are, whatever their size. The template escapes the escape sign and the opening of its control strings
-inside texts and roles, so that a text that holds control strings can neither end a turn nor start one, and reads back as it was.
+A record's layout is known by its schema fingerprint, the hash of its nested field paths; each known fingerprint selects a declarative mapping to turns, row
+by row. Records are JSON texts or typed columns: the paths of a typed column are those of its type, or, where a column is wide enough for several layouts,
+those of the fields that the row has; values are taken as they are, whatever their size. The template escapes the escape sign and the opening of its control
+strings inside texts and roles, so that a text that holds control strings can neither end a turn nor start one, and reads back as it was.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ SURE_BYTES = 16_000_000
 
 @dataclass(frozen=True)
 class Messages:
-    """A layout with a list of turns: an example record, the names of the list, the role, the text and the order (or None), and whether roles have other names."""
+    """A layout with a list of turns: an example record, the names of the list, the role, the text and the order (or None), and whether roles have other
+    names.
+    """
 
     example: str
     items: str
@@ -136,7 +138,8 @@ def _fits(layout: Messages | Fields, kind: StructType) -> bool:
 def canonical_turns(record: Column, kind: DataType | None = None) -> Column:
     """Turns (role, text) of a record of a known layout, a JSON text or a column of the type ``kind``.
 
-    A type that is a layout's is that layout for all rows, nulls in it included; of a type that has the fields of several, each row's own fields tell. Null for malformed records and unknown layouts; null roles and texts become empty. A JSON text of over ``SURE_BYTES`` bytes that can't be
+    A type that is a layout's is that layout for all rows, nulls in it included; of a type that has the fields of several, each row's own fields tell. Null
+    for malformed records and unknown layouts; null roles and texts become empty. A JSON text of over ``SURE_BYTES`` bytes that can't be
     parsed fails the query, as it may be too large for the parser rather than malformed: pass such records as typed columns.
     """
     if kind is not None and not isinstance(kind, StringType):
@@ -199,10 +202,11 @@ def read_back(formatted: Column) -> Column:
 
 
 def records_of(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, record): the turn rows of each conversation as one record, of one of several layouts by the id's hash: a typed column that is wide enough for all.
+    """(id, record): the turn rows of each conversation as one record, of one of several layouts by the id's hash: a typed column that is wide enough for
+    all.
 
-    Conversations whose roles a layout would rename, and those that are no prompt and answer, take a layout that keeps them as they are. Turns that tie are ordered by
-    role, then text; nulls come first and become empty. A conversation is one row: as large as a row may be, two gigabytes.
+    Conversations whose roles a layout would rename, and those that are no prompt and answer, take a layout that keeps them as they are. Turns that tie are
+    ordered by role, then text; nulls come first and become empty. A conversation is one row: as large as a row may be, two gigabytes.
     """
     item = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col),
         F.lit("")).alias("text"))

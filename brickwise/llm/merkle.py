@@ -98,7 +98,8 @@ def _proved(leaves: pa.Table, outer: pa.Table, levels: int) -> pa.Table:
     leaves = _in_order(leaves)
     block, now = leaves.column("block")[0].as_py(), leaves.column("now").to_pylist()
     proofs, folded = [], []
-    for leaf, path in zip(now, _paths(leaves.column("digest").to_pylist(), _height(block, leaves.num_rows, levels), outer.column("path")[0].as_py()), strict=True):
+    for leaf, path in zip(now, _paths(leaves.column("digest").to_pylist(), _height(block, leaves.num_rows, levels), outer.column("path")[0].as_py()),
+        strict=True):
         proofs.append(_digest([d for level in path for d in level["others"]]))
         folded.append(_folded(leaf, path))
     n = leaves.num_rows
@@ -145,8 +146,8 @@ def ordered_leaves(rows: DataFrame, source: str, order_by: list[str]) -> DataFra
 def manifest(documents: DataFrame, tampered: Column, changed_text: Column, levels: int = LEVELS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row of ``documents`` (doc_id, source, lang, n_chars, text).
 
-    Where ``tampered`` holds the text is ``changed_text`` when proofs are folded; leaves, nodes and proofs are those of the rows as they were. Leaves of a source
-    ascend by doc_id, null first; rows that share an id are ordered by their digests. A null source is a source of its own. Rows that are equal are
+    Where ``tampered`` holds the text is ``changed_text`` when proofs are folded; leaves, nodes and proofs are those of the rows as they were. Leaves of a
+    source ascend by doc_id, null first; rows that share an id are ordered by their digests. A null source is a source of its own. Rows that are equal are
     leaves of their own. Other columns are ignored; an empty table gives no rows.
     """
     changed = [F.when(tampered, changed_text).otherwise(F.col("text")) if c == "text" else F.col(c) for c in COLUMNS]

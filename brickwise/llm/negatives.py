@@ -174,13 +174,15 @@ def clusters_of(anchors: DataFrame, n: int, dimension: int, scale: int) -> tuple
 
 def hard_negatives(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scale: int = SCALE,
     every: int = EVERY, shifted: int = SHIFTED, positives: int = POSITIVES, negatives: int = NEGATIVES, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for each anchor, a row whose id is divisible by ``every``, and each
-    of its first ``positives`` other rows of its label, the first ``negatives`` rows of other labels that score ``least`` to ``most`` hundredths of the positive.
+    """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for each anchor, a row whose id is divisible by ``every``, and each of
+    its first ``positives`` other rows of its label, the first ``negatives`` rows of other labels that score ``least`` to ``most`` hundredths of the
+    positive.
 
     Components become floor(scale * x), scores are integer inner products, higher ones first, ties by smaller id, then rows without an id. Where the id is
-    divisible by ``shifted`` the label is one higher, modulo ten. Rows with a null label or vector or a null or non-finite component take no part; shorter vectors end in
-    zeros. A row isn't its own positive; other rows that share its id, or its id and vector, may be. A positive of a negative score has no negatives, one of
-    zero only those of zero. Scores beyond 2^63 / 100 raise OverflowError. Other columns are ignored; an empty table, or one without anchors, gives no rows.
+    divisible by ``shifted`` the label is one higher, modulo ten. Rows with a null label or vector or a null or non-finite component take no part; shorter
+    vectors end in zeros. A row isn't its own positive; other rows that share its id, or its id and vector, may be. A positive of a negative score has no
+    negatives, one of zero only those of zero. Scores beyond 2^63 / 100 raise OverflowError. Other columns are ignored; an empty table, or one without
+    anchors, gives no rows.
     """
     out = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     vec, tag = F.col(id_col).cast("long"), F.col(label_col).cast("long")

@@ -90,7 +90,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|turn|><|text|><|end|>') + length(replace(replace(role, '\', '\e'), '<|', '\l|')) + length(replace(replace(text, '\', '\e'), '<|', '\l|'))) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|turn|><|text|><|end|>') + length(replace(replace(role, '\', '\e'), '<|', '\l|')) + length(replace(replace(text, '\', '\e'), '<|',
+  '\l|'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
 

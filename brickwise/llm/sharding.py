@@ -279,7 +279,8 @@ class ShardStore:
 
 def shard_documents(documents: DataFrame, root: str, arrivals: int = 32, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET_BYTES,
     fanout: int = FANOUT) -> DataFrame:
-    """Append ``documents`` to a store in ``arrivals`` shards (by id), compact it, and return each row as read from the manifest: id, arrival, n_bytes and text_sha256.
+    """Append ``documents`` to a store in ``arrivals`` shards (by id), compact it, and return each row as read from the manifest: id, arrival, n_bytes and
+    text_sha256.
 
     Ids may be null (arrival 0) or repeated; null texts stay null and count 0 bytes, their digest is null. An empty table gives no rows. Other
     columns are stored as they are; one that is named ``arrival`` or like the internal column is replaced.

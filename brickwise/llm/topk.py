@@ -77,10 +77,10 @@ def _search(block: pa.Table, dimension: int, scale: int, k: int) -> pa.Table:
 def top_k(rows: DataFrame, asks: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, k: int = K) -> DataFrame:
     """(query_id, rank, id_col, score): for each row where ``asks`` holds, the ``k`` other rows of the highest integer inner products; all, if fewer.
 
-    Components become floor(scale * x). Ties go to the smaller id, then to rows without one. Null vectors and vectors with null or non-finite components take no
-    part; shorter vectors end in zeros, an empty one scores 0. A row is left out of its own query only: rows that share its id, or its id and vector, are candidates. Scores
-    beyond 64 bits raise OverflowError. Other columns are ignored; an empty table gives no rows. The work is that of all queries on all rows,
-    in blocks; each block's memory is bounded, and its rows are its own whichever executor makes them again.
+    Components become floor(scale * x). Ties go to the smaller id, then to rows without one. Null vectors and vectors with null or non-finite components
+    take no part; shorter vectors end in zeros, an empty one scores 0. A row is left out of its own query only: rows that share its id, or its id and
+    vector, are candidates. Scores beyond 64 bits raise OverflowError. Other columns are ignored; an empty table gives no rows. The work is that of all
+    queries on all rows, in blocks; each block's memory is bounded, and its rows are its own whichever executor makes them again.
     """
     named = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks"))
     taken = blocks.numbered(named.where(blocks.usable(F.col("vector"))), "topk-rows")
@@ -88,7 +88,8 @@ def top_k(rows: DataFrame, asks: Column, id_col: str = "vec_id", vector_col: str
     split = max(1, -(-m // blocks.block_rows(dimension)))
     asked = taken.where("asks").select("row", "id", "vector", F.pmod(F.xxhash64("row"), F.lit(split)).cast("int").alias("block"))
     dealt = blocks.in_blocks(taken.select("row", "id", "vector"), blocks.shards_of(n, dimension), asked, split)
-    found = dealt.groupBy("shard", "block").applyInArrow(lambda block: _search(block, dimension, scale, k), "query_row long, query_id long, id long, score long")
+    found = dealt.groupBy("shard", "block").applyInArrow(lambda block: _search(block, dimension, scale, k),
+        "query_row long, query_id long, id long, score long")
     first = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

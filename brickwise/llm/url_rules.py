@@ -1,9 +1,9 @@
 """URL filters: prefix rules as intervals of reversed-host keys, matched by a sorted sweep over nested intervals.
 
-The key of a host and path is the host's labels from the last to the first, a low separator and the path, so that all
-paths below a rule's path are one interval of keys, and intervals of rules are nested or apart. A URL is
-looked up at those suffixes of its host that have as many labels as some rule's host. The sweep goes through starts, ends and look-ups in key order and knows the top of
-the stack of open intervals: a start puts its own rule there, an end its parent.
+The key of a host and path is the host's labels from the last to the first, a low separator and the path, so that all paths below a rule's path are one
+interval of keys, and intervals of rules are nested or apart. A URL is looked up at those suffixes of its host that have as many labels as some rule's host.
+The sweep goes through starts, ends and look-ups in key order and knows the top of the stack of open intervals: a start puts its own rule there, an end its
+parent.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     urls = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_bw_n")).select("host", "path")
     labels = F.split("host", r"\.", -1)
     lengths = rules.agg(F.coalesce(F.collect_set(F.size(F.split("host", r"\.", -1))), F.array().cast("array<int>")).alias("lengths"))  # one row
-    split = urls.crossJoin(F.broadcast(lengths)).select("host", "path", labels.alias("labels"), F.explode("lengths").alias("n")).where(F.col("n") <= F.size("labels"))
+    split = urls.crossJoin(F.broadcast(lengths)).select("host", "path", labels.alias("labels"),
+        F.explode("lengths").alias("n")).where(F.col("n") <= F.size("labels"))
     lookups = split.select("host", "path", F.array_join(F.slice("labels", F.size("labels") - F.col("n") + 1, F.col("n")), ".").alias("suffix"))
     asked = lookups.select(_key(F.col("suffix"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "host", "path",
         F.lit(None).cast("struct<rule:string,verdict:string>").alias("top"))

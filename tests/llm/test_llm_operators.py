@@ -456,7 +456,8 @@ def test_layouts_differ_by_row_and_digests_do_not(spark):
         turns = [(role, text) for c, _, role, text in rows if c == i]
         assert found[i]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert found[i]["loss_sha256"] == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
-    swapped = records.select("conv_id", F.struct(*[F.col(f"record.{n}").alias(n) for n in reversed(kind.names)]).alias("record"))  # an order of fields is no layout
+    swapped = records.select("conv_id",
+        F.struct(*[F.col(f"record.{n}").alias(n) for n in reversed(kind.names)]).alias("record"))  # an order of fields is no layout
     assert sorted(map(tuple, chat.digests(chat.format_records(swapped)).collect())) == sorted(map(tuple, found.values()))
     odd = records.select("conv_id", F.col("record").withField("turns", F.coalesce("record.turns", F.array().cast(kind["turns"].dataType))).alias("record"))
     assert chat.format_records(odd).where("formatted is null").count() == records.where("record.turns is null").count()  # fields of two layouts are no layout
@@ -510,7 +511,8 @@ def test_very_long_hosts_are_looked_up_at_few_suffixes(spark):
     found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(frame, url_rules.rule_table(spark, url_rules.RULES)).collect()}
     assert found == {1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: (None, "allow")}
     deep = [(f"{long}.net", "/", "block"), ("net", "/", "allow")]
-    found = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame([(1, f"http://x.{long}.net/a"), (2, "http://x.net/")], "page_id long, url string"),
+    found = {r["page_id"]: r["verdict"] for r in url_rules.judge(spark.createDataFrame([(1, f"http://x.{long}.net/a"), (2, "http://x.net/")],
+        "page_id long, url string"),
         url_rules.rule_table(spark, deep), default="none").collect()}
     assert found == {1: "block", 2: "allow"}
 
