@@ -34,7 +34,7 @@ def radial() -> vectors.Vec:
 
 _AT = {a: f"((a.{a} + 0.5::DOUBLE) / {FACTOR} - 0.5::DOUBLE)" for a in AXES}
 _CORNER = {a: f"CASE k{a}.n WHEN 1 THEN {p} - floor({p}) ELSE 1 - ({p} - floor({p})) END" for a, p in _AT.items()}
-_PRIOR_SQL = f"""fine AS (SELECT z, y, x, u AS sdf_in, (u * 7 + z * 3 + x) % 256 AS sdf_out, valid AS faces_valid FROM coded),
+PRIOR_SQL = f"""fine AS (SELECT z, y, x, u AS sdf_in, (u * 7 + z * 3 + x) % 256 AS sdf_out, valid AS faces_valid FROM coded),
 blk AS (SELECT z // {FACTOR} AS z, y // {FACTOR} AS y, x // {FACTOR} AS x, avg(sin(u)) AS sine, avg(cos(u)) AS cosine, max(CASE WHEN label % 3 = 0 THEN 0
   ELSE 1 END) AS v
   FROM coded GROUP BY 1, 2, 3),
@@ -48,7 +48,7 @@ pr AS (SELECT f.*, coalesce(part >= 0.5 * w, false) AS known, coalesce(CASE WHEN
   FROM fine f LEFT JOIN su USING (z, y, x) LEFT JOIN blk b ON b.z = f.z // {FACTOR} AND b.y = f.y // {FACTOR} AND b.x = f.x // {FACTOR})"""
 
 
-@register("coarse_prior_on_fine", f"""WITH {VOXELS_SQL}, {_PRIOR_SQL}
+@register("coarse_prior_on_fine", f"""WITH {VOXELS_SQL}, {PRIOR_SQL}
 SELECT pv AS prior_valid, z, count(*) AS n, round(sum(p_s), 5) AS sine, round(sum(p_c), 5) AS cosine FROM pr GROUP BY 1, 2""")
 def coarse_prior_on_fine(spark: SparkSession, folder: str) -> DataFrame:
     """Sine and cosine of a coarse phase on fine voxels, between valid coarse ones only, by layer and validity."""
@@ -103,7 +103,7 @@ fi AS (SELECT *, data AND faces_valid = 1 AND NOT full_i AND raw BETWEEN {RULES.
   CASE WHEN uy * ry + ux * rx < 0 THEN -1 ELSE 1 END AS side FROM sn)"""
 
 
-@register("fine_winding", f"""WITH {VOXELS_SQL}, {_PRIOR_SQL}, {_WINDING_SQL}
+@register("fine_winding", f"""WITH {VOXELS_SQL}, {PRIOR_SQL}, {_WINDING_SQL}
 SELECT CAST(ok AS INT) AS valid, z, count(*) AS n, CAST(sum(CASE WHEN ok THEN {_SIGNED.format("sin(phase * 6.283185307179586::DOUBLE)")}
   ELSE 128 END) AS BIGINT) AS sine,
   CAST(sum(CASE WHEN ok THEN {_SIGNED.format("cos(phase * 6.283185307179586::DOUBLE)")} ELSE 128 END) AS BIGINT) AS cosine,

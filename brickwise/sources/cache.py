@@ -11,9 +11,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brickwise.operators.crops import rows_of_boxes
 from brickwise.operators.grid import AXES, inside
-from brickwise.runtime import broadcast_if_small
-from brickwise.streaming.builds import BRICK, BrickStore, build
+from brickwise.streaming.builds import BrickStore, build
 
 Box = tuple[tuple[int, int, int], tuple[int, int, int]]
 
@@ -92,15 +92,7 @@ def read_through(caches: list[Cache], requests: DataFrame, source: DataFrame, ed
     asked = requests.withColumn("cache", smallest_cover(caches, columns("low"), columns("size"), F.col("level")))
 
     def met(rows: DataFrame, wanted: DataFrame, cell: int) -> DataFrame:
-        cells = wanted
-        for a in AXES:
-            reach = F.sequence(F.floor(F.col(f"low_{a}") / cell).cast("int"), F.floor((F.col(f"low_{a}") + F.col(f"size_{a}") - 1) / cell).cast("int"))
-            cells = cells.withColumn(f"b{a}", F.explode(reach))
-        keyed = rows.withColumns({f"b{a}": F.floor(F.col(a) / cell).cast("int") for a in AXES})
-        hit = keyed.join(broadcast_if_small(cells), BRICK)
-        for a in AXES:
-            hit = hit.where((F.col(a) >= F.col(f"low_{a}")) & (F.col(a) < F.col(f"low_{a}") + F.col(f"size_{a}")))
-        return hit.select("request", "cache", *rows.columns)
+        return rows_of_boxes(rows, wanted, cell, ["request", "cache"])
 
     out = met(source, asked.where("cache is null"), edge)
     for i, cache in enumerate(caches):

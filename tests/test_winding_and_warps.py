@@ -1,10 +1,11 @@
 """Fine winding on stacks of sheets, and warps whose result is known."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brickwise.functions import codec
-from brickwise.operators import warp, winding
+from brickwise.operators import crops, warp, winding
 
 SIZE = (5, 4, 3)
 
@@ -133,3 +134,27 @@ def test_a_coarse_prior_lies_between_valid_voxels_only(spark):
     assert found[0] == (1.0, 1) and found[1] == (1.0, 1)  # the border holds
     assert np.isclose(found[2][0], 1 + 2 * 0.125) and found[7] == (3.0, 1)
     assert found[10] == (0.0, 0) and found[11] == (0.0, 0)
+
+
+def test_crops_hold_their_targets(spark):
+    code = lambda d: int(np.rint(128 + d * 127 / 20))
+    rows = [(z, y, 0, 51 * z, code(z - 1), code(z - 3), 0 if z == 5 else 1, 0 if y == 0 else 64, z) for z in range(6) for y in range(2)]
+    frame = spark.createDataFrame(rows, "z int, y int, x int, ct int, sdf_in int, sdf_out int, faces_valid int, faces_weight int, extra int")
+    asked = spark.createDataFrame([(7, 1, 0, 0), (8, 4, 0, 0), (9, 40, 0, 0)], "crop int, low_z int, low_y int, low_x int")
+    fine, coarse = {"valid": (F.col("z") % 2).cast("int"), "w": F.lit(1.0)}, {"valid": F.lit(1), "w": F.lit(2.0)}
+    found = {}
+    for mode, source in (("faces", "merge"), ("body", "fine"), ("sides", "coarse")):
+        wound = crops.merged_winding(fine, coarse, source)
+        got = crops.load_crops(asked, frame, 3, mode, wound, F.col("z") == 2, 4, ["extra"]).where("y = 0").collect()
+        found[mode] = {(r.crop, r.z): r for r in got}
+        assert set(found[mode]) == {(7, 0), (7, 1), (7, 2), (8, 0), (8, 1)}  # places of a crop without a row give none
+    a, b, c = (found[m][7, 0] for m in ("faces", "body", "sides"))
+    assert (a.ct, a.weight, a.extra, a.surface_valid) == (0.2, 1.0, 1, 1)  # a weight that was never written
+    assert abs(a.target_in) < 0.1 and abs(a.target_out + 2) < 0.1 and (a.winding_valid, a.winding_w) == (1, 1.0)
+    inside = found["sides"][7, 1]
+    assert inside.inside == 1.0 and abs(inside.target_side - 1) < 0.1 and inside.surface_valid == 2 and inside.winding_valid == 0  # the core
+    assert found["body"][8, 0].winding_valid == 0 and found["body"][8, 0].winding_w == 0 and found["faces"][8, 0].winding_w == 2.0
+    assert (found["faces"][8, 1].surface_valid, found["faces"][8, 1].target_in) == (0, 0.0) and abs(b.target_body) < 0.1 and c.winding_w == 2.0
+    for bad in (lambda: crops.surface_targets("x", F.lit(1), F.lit(1), F.lit(1)), lambda: crops.merged_winding(fine, coarse, "x")):
+        with pytest.raises(ValueError):
+            bad()
