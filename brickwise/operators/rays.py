@@ -11,36 +11,82 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from brickwise.runtime import discard, materialize
+from brickwise.operators.prefix import running_sums
+from brickwise.runtime import broadcast_if_small, discard, materialize, range_table
 
 
 def _order() -> WindowSpec:
     return Window.partitionBy("ray_id").orderBy("k")
 
 
+#: Samples of a ray that one task orders.
+RAY_SAMPLES = 4_000_000
+
+
+def _fits(samples: DataFrame) -> bool:
+    """Whether no ray is longer than a task orders; the rays are counted for it."""
+    return (samples.groupBy("ray_id").count().agg(F.max("count")).first()[0] or 0) <= RAY_SAMPLES
+
+
+def _keyed(samples: DataFrame) -> DataFrame:
+    """With ``_ray``, the ray's id as a text that isn't null."""
+    return samples.withColumn("_ray", F.to_json(F.struct("ray_id"), {"ignoreNullFields": "false"}))
+
+
+def neighbours(samples: DataFrame, values: list[str]) -> DataFrame:
+    """``samples`` with ``before`` and ``after``: structs of the values of the sample before and after on the same ray, null at its ends.
+
+    Rays of RAY_SAMPLES at most are ordered by a task each. Longer ones are dealt into ordered ranges; each range is told the last sample of the range before it and
+    the first of the one after, so that a ray may hold any share of the samples.
+    """
+    row = F.struct(*values)
+    if _fits(samples):
+        return samples.withColumns({"before": F.lag(row).over(_order()), "after": F.lead(row).over(_order())})
+    ranged = range_table(_keyed(samples), ["_ray", "k"], "rays")
+    within = Window.partitionBy("_bw_part", "_ray").orderBy("k")
+    local = ranged.withColumns({"before": F.lag(row).over(within), "after": F.lead(row).over(within)})
+    ends = ranged.groupBy("_bw_part", "_ray").agg(F.min_by(row, "k").alias("_low"), F.max_by(row, "k").alias("_high"))
+    along = Window.partitionBy("_ray").orderBy("_bw_part")  # a row per range that the ray touches
+    ends = ends.select("_bw_part", "_ray", F.lag("_high").over(along).alias("_before"), F.lead("_low").over(along).alias("_after"))
+    both = local.join(broadcast_if_small(ends), ["_bw_part", "_ray"])
+    return both.select(*samples.columns, F.coalesce("before", "_before").alias("before"), F.coalesce("after", "_after").alias("after"))
+
+
+def summed(samples: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``samples`` with running sums along each ray, the sample's own value included, of any length of ray as :func:`neighbours`."""
+    if _fits(samples):
+        return samples.withColumns({n: F.sum(c).over(_order()) for n, c in values.items()})
+    own = _keyed(samples).withColumns({f"_own_{n}": c for n, c in values.items()})
+    before = running_sums(own, ["k"], {f"_own_{n}": n for n in values}, "ray-sums", ["_ray"])
+    return before.select(*samples.columns, *[(F.col(n) + F.col(f"_own_{n}")).alias(n) for n in values])
+
+
 def unwrap(samples: DataFrame, angle: str) -> DataFrame:
     """``samples`` with ``wraps``, the turns to add to each angle so that no step exceeds half a turn, and ``unwrapped``, zero at the first."""
-    step = F.col(angle) - F.lag(angle).over(_order())
+    near = neighbours(samples, [angle])
+    step = F.col(angle) - F.col("before")[angle]
     wrap = F.when(step > math.pi, -1).when(step < -math.pi, 1).otherwise(0)
-    out = samples.withColumn("_wrap", wrap).withColumn("wraps", F.sum("_wrap").over(_order())).drop("_wrap")
-    return out.withColumn("unwrapped", F.col(angle) + 2 * math.pi * F.col("wraps") - F.first(angle).over(_order()))
+    wound = summed(near.withColumn("_wrap", wrap).drop("before", "after"), {"wraps": F.col("_wrap")}).drop("_wrap")
+    first = samples.groupBy(F.col("ray_id").alias("_id")).agg(F.min_by(angle, "k").alias("_first"))
+    both = wound.join(first, F.col("ray_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return both.withColumn("unwrapped", F.col(angle) + 2 * math.pi * F.col("wraps") - F.col("_first")).drop("_first")
 
 
 def runs(samples: DataFrame, member: Column) -> DataFrame:
     """(ray_id, start, length, inner_run) of the maximal runs of members; inner runs touch neither end of their ray."""
-    marked = samples.withColumn("_in", member)
-    last = Window.partitionBy("ray_id")
-    island = F.col("k") - F.row_number().over(Window.partitionBy("ray_id", "_in").orderBy("k"))
-    spread = marked.withColumn("_run", island).withColumn("_last", F.max("k").over(last)).where("_in")
-    found = spread.groupBy("ray_id", "_run").agg(F.min("k").alias("start"), F.count(F.lit(1)).alias("length"), F.max("k").alias("_end"),
-        F.first("_last").alias("_last"))
+    near = neighbours(samples.withColumn("_in", F.coalesce(member, F.lit(False))), ["_in", "k"])
+    opens = F.col("_in") & ~F.coalesce(F.col("before._in") & (F.col("before.k") == F.col("k") - 1), F.lit(False))
+    marked = summed(near.withColumn("_opens", opens.cast("long")).drop("before", "after"), {"_run": F.col("_opens")}).where("_in")
+    last = samples.groupBy(F.col("ray_id").alias("_id")).agg(F.max("k").alias("_last"))
+    found = marked.groupBy("ray_id", "_run").agg(F.min("k").alias("start"), F.count(F.lit(1)).alias("length"), F.max("k").alias("_end"))
+    found = found.join(last, F.col("ray_id").eqNullSafe(F.col("_id")))
     return found.select("ray_id", "start", "length", ((F.col("start") > 0) & (F.col("_end") < F.col("_last"))).alias("inner_run"))
 
 
 def local_maxima(samples: DataFrame, least: float) -> DataFrame:
     """Samples not below the one before, above the one after, and at least ``least``; the ends of a ray are none."""
-    out = samples.withColumn("_before", F.lag("v").over(_order())).withColumn("_after", F.lead("v").over(_order()))
-    return out.where((F.col("v") >= F.col("_before")) & (F.col("v") > F.col("_after")) & (F.col("v") >= least)).drop("_before", "_after")
+    near = neighbours(samples, ["v"])
+    return near.where((F.col("v") >= F.col("before.v")) & (F.col("v") > F.col("after.v")) & (F.col("v") >= least)).drop("before", "after")
 
 
 #: Peaks of one run that a task solves at once.

@@ -148,9 +148,9 @@ _RAY_SQL = "ray AS (SELECT user_id AS ray_id, row_number() OVER (PARTITION BY us
 
 def event_rays(spark: SparkSession, folder: str) -> DataFrame:
     """(ray_id, k, v, valid): the events of each user as ordered samples."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, folder, "events").select(F.col("user_id").alias("ray_id"), (F.row_number().over(w) - 1).alias("k"), F.col("value").alias("v"),
+    events = table(spark, folder, "events").select(F.col("user_id").alias("ray_id"), F.struct("ts", "event_id").alias("k"), F.col("value").alias("v"),
         (F.col("event_type") != "error").alias("valid"))
+    return rays.summed(events, {"_n": F.lit(1)}).select("ray_id", (F.col("_n") - 1).alias("k"), "v", "valid")
 
 
 @register("phase_unwrap", f"""WITH {_RAY_SQL}, a AS (SELECT ray_id, k, v % (2 * pi()) - pi() AS angle FROM ray WHERE valid AND v IS NOT NULL),
@@ -220,7 +220,7 @@ SELECT ray_id, count(*) AS gaps, CAST(sum(next_k - k) AS BIGINT) AS samples, rou
   GROUP BY ray_id""")
 def windings_between_peaks(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("ray_id").orderBy("k")
-    summed = event_rays(spark, folder).withColumn("total", F.sum(F.coalesce("v", F.lit(0.0))).over(w))
+    summed = rays.summed(event_rays(spark, folder), {"total": F.coalesce("v", F.lit(0.0))})
     peaks = rays.local_maxima(summed, 60.0).withColumn("next_k", F.lead("k").over(w)).withColumn("next_total", F.lead("total").over(w))
     found = peaks.where("next_k is not null")
     return found.groupBy("ray_id").agg(F.count(F.lit(1)).alias("gaps"), F.sum(F.col("next_k") - F.col("k")).alias("samples"),

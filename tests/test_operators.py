@@ -335,3 +335,18 @@ def test_tiles_by_division_are_the_even_ones(spark):
     assert grid.fitted_tile((64, 64, 64), 96, 4, 16, 1, 10**9) == 96 and grid.fitted_tile((640, 640, 640), 192, 4, 16, 1, 4 * 136**3) == 128
     with pytest.raises(MemoryError):
         grid.fitted_tile((64, 64, 64), 64, 4, 16, 1, 1000)
+
+
+def test_a_ray_of_most_of_the_samples_is_dealt_out(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = [(7 if i % 10 else (None if i % 20 else 3), i, float(draw.integers(0, 9)), float(draw.uniform(-math.pi, math.pi))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "ray_id long, k long, v double, a double").repartition(5)
+    every = lambda: [sorted(map(str, f.collect())) for f in (
+        rays.neighbours(frame, ["v", "k"]), rays.summed(frame, {"total": F.col("v"), "n": F.lit(1)}), rays.unwrap(frame, "a").select("ray_id", "k", "wraps",
+            F.round("unwrapped", 9)), rays.runs(frame, F.col("v") > 3), rays.local_maxima(frame, 2.0))]
+    one = every()
+    assert len(one[0]) == 400 and len(one[3]) > 20
+    monkeypatch.setattr(rays, "RAY_SAMPLES", 50)
+    assert every() == one
+    plans = rays.neighbours(frame, ["v"])._jdf.queryExecution().toString()
+    assert "_bw_part" in plans
