@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "surface_zero_crossing"
 #: Modules of this package that register queries on import.
 MODULES: list[str] = ["encoding", "stencils", "volumes", "measures", "increments", "builds", "extras", "fields", "reports", "composites", "tiling", "faces",
-    "shape", "audits", "winding", "warps", "evaluation", "crops"]
+    "shape", "audits", "winding", "warps", "evaluation", "crops", "intensity"]
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brickwise.functions import codec
-from brickwise.operators import crops, warp, winding
+from brickwise.operators import crops, intensity, warp, winding
 
 SIZE = (5, 4, 3)
 
@@ -158,3 +158,45 @@ def test_crops_hold_their_targets(spark):
     for bad in (lambda: crops.surface_targets("x", F.lit(1), F.lit(1), F.lit(1)), lambda: crops.merged_winding(fine, coarse, "x")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_blur_goes_on_at_borders_and_skips_missing_places(spark):
+    draw = np.random.default_rng(9)
+    v = draw.random((5, 4, 3))
+    rows = [(b, z, y, x, float(v[z, y, x])) for b in (1, None) for z in range(5) for y in range(4) for x in range(3)]
+    frame = spark.createDataFrame(rows, "box long, z int, y int, x int, v double")
+    expected = v
+    for axis, sigma in enumerate((1.0, 0.0, 0.5)):
+        if sigma:
+            r = int(np.ceil(3 * sigma))
+            w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+            padded = np.pad(expected, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="edge")
+            expected = np.apply_along_axis(lambda line, w=w: np.convolve(line, w / w.sum(), "valid"), axis, padded)
+    found = {(r.box, r.z, r.y, r.x): r.soft for r in intensity.blurred(frame, "v", (1.0, 0.0, 0.5), (5, 4, 3), "soft").collect()}
+    assert len(found) == 120 and all(abs(s - expected[k[1:]]) < 1e-12 for k, s in found.items())
+    holed = intensity.blurred(frame.withColumn("v", F.when((F.col("z") == 2) & (F.col("box") == 1), None).otherwise(F.col("v"))), "v", (0.5, 0.0, 0.0), (5, 4,
+        3), "s")
+    assert holed.where("s is null").count() == 0
+    same = intensity.blurred(frame, "v", (0.0, 0.0, 0.0), (5, 4, 3), "s")
+    assert same.where("s <> v").count() == 0
+    flat = intensity.sharpened(frame.withColumn("v", F.lit(0.5)), "v", 2.0, 0.7, (5, 4, 3))
+    assert flat.where("abs(v - 0.5) > 1e-12").count() == 0
+
+
+def test_scans_are_drawn_by_the_box(spark):
+    rows = [(b, z, y, x, 0.3 + 0.05 * x) for b in (1, 2, None) for z in range(3) for y in range(3) for x in range(3)]
+    frame = spark.createDataFrame(rows, "box long, z int, y int, x int, v double")
+    none = intensity.scanned(frame, "v", (3, 3, 3), intensity.Intensity(chance=0.0))
+    assert sorted(map(str, none.collect())) == sorted(map(str, frame.collect()))
+    every = intensity.Intensity(chance=1.0, holes=1)
+    one = {(r.box, r.z, r.y, r.x): r.v for r in intensity.scanned(frame, "v", (3, 3, 3), every).collect()}
+    two = {(r.box, r.z, r.y, r.x): r.v for r in intensity.scanned(frame.repartition(7, "x"), "v", (3, 3, 3), every).collect()}
+    assert one == pytest.approx(two, abs=1e-12) and len(one) == 81
+    assert len({round(one[b, 1, 1, 1], 9) for b in (1, 2, None)}) == 3
+    window = intensity.Intensity(chance=1.0, gamma=(1.0, 1.0), contrast=(1.0, 1.0), brightness=0.0, grain=0.0, noise=0.0, ring=0.0, stripe=0.0, streak=0.0,
+        window_low=(0.2, 0.2), window_high=(0.7, 0.7), holes=0)
+    plain = intensity.scanned(frame, "v", (3, 3, 3), window)
+    assert plain.where("abs(v - (0.1 + 0.05 * x) / 0.5) > 1e-9").count() == 0
+    assert intensity.scanned(frame.limit(0), "v", (3, 3, 3), every).count() == 0
+    lost = intensity.scanned(frame.withColumn("v", F.lit(None).cast("double")), "v", (3, 3, 3), window)
+    assert lost.where("v is not null").count() == 0
