@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brickwise.operators.grid import AXES, _all
 from brickwise.operators.prefix import running_sums
-from brickwise.runtime import broadcast_if_small, materialize
+from brickwise.runtime import broadcast_if_small
 
 
 def masked_mean(x: Column, mask: Column) -> Column:
@@ -35,56 +35,38 @@ def iou(a: Column, b: Column, empty: float | None = None) -> Column:
     return F.when(count(a | b) > 0, count(a & b) / count(a | b)).otherwise(F.lit(empty).cast("double"))
 
 
-#: Bins of the histogram that tells where a percentile lies, and values of a group that one task ranks without it.
-BINS, ONE_TASK = 4096, 1_000_000
+#: Values of a group that one task ranks.
+ONE_TASK = 1_000_000
 
 
 def percentiles(rows: DataFrame, value: str, group: list[str], shares: dict[str, float]) -> DataFrame:
     """Per group exact, interpolated percentiles of a numeric column: a column for each item (name, share) of ``shares``; null for a group without values.
 
-    Groups of ``ONE_TASK`` values at most (they are counted first) are ranked by a task each. Where one is larger, a histogram of equal bins between each
-    group's ends says which bins hold the wanted ranks, and only the values of these bins are then counted and
-    ranked. So a group of any size is summed up where its rows are, and a task ranks the distinct values of a bin or two. Nulls and NaN aren't values.
+    Groups of ``ONE_TASK`` values at most (they are counted first) are ranked by a task each. Where one is larger, distinct values are counted, dealt into ordered
+    ranges and ranked by running sums: a group of any size and any spread, outliers included, is over many tasks. Nulls and NaN aren't values.
     """
     known = rows.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     most = known.groupBy(*group).count().agg(F.max("count")).first()[0]
     if (most or 0) <= ONE_TASK:
         value = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
         return rows.groupBy(*group).agg(*[F.percentile(value, F.lit(s)).alias(n) for n, s in shares.items()])
-    keys = [f"_k{i}" for i in range(len(group))]
-    same = lambda: _all(F.lit(True), *[F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])
-    ends = known.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.count(F.lit(1)).alias("_n"))
-    ends = materialize(ends, "value-ends")
-    bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BINS - 1),
-        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS))).otherwise(0)
-    binned = known.join(broadcast_if_small(ends), same()).select(*keys, "_v", bin_of.cast("int").alias("_bin"))
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    hist = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upto),
-        F.lit(0)))  # BINS rows a group
-    equal = lambda a, b: _all(F.lit(True), *[a[k].eqNullSafe(b[k]) for k in keys])
-    ranks = {f"{n}{end}": f(F.col("_n") - 1, share) for n, share in shares.items() for end, f in (("_lo", lambda n, s: F.floor(n * s)), ("_hi", lambda n,
-        s: F.ceil(n * s)))}
-    wanted = hist.join(broadcast_if_small(ends), equal(hist, ends)).select(*[hist[k] for k in keys], "_bin", "_c", "_before",
-        F.array(*ranks.values()).alias("_ranks"))
-    wanted = wanted.where(F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
-    wanted = materialize(wanted.select(*[F.col(k).alias(f"w{k}") for k in keys], F.col("_bin").alias("_w"), "_before"), "percentile-bins")
-    held = _all(F.col("_bin") == F.col("_w"), *[F.col(k).eqNullSafe(F.col(f"w{k}")) for k in keys])
-    counted = binned.join(broadcast_if_small(wanted), held).groupBy(*keys, "_bin", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    within = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
-    placed = placed.join(broadcast_if_small(ends), equal(placed, ends)).select(*[placed[k] for k in keys], "_v", "_at", "_c", "_n")
+    key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("")
+    counted = known.withColumn("_key", key).groupBy("_key", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_sums(counted, ["_v"], {"_c": "_at"}, "percentile-ranks", ["_key"])
+    sizes = broadcast_if_small(placed.groupBy("_key").agg(F.sum("_c").alias("_n")))
+    ranks = {f"{n}{end}": f(F.col("_n") - 1, share) for n, share in shares.items() for end, f in (("_lo", lambda n, s: F.floor(n * s)),
+        ("_hi", lambda n, s: F.ceil(n * s)))}
     at = lambda rank: F.max(F.when((rank >= F.col("_at")) & (rank < F.col("_at") + F.col("_c")), F.col("_v")))
-    found = placed.groupBy(*keys).agg(F.first("_n").alias("_n"), *[at(rank).alias(n) for n, rank in ranks.items()])
+    found = placed.join(sizes, "_key").groupBy("_key").agg(F.first("_n").alias("_n"), *[at(rank).alias(n) for n, rank in ranks.items()])
 
     def interpolated(name: str, share: float) -> Column:
         place, low, high = (F.col("_n") - 1) * share, F.col(f"{name}_lo"), F.col(f"{name}_hi")
         between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
         return F.when(low == high, low).otherwise(between).alias(name)
 
-    found = found.select(*keys, *[interpolated(n, s) for n, s in shares.items()])
-    every = rows.select(*group).distinct()
-    return every.join(found, same(), "left").select(*group, *shares)
+    found = found.select("_key", *[interpolated(n, s) for n, s in shares.items()])
+    every = rows.select(*group).distinct() if group else rows.sparkSession.range(1).select()
+    return every.withColumn("_key", key).join(found, "_key", "left").select(*group, *shares)
 
 
 def distributions(rows: DataFrame, value: str, group: list[str]) -> DataFrame:

@@ -187,7 +187,6 @@ def test_empty_masks(spark):
 @pytest.mark.parametrize("one_task", [0, 1_000_000])
 def test_percentiles_are_those_of_numpy(spark, monkeypatch, one_task):
     monkeypatch.setattr(aggregates, "ONE_TASK", one_task)
-    monkeypatch.setattr(aggregates, "BINS", 16)
     random = np.random.default_rng(7)
     values = {"a": random.normal(size=301), "b": np.repeat([1.0, 5.0, 1e9], [200, 3, 40]), "c": np.array([2.5]), None: np.arange(7.0)}
     rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("d", None), ("a", float("nan")), ("a", None)]
