@@ -151,7 +151,9 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
     # one pass over the probes: a crowded key stands in the index once, without a fingerprint, and tells which probes ask for it
     asking = index.join(known, "key", "left_anti").withColumnRenamed("fp", "a").unionByName(crowded.select("key", F.lit(None).cast("long").alias("a")))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.expr("a ^ b")) <= MAX_DISTANCE)
-    met = materialize(asking.join(probe.withColumnRenamed("fp", "b"), "key").where(F.col("a").isNull() | near), "met-keys")
+    # Spark takes either side for as large as the fingerprints, not for so many keys each; a broadcast of them wouldn't fit the driver
+    met = asking.join(probe.withColumnRenamed("fp", "b").hint("merge"), "key").where(F.col("a").isNull() | near)
+    met = materialize(met, "met-keys")
     few = met.where("a is not null").select("a", "b")
     asked = met.where("a is null").select("key", F.col("b").alias("fp"))
     chunks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")

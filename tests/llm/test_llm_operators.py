@@ -101,6 +101,21 @@ def test_links_of_one_ball_grow_with_its_fingerprints(spark, monkeypatch):
     assert whole < 5 * part and whole < 60 * len(ball)
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Broadcasts of over 2 MB fail, as larger ones do in a small driver."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark, small_broadcasts):
+    nodes = spark.range(5000).select(F.xxhash64("id").alias("fp"))
+    near = nodes.unionByName(nodes.where("fp % 5 = 0").select(F.expr("fp ^ 5").alias("fp")))
+    grouped = simhash.group_by_fingerprint(near.withColumn("doc_id", F.monotonically_increasing_id())).groupBy("component_id").count()
+    assert grouped.where("count = 2").count() == near.count() - 5000 > 900
+
+
 def test_fingerprint_is_the_majority_of_shingle_hashes(spark):
     text = "A b\tC d e f g"
     shingles = [" ".join(text.lower().split()[i : i + 3]) for i in range(5)]
