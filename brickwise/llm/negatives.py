@@ -4,7 +4,7 @@ Anchors are clustered by direction. For a cluster and a shard of the rows, one l
 first: a row at angle t from the centroid is at least t - b from every member, b being the widest angle of a member, so that its score is at most the
 product of the lengths and cos(max(0, t - b)). All members walk that list together, so many rows at a time; a member leaves once the bound of what
 is ahead certifies that nothing there can change what it has. One walk finds the positives, a second one, with the scores of the
-positives known, the negatives. Shards give a few rows for each anchor, which are merged.
+positives known, the negatives. Shards give a few rows for each anchor, which are merged. The first walk is over rows of the anchors' own labels only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brickwise.llm import blocks
@@ -25,8 +25,11 @@ SCALE, EVERY, SHIFTED, LABELS, POSITIVES, NEGATIVES = 256, 100, 7, 10, 5, 10
 LEAST, MOST = 30, 90
 #: Anchors of a cluster on average, clusters and the bytes of their centroids at most, anchors that they are fitted on for each cluster.
 CLUSTER_ANCHORS, MOST_CLUSTERS, CENTROID_BYTES, SAMPLE_PER_CLUSTER = 64, 1024, 8 << 20, 16
-#: Rows of a list that members look at before they test whether they are done.
+#: Rows of a list that members look at before they test whether they are done; a quarter at first, as all of them count until there are enough, four times
+#: as many from the third time on.
 STRIDE = 1024
+#: Shards from which on they have more rows, and how many times as many at most; families of labels that the first walk deals its rows by.
+MANY_SHARDS, WIDER, FAMILIES = 64, 4, 64
 #: Members that walk a list together at most.
 WALKERS = 1024
 #: Scores below this fit their hundredfold into 64 bits.
@@ -39,28 +42,62 @@ def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vectors / np.where(lengths > 0, lengths, 1)[:, None], lengths
 
 
+class Shard:
+    """The rows of a shard as whole numbers, and their scores with ``anchors``."""
+
+    def __init__(self, rows: np.ndarray, anchors: np.ndarray):
+        self.units, self.lengths = directions(rows)
+        # no sum of some of a product's terms exceeds the product of the lengths: whole numbers of that size are exact, in whatever order they are added
+        reach = self.lengths.max(initial=0) * np.linalg.norm(anchors, axis=1).max(initial=0) * (1 + 1e-9)
+        self.kind, self.most = (np.float32, 2**24) if reach < 2**24 else (np.float64, 2**53)
+        self.floating = reach < self.most
+        self.rows = rows.astype(self.kind) if self.floating else rows
+
+    def list_of(self, members: np.ndarray, centroid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by descending bound, and the bounds: no member's score with a row exceeds the member's length times the row's bound."""
+        angle = lambda units: np.arccos(np.clip(units @ centroid, -1, 1))
+        widest = angle(directions(members)[0]).max()
+        bound = self.lengths * (np.cos(np.maximum(angle(self.units) - widest - 1e-6, 0)) + 1e-9)  # with an allowance for rounding
+        order = np.argsort(-bound)
+        return order, bound[order]
+
+    def reaching(self, members: np.ndarray, at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the member, row, score) of each score that is ``least`` of its member or more."""
+        if not self.floating:
+            scores = blocks.exact_products(members, self.rows[at], MOST_SCORE)
+            m, r = np.nonzero(scores >= least[:, None])
+            return m, at[r], scores[m, r]
+        scores = members.astype(self.kind) @ self.rows[at].T
+        found = np.flatnonzero(scores >= np.clip(least, -self.most, self.most).astype(self.kind)[:, None])
+        m, r = np.divmod(found, len(at))
+        return m, at[r], np.rint(scores.ravel()[found]).astype(np.int64)
+
+
 def shared_list(rows: np.ndarray, members: np.ndarray, centroid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by descending bound, and the bounds: no member's score with a row exceeds the member's length times the row's bound."""
-    angle = lambda units: np.arccos(np.clip(units @ centroid, -1, 1))
-    units, lengths = directions(rows)
-    widest = angle(directions(members)[0]).max()
-    bound = lengths * (np.cos(np.maximum(angle(units) - widest - 1e-6, 0)) + 1e-9)  # with an allowance for rounding
-    order = np.argsort(-bound, kind="stable")
-    return order, bound[order]
-
-
-def walk(rows: np.ndarray, members: np.ndarray, centroid: np.ndarray, look: Callable[[np.ndarray, np.ndarray, np.ndarray], None], least: Callable[[],
-    np.ndarray]) -> None:
-    """Hand ``look(members, rows, scores)`` the list in strides until ``least()``, below which scores don't matter to a member, is above what is ahead."""
-    order, bound = shared_list(rows, members, centroid)
+    """:meth:`Shard.list_of` of rows that no shard holds."""
+    return Shard(rows, members).list_of(members, centroid)
+
+
+def walk(rows: np.ndarray | Shard, members: np.ndarray, centroid: np.ndarray, look: Callable[[np.ndarray, np.ndarray, np.ndarray], None],
+    least: Callable[[], np.ndarray]) -> None:
+    """Hand ``look(members, rows, scores)`` what reaches ``least()``, below which scores don't matter to a member, of the list in strides until that is above
+    all that is ahead."""
+    shard = rows if isinstance(rows, Shard) else Shard(rows, members)
+    order, bound = shard.list_of(members, centroid)
     lengths = np.linalg.norm(members, axis=1)
-    walking = np.arange(len(members))
-    for i in range(0, len(order), STRIDE):
-        walking = walking[lengths[walking] * bound[i] + 1 >= least()[walking]]
+    walking, i = np.arange(len(members)), 0
+    strides = iter((max(1, STRIDE // 4), STRIDE, 4 * STRIDE))
+    stride = next(strides)
+    while i < len(order):
+        floor = least()
+        walking = walking[lengths[walking] * bound[i] + 1 >= floor[walking]]
         if not len(walking):
             break
-        stride = order[i : i + STRIDE]
-        look(walking, stride, blocks.exact_products(members[walking], rows[stride], MOST_SCORE))
+        m, at, scores = shard.reaching(members[walking], order[i : i + stride], floor[walking])
+        if len(m):
+            look(walking[m], at, scores)
+        i += stride
+        stride = next(strides, stride)
 
 
 class _Best:
@@ -93,24 +130,28 @@ def _sides(block: pa.Table, dimension: int, scale: int) -> tuple[pa.Table, pa.Ta
     return left, right, *(blocks.whole_numbers(x.column("vector"), dimension, scale) for x in (left, right))
 
 
+def _joined(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+
+
 def _positives(block: pa.Table, dimension: int, centroids: np.ndarray, scale: int, k: int) -> pa.Table:
     """The first ``k`` other rows of a shard with the label of each anchor of a block."""
     left, right, anchors, rows = _sides(block, dimension, scale)
     anchor_row, row = left.column("row").to_numpy(), right.column("row").to_numpy()
     anchor_label, label = left.column("label").to_numpy(), right.column("label").to_numpy()
     cluster = left.column("cluster").to_numpy()
-    best = _Best(len(anchors), k, *blocks.id_columns(right))
+    shard, named, found = Shard(rows, anchors), blocks.id_columns(right), []
     for c, of in _companies(cluster) if len(rows) else []:
+        best = _Best(len(of), k, *named)
 
-        def look(members: np.ndarray, at: np.ndarray, scores: np.ndarray, of: np.ndarray = of) -> None:
-            members = of[members]
-            fits = (anchor_label[members][:, None] == label[at]) & (anchor_row[members][:, None] != row[at]) & (scores >= best.last[members][:, None])
-            m, r = np.nonzero(fits)
-            best.add(members[m], at[r], scores[m, r])
+        def look(m: np.ndarray, at: np.ndarray, scores: np.ndarray, of: np.ndarray = of, best: _Best = best) -> None:
+            fits = (anchor_label[of[m]] == label[at]) & (anchor_row[of[m]] != row[at])
+            best.add(m[fits], at[fits], scores[fits])
 
-        walk(rows, anchors[of], centroids[c], look, lambda of=of: best.last[of])
-    ids = blocks.id_array(best.ids[best.at], best.unnamed[best.at])
-    return pa.table({"row": anchor_row[best.key], "positive_row": row[best.at], "positive_id": ids, "positive_score": best.score})
+        walk(shard, anchors[of], centroids[c], look, lambda best=best: best.last)
+        found.append((of[best.key], best.at, best.score))
+    anchor, at, score = _joined(found)
+    return pa.table({"row": anchor_row[anchor], "positive_row": row[at], "positive_id": blocks.id_array(*(x[at] for x in named)), "positive_score": score})
 
 
 def _negatives(block: pa.Table, dimension: int, centroids: np.ndarray, scale: int, k: int, least: int, most: int) -> pa.Table:
@@ -118,28 +159,30 @@ def _negatives(block: pa.Table, dimension: int, centroids: np.ndarray, scale: in
     left, right, anchors, rows = _sides(block, dimension, scale)
     anchor_label, label = left.column("label").to_numpy(), right.column("label").to_numpy()
     cluster = left.column("cluster").to_numpy()
-    positives = left.column("positives").to_pylist()
-    width = max(map(len, positives), default=0)
-    score = np.array([[p["positive_score"] for p in ps] + [-1] * (width - len(ps)) for ps in positives], dtype=np.int64).reshape(len(positives), width)
-    best = _Best(len(anchors) * width, k, *blocks.id_columns(right))
-    for c, of in _companies(cluster) if len(rows) else []:
-
-        def look(members: np.ndarray, at: np.ndarray, scores: np.ndarray, of: np.ndarray = of) -> None:
-            members = of[members]
-            other = anchor_label[members][:, None] != label[at]
-            for p in range(width):
-                low, last = score[members, p][:, None], best.last[members * width + p][:, None]
-                m, r = np.nonzero(other & (least * low <= 100 * scores) & (100 * scores <= most * low) & (scores >= last))
-                best.add(members[m] * width + p, at[r], scores[m, r])
-
-        def floor(of: np.ndarray = of) -> np.ndarray:
-            each = np.maximum(best.last.reshape(-1, width)[of], np.where(score[of] < 0, np.inf, least * score[of] / 100))  # below zero nothing fits
-            return each.min(1)
-
-        walk(rows, anchors[of], centroids[c], look, floor)
-    anchor, p = best.key // max(width, 1), best.key % max(width, 1)
-    return pa.table({"row": left.column("row").to_numpy()[anchor], "nth": p, "negative_id": blocks.id_array(best.ids[best.at], best.unnamed[best.at]),
-        "negative_score": best.score})
+    lists = left.column("positives").combine_chunks()
+    taken = np.asarray(lists.value_lengths())
+    width = int(taken.max(initial=0))
+    score = np.full((len(anchors), width), -1, dtype=np.int64)
+    score[np.arange(width) < taken[:, None]] = np.asarray(lists.flatten().field("positive_score"))
+    shard, named, found = Shard(rows, anchors), blocks.id_columns(right), []
+    lowest = np.where(score < 0, np.inf, least * score / 100)  # below zero nothing fits
+    for c, of in _companies(cluster) if len(rows) and width else []:
+        best = _Best(len(of) * width, k, *named)
+
+        def look(m: np.ndarray, at: np.ndarray, scores: np.ndarray, of: np.ndarray = of, best: _Best = best) -> None:
+            other = anchor_label[of[m]] != label[at]
+            m, at, scores = m[other], at[other], scores[other]
+            low = score[of[m]]
+            fits = (least * low <= 100 * scores[:, None]) & (100 * scores[:, None] <= most * low) & (scores[:, None] >= best.last[m[:, None] * width
+                + np.arange(width)])
+            i, p = np.nonzero(fits)
+            best.add(m[i] * width + p, at[i], scores[i])
+
+        walk(shard, anchors[of], centroids[c], look, lambda of=of, best=best: np.maximum(best.last.reshape(-1, width), lowest[of]).min(1))
+        found.append((of[best.key // width] * width + best.key % width, best.at, best.score))
+    key, at, score = _joined(found)
+    return pa.table({"row": left.column("row").to_numpy()[key // max(width, 1)], "nth": key % max(width, 1), "negative_id": blocks.id_array(*(x[at]
+        for x in named)), "negative_score": score})
 
 
 def clusters_of(anchors: DataFrame, n: int, dimension: int, scale: int) -> tuple[np.ndarray, DataFrame, int]:
@@ -172,6 +215,24 @@ def clusters_of(anchors: DataFrame, n: int, dimension: int, scale: int) -> tuple
     return centroids, placed.join(F.broadcast(first), "cluster").withColumn("block", block).drop("first", "parts"), total
 
 
+def with_their_label(rows: DataFrame, asks: Column, anchors: DataFrame, blocks_n: int, shard_rows: int, dimension: int) -> DataFrame:
+    """Rows and anchors for a group (family, shard, block) in which each anchor meets each row of its label once.
+
+    A family has the labels of one hash, so that there are few whatever the number of labels; one label may hold any share of the rows.
+    """
+    family = lambda df: df.withColumn("family", F.pmod(F.xxhash64("label"), F.lit(FAMILIES)).cast("int"))
+    sizes = family(rows).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(asks, 1)).alias("m")).where("m > 0").collect()  # FAMILIES at most
+    dealt = [(r["family"], -(-r["n"] // shard_rows), min(blocks_n, -(-r["m"] // blocks.block_rows(dimension)))) for r in sizes]
+    dealt = F.broadcast(rows.sparkSession.createDataFrame(dealt, "family int, shards int, blocks int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["row", "id", "label", "vector", "family"]
+    right = family(rows).join(dealt, "family").select(*kept, F.lit(0).alias("side"), F.pmod(F.xxhash64("row"), F.col("shards")).cast("int").alias("shard"),
+        upto("blocks").alias("block"))
+    place = F.floor(F.col("block") * F.col("blocks") / blocks_n).cast("int")  # consecutive clusters stay together
+    left = family(anchors).join(dealt, "family").select(*kept, "cluster", F.lit(1).alias("side"), upto("shards").alias("shard"), place.alias("block"))
+    return right.unionByName(left, allowMissingColumns=True)
+
+
 def hard_negatives(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scale: int = SCALE,
     every: int = EVERY, shifted: int = SHIFTED, positives: int = POSITIVES, negatives: int = NEGATIVES, least: int = LEAST, most: int = MOST) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for each anchor, a row whose id is divisible by ``every``, and each of
@@ -195,8 +256,10 @@ def hard_negatives(embeddings: DataFrame, id_col: str = "vec_id", vector_col: st
         return embeddings.sparkSession.createDataFrame([], out)
     centroids, anchors, parts = clusters_of(rows.where(asks).select("row", "id", "label", "vector"), m, dimension, scale)
     shards = blocks.shards_of(n, dimension)
+    shards = max(min(shards, MANY_SHARDS), -(-shards // WIDER))
     taken = rows.select("row", "id", "label", "vector")
-    near = blocks.in_blocks(taken, shards, anchors, parts).groupBy("shard", "block").applyInArrow(lambda b: _positives(b, dimension, centroids, scale,
+    alike = with_their_label(taken, asks, anchors, parts, -(-n // shards), dimension)
+    near = alike.groupBy("family", "shard", "block").applyInArrow(lambda b: _positives(b, dimension, centroids, scale,
         positives), "row long, positive_row long, positive_id long, positive_score long")
     ranked = Window.partitionBy("row").orderBy(F.desc("positive_score"), F.col("positive_id").asc_nulls_last(), "positive_row")
     first = near.withColumn("nth", (F.row_number().over(ranked) - 1).cast("long")).where(F.col("nth") < positives)

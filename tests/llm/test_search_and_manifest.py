@@ -4,6 +4,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,26 @@ def test_hard_negatives_of_small_tables(spark):
     assert [tuple(r) for r in negatives.hard_negatives(table(spark, zero)).collect()] == [(100, 1, 1, 2, 0, 0)]
 
 
+def test_work_of_a_block_grows_with_its_anchors(monkeypatch):
+    ranked = []
+    first_of_each = blocks.first_of_each
+    monkeypatch.setattr(blocks, "first_of_each", lambda key, *more: ranked.append(len(key)) or first_of_each(key, *more))
+    draw = np.random.default_rng(6)
+    vectors, labels, centroids = draw.normal(size=(3000, 8)), draw.integers(0, 3, 3000), negatives.directions(draw.normal(size=(120, 8)))[0]
+
+    def cost(clusters):
+        n = 2000 + 8 * clusters
+        block = pa.table({"row": np.arange(n), "id": np.arange(n), "label": labels[:n], "vector": list(vectors[:n]), "side": (np.arange(n) >= 2000) * 1,
+            "cluster": np.r_[np.zeros(2000, int), np.arange(n - 2000) // 8]})
+        scores = [[{"positive_score": s} for s in (2_000_000, 1_800_000, 1_600_000)] if i >= 2000 else None for i in range(n)]
+        ranked.clear()
+        assert len(negatives._positives(block, 8, centroids, 256, 5)) == 5 * 8 * clusters
+        assert len(negatives._negatives(block.append_column("positives", pa.array(scores)), 8, centroids, 256, 10, 1, 90)) > 8 * clusters
+        return sum(ranked)
+
+    assert cost(120) < 6 * cost(30)
+
+
 def test_members_leave_a_shared_list_early():
     draw = np.random.default_rng(5)
     rows = np.concatenate([np.array([100.0, 0, 0]) + draw.normal(size=(50, 3)), np.array([-100.0, 0, 0]) + draw.normal(size=(5000, 3))])
