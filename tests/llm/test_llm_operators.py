@@ -116,6 +116,15 @@ def test_keys_of_fingerprints_are_not_broadcast(spark, small_broadcasts):
     assert grouped.where("count = 2").count() == near.count() - 5000 > 900
 
 
+def test_near_copies_are_found_without_large_broadcasts(spark, small_broadcasts):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "48m")  # a table of two keys takes 32 MB at least
+    words = F.concat_ws(" ", *[F.xxhash64("doc_id", F.lit(k)).cast("string") for k in range(3)])
+    documents = spark.range(20000).select(F.col("id").alias("doc_id")).withColumn("text", words)
+    again = documents.where("doc_id % 10 = 0").select((F.col("doc_id") + 20000).alias("doc_id"), F.concat(F.lit(" "), "text").alias("text"))
+    kept = simhash.keep_one_of_each_group(documents.unionByName(again))
+    assert kept.agg(F.count("doc_id"), F.max("doc_id")).first() == (20000, 19999)
+
+
 def test_fingerprint_is_the_majority_of_shingle_hashes(spark):
     text = "A b\tC d e f g"
     shingles = [" ".join(text.lower().split()[i : i + 3]) for i in range(5)]
