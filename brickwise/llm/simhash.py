@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from brickwise.llm.embed_dedup import joined_labels
 from brickwise.operators.components import connected_components
-from brickwise.runtime import broadcast_if_small, discard, materialize
+from brickwise.runtime import broadcast_if_small, discard, materialize, merged_if_large
 
 SEED = 42
 #: Generator polynomial of the binary Golay code, fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -219,6 +219,8 @@ class NearCopies:
 
 #: Members of a bucket that meet the whole bucket in one task.
 CHUNK = 256
+#: Ids that the driver broadcasts where the other side holds texts or buckets: some 50 MB there.
+MOST_IDS = 500_000
 
 
 def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -283,9 +285,10 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` whose whole sets of shingles have the similarity."""
         involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
-        sets = materialize(known.join(broadcast_if_small(involved), "id", "left_semi").select("id", shingles("text").alias("s")), "shingle-sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")),
-            "b")
+        sets = materialize(known.join(broadcast_if_small(involved, MOST_IDS), "id", "left_semi").select("id", shingles("text").alias("s")), "shingle-sets")
+        # sets that share most shingles fit few MB of Parquet, whatever they take in a broadcast
+        sets_of = lambda end: sets.select(F.col("id").alias(end), F.col("s").alias(f"s{end}")).hint("merge")
+        both = pairs.join(sets_of("a"), "a").join(sets_of("b"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         found = materialize(both.where(common >= rule.similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-copies")
         discard(involved, sets)
@@ -299,19 +302,20 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     discard(sketches)
     # by fingerprint: copies of one with the lowest of them, and these with each other
     prints = materialize(nodes.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
-    equal = nodes.join(prints, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    named = lambda end: prints.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_low"))
+    lows = merged_if_large(prints)
+    equal = nodes.join(lows, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    named = lambda end: lows.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_low"))
     ends = near_links(prints).join(named("a"), "a").join(named("b"), "b")
     by_print = equal.unionByName(ends.select(F.least("a_low", "b_low").alias("a"), F.greatest("a_low", "b_low").alias("b")))
     spread = texts.select("node", "n", F.size("first").alias("k"), F.posexplode("first").alias("i", "p"))
     often = spread.groupBy("p").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("p")
-    shared = spread.join(often, "p").withColumn("share", F.count(F.lit(1)).over(Window.partitionBy("node")) / F.col("k"))
+    shared = spread.join(often.hint("merge"), "p").withColumn("share", F.count(F.lit(1)).over(Window.partitionBy("node")) / F.col("k"))
     buckets = materialize(shared.select("p", "node", "n", "i", "share"), "buckets")
     discard(texts)
     # each text with a few of its bucket
     member = F.struct("node", "n", "i")
     hubs = buckets.groupBy("p").agg(F.max_by(member, F.struct("share", -F.col("node"))).alias("central"), F.min(member).alias("lowest"))
-    starred = buckets.join(hubs, "p").select("node", "n", "i", F.explode(F.array("central", "lowest")).alias("other"))
+    starred = merged_if_large(buckets).join(hubs, "p").select("node", "n", "i", F.explode(F.array("central", "lowest")).alias("other"))
     beside = F.lag(member).over(Window.partitionBy("p").orderBy("n", "node"))
     chained = buckets.select("node", "n", "i", beside.alias("other")).where("other is not null")
     met = starred.unionByName(chained).where(F.col("node") != F.col("other.node")).where(rule.fits(F.col("n"), F.col("i"), F.col("other.n"), F.col("other.i")))
@@ -319,24 +323,24 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = materialize(met.unionByName(by_print).distinct(), "candidates")
     roots = materialize(connected_components(verified(pairs)), "roots")
     # whatever isn't of the largest group of its bucket with the rest of the bucket
-    grouped = buckets.select("p", "node", "n", "i").join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = buckets.select("p", "node", "n", "i").join(broadcast_if_small(roots, MOST_IDS), "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = materialize(grouped, "grouped")
     discard(buckets)
     sizes = grouped.groupBy("p", "root").agg(F.count(F.lit(1)).alias("c"))
     split = sizes.groupBy("p").agg(F.max_by("root", F.struct("c", "root")).alias("major"),
         F.ceil((F.sum("c") - F.max("c")) / CHUNK).cast("int").alias("chunks")).where("chunks > 0")
-    mixed = materialize(grouped.join(split, "p"), "mixed")
+    mixed = materialize(merged_if_large(grouped).join(split, "p"), "mixed")
     discard(grouped)
     left = mixed.where("root <> major").select("p", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"),
         *[F.col(c).alias(f"l{c}") for c in ("node", "n", "i", "root")])
     right = mixed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     apart = (F.col("lroot") != F.col("root")) & ((F.col("root") == F.col("major")) | (F.col("lnode") < F.col("node")))
-    rest = left.join(right, ["p", "chunk"]).where(apart & rule.fits(F.col("ln"), F.col("li"), F.col("n"), F.col("i")))
-    rest = rest.select(F.least("lnode", "node").alias("a"), F.greatest("lnode", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = left.join(right.hint("merge"), ["p", "chunk"]).where(apart & rule.fits(F.col("ln"), F.col("li"), F.col("n"), F.col("i")))
+    rest = rest.select(F.least("lnode", "node").alias("a"), F.greatest("lnode", "node").alias("b")).distinct().join(merged_if_large(pairs), ["a", "b"], "left_anti")
     more = verified(materialize(rest, "other-candidates"))
     roots = connected_components(materialize(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "all-near-copies"))
-    placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*same, F.coalesce("root", "node").alias("root"))
-    return rows.select("id", *same).join(placed, same).where("id <> root").select("id", "root").distinct()
+    placed = merged_if_large(nodes).join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*same, F.coalesce("root", "node").alias("root"))
+    return merged_if_large(rows).join(placed, same).where("id <> root").select("id", "root").distinct()
 
 
 def keep_one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: NearCopies | None = None) -> DataFrame:
@@ -345,8 +349,8 @@ def keep_one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_co
     Rows with a null id stay. All columns stay.
     """
     gone = materialize(near_copy_groups(documents, id_col, text_col, rule).select(F.col("id").alias("_bw_id")).distinct(), "gone")
-    rest = documents.join(broadcast_if_small(gone), documents[id_col] == gone["_bw_id"], "left_anti")
+    rest = documents.join(broadcast_if_small(gone, MOST_IDS), documents[id_col] == gone["_bw_id"], "left_anti")
     again = materialize(documents.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_bw_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_bw_id"), "repeated")
-    few = broadcast_if_small(again)
+    few = broadcast_if_small(again, MOST_IDS)
     once = rest.join(few, rest[id_col] == few["_bw_id"], "left_anti")
     return once.unionByName(rest.join(few, rest[id_col] == few["_bw_id"], "left_semi").dropDuplicates([id_col]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickwise.operators.grid import AXES, around, cube
-from brickwise.runtime import discard, materialize
+from brickwise.runtime import discard, materialize, merged_if_large
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        last, current = current, materialize(_small_star(_large_star(current)), "components")
+        last, current = current, materialize(_small_star(_large_star(current, before[0]), before[0]), "components")
         discard(last)
         after = _signature(current)
         if after == before:
@@ -44,15 +44,15 @@ def _signature(pairs: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"]
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _large_star(pairs: DataFrame, rows: int) -> DataFrame:
     both = pairs.union(pairs.select("v", "u"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(merged_if_large(low, rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
+def _small_star(pairs: DataFrame, rows: int) -> DataFrame:
     low = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = pairs.join(merged_if_large(low, rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -125,6 +125,19 @@ def test_near_copies_are_found_without_large_broadcasts(spark, small_broadcasts)
     assert kept.agg(F.count("doc_id"), F.max("doc_id")).first() == (20000, 19999)
 
 
+def test_sets_of_near_copies_are_not_broadcast(spark, small_broadcasts):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "48m")
+    words = F.expr("concat_ws(' ', transform(sequence(0, 7999), i -> if(i = 1000 + id % 6000, concat('new', id), concat('w', i))))")
+    documents = spark.range(800).select(F.col("id").alias("doc_id"), words.alias("text"))
+    assert simhash.near_copy_groups(documents).agg(F.count("id"), F.max("root")).first() == (799, 0)
+
+
+def test_many_copies_are_grouped_without_large_broadcasts(spark, small_broadcasts):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")
+    documents = spark.range(420_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one of "), F.xxhash64(F.expr("id % 2000"))).alias("text"))
+    assert simhash.near_copy_groups(documents).agg(F.count("id"), F.max("root")).first() == (418_000, 1999)
+
+
 def test_fingerprint_is_the_majority_of_shingle_hashes(spark):
     text = "A b\tC d e f g"
     shingles = [" ".join(text.lower().split()[i : i + 3]) for i in range(5)]
