@@ -217,6 +217,8 @@ class NearCopies:
         return sizes & (F.least(na - ia, nb - ib) >= self.similarity / (1 + self.similarity) * (na + nb) - 1e-6)
 
 
+#: Shingles for each count of a signature, about.
+SHARE_OF_COUNT = 4
 #: Members of a bucket that meet the whole bucket in one task.
 CHUNK = 256
 #: Ids that the driver broadcasts where the other side holds texts or buckets: some 50 MB there.
@@ -239,18 +241,35 @@ def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
         count=count))
 
 
-def sketch_bytes(text: bytes, rule: NearCopies, common: np.ndarray, counts: np.ndarray) -> tuple[int, int, int, np.ndarray]:
-    """(digest, number and fingerprint of the distinct shingles, those that come first) of a text; ``common`` are the sorted hashes that come last, by ``counts``."""
+def signature(hashes: np.ndarray) -> bytes:
+    """How many distinct hashes end in each number, a byte each, for a power of two of numbers; empty (nothing is told) if a count doesn't fit a byte."""
+    size = 1 << max(0, (len(hashes) // SHARE_OF_COUNT).bit_length() - 1)
+    counts = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_share(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of these signatures can have the similarity: they share no more than the lesser count of every ending."""
+    if not a or not b:
+        return True
+    short, long = sorted((np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in (a, b)), key=len)
+    common = int(np.minimum(short, long.reshape(-1, len(short)).sum(axis=0)).sum())
+    return common >= similarity * (int(short.sum()) + int(long.sum()) - common)
+
+
+def sketch_bytes(text: bytes, rule: NearCopies, common: np.ndarray, counts: np.ndarray) -> tuple[int, int, int, np.ndarray, bytes]:
+    """(digest, number and fingerprint of the distinct shingles, those that come first, their signature) of a text; ``common`` are the sorted hashes that come
+    last, by ``counts``."""
     hashes = _shingle_hashes(text, rule.words)
     if not len(hashes):
-        return 0, 0, 0, hashes.view(np.int64)
+        return 0, 0, 0, hashes.view(np.int64), b""
     content = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
     often = np.zeros(len(hashes), dtype=np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         often = np.where(common[at] == hashes, counts[at], 0)
     first = hashes[np.argsort(often, kind="stable")][: rule.prefix(len(hashes))]
-    return content - (1 << 63), len(hashes), _majority(hashes), first.view(np.int64)
+    return content - (1 << 63), len(hashes), _majority(hashes), first.view(np.int64), signature(hashes)
 
 
 def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: NearCopies | None = None) -> DataFrame:
@@ -276,28 +295,39 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sort = np.argsort(common.view(np.uint64))
     common, counts = common.view(np.uint64)[sort], counts[sort]
 
-    @F.arrow_udf("content long, n int, fp long, first array<long>")
+    @F.arrow_udf("content long, n int, fp long, first array<long>, sig binary")
     def sketch(texts: pa.Array) -> pa.Array:
         rows = [sketch_bytes(x.as_py() or b"", rule, common, counts) for x in texts.cast(pa.large_binary())]
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))]
-        return pa.StructArray.from_arrays(columns, ["content", "n", "fp", "first"])
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()),
+            pa.binary()))]
+        return pa.StructArray.from_arrays(columns, ["content", "n", "fp", "first", "sig"])
+
+    @F.arrow_udf("boolean")
+    def possible(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array((may_share(x.as_py(), y.as_py(), rule.similarity) for x, y in zip(a, b, strict=True)), pa.bool_(), size=len(a))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` whose whole sets of shingles have the similarity."""
-        involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+        """Those of ``pairs`` whose whole sets of shingles have the similarity.
+
+        A set goes through two shuffles for each pair, and pairs grow faster than texts. Signatures, a byte for some four shingles, leave out most before.
+        """
+        signs = lambda end: rows.select(F.col("id").alias(end), F.col("sig").alias(f"g{end}")).hint("merge")
+        likely = pairs.join(signs("a"), "a").join(signs("b"), "b").where(possible("ga", "gb")).select("a", "b").distinct()
+        likely = materialize(likely, "likely-copies")
+        involved = materialize(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
         sets = materialize(known.join(broadcast_if_small(involved, MOST_IDS), "id", "left_semi").select("id", shingles("text").alias("s")), "shingle-sets")
         # sets that share most shingles fit few MB of Parquet, whatever they take in a broadcast
         sets_of = lambda end: sets.select(F.col("id").alias(end), F.col("s").alias(f"s{end}")).hint("merge")
-        both = pairs.join(sets_of("a"), "a").join(sets_of("b"), "b")
+        both = likely.join(sets_of("a"), "a").join(sets_of("b"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         found = materialize(both.where(common >= rule.similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "near-copies")
-        discard(involved, sets)
+        discard(likely, involved, sets)
         return found
 
     sketches = materialize(known.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketches")
     same = ["content", "n"]
     texts = materialize(sketches.groupBy(*same).agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("first").alias("first")), "texts")
-    rows = materialize(sketches.select("id", *same), "rows")
+    rows = materialize(sketches.select("id", "sig", *same), "rows")
     nodes = materialize(texts.select("node", "fp", *same), "nodes")
     discard(sketches)
     # by fingerprint: copies of one with the lowest of them, and these with each other
@@ -340,7 +370,7 @@ def near_copy_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str
     more = verified(materialize(rest, "other-candidates"))
     roots = connected_components(materialize(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "all-near-copies"))
     placed = merged_if_large(nodes).join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*same, F.coalesce("root", "node").alias("root"))
-    return merged_if_large(rows).join(placed, same).where("id <> root").select("id", "root").distinct()
+    return merged_if_large(rows.select("id", *same)).join(placed, same).where("id <> root").select("id", "root").distinct()
 
 
 def keep_one_of_each_group(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: NearCopies | None = None) -> DataFrame:

@@ -162,3 +162,34 @@ def test_every_row_is_encoded(spark, sf_dir, stages):
     assert found.n_tokens == size == len(found.ids) and bytes(bpe_tokens(found.ids)).decode() == first.text
     facts = lambda rows: sorted((r.doc_id, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows.collect())
     assert facts(corpus_pipeline.run(spark, sf_dir)) == facts(stages[5])
+
+
+def test_signatures_bound_what_sets_share():
+    random = np.random.default_rng(7)
+    for size in (0, 1, 7, 60, 500, 3000):
+        base = random.integers(0, 2**64, size + size // 3, dtype=np.uint64)
+        for begin in (0, size // 20, size // 3):
+            a, b = np.unique(base[:size]), np.unique(base[begin : begin + size])
+            shared = len(np.intersect1d(a, b))
+            near = shared >= 0.8 * (len(a) + len(b) - shared)
+            found = simhash.may_share(simhash.signature(a), simhash.signature(b), 0.8)
+            assert found or not near
+            assert size < 500 or found == near
+    many = np.arange(300, dtype=np.uint64) << np.uint64(32)
+    assert simhash.signature(many) == b"" and simhash.may_share(b"", simhash.signature(many[:9]), 0.8)
+
+
+def test_texts_that_share_a_passage_only_are_told_apart_without_their_sets(spark, monkeypatch):
+    counted = {}
+
+    def noted(df, label):
+        out = materialize(df, label)
+        counted.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    texts = {i: " ".join([*(f"t{i}w{k}" for k in range(250)), *(f"p{i // 2}w{k}" for k in range(60))]) for i in range(120)}
+    texts[500], texts[501] = (" ".join(f"n{k}" for k in range(n)) for n in (300, 305))
+    assert groups_found(spark, texts) == {i: 500 if i == 501 else i for i in texts}
+    assert counted["candidates"][0] + counted["other-candidates"][0] > 40
+    assert max(counted["shingle-sets"]) == 2
