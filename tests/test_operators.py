@@ -10,6 +10,7 @@ from brickwise.functions import codec, vectors
 from brickwise.operators import aggregates, embeddings, grid, joins, rays, sampling, stencil
 from brickwise.operators.components import connected_components
 from brickwise.operators.prefix import running_sums
+from brickwise.plans.catalog import queries
 from brickwise.streaming import incremental
 
 
@@ -349,3 +350,24 @@ def test_a_ray_of_most_of_the_samples_is_dealt_out(spark, monkeypatch):
     assert every() == one
     plans = rays.neighbours(frame, ["v"])._jdf.queryExecution().toString()
     assert "_bw_part" in plans
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Broadcasts of over 2 MB fail, as larger ones do in a small driver."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def bricks(spark, tmp_path, n):
+    """A folder with a table of n vectors, whose files are small beside the voxels in them."""
+    values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.sin(F.col("id") * 64 + i) / 3).cast("float"))
+    spark.range(n).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), values.alias("embedding")).write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def test_finer_voxels_are_not_broadcast(spark, tmp_path, small_broadcasts):
+    found = queries()["upsample_nearest"](spark, bricks(spark, tmp_path, 2000))
+    assert found.agg(F.sum("n")).first()[0] == 2000 * 64 * 27
