@@ -139,14 +139,19 @@ def eigenvalues_sym3(zz: Column, yy: Column, xx: Column, zy: Column, zx: Column,
 
 
 def eigenvector_sym3(value: Column, zz: Column, yy: Column, xx: Column, zy: Column, zx: Column, yx: Column) -> Vec:
-    """Unit eigenvector of a symmetric 3 x 3 matrix for a single eigenvalue, up to its sign: the longest cross product of two rows of the matrix less the
-    eigenvalue. Zero where all of them vanish, that is, where the eigenvalue isn't single."""
+    """Unit eigenvector of a symmetric 3 x 3 matrix for a single eigenvalue, up to its sign: of :func:`along_eigenvector_sym3`. Zero where that vanishes, that
+    is, where the eigenvalue isn't single."""
+    return unit(along_eigenvector_sym3(value, zz, yy, xx, zy, zx, yx), 1e-9)
+
+
+def along_eigenvector_sym3(value: Column, zz: Column, yy: Column, xx: Column, zy: Column, zx: Column, yx: Column) -> Vec:
+    """The longest cross product of two rows of a symmetric 3 x 3 matrix less an eigenvalue, along its eigenvector if it is single. Hundreds of operations for
+    each part: as columns of their own they are planned once."""
     rows = ((zz - value, zy, zx), (zy, yy - value, yx), (zx, yx, xx - value))
     crosses = [(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]) for a, b in itertools.combinations(rows, 2)]
     sizes = [dot(c, c) for c in crosses]
     first = (sizes[0] >= sizes[1]) & (sizes[0] >= sizes[2])
-    longest = tuple(F.when(first, a).when(sizes[1] >= sizes[2], b).otherwise(c) for a, b, c in zip(*crosses, strict=True))
-    return unit(longest, 1e-9)
+    return tuple(F.when(first, a).when(sizes[1] >= sizes[2], b).otherwise(c) for a, b, c in zip(*crosses, strict=True))
 
 
 def circular_mean_turns(angle: Column, weight: Column) -> Column:

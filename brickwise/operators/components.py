@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brickwise.operators.grid import AXES, around, cube
-from brickwise.runtime import discard, materialize, merged_if_large
+from brickwise.runtime import discard, materialize, merged_if_large, shuffled
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -61,13 +61,13 @@ def labelled(mask: DataFrame) -> DataFrame:
     number = F.col("z").cast("long") * (1 << 40) + F.col("y").cast("long") * (1 << 20) + F.col("x")
     keyed = mask.select(*AXES, number.alias("id"))
     ahead = [o for o in cube(1) if o > (0, 0, 0)]
-    edges = around(keyed, ahead, ("id",)).withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), list(AXES)).select("a", "b")
+    edges = around(keyed, ahead, ("id",)).withColumnRenamed("id", "a").join(shuffled(keyed.withColumnRenamed("id", "b")), list(AXES)).select("a", "b")
     roots = connected_components(edges).withColumnRenamed("node", "id")
-    return keyed.join(roots, "id", "left").select(*AXES, F.coalesce("root", "id").alias("component"))
+    return keyed.join(shuffled(roots), "id", "left").select(*AXES, F.coalesce("root", "id").alias("component"))
 
 
 def without_small(mask: DataFrame, least: int) -> DataFrame:
     """:func:`labelled` places of components that have ``least`` places or more."""
     rows = materialize(labelled(mask), "labelled")
     large = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    return rows.join(large.drop("_n"), "component", "left_semi").select(*AXES, "component")
+    return rows.join(merged_if_large(large.drop("_n")), "component", "left_semi").select(*AXES, "component")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from brickwise.functions import codec, vectors
 from brickwise.operators import aggregates, components, fields, morphology, stencil
 from brickwise.operators.grid import AXES
-from brickwise.runtime import materialize
+from brickwise.runtime import materialize, merged_if_large, shuffled
 
 NORMAL = tuple(f"n_{a}" for a in AXES)
 
@@ -47,11 +47,11 @@ def _own(rows: DataFrame) -> DataFrame:
 def contacts(rows: DataFrame, body: DataFrame, direction: vectors.Vec, steps: int) -> DataFrame:
     """``rows`` with the steps at which a march along their own direction first and last meets the body: ``first_ahead``, ``last_ahead``, and ``first_behind``,
     ``last_behind`` for the march against it; nulls where it doesn't within ``steps``."""
-    hit = stepped(rows, direction, -steps, steps).join(body.select(*AXES), list(AXES), "left_semi")
+    hit = stepped(rows, direction, -steps, steps).join(shuffled(body.select(*AXES)), list(AXES), "left_semi")
     ahead, behind = F.when(F.col("_t") > 0, F.col("_t")), F.when(F.col("_t") < 0, -F.col("_t"))
     ends = [f(c).alias(f"{n}_{side}") for c, side in ((ahead, "ahead"), (behind, "behind")) for f, n in ((F.min, "first"), (F.max, "last"))]
     found = hit.groupBy(*[F.col(f"_{a}").alias(a) for a in AXES]).agg(*ends)
-    return rows.join(found, list(AXES), "left")
+    return rows.join(shuffled(found), list(AXES), "left")
 
 
 def close_along(rows: DataFrame, mask: DataFrame, direction: vectors.Vec, reach: int) -> DataFrame:
@@ -63,11 +63,11 @@ def close_along(rows: DataFrame, mask: DataFrame, direction: vectors.Vec, reach:
     if reach < 1:
         return mask.select(*AXES)
     lines = materialize(stepped(rows, direction, -reach, reach), "lines")
-    met = _own(lines.join(mask.select(*AXES), list(AXES), "left_semi"))
+    met = _own(lines.join(shuffled(mask.select(*AXES)), list(AXES), "left_semi"))
     grown = materialize(met.union(mask.select(*AXES)).distinct(), "grown")
-    rest = rows.select(*AXES).join(grown, list(AXES), "left_anti")
-    broken = _own(lines.join(rest, list(AXES), "left_semi")).distinct()
-    return grown.join(broken, list(AXES), "left_anti")
+    rest = rows.select(*AXES).join(shuffled(grown), list(AXES), "left_anti")
+    broken = _own(lines.join(shuffled(rest), list(AXES), "left_semi")).distinct()
+    return grown.join(shuffled(broken), list(AXES), "left_anti")
 
 
 def outward_normal(rows: DataFrame, normal: vectors.Vec | None, radial: vectors.Vec, least: float) -> DataFrame:
@@ -109,15 +109,15 @@ def face_labels(rows: DataFrame, radial: vectors.Vec, rules: FaceRules = FaceRul
     mask = materialize(smooth.where(F.col("_smooth") > rules.body_above).select(*AXES), "above")
     closed = close_along(base, mask, n, rules.close_reach) if rules.along_normal else morphology.close_ball(base, mask, rules.close_reach)
     sheet = materialize(components.without_small(closed, rules.least_component), "sheet")
-    rest = base.select(*AXES).join(sheet, list(AXES), "left_anti")
+    rest = base.select(*AXES).join(shuffled(sheet.select(*AXES)), list(AXES), "left_anti")
     deep = morphology.squared_distance(sheet, rest).withColumn("_depth", F.coalesce(F.sqrt("d2"), F.lit(float(rules.clip))))
     middle = stencil.neighbour_extreme(deep, "_depth", 1, True, "_top").where("_depth >= _top - 0.5")
     middle = materialize(middle.select(*AXES, "component", (2 * F.col("_depth")).alias("thick")), "middle")
     median = aggregates.percentiles(middle, "thick", ["component"], {"median": 0.5})
     apt = median.select("component", F.col("median").between(*rules.thickness).alias("apt"))
-    near = morphology.nearest_of_all(base, middle.join(apt, "component"), ["thick", "apt"], "_to_middle", "")
+    near = morphology.nearest_of_all(base, middle.join(merged_if_large(apt), "component"), ["thick", "apt"], "_to_middle", "")
 
-    edge = stencil.touching(base.join(sheet.select(*AXES), list(AXES), "left_semi"), rest)
+    edge = stencil.touching(base.join(shuffled(sheet.select(*AXES)), list(AXES), "left_semi"), rest)
     met = contacts(edge, sheet, n, max(rules.side_reach, rules.contact_reach))
     ahead, behind = (F.coalesce(F.col(f"first_{s}") <= rules.side_reach, F.lit(False)) for s in ("ahead", "behind"))
     touches = F.coalesce(F.col("first_ahead") <= rules.contact_reach, F.lit(False))
@@ -177,7 +177,7 @@ def band_normals(rows: DataFrame, band: DataFrame, radial: vectors.Vec, rules: B
     The normal is the direction in which the band's places in the window spread least, turned to the radial's side. Where there are less than
     ``least_count`` places, where they spread in no two directions, or where the least spread is over ``planarity`` of the next, it is the radial direction.
     """
-    moments = rows.join(window_moments(band, rules.window), list(AXES), "left")
+    moments = rows.join(shuffled(window_moments(band, rules.window)), list(AXES), "left")
     n = F.col("count")
     spread = [(n * F.col(f"m_{a}{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) / (n * n) for a, b in (("z", "z"), ("y", "y"), ("x", "x"), ("z", "y"), ("z", "x"),
         ("y", "x"))]
@@ -187,9 +187,13 @@ def band_normals(rows: DataFrame, band: DataFrame, radial: vectors.Vec, rules: B
     low, middle, _ = vectors.eigenvalues_sym3(*matrix)
     known = known.withColumns({"_low": low, "_middle": middle})
     flat = (n >= rules.least_count) & (F.col("_middle") > 1e-9) & (F.col("_low") <= rules.planarity * F.col("_middle"))
-    own = vectors.eigenvector_sym3(F.col("_low"), *matrix)
-    ok = F.coalesce(flat & (vectors.norm(own) > 0.5), F.lit(False))
-    turned = fields.outward(own, radial)
+    # step by step in columns: as one expression each part would hold all before it many times, which takes the driver's memory and minutes to plan
+    for name, parts in (("_along", vectors.along_eigenvector_sym3(F.col("_low"), *matrix)), ("_own", vectors.unit(tuple(F.col(f"_along_{a}") for a in AXES),
+            1e-9))):
+        known = known.withColumns({f"{name}_{a}": c for a, c in zip(AXES, parts, strict=True)})
+    own = tuple(F.col(f"_own_{a}") for a in AXES)
+    known = known.withColumn("_ok", F.coalesce(flat & (vectors.norm(own) > 0.5), F.lit(False)))
+    ok, turned = F.col("_ok"), fields.outward(own, radial)
     return known.select(*rows.columns, ok.alias("n_ok"), *[F.when(ok, c).otherwise(r).alias(k) for c, r, k in zip(turned, radial, NORMAL, strict=True)])
 
 
@@ -206,11 +210,12 @@ def band_faces(rows: DataFrame, radial: vectors.Vec, rules: BandRules = BandRule
     for name, codes in (("in", rules.inner), ("out", rules.outer)):
         large = components.without_small(base.where(F.col("band").isin(*codes)).select(*AXES), rules.least_component).select(*AXES)
         faces[name] = materialize(morphology.crest(base.select(*AXES), materialize(large, f"band-{name}")), f"face-{name}")
-    points = base.join(faces["in"].union(faces["out"]).distinct(), list(AXES), "left_semi")
+    points = base.join(shuffled(faces["in"].union(faces["out"]).distinct()), list(AXES), "left_semi")
     points = materialize(band_normals(points, base.where("band > 0"), tuple(F.col(f"r_{a}") for a in AXES), rules), "band-normals")
     both = base.select(*AXES, "data")
     for name, face in faces.items():
-        both = _sided(both, points.join(face, list(AXES), "left_semi"), float("inf"), f"d_{name}", F.lit(None).cast("double"), [])
+        face = materialize(points.join(shuffled(face), list(AXES), "left_semi"), f"normals-{name}")
+        both = materialize(_sided(both, face, float("inf"), f"d_{name}", F.lit(None).cast("double"), []), f"sided-{name}")  # the next one reads it twice
     found = F.col("d_in").isNotNull() & F.col("d_out").isNotNull()
     near = found & (F.abs("d_in") <= rules.clip) & (F.abs("d_out") <= rules.clip)
     within = found & (F.col("d_in") >= 0) & (F.col("d_out") <= 0)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brickwise.operators import stencil
 from brickwise.operators.grid import AXES, box_grid
+from brickwise.runtime import shuffled
 
 #: Lines that are held together, on each side.
 LINES = 8
@@ -69,7 +70,7 @@ def _enveloped(rows: DataFrame, marked: DataFrame) -> DataFrame:
         return marked
     low = tuple(ends[f"lo_{a}"] for a in AXES)
     stations = box_grid(rows.sparkSession, low, tuple(ends[f"hi_{a}"] - lo + 1 for a, lo in zip(AXES, low, strict=True)))
-    out = stations.join(marked, list(AXES), "left")
+    out = stations.join(shuffled(marked), list(AXES), "left")
     for axis in reversed(AXES):
         out = _along(out, axis)
     return out
@@ -82,7 +83,7 @@ def squared_distance(rows: DataFrame, targets: DataFrame, name: str = "d2") -> D
     the distance is the lower envelope of parabolas, linear in the line's length. Each pass is one shuffle by lines, whatever the number of targets.
     """
     marked = targets.select(*AXES, F.lit(0).cast("long").alias("d2")).distinct()
-    return rows.join(_enveloped(rows, marked).withColumnRenamed("d2", name), list(AXES))
+    return rows.join(shuffled(_enveloped(rows, marked).withColumnRenamed("d2", name)), list(AXES))
 
 
 def nearest_of_all(rows: DataFrame, targets: DataFrame, values: list[str], name: str = "d2", prefix: str = "near_") -> DataFrame:
@@ -92,7 +93,7 @@ def nearest_of_all(rows: DataFrame, targets: DataFrame, values: list[str], name:
     """
     marked = targets.select(*AXES, F.lit(0).cast("long").alias("d2"), F.struct(*values).alias("_of"))
     found = _enveloped(rows, marked).select(*AXES, F.col("d2").alias(name), *[F.col(f"_of.{v}").alias(prefix + v) for v in values])
-    return rows.join(found, list(AXES))
+    return rows.join(shuffled(found), list(AXES))
 
 
 def close_ball(rows: DataFrame, mask: DataFrame, radius: float) -> DataFrame:
@@ -105,7 +106,7 @@ def close_ball(rows: DataFrame, mask: DataFrame, radius: float) -> DataFrame:
 
 def crest(rows: DataFrame, mask: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """Middle places of ``mask``: those whose distance to the rest of ``rows`` is within a tolerance of the largest around them."""
-    rest = rows.select(*AXES).join(mask.select(*AXES), list(AXES), "left_anti")
-    deep = squared_distance(rows.select(*AXES), rest).join(mask.select(*AXES), list(AXES), "left_semi").where("d2 is not null").select(*AXES,
-        F.sqrt("d2").alias("_depth"))
+    rest = rows.select(*AXES).join(shuffled(mask.select(*AXES)), list(AXES), "left_anti")
+    deep = squared_distance(rows.select(*AXES), rest).join(shuffled(mask.select(*AXES)), list(AXES), "left_semi").where(
+        "d2 is not null").select(*AXES, F.sqrt("d2").alias("_depth"))
     return stencil.neighbour_extreme(deep, "_depth", 1, True, "_top").where(F.col("_depth") >= F.col("_top") - tolerance).select(*AXES)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from brickwise.operators.grid import AXES, FACES, around
+from brickwise.runtime import shuffled
 
 
 def line(axis: str) -> WindowSpec:
@@ -25,13 +26,13 @@ def at_offset(value: Column | str, axis: str, step: int) -> Column:
 
 def touching(rows: DataFrame, others: DataFrame, offsets: list[tuple[int, int, int]] = FACES) -> DataFrame:
     """Rows that have one of ``others`` at one of the offsets."""
-    return rows.join(around(others, [tuple(-c for c in o) for o in offsets]).distinct(), list(AXES), "left_semi")
+    return rows.join(shuffled(around(others, [tuple(-c for c in o) for o in offsets]).distinct()), list(AXES), "left_semi")
 
 
 def neighbour_count(rows: DataFrame, members: DataFrame, offsets: list[tuple[int, int, int]] = FACES, name: str = "n") -> DataFrame:
     """``rows`` with the number of members at the offsets, 0 included."""
     counts = around(members, [tuple(-c for c in o) for o in offsets]).groupBy(*AXES).agg(F.count(F.lit(1)).alias(name))
-    return rows.join(counts, list(AXES), "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows.join(shuffled(counts), list(AXES), "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def zero_crossing(rows: DataFrame, inside: Column, outside: Column) -> DataFrame:
@@ -62,13 +63,13 @@ def spread_extreme(rows: DataFrame, value: str, radius: int, largest: bool) -> D
 def neighbour_extreme(rows: DataFrame, value: str, radius: int, largest: bool, name: str) -> DataFrame:
     """``rows`` with the extreme of ``value`` over the cube around each, itself included."""
     found = _spread(rows, value, radius, F.max if largest else F.min).withColumnRenamed(value, name)
-    return rows.join(found, list(AXES))
+    return rows.join(shuffled(found), list(AXES))
 
 
 def box_mean(rows: DataFrame, value: str, radius: int, name: str) -> DataFrame:
     """``rows`` with the mean over the cube of this radius, places without rows counting as zero."""
     found = _spread(rows, value, radius, F.sum).select(*AXES, (F.col(value) / (2 * radius + 1) ** 3).alias(name))
-    return rows.join(found, list(AXES))
+    return rows.join(shuffled(found), list(AXES))
 
 
 def gaussian(rows: DataFrame, value: str, sigma: float, name: str, truncate: float = 3.0) -> DataFrame:
@@ -105,13 +106,13 @@ def dilate(rows: DataFrame, radius: int = 1, within: DataFrame | None = None) ->
     for axis in AXES:
         steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
         grown = grown.withColumn("_step", steps).select(*[(F.col(a) + F.col("_step")).alias(a) if a == axis else a for a in AXES]).distinct()
-    return grown.join(within.select(*AXES), list(AXES), "left_semi") if within is not None else grown
+    return grown.join(shuffled(within.select(*AXES)), list(AXES), "left_semi") if within is not None else grown
 
 
 def erode(rows: DataFrame, radius: int, within: DataFrame) -> DataFrame:
     """Places of ``rows`` with no place of ``within`` that isn't one of ``rows`` in the cube around."""
-    outside = within.select(*AXES).join(rows.select(*AXES), list(AXES), "left_anti")
-    return rows.select(*AXES).join(dilate(outside, radius), list(AXES), "left_anti")
+    outside = within.select(*AXES).join(shuffled(rows.select(*AXES)), list(AXES), "left_anti")
+    return rows.select(*AXES).join(shuffled(dilate(outside, radius)), list(AXES), "left_anti")
 
 
 def close(rows: DataFrame, radius: int, within: DataFrame) -> DataFrame:
@@ -124,4 +125,4 @@ def distance_within(rows: DataFrame, targets: DataFrame, limit: int, name: str =
     Separable, so that the cost of a target is linear in the limit along each axis, not that of a ball.
     """
     near = _spread(targets.select(*AXES, F.lit(0).alias(name)), name, limit, F.min, lambda step: step * step).where(F.col(name) <= limit * limit)
-    return rows.join(near, list(AXES), "left")
+    return rows.join(shuffled(near), list(AXES), "left")

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from brickwise.functions import codec, vectors
-from brickwise.operators import aggregates, embeddings, grid, joins, rays, sampling, stencil
+from brickwise.operators import aggregates, components, embeddings, faces, grid, joins, morphology, rays, sampling, stencil, winding
 from brickwise.operators.components import connected_components
 from brickwise.operators.prefix import running_sums
 from brickwise.plans.catalog import queries
+from brickwise.runtime import materialize
 from brickwise.streaming import incremental
 
 
@@ -371,3 +372,28 @@ def bricks(spark, tmp_path, n):
 def test_finer_voxels_are_not_broadcast(spark, tmp_path, small_broadcasts):
     found = queries()["upsample_nearest"](spark, bricks(spark, tmp_path, 2000))
     assert found.agg(F.sum("n")).first()[0] == 2000 * 64 * 27
+
+
+def places(spark):
+    return materialize(grid.box_grid(spark, (0, 0, 0), (16, 32, 32)), "places")
+
+
+@pytest.mark.parametrize("found", [
+    lambda rows, mask: morphology.crest(rows, mask),
+    lambda rows, mask: morphology.nearest_of_all(rows, mask, ["z"]),
+    lambda rows, mask: components.without_small(mask, 2),
+    lambda rows, mask: stencil.touching(rows, mask),
+    lambda rows, mask: stencil.distance_within(rows, mask, 2),
+    lambda rows, mask: joins.nearest(rows, mask, 2, [], ["z"]),
+    lambda rows, mask: winding.masked_upsample(rows, mask.withColumn("v", F.lit(1)), ["v"], "v", 2),
+])
+def test_places_are_not_broadcast(spark, small_broadcasts, found):
+    rows = places(spark)
+    assert found(rows, rows.where("z % 4 < 2 and (y + x) % 5 < 4")).count() > 0
+
+
+def test_normals_of_bands_are_planned_in_steps(spark):
+    rows = places(spark)
+    out = faces.band_normals(rows, rows.where("z % 4 = 0"), (F.lit(0.0), F.col("y") * 1.0, F.col("x") * 1.0))
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 200_000
+    assert materialize(out, "normals").where("n_ok").count() > 0
