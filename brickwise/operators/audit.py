@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brickwise.operators import aggregates, components, morphology, stencil
 from brickwise.operators.grid import AXES
-from brickwise.runtime import materialize
+from brickwise.runtime import materialize, shuffled
 
 
 
@@ -27,7 +27,7 @@ def overlap(rows: DataFrame) -> DataFrame:
 def mask_measures(rows: DataFrame, mask: DataFrame, other: DataFrame, name: str, near: float, least: int) -> DataFrame:
     """One row of one mask's measures: its surface voxels, its components of ``least`` voxels or more and the largest, the median thickness at its crest, and
     the share of its crest within ``near`` voxels of the other mask."""
-    rest = rows.select(*AXES).join(mask, list(AXES), "left_anti")
+    rest = rows.select(*AXES).join(shuffled(mask), list(AXES), "left_anti")
     surface = stencil.touching(mask, rest).agg(F.count(F.lit(1)).alias(f"surface_{name}"))
     sizes = components.without_small(mask, least).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     parts = sizes.agg(F.count(F.lit(1)).alias(f"components_{name}"), F.coalesce(F.max("size"), F.lit(0)).alias(f"largest_{name}"))
