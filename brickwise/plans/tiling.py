@@ -242,8 +242,9 @@ def appended_channel(spark: SparkSession, folder: str) -> DataFrame:
         store.add(name, identity, rows, lambda part, name=name: part.select(*AXES, name))
     weight = F.when(F.col("valid") == 1, 255).when(F.col("valid") == 2, 64).otherwise(0)
     own = incremental.fingerprint("faces_weight", "v1")
-    for waves in (1, None):  # stopped after one wave, then finished
-        store.add("faces_weight", own, store.read({"valid": old["valid"]}), lambda part: part.select(*AXES, weight.alias("faces_weight")), 0, 20, waves)
+    made = lambda part: part.select(*AXES, weight.alias("faces_weight"))
+    store.add("faces_weight", own, store.read({"valid": old["valid"]}), made, 0, 20, 1)  # stopped after one small wave
+    store.add("faces_weight", own, store.read({"valid": old["valid"]}), made)  # then finished, by few large waves however many bricks are left
     found = store.read({"u": old["u"], "faces_weight": own})
     return found.groupBy("faces_weight").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("total"))
 

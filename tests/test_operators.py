@@ -12,7 +12,7 @@ from brickwise.operators.components import connected_components
 from brickwise.operators.prefix import running_sums
 from brickwise.plans.catalog import queries
 from brickwise.runtime import materialize
-from brickwise.streaming import incremental
+from brickwise.streaming import builds, incremental
 
 
 def one(spark, expression):
@@ -397,3 +397,11 @@ def test_normals_of_bands_are_planned_in_steps(spark):
     out = faces.band_normals(rows, rows.where("z % 4 = 0"), (F.lit(0.0), F.col("y") * 1.0, F.col("x") * 1.0))
     assert len(out._jdf.queryExecution().analyzed().toString()) < 200_000
     assert materialize(out, "normals").where("n_ok").count() > 0
+
+
+def test_a_channel_is_finished_in_one_wave(spark, tmp_path, monkeypatch):
+    waves, build = [], builds.build
+    monkeypatch.setattr(builds, "build", lambda *a: waves.append(build(*a)) or waves[-1])
+    found = queries()["appended_channel"](spark, bricks(spark, tmp_path, 512))
+    assert found.agg(F.sum("n")).first()[0] == 512 * 64
+    assert waves == [1, 1, 1, 1]
