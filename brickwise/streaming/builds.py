@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brickwise.operators.grid import AXES, brick_of
-from brickwise.runtime import broadcast_if_small, discard, materialize
+from brickwise.runtime import broadcast_if_small, discard, materialize, shuffled
 from brickwise.streaming.incremental import pending
 
 BRICK = [f"b{a}" for a in AXES]
@@ -27,7 +27,7 @@ def within_halo(rows: DataFrame, bricks: DataFrame, edge: int, halo: int) -> Dat
     for a in AXES:
         reach = F.sequence(F.floor((F.col(a) - halo) / edge).cast("int"), F.floor((F.col(a) + halo) / edge).cast("int"))
         near = near.withColumn(f"b{a}", F.explode(reach))
-    return rows.join(near.join(bricks, BRICK, "left_semi").select(*AXES).distinct(), list(AXES), "left_semi")
+    return rows.join(shuffled(near.join(bricks, BRICK, "left_semi").select(*AXES).distinct()), list(AXES), "left_semi")
 
 
 class BrickStore:
@@ -149,7 +149,7 @@ class ChannelStore:
         for store, name in zip(stores, channels, strict=True):
             rows = store.read().select(*AXES, name).withColumns({b: F.floor(F.col(a) / self.edge).cast("int") for a, b in zip(AXES, BRICK, strict=True)})
             rows = rows.join(whole, BRICK, "left_semi").drop(*BRICK)
-            out = rows if out is None else out.join(rows, list(AXES))
+            out = rows if out is None else out.join(shuffled(rows), list(AXES))
         return out
 
 
