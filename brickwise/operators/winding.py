@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from brickwise.functions import codec, vectors
 from brickwise.operators import fields, joins, morphology
 from brickwise.operators.grid import AXES
-from brickwise.runtime import materialize
+from brickwise.runtime import materialize, shuffled
 
 
 class WindingRules(NamedTuple):
@@ -42,14 +42,14 @@ def masked_upsample(fine: DataFrame, coarse: DataFrame, values: list[str], valid
         corners.append(F.struct(*place, (share[0] * share[1] * share[2]).alias("_w")))
     spread = fine.select(*AXES, F.explode(F.array(*corners)).alias("_k")).select(*AXES, "_k.*").where("_w > 0")
     source = coarse.select(*[F.col(a).alias(f"_c{a}") for a in AXES], (F.col(valid) == 1).alias("_m"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    met = spread.join(source, [f"_c{a}" for a in AXES])
+    met = spread.join(shuffled(source), [f"_c{a}" for a in AXES])
     counted = F.when(F.col("_m"), F.col("_w")).otherwise(0.0)
     sums = met.groupBy(*AXES).agg(F.sum("_w").alias("_all"), F.sum(counted).alias("_part"),
         *[F.sum(counted * F.col(f"_v_{v}")).alias(f"_v_{v}") for v in values])
     known = F.col("_part") >= 0.5 * F.col("_all")
     found = sums.select(*AXES, known.alias("_known"), *[F.when(known, F.col(f"_v_{v}") / F.col("_part")).otherwise(0.0).alias(prefix + v) for v in values])
     covered = joins.coarse_join(fine, coarse.select(*AXES, F.col(valid).alias("_state")), factor)
-    both = covered.join(found, list(AXES), "left")
+    both = covered.join(shuffled(found), list(AXES), "left")
     state = F.when(F.coalesce("_known", F.lit(False)), F.coalesce("_state", F.lit(0))).otherwise(0)
     return both.select(*fine.columns, *[F.coalesce(prefix + v, F.lit(0.0)).alias(prefix + v) for v in values], state.alias(prefix + "valid"))
 
@@ -88,6 +88,7 @@ def fine_winding(rows: DataFrame, radial: vectors.Vec, rules: WindingRules = Win
     gap = F.col("_in") - F.col("_out")
     known = base.where("_data and not _full_in and not _full_out").select(*AXES, gap.alias("apart"))
     thick = morphology.nearest_of_all(base, known.where(F.col("apart") > rules.least), ["apart"], "_d", "_t_").drop("_d")
+    thick = materialize(thick, "winding-thickness")  # read twice: for the box around and for the rows
     both = morphology.nearest_of_all(thick, known.where(F.col("apart") < -rules.least), ["apart"], "_d", "_g_").drop("_d")
     raw = F.col("_t_apart") - F.col("_g_apart")
     sloped = both.withColumn("_period", raw)

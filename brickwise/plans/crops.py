@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brickwise.operators import crops, grid
 from brickwise.plans.catalog import register
 from brickwise.plans.winding import CENTRE, PRIOR_SQL, winding_rows
-from brickwise.runtime import materialize
+from brickwise.runtime import materialize, shuffled
 from brickwise.sources.tables import table
 from brickwise.sources.voxels import VOXELS_SQL, coded_voxels
 
@@ -31,7 +31,7 @@ FROM t JOIN p ON z >= lz AND z < lz + {PATCH} AND y >= ly AND y < ly + {PATCH} A
 def crop_targets(spark: SparkSession, folder: str) -> DataFrame:
     """Many crops with intensity, unordered surface targets, weights and a winding that is fine where it can be and coarse elsewhere, summed by crop and validity."""
     own = coded_voxels(spark, folder).select(*AXES, F.col("u").alias("ct"), "label")
-    rows = winding_rows(spark, folder).join(own, AXES)
+    rows = winding_rows(spark, folder).join(shuffled(own), AXES)
     rows = materialize(rows.withColumn("faces_weight", F.when(F.col("label") % 4 == 0, 0).otherwise(F.col("ct"))), "crop-rows")
     fine = {"valid": (F.col("label") % 2).cast("int"), "sine": F.sin("ct")}
     wound = crops.merged_winding(fine, {"valid": F.col("prior_valid"), "sine": F.col("prior_sine")}, "merge")
