@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brickwise.operators import aggregates, components, morphology, stencil
 from brickwise.operators.grid import AXES
-from brickwise.runtime import materialize
+from brickwise.runtime import materialize, shuffled
 
 SIDES = ("pred_to_band", "band_to_pred", "symmetric")
 
@@ -40,7 +40,8 @@ def body_pass(rows: DataFrame, near: int = 12, tolerance: int = 2, least: int =
     pred = close.where("pred").select(*AXES)
     large = materialize(components.without_small(drawn, least).select(*AXES), "large-bands")
     band = materialize(morphology.crest(base.select(*AXES), large), "band-crest")
-    hit = pred.join(stencil.dilate(band, tolerance), list(AXES), "left_semi").unionAll(band.join(stencil.dilate(pred, tolerance), list(AXES), "left_semi"))
+    hit = pred.join(shuffled(stencil.dilate(band, tolerance)), list(AXES), "left_semi").unionAll(band.join(shuffled(stencil.dilate(pred, tolerance)), list(AXES),
+        "left_semi"))
     count = lambda frame, name: frame.agg(F.count(F.lit(1)).alias(name))
     counts = count(close, "n_near").crossJoin(count(pred, "n_pred")).crossJoin(count(band, "n_band")).crossJoin(count(hit, "_hit"))  # one row each
     total = F.col("n_pred") + F.col("n_band")
