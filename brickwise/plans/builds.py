@@ -90,13 +90,9 @@ SELECT CAST(gz AS INT) AS z, count(*) AS n, round(sum(top / part), 5) AS total F
 def upsample_masked_trilinear(spark: SparkSession, folder: str) -> DataFrame:
     """Values at the centres of twice finer voxels, between valid voxels only, where these make up over 0.4 of the weight."""
     coarse = coded_voxels(spark, folder)
-    fine = grid.refined(coarse.select(*AXES), 2)
-    points = fine.select(F.struct(*AXES).alias("id"), *[((F.col(a) + 0.5) / 2 - 0.5).alias(f"p{a}") for a in AXES])
     one = F.when(F.col("valid") == 1, 1.0).otherwise(0.0)
-    top = joins.trilinear(points, coarse.withColumn("t", one * F.col("v")), "t")
-    part = joins.trilinear(points, coarse.withColumn("p", one), "p")
-    both = top.join(part, "id").where("p > 0.4")
-    return both.groupBy(F.col("id.z").alias("z")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") / F.col("p")), 5).alias("total"))
+    both = joins.doubled(coarse.select(*AXES, (one * F.col("v")).alias("t"), one.alias("p")), ["t", "p"]).where("p > 0.4")
+    return both.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t") / F.col("p")), 5).alias("total"))
 
 
 @register("export_pooled_bytes", f"""WITH {VOXELS_SQL}, p AS (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, sum(CASE WHEN valid > 0 THEN v

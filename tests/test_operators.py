@@ -405,3 +405,16 @@ def test_a_channel_is_finished_in_one_wave(spark, tmp_path, monkeypatch):
     found = queries()["appended_channel"](spark, bricks(spark, tmp_path, 512))
     assert found.agg(F.sum("n")).first()[0] == 512 * 64
     assert waves == [1, 1, 1, 1]
+
+
+def test_doubled_voxels_equal_those_of_eight_corners_with_one_shuffle(spark):
+    rows = places(spark).where("(z * 7 + y * 5 + x) % 6 < 4").withColumn("v", F.sin(F.col("z") * 3.0 + F.col("y") * F.col("x")))
+    rows = materialize(rows.select((F.col("z") - 5).alias("z"), "y", "x", "v"), "ragged")
+    points = grid.refined(rows.select("z", "y", "x"), 2)
+    points = points.select(F.struct("z", "y", "x").alias("id"), *[((F.col(a) + 0.5) / 2 - 0.5).alias(f"p{a}") for a in ("z", "y", "x")])
+    expected = joins.trilinear(points, rows, "v").select("id.*", F.col("v").alias("expected"))
+    found = joins.doubled(rows, ["v"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    both = found.join(expected, ["z", "y", "x"], "full")
+    assert both.count() == 8 * rows.count()
+    assert both.where("v is null or expected is null or abs(v - expected) > 1e-12").count() == 0
